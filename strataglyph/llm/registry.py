@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .neardup import op4_minhash_near_dedup
 from .packing import op6_best_fit_packing
 from .quality import op3_quality_rules
 from .secrets import op9_secret_scan
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op9_secret_scan": op9_secret_scan,
 }
