@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .mixing import OP8_SQL, op8_poisson_mixing
 from .neardup import op4_minhash_near_dedup
 from .packing import op6_best_fit_packing
 from .quality import op3_quality_rules
@@ -11,7 +12,10 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_poisson_mixing": op8_poisson_mixing,
     "op9_secret_scan": op9_secret_scan,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_poisson_mixing": OP8_SQL,
+}
