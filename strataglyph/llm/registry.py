@@ -6,12 +6,14 @@ from .mixing import OP8_SQL, op8_poisson_mixing
 from .neardup import op4_minhash_near_dedup
 from .packing import op6_best_fit_packing
 from .quality import op3_quality_rules
+from .repeats import op7_suffix_array_dedup
 from .secrets import op9_secret_scan
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_poisson_mixing": op8_poisson_mixing,
     "op9_secret_scan": op9_secret_scan,
 }
