@@ -8,10 +8,12 @@ from .packing import op6_best_fit_packing
 from .quality import op3_quality_rules
 from .repeats import op7_suffix_array_dedup
 from .secrets import op9_secret_scan
+from .topk import OP5_SQL, op5_exact_top_k
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_exact_top_k": op5_exact_top_k,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_poisson_mixing": op8_poisson_mixing,
@@ -19,5 +21,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_exact_top_k": OP5_SQL,
     "op8_poisson_mixing": OP8_SQL,
 }
