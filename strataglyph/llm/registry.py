@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .langid import op2_language_id
 from .mixing import OP8_SQL, op8_poisson_mixing
 from .neardup import op4_minhash_near_dedup
 from .packing import op6_best_fit_packing
@@ -11,6 +12,7 @@ from .secrets import op9_secret_scan
 from .topk import OP5_SQL, op5_exact_top_k
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op3_quality_rules": op3_quality_rules,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_exact_top_k": op5_exact_top_k,
