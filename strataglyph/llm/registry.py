@@ -9,6 +9,7 @@ from .packing import op6_best_fit_packing
 from .quality import op3_quality_rules
 from .repeats import op7_suffix_array_dedup
 from .secrets import op9_secret_scan
+from .sites import op10_quality_classifier
 from .topk import OP5_SQL, op5_exact_top_k
 
 QUERIES = {
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_poisson_mixing": op8_poisson_mixing,
     "op9_secret_scan": op9_secret_scan,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {
