@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .counts import op1_token_counts
 from .langid import op2_language_id
 from .mixing import OP8_SQL, op8_poisson_mixing
 from .neardup import op4_minhash_near_dedup
@@ -13,6 +14,7 @@ from .sites import op10_quality_classifier
 from .topk import OP5_SQL, op5_exact_top_k
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
     "op3_quality_rules": op3_quality_rules,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
