@@ -81,7 +81,7 @@ def build(spark: SparkSession, root: str, lock_path: str, plan: dict, out: str)
     of_ayah = ayah.join(spans, ayah["id"] == spans["ayah_id"], "left").drop("ayah_id")
     of_surah = of_ayah.groupBy(F.col("surah").alias("number")).agg(F.min("word_start").alias("word_start"), F.max("word_end").alias("word_end"))
     store.write({"ayah_new": of_ayah, "surah_new": surah.join(of_surah, "number", "left")}, out)
-    saved(ayah=spark.read.parquet(f"{out}/ayah_new"), surah=spark.read.parquet(f"{out}/surah_new"))
+    ayah, surah = saved(ayah=spark.read.parquet(f"{out}/ayah_new"), surah=spark.read.parquet(f"{out}/surah_new"))
     placed = word.join(ayah.select(F.col("id").alias("ayah_id"), "surah"), "ayah_id")
     roots = lexicon.roots(placed)
     saved(root=roots.withColumn("archigraphemic", archigraphemic_of_rasm(normalize(F.col("text"), "rasm"))), lemma=lexicon.lemmas(placed), variant=variants.numbered(variants.differences(variant_pairs(ayah_text, edition))))

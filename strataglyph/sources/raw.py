@@ -70,7 +70,7 @@ def content(spark: SparkSession, root: str, key: str, lock: dict) -> DataFrame:
     if not Path(root, key).exists():
         raise SourceError(f"{key} is not there")
     same = F.assert_true(F.sha2("content", 256) == lock["files"][key]["sha256"], F.lit(f"{key} is not what was locked"))
-    return spark.read.format("binaryFile").load(f"{root}/{key}").withColumn("_ok", same).select(F.decode(F.col("content"), F.lit("UTF-8")).alias("text"), "_ok")
+    return spark.read.format("binaryFile").load(f"{root}/{key}").withColumn("_ok", same).select(F.decode(F.col("content"), "UTF-8").alias("text"), "_ok")
 
 
 def text_of(rows: DataFrame) -> DataFrame:

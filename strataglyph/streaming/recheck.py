@@ -19,7 +19,7 @@ def recheck(stream: DataFrame, name: str, so_far: DataFrame, claims: list[Claim]
     kept = f"{checkpoint}/rows"
 
     def each(batch: DataFrame, number: int) -> None:
-        spark: SparkSession = batch.sparkSession
+        spark: SparkSession = so_far.sparkSession  # a stream's batches belong to a session of their own
         batch.write.mode("overwrite").parquet(f"{kept}/batch={number}")
         now = spark.read.schema(batch.schema).parquet(f"{kept}/batch=*")
         so_far.unionByName(now).createOrReplaceTempView(name)
