@@ -42,14 +42,14 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, total: float | None
 
 
 def distributions(rate_table: DataFrame) -> DataFrame:
-    """Adds parts and cdf: P(X <= 0), P(X <= 1), ... of one Poisson part, far enough for any 52-bit uniform value."""
+    """_sg_source, _sg_parts and _sg_cdf: P(X <= 0), P(X <= 1), ... of one Poisson part, far enough for any 52-bit uniform value."""
     parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")
     one = rate_table.withColumn("parts", parts).withColumn("mean", F.col("rate") / F.col("parts")).withColumn("last", F.ceil(F.col("mean") + 12 * F.sqrt("mean") + 24).cast("int"))
     cdf = F.expr(
         "aggregate(sequence(1, last), named_struct('p', exp(-mean), 'sum', exp(-mean), 'cdf', array(exp(-mean))), "
         "(a, k) -> named_struct('p', a.p * mean / k, 'sum', a.sum + a.p * mean / k, 'cdf', concat(a.cdf, array(a.sum + a.p * mean / k))), a -> a.cdf)"
     )
-    return one.select("_sg_source", "rate", "parts", cdf.alias("cdf"))
+    return one.select("_sg_source", F.col("parts").alias("_sg_parts"), cdf.alias("_sg_cdf"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, weight_of_others: float = 1.0, seed: int = SEED, names: tuple[str, str] | None = ("copy", "n_copies")) -> DataFrame:
@@ -74,10 +74,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float |
         spread = known.withColumn("_sg_salt2", F.explode(F.sequence(F.lit(0), F.lit(63))))
         joined = salted.join(spread, source.eqNullSafe(F.col("_sg_source")) & (F.col("_sg_salt") == F.col("_sg_salt2")))
     u = lambda k: uniform(F.lit(seed), F.col("doc_id"), k)
-    below = lambda k: F.size(F.filter("cdf", lambda c: c <= u(k))).cast("long")
-    one = F.size(F.filter("cdf", lambda c: c <= F.col("_sg_u"))).cast("long")
-    many = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0).cast("long"), lambda a, k: a + below(k))
-    counted = joined.withColumn("_sg_u", u(F.lit(1))).withColumn("_sg_n", F.when(F.col("parts") == 1, one).otherwise(many))
+    below = lambda k: F.size(F.filter("_sg_cdf", lambda c: c <= u(k))).cast("long")
+    one = F.size(F.filter("_sg_cdf", lambda c: c <= F.col("_sg_u"))).cast("long")
+    many = F.aggregate(F.sequence(F.lit(1), F.col("_sg_parts")), F.lit(0).cast("long"), lambda a, k: a + below(k))
+    counted = joined.withColumn("_sg_u", u(F.lit(1))).withColumn("_sg_n", F.when(F.col("_sg_parts") == 1, one).otherwise(many))
     copies = counted.filter(F.col("_sg_n") > 0).withColumn("_sg_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_sg_n"))))
     # where a row goes and its place there are hashes of their own: a global shuffle in one exchange
     place = copies.withColumn("_sg_deal", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("_sg_copy"))).withColumn("_sg_place", F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("_sg_copy")))

@@ -148,10 +148,12 @@ def judge(docs: DataFrame, prefix: str = "", carry: list[str] | None = None) ->
 
     A row that fails the base rules is not kept, and takes no part in the
     estimates; its distance is null. Null lang and null source are groups like
-    any other. An empty table stays empty.
+    any other. An empty table stays empty. A column of docs that is named like
+    an added one gives way to it.
     """
     space = Workspace(docs.sparkSession, "quality")
     p = prefix
+    docs = docs.drop(*[f"{p}{c}" for c in (*STATS, "base_failed", "distance2", "kept")])
     known = with_statistics(docs, p)
     group = F.to_json(F.struct(F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")))
     language = F.to_json(F.struct(F.col("lang").cast("string").alias("only")))
