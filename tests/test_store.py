@@ -220,3 +220,19 @@ def test_first_difference(spark):
 
 def test_views_have_refs(made):
     assert [r.ref for r in store.views(made[3])["v_segment"].orderBy("id").limit(2).collect()] == ["Q1:1:1:1", "Q1:1:1:2"]
+
+
+def test_command_line(made, capsys):
+    from strataglyph import cli
+
+    at = ["--store", str(made[0] / "out")]
+    assert cli.main([*at, "stats"]) == 0
+    assert cli.main([*at, "show", "Q1:1", "--level", "rasm"]) == 0
+    assert cli.main([*at, "words", "Q1:1"]) == 0
+    assert cli.main([*at, "search", "الله"]) == 0
+    assert cli.main([*at, "root", "سمو"]) == 0
+    assert cli.main([*at, "variants", "Q1"]) == 0
+    assert cli.main([*at, "sql", "SELECT COUNT(*) FROM word"]) == 0
+    assert cli.main([*at, "tree"]) == 0
+    out = capsys.readouterr().out
+    assert "1 in all" in out and "uthmani-warsh" in out
