@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .workspace import Workspace, table
 
 #: Labelled rows that the classifier is fitted on, and documents of them in which a word must be to count.
-SAMPLE, LEAST = 4000, 8
-ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 1.0, 0.1, 4
+SAMPLE, LEAST = 4000, 12
+ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 3.0, 0.01, 8
 TARGETS = ("quality", "toxic")
 #: Rows of site sums up to which they are broadcast.
 BROADCAST_ROWS = 20_000
@@ -35,8 +35,12 @@ _SIGNS = {"upper": range(65, 91), "digit": range(48, 58), "symbol": b"#*$%&|<>",
 _CLASS = np.array([[b in members for members in _SIGNS.values()] for b in range(256)], np.float64)
 
 
+#: Lengths of the word beginnings that count as features beside whole words: stems that take many endings are rarely seen twice in one form.
+STEMS = (4, 5, 6)
+
+
 def evidence(text: str | None) -> tuple[set[str], np.ndarray]:
-    """(distinct words, a few numbers about the text)."""
+    """(distinct words and their stems, a few numbers about the text)."""
     text = text or ""
     words = _WORD.findall(text.lower())
     distinct = set(words)
@@ -46,7 +50,8 @@ def evidence(text: str | None) -> tuple[set[str], np.ndarray]:
     lines = [line for line in text.split("\n") if line.strip()]
     # distinct words against what a text of this length has as a rule
     numbers = [math.log1p(len(words)), len(distinct) / n ** 0.8, sum(map(len, words)) / n, len(set(lines)) / max(1, len(lines)), *np.sqrt(shares)]
-    return distinct, np.array(numbers)
+    stems = {f"{w[:k]}-" for k in STEMS for w in distinct if len(w) >= k}
+    return distinct | stems, np.array(numbers)
 
 
 def _sigmoid(x: float) -> float:
