@@ -1,11 +1,12 @@
 """Exact top-k search by a three-phase uniform threshold.
 
 A vector's dimensions are dealt to a few lists; a score is the sum of a
-candidate's local scores over the lists. Phase one takes every list's best
-entries for each query, and from partial sums the k-th best lower bound. Its
-uniform share, told to all lists, is a safe cutoff: whatever misses it
-everywhere cannot be among the best. Phase two collects the entries at or above
-it and drops candidates whose upper bound stays below the new k-th lower bound.
+candidate's local scores over the lists. Phase one gathers every list's best
+entries for each query, with the sums of those few candidates; the k-th best of
+them is a lower bound. Its uniform share, told to all lists, is a safe cutoff:
+whatever misses it everywhere cannot be among the best. Phase two collects the
+entries at or above it and drops candidates whose upper bound stays below the
+new k-th lower bound.
 Phase three resolves the exact scores of what is left.
 
 Local scores may be negative, so each is taken above its list's least for the
@@ -106,19 +107,20 @@ def _search(spark: SparkSession, space: Workspace, rows: DataFrame, asked: DataF
                 q_ids, q = _matrix(q_rows)
                 c_ids, c = _matrix(c_rows)
                 n, top = len(q_ids), min(want, len(c_ids))
-                for j, cut in enumerate(cuts):
-                    s = q[:, cut] @ c[:, cut].T
+                scores = [q[:, cut] @ c[:, cut].T for cut in cuts]
+                whole = np.sum(scores, axis=0)
+                for j, s in enumerate(scores):
                     best = np.argpartition(-s, top - 1, axis=1)[:, :top]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, top)), pa.array(np.full(n * top, j, np.int32)), pa.array(c_ids[best].ravel()), pa.array(np.take_along_axis(s, best, 1).ravel().astype(np.int64)), pa.array(np.repeat(s.min(axis=1).astype(np.int64), top))], names=["q", "j", "c", "s", "least"])
+                    told = [pa.array(np.take_along_axis(x, best, 1).ravel().astype(np.int64)) for x in (s, whole)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, top)), pa.array(np.full(n * top, j, np.int32)), pa.array(c_ids[best].ravel()), *told, pa.array(np.repeat(s.min(axis=1).astype(np.int64), top))], names=["q", "j", "c", "s", "total", "least"])
 
     pairs = grid.join(qs, "qb").select("q", "c")
-    first = space.save(pairs.mapInArrow(local, "q long, j int, c long, s long, least long"), "local")
+    first = space.save(pairs.mapInArrow(local, "q long, j int, c long, s long, total long, least long"), "local")
     floors = first.groupBy("q", "j").agg(F.min("least").alias("least"))
-    ranked = Window.partitionBy("q", "j").orderBy(F.desc("s"), "c")
-    lists_best = first.withColumn("r", F.row_number().over(ranked)).filter(F.col("r") <= want).join(floors.withColumnRenamed("least", "floor"), ["q", "j"])
-    sums = lists_best.groupBy("q", "c").agg(F.sum(F.col("s") - F.col("floor")).alias("low"))
+    base = floors.groupBy("q").agg(F.sum("least").alias("base"))
     by_low = Window.partitionBy("q").orderBy(F.desc("low"))
-    # the want-th best partial sum, above the floors; none if there are fewer candidates
+    sums = first.groupBy("q", "c").agg(F.max("total").alias("total")).join(base, "q").select("q", (F.col("total") - F.col("base")).alias("low"))
+    # the want-th best sum, above the floors; none if there are fewer candidates
     kth = sums.withColumn("r", F.row_number().over(by_low)).filter(F.col("r") == want).select("q", "low")
     cutoff = floors.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("j", "least"))).alias("f")).join(kth, "q", "left")
     # at least the share of each of the lists; 0 takes all
