@@ -26,7 +26,7 @@ from .workspace import Workspace, table
 
 VOCABULARY, SEPARATOR, WIDTH = "word_bpe_49k.json", 49407, 2
 BLOCK = 1 << 17
-FILE_ROWS = 8_000
+FILE_ROWS = 4_000
 #: Tokens at a document's head that name it, each below 2^15 and so never a separator of this vocabulary: whether there is an id, and the id's 64 bits.
 HEAD = 5
 
