@@ -220,7 +220,7 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for part, x in zip(parts, (a, g1, g2, np.full(n, k1.as_py()), np.full(n, k2.as_py()), first, last, at), strict=True):
                 part.append(x)
             held += n
-            if held > 200_000:
+            if held > 60_000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], names=names)
                 parts, held = [[] for _ in names], 0
         if held:
@@ -258,7 +258,7 @@ def _sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             continue
         new = pa.Table.from_batches([batch])
         held = new if held is None else pa.concat_tables([held, new])
-        if len(held) >= 4000:
+        if len(held) >= 1500:
             a = held.column("a").to_numpy()
             cut = int(np.flatnonzero(a == a[-1])[0])  # the last bucket may go on
             if cut:
