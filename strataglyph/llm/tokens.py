@@ -17,8 +17,8 @@ from tokenizers import Tokenizer
 _ODD = regex.compile("[\x1c-\x1f]")
 _SLOW = regex.compile("[^\x00-\xff]|<\\|")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-#: Entries that a cache of one Python worker holds before it starts afresh.
-CHUNKS, PIECES = 400_000, 200_000
+#: Entries of a cache's newer half in one Python worker; when it is full it becomes the older half, and that goes.
+CHUNKS, PIECES = 200_000, 150_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -30,12 +30,16 @@ def _byte_letters() -> dict[int, str]:
 
 class _Chunks(dict):
     def __init__(self, encoder: "WordEncoder") -> None:
-        self.encoder = encoder
+        self.encoder, self.older = encoder, {}
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= CHUNKS:
+            self.older = dict(self)
             self.clear()
-        ids = self[chunk] = self.encoder.chunk(chunk)
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self.encoder.chunk(chunk)
+        self[chunk] = ids
         return ids
 
 
@@ -69,6 +73,12 @@ class WordEncoder:
         return ids
 
     def chunk(self, chunk: str) -> bytes:
+        if chunk.isascii():  # a word, or a word and one sign: its pieces are plain to see
+            if chunk.isalpha():
+                return self.piece(chunk.lower())
+            last = chunk[-1]
+            if chunk[:-1].isalpha() and not last.isalnum() and last > " " and last != "\x7f":
+                return self.piece(chunk[:-1].lower()) + self.piece(last)
         if _SLOW.search(chunk):
             return self._slow(chunk)
         return b"".join(map(self.piece, _PIECES.findall(chunk.lower())))
