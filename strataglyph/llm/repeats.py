@@ -277,8 +277,10 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(words[:, 0]), pa.array(words[:, 1]), pa.array(np.full(n, k1.as_py())), pa.array(np.full(n, k2.as_py())), pa.array(first.as_py() + np.arange(n))], names=["d1", "d2", "k1", "k2", "first"])
 
 
-def _few(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if df.count() <= rows else df
+def _few(df: DataFrame, rows: int, nested: str | None = None) -> DataFrame:
+    """df, to be broadcast if it has few rows, or few elements in all in its array ``nested``."""
+    size = df.count() if nested is None else df.agg(F.sum(F.size(nested))).first()[0] or 0
+    return F.broadcast(df) if size <= rows else df
 
 
 def removed(space: Workspace, texts: DataFrame) -> DataFrame:
@@ -294,7 +296,7 @@ def removed(space: Workspace, texts: DataFrame) -> DataFrame:
     unlike = classes.join(kinds, "a").select("x.k1", "x.k2", F.struct(*key, "many", "x.first", "x.last", "x.at").alias("s")).groupBy("k1", "k2").agg(F.collect_list("s").alias("found"))
     unlike = space.save(unlike, "unlike")
     # copies of one text give the same contexts; one of each is enough
-    held = texts.join(_few(unlike, BROADCAST_ROWS // 10), ["k1", "k2"]).select("k1", "k2", "data", "found")
+    held = texts.join(_few(unlike, BROADCAST_ROWS // 2, "found"), ["k1", "k2"]).select("k1", "k2", "data", "found")
     context = "a long, g1 long, g2 long, many boolean, k1 long, k2 long, first long, starts long, anchor long, bytes binary"
     contexts = space.save(held.mapInArrow(_contexts, context), "contexts").dropDuplicates(key)
     bucketed = contexts.filter("not many").repartition("a").sortWithinPartitions("a").mapInArrow(_sorted_buckets, "k1 long, k2 long, first long, last long")
@@ -320,7 +322,7 @@ def dedup(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     data = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(1), data).alias("k1"), F.xxhash64(F.lit(2), data).alias("k2"), data.cast("binary").alias("data"))
     spans = removed(space, texts.select("k1", "k2", "data"))
-    joined = texts.join(_few(spans, BROADCAST_ROWS // 5), ["k1", "k2"], "left").select("doc_id", "data", "spans")
+    joined = texts.join(_few(spans, BROADCAST_ROWS // 2, "spans"), ["k1", "k2"], "left").select("doc_id", "data", "spans")
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * keep_text)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
