@@ -10,6 +10,13 @@ neighbours that merely share a passage from becoming pairs. Equal sets are one
 class before the forest, and pairs are confirmed on whole texts in rounds: each
 component's most alike partners first, then only pairs that would still join
 two components, until none is left.
+
+The forest alone is not exhaustive, so an exact pass follows: prefix filtering
+finds every pair of rows in different components that can still be linked. In
+any one order of all shingles, linked sets share one of their first
+``n - ceil(3 n / 4) + 1``. Bounds that a linked pair cannot fail (sizes, places
+in the prefixes, parities of hashed shingles) leave few pairs, and these are
+confirmed in the same rounds.
 """
 
 from __future__ import annotations
@@ -42,6 +49,14 @@ SURE, LIKELY = 0.86, 0.8
 ROUNDS = (2, None)
 #: Rows of ids up to which a table is broadcast.
 BROADCAST_ROWS = 300_000
+#: Texts from which the exact pass learns which shingles are common, the shingles it lists, and their least count. They shape the order of shingles only; any order is exact.
+SAMPLE, LISTED, COMMON = 20_000, 100_000, 2
+#: Bits of a set's parities: least and most, powers of two.
+LEAST_BITS, MOST_BITS = 512, 16_384
+#: Rows of a shingle that one block holds; longer lists are compared block by block.
+BLOCK = 1024
+#: Pairs of rows that are compared at once.
+AT_ONCE = 50_000
 _FACTORS = np.random.default_rng(20240607).integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Equal half bytes of a byte, by the exclusive or of two bytes.
 _EQUAL = np.array([(x & 15 == 0) + (x >> 4 == 0) for x in range(256)], np.uint8)
@@ -93,25 +108,59 @@ def _signature(s: np.ndarray) -> tuple[bytes, bytes]:
     return orders, (nibbles[::2] | nibbles[1::2] << 4).tobytes()
 
 
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, their counts) of the shingles that are common in a sample of bounded size."""
+    share = max(8, -(-docs.count() // SAMPLE))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                s = shingles(text.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["h"])
+
+    sample = docs.select(F.col("text").cast("string").alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).dropDuplicates(["text"])
+    counted = sample.mapInArrow(each, "h long").groupBy("h").count().filter(F.col("count") >= COMMON)
+    top = counted.orderBy(F.desc("count"), "h").limit(LISTED).toArrow()
+    h, n = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix(s: np.ndarray, listed: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set, rare ones first, of which any linked set shares one with its own."""
+    first = len(s) - -(-SIMILAR * len(s) // 100) + 1
+    if not len(listed):
+        return s[:first]
+    at = np.minimum(np.searchsorted(listed, s), len(listed) - 1)
+    return s[np.argsort(np.where(listed[at] == s, counts[at], 0), kind="stable")[:first]]
+
+
+def parities(s: np.ndarray) -> bytes:
+    """Of each hash value whether an odd number of shingles has it: two sets differ in as many shingles as they differ in bits, at least."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(s) - 1).bit_length()))
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, two words of fingerprint of the set, orders, sketch; the last four null without words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("orders", pa.binary()), ("sketch", pa.binary())])
+    """doc_id, n_shingles, two words of fingerprint of the set, orders, sketch, prefix, parities; the last six null without words."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("orders", pa.binary()), ("sketch", pa.binary()), ("prefix", pa.list_(pa.int64())), ("parities", pa.binary())])
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[], [], [], [], [], []]
+            rows: list[list] = [[] for _ in schema]
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 s = shingles(text.as_py())
                 if len(s):
                     digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
-                    row = (doc_id.as_py(), len(s), int(digest[0]), int(digest[1]), *_signature(s))
+                    row = (doc_id.as_py(), len(s), int(digest[0]), int(digest[1]), *_signature(s), prefix(s, *common.value).view(np.int64), parities(s))
                 else:
-                    row = (doc_id.as_py(), 0, None, None, None, None)
+                    row = (doc_id.as_py(), 0, *[None] * 6)
                 for column, value in zip(rows, row, strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(each, "doc_id long, n_shingles long, f1 long, f2 long, orders binary, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(each, "doc_id long, n_shingles long, f1 long, f2 long, orders binary, sketch binary, prefix array<long>, parities binary")
 
 
 def _fixed(column: pa.Array, width: int) -> np.ndarray:
@@ -237,42 +286,166 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(each, "a long, b long")
 
 
-def link(docs: DataFrame) -> DataFrame:
-    """One row a row of docs: doc_id, n_shingles, component_id, kept.
+def within(group: np.ndarray, probe: np.ndarray, major: np.ndarray, ids: np.ndarray, component: np.ndarray, n: np.ndarray, place: np.ndarray, parity: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (a, b, most similarity in millionths) of rows of one group and unlike components that can be linked.
 
-    Texts without words are linked with nothing. Rows that share a doc_id are
-    one document. A row without a doc_id is linked with nothing either: its
-    component_id is null and it is kept.
+    A group's rows are its probes, its other rows outside the major component, and those within that, in this
+    order. Probes are not compared with each other, nor are rows of the major component.
     """
-    space = Workspace(docs.sparkSession, "neardup")
-    known = space.save(signatures(docs), "signatures")
-    useful = known.filter("f1 is not null and doc_id is not null")
-    classes = useful.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id"))
-    classes = space.save(classes, "classes")
-    reps = space.save(useful.join(classes.select(F.col("id")).distinct(), useful["doc_id"] == F.col("id")).select("id", "orders", "sketch").dropDuplicates(["id"]), "reps")
-    pairs = candidates(space, reps)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = space.save(wanted, "wanted")
+    words = np.array([len(p) // 8 for p in parity])
+    folded = {}
+    for w in np.unique(words):
+        fit = np.flatnonzero((words == w) | (words == 2 * w))
+        flat = np.empty((len(fit), w), np.uint64)
+        for k, r in enumerate(fit):
+            x = np.frombuffer(parity[r], np.uint64)
+            flat[k] = x if len(x) == w else x[:w] ^ x[w:]
+        at = np.full(len(words), -1)
+        at[fit] = np.arange(len(fit))
+        folded[int(w)] = (at, flat)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def compare(x: np.ndarray, y: np.ndarray) -> None:
+        total = n[x] + n[y]
+        # the greatest intersection after a first common shingle at these places
+        left = 1 + np.minimum(n[x] - 1 - place[x], n[y] - 1 - place[y])
+        fit = (component[x] != component[y]) & (100 * np.minimum(n[x], n[y]) >= SIMILAR * np.maximum(n[x], n[y])) & ((100 + SIMILAR) * left >= SIMILAR * total)
+        x, y, total = x[fit], y[fit], total[fit]
+        least = np.minimum(words[x], words[y])
+        for w in np.unique(least):
+            at, flat = folded[int(w)]
+            some = np.flatnonzero(least == w)
+            for k in range(0, len(some), max(1, AT_ONCE * 8 // int(w))):
+                part = some[k : k + max(1, AT_ONCE * 8 // int(w))]
+                u, v, t = x[part], y[part], total[part]
+                apart = np.bitwise_count(flat[at[u]] ^ flat[at[v]]).sum(axis=1, dtype=np.int64)
+                ok = 100 * (t - apart) >= SIMILAR * (t + apart)
+                u, v, t, apart = u[ok], v[ok], t[ok], apart[ok]
+                found.append((np.minimum(ids[u], ids[v]), np.maximum(ids[u], ids[v]), 1_000_000 * (t - apart) // (t + apart)))
+
+    starts, ends = np.searchsorted(group, group), np.searchsorted(group, group, side="right")
+    homes = starts + np.concatenate([[0], np.cumsum(probe)])[ends] - np.concatenate([[0], np.cumsum(probe)])[starts]
+    row = np.flatnonzero(major == 0)
+    first = np.maximum(row + 1, homes[row])
+    many = ends[row] - first
+    row, first, many = row[many > 0], first[many > 0], many[many > 0]
+    upto = np.concatenate([[0], np.cumsum(many)])
+    k = 0
+    while k < len(row):
+        last = max(k + 1, int(np.searchsorted(upto, upto[k] + AT_ONCE, side="right")) - 1)
+        x = np.repeat(row[k:last], many[k:last])
+        compare(x, np.repeat(first[k:last] - (upto[k:last] - upto[k]), many[k:last]) + np.arange(len(x)))
+        k = last
+    if not found:
+        return (np.empty(0, np.int64),) * 3
+    a, b, w = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((b, a))
+    a, b, w = a[order], b[order], w[order]
+    fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+    return a[fresh], b[fresh], w[fresh]
+
+
+def _within_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each group of rows; a group that goes on in the next batch waits for it."""
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        token, block, probe, major, ids, component, n, place = (t.column(k).to_numpy() for k in range(8))
+        group = np.concatenate([[0], np.cumsum((token[1:] != token[:-1]) | (block[1:] != block[:-1]))])
+        a, b, w = within(group, probe, major, ids, component, n, place, t.column(8).to_pylist())
+        order = np.argsort(ids, kind="stable")
+        own = [component[order[np.searchsorted(ids, x, sorter=order)]] for x in (a, b)]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, w, *own)], names=["a", "b", "w", "ca", "cb"])
+
+    held: list[pa.RecordBatch] = []  # rows of one group
+    for batch in batches:
+        if not len(batch):
+            continue
+        token, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        ending = np.flatnonzero((token != token[-1]) | (block != block[-1]))
+        last = int(ending[-1]) + 1 if len(ending) else 0
+        if held and (last or held[0].column(0)[0].as_py() != token[0] or held[0].column(1)[0].as_py() != block[0]):
+            yield pairs(pa.Table.from_batches([*held, *([batch.slice(0, last)] if last else [])]))
+            held = []
+        elif last:
+            yield pairs(pa.Table.from_batches([batch.slice(0, last)]))
+        held.append(batch.slice(last))
+    if held:
+        yield pairs(pa.Table.from_batches(held))
+
+
+def unmet(space: Workspace, sets: DataFrame, found: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b, w, ca, cb) of unlike components that may be linked: all that are linked are among them.
+
+    sets: id, n_shingles, prefix, parities; found: the components (id, component) of the ids that have others.
+    """
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    sets = sets.join(few(found), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sets = sets.select("id", "component", F.col("n_shingles").alias("n"), "prefix", "parities")
+    posted = sets.select("component", F.explode("prefix").alias("token")).groupBy("token")
+    live = space.save(posted.agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("token"), "live")
+    # parities join the few live rows only
+    posts = sets.select("id", "n", F.posexplode("prefix").alias("place", "token")).join(few(live), "token")
+    posts = space.save(posts.join(sets.select("id", "n", "component", "parities").dropDuplicates(["id", "n"]), ["id", "n"]), "posts")
+    # the component that most rows of a shingle have: its rows need not be compared with each other, so that a family that is one component already costs its rows once
+    counted = posts.groupBy("token", "component").count().groupBy("token").agg(F.sum("count").alias("m"), F.max_by("component", F.struct("count", "component")).alias("chief"))
+    posts = posts.join(few(space.save(counted, "chiefs")), "token")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    major = (F.col("component") == F.col("chief")).cast("int")
+    home = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    posts = posts.withColumn("major", major).withColumn("home", home).withColumn("block", F.explode(F.when(F.col("major") == 1, F.array("home")).otherwise(F.sequence(F.lit(0), blocks - 1))))
+    dealt = posts.select("token", "block", (F.col("block") != F.col("home")).cast("int").alias("probe"), "major", "id", "component", "n", F.col("place").cast("long").alias("place"), "parities")
+    dealt = dealt.repartition("token", "block").sortWithinPartitions("token", "block", F.desc("probe"), "major", "id")
+    pairs = space.save(dealt.mapInArrow(_within_partition, "a long, b long, w long, ca long, cb long"), "met")
+    space.drop("posts")
+    return space.save(pairs.groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("w", "ca", "cb")]), "unmet")
+
+
+def linked_components(space: Workspace, docs: DataFrame, pairs: DataFrame, proven: DataFrame | None, name: str) -> tuple[DataFrame, DataFrame]:
+    """(the pairs proven so far, the components they make), with those of pairs (a, b, w, ca, cb) that are linked and join two components."""
+    wanted = space.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"wanted-{name}")
     raw = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
-    texts = space.save(_near(raw, wanted, "_id", "left_semi").select(F.col("_id").alias("id"), "text").dropDuplicates(["id"]), "texts")
-    proven, found = None, None
+    texts = space.save(_near(raw, wanted, "_id", "left_semi").select(F.col("_id").alias("id"), "text").dropDuplicates(["id"]), f"texts-{name}")
     left = pairs
     for turn, most in enumerate(ROUNDS):
         chosen = left if most is None else best_of_each(left, most)
-        chosen = space.save(chosen.select("a", "b"), f"chosen{turn}")
-        new = space.save(confirmed(chosen, texts), f"proven{turn}")
+        chosen = space.save(chosen.select("a", "b"), f"chosen-{name}{turn}")
+        new = space.save(confirmed(chosen, texts), f"proven-{name}{turn}")
         proven = new if proven is None else proven.unionByName(new)
-        found = space.save(components(Workspace(docs.sparkSession, "neardup-turn"), proven), f"found{turn}")
+        found = space.save(components(Workspace(docs.sparkSession, "neardup-turn"), proven), f"found-{name}{turn}")
         if most is None:
             break
         side = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"n{c}"))  # noqa: E731, B023
         still = left.select("a", "b", "w").join(chosen, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
         still = still.withColumn("ca", F.coalesce("na", "a")).withColumn("cb", F.coalesce("nb", "b")).filter("ca <> cb")
-        left = space.save(still.select("a", "b", "w", "ca", "cb"), f"left{turn}")
+        left = space.save(still.select("a", "b", "w", "ca", "cb"), f"left-{name}{turn}")
         if left.isEmpty():
             break
+    space.drop(f"texts-{name}")
+    return proven, found
+
+
+def link(docs: DataFrame) -> DataFrame:
+    """One row a row of docs: doc_id, n_shingles, component_id, kept.
+
+    Texts without words are linked with nothing. Rows that share a doc_id are
+    one document. A row without a doc_id is linked with nothing either: its
+    component_id is null and it is kept.
+    """
+    space = Workspace(docs.sparkSession, "neardup")
+    known = space.save(signatures(docs), "signatures")
+    useful = known.filter("f1 is not null and doc_id is not null")
+    classes = useful.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id"))
+    classes = space.save(classes, "classes")
+    reps = space.save(useful.join(classes.select(F.col("id")).distinct(), useful["doc_id"] == F.col("id")).select("id", "orders", "sketch").dropDuplicates(["id"]), "reps")
+    pairs = candidates(space, reps)
+    proven, found = linked_components(space, docs, pairs, None, "near")
+    space.drop("walked", "reps")
+    ids = space.save(classes.select("id").distinct(), "ids")
+    sets = _near(useful, ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "prefix", "parities")
+    rest = unmet(space, sets, found)
+    if not rest.isEmpty():
+        proven, found = linked_components(space, docs, rest, proven, "rest")
     final = classes.join(found, "id", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    space.drop("walked", "texts", "reps")
     linked = known.select("doc_id", "n_shingles", "f1", "f2").join(final, ["f1", "f2", "n_shingles"], "left")
     # least over rows that share a doc_id, by their class
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

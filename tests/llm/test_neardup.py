@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from strataglyph.llm.graph import components
 from strataglyph.llm.neardup import keep_first, link
 from strataglyph.llm.workspace import Workspace
@@ -64,3 +66,36 @@ def test_components(spark):
     want = closure({v for e in edges for v in e}, edges)
     got = components(Workspace(spark, "t"), spark.createDataFrame(edges, "a long, b long"))
     assert {r.id: r.component for r in got.collect()} == {k: v for k, v in want.items() if any(k in e and e[0] != e[1] for e in edges)}
+
+
+def crowd(r, size, words, edits):
+    base = [f"b{i}" for i in range(words)]
+    texts = []
+    for k in range(size):
+        copy = list(base)
+        for at in r.sample(range(words), r.randint(*edits)):
+            copy[at] = f"e{k}x{at}"
+        texts.append(" ".join(copy))
+    return texts
+
+
+def brute(texts):
+    s = [sets(t) for t in texts]
+    column = {x: i for i, x in enumerate(sorted(set().union(*s)))}
+    held = np.zeros((len(s), len(column)), np.float32)
+    for row, x in zip(held, s, strict=True):
+        row[[column[y] for y in x]] = 1
+    common, size = held @ held.T, held.sum(axis=1)
+    near = 100 * common >= 75 * (size[:, None] + size - common)
+    least = np.arange(len(s))
+    while (now := np.where(near, least, len(s)).min(axis=1)).tolist() != least.tolist():
+        least = now
+    return dict(enumerate(least.tolist()))
+
+
+def test_crowded_family(spark):
+    texts = crowd(random.Random(5), 1000, 204, (4, 6))
+    want = brute(texts)
+    assert 1 < len(set(want.values())) < 1000
+    got = link(spark.createDataFrame([(i, t, "c", i, 1) for i, t in enumerate(texts)], DOCS)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
