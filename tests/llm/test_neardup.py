@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from strataglyph.llm import neardup
 from strataglyph.llm.graph import components
 from strataglyph.llm.neardup import keep_first, link
 from strataglyph.llm.workspace import Workspace
@@ -99,3 +100,13 @@ def test_crowded_family(spark):
     assert 1 < len(set(want.values())) < 1000
     got = link(spark.createDataFrame([(i, t, "c", i, 1) for i, t in enumerate(texts)], DOCS)).collect()
     assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_refuted_favourites(spark, monkeypatch):
+    """Links are found whatever pairs the forest emits, even none."""
+    texts = crowd(random.Random(9), 60, 204, (4, 6))
+    want = brute(texts)
+    assert len(set(want.values())) < 60
+    monkeypatch.setattr(neardup, "candidates", lambda space, reps: spark.createDataFrame([], "a long, b long, w long, ca long, cb long"))
+    got = link(spark.createDataFrame([(i, t, "c", i, 1) for i, t in enumerate(texts)], DOCS)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
