@@ -431,4 +431,4 @@ def claims_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest.content_digests({t: b.read(spark, sf_dir, t) for t in ("region", "nation", "customer", "supplier", "part", "orders")})
+    return digest.content_digests({t: b.read(spark, sf_dir, t) for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "labels", "benchmark", "conversations")})
