@@ -1,16 +1,16 @@
 """Best-fit packing in bulk-synchronous rounds.
 
-Documents become pieces of at most ``capacity`` tokens; whole pieces of that
-length fill a sequence, every other piece is placed best fit, longest first.
-
-Pieces of one length are interchangeable, and so are gaps of one size. A round
-therefore moves *runs*: range-sorting gives each piece its rank among those of
-its length (a salted, distributed sort), and the round's successor sweep walks
-the sorted runs of gaps, gives every run of pieces the smallest gap that holds
-it, settles who gets which gap by rank, and puts back what is left of the gaps.
-There are at most ``capacity`` lengths and gap sizes whatever the corpus, so
-the runs are a table of bounded size; pieces never leave the executors. The
-outcome equals sequential best-fit-decreasing.
+Documents become pieces of at most ``capacity`` tokens. A piece longer than half
+of that opens a sequence of its own, as no two of them share one. The others
+are placed longest first, band by band: a band's lengths lie between half of a
+bound and the bound. A round range-sorts the band's pieces and the gaps of all
+sequences by size and sweeps each range for successors: a gap takes the largest
+piece below it that no smaller gap has taken, which is a matching of brackets.
+What a range leaves over is matched across its borders by rank, from one count
+a range. Gaps that hold several pieces of the band whatever their lengths stand
+for several slots. Then gaps are updated, and the round repeats. Pieces longer
+than any gap that is left open as many sequences as their tokens fill at least,
+the longest pieces first; a last few are packed in one task.
 """
 
 from __future__ import annotations
@@ -18,8 +18,11 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +34,8 @@ from .workspace import Workspace, table
 CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
-SALTS = 64
+#: Rows of a range that is swept in one task, and pieces longer than any gap that one task packs in the end.
+RANGE_ROWS, TAIL = 250_000, 2_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -40,7 +44,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary_path: str | Non
     """Token pieces of every row: doc_id, piece, start, length, ids_crc32.
 
     A null or empty text is one piece of the end id. Repeated rows give
-    repeated pieces. A null doc_id stays null.
+    repeated pieces. A null doc_id stays null. Other columns play no part.
     """
     path = vocabulary_path or vocabulary(VOCABULARY)
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -60,75 +64,209 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary_path: str | Non
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, _PIECES)
 
 
-def sweep(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
-    """Rounds over runs: (length, first rank, end rank, first sequence, pieces a sequence, first offset), and the number of sequences.
+def brackets(gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (pieces, gaps) matched in a sorted sequence: each gap takes the nearest piece before it that is left."""
+    level = np.cumsum(np.where(gap, -1, 1)) + gap  # of a piece and of the gap that takes it alike
+    order = np.lexsort((np.arange(len(gap)), level))
+    first, second = order[:-1], order[1:]
+    pair = ~gap[first] & gap[second] & (level[first] == level[second])
+    return first[pair], second[pair]
 
-    counts: pieces by length. One round a length, longest first.
+
+def carried(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Runs that match across ranges: (range of pieces, first, end, range of gaps, gap of the piece before the end).
+
+    counts: (range, pieces left, gaps left) in order; in a range the gaps left
+    are smaller than the pieces left. Places count from 0 by size.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}  # size of gap -> runs of sequences that have it
-    sizes: list[int] = []  # the sizes in gaps, sorted
-    moves: list[tuple[int, int, int, int, int, int]] = []
-    opened = 0
-
-    def put(size: int, run: tuple[int, int]) -> None:
-        if size > 0 and run[1] > run[0]:
-            if size not in gaps:
-                gaps[size] = []
-                bisect.insort(sizes, size)
-            gaps[size].append(run)
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            k = bisect.bisect_left(sizes, length)
-            if k == len(sizes):  # no gap holds it: as many new sequences as the rest needs
-                each = capacity // length
-                put(capacity, (opened, opened + -(-left // each)))
-                opened += -(-left // each)
-                continue
-            size = sizes[k]
-            first, end = gaps[size].pop()
-            if not gaps[size]:
-                del gaps[size], sizes[k]
-            each = size // length
-            full = min(end - first, left // each)
-            if full:
-                moves.append((length, rank, rank + full * each, first, each, capacity - size))
-                put(size - each * length, (first, first + full))
-                rank, left, first = rank + full * each, left - full * each, first + full
-            if first < end and 0 < left < each:
-                moves.append((length, rank, rank + left, first, each, capacity - size))
-                put(size - left * length, (first, first + 1))
-                rank, left, first = rank + left, 0, first + 1
-            put(size, (first, end))
-    return moves, opened
+    open_: list[list[int]] = []
+    runs = []
+    for part, pieces_left, gaps_left in counts:
+        used = 0
+        while used < gaps_left and open_:
+            other, end = open_[-1]
+            n = min(end, gaps_left - used)
+            runs.append((other, end - n, end, part, used))
+            used += n
+            open_[-1][1] -= n
+            if not open_[-1][1]:
+                open_.pop()
+        if pieces_left:
+            open_.append([part, pieces_left])
+    return runs
+
+
+_SWEPT = "part int, kind int, idx long, key long, length int, seq long, slot int, free int"
+
+
+def _sweep_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches (kind 2) of one sorted range, the pieces (0) and the gaps (1) that it leaves over."""
+    rows = pa.Table.from_batches(list(batches))  # a range has a bounded number of rows
+    if not len(rows):
+        return
+    kind, key, length, seq, slot, free = (rows.column(c).to_numpy() for c in ("kind", "key", "length", "seq", "slot", "free"))
+    pieces_, gaps_ = brackets(kind == 1)
+    left = np.ones(len(kind), bool)
+    left[pieces_] = left[gaps_] = False
+    part = TaskContext.get().partitionId()
+
+    def told(kind_: int, piece: np.ndarray, gap: np.ndarray) -> pa.RecordBatch:
+        n = len(piece)
+        columns = [np.full(n, part, np.int32), np.full(n, kind_, np.int32), np.arange(n), key[piece], length[piece], seq[gap], slot[gap], free[gap]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in _SWEPT.split(", ")])
+
+    yield told(2, pieces_, gaps_)
+    for k in (0, 1):
+        rest = np.flatnonzero(left & (kind == k))
+        yield told(k, rest, rest)
+
+
+def sequential(lengths: list[tuple[int, int]], capacity: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
+    """Best fit of few pieces (key, length) in new sequences: (key, length, seq, off), and (seq, free); a sequence is named by its first piece."""
+    gaps: list[tuple[int, int]] = []
+    used: dict[int, int] = {}
+    placed = []
+    for key, length in sorted(lengths, key=lambda x: (-x[1], x[0])):
+        k = bisect.bisect_left(gaps, (length, -(1 << 63)))
+        seq = key if k == len(gaps) else gaps.pop(k)[1]
+        placed.append((key, length, seq, used.get(seq, 0)))
+        used[seq] = used.get(seq, 0) + length
+        if used[seq] < capacity:
+            bisect.insort(gaps, (capacity - used[seq], seq))
+    return placed, [(seq, capacity - n) for seq, n in used.items()]
+
+
+class _Rounds:
+    """The rounds' state: gaps (seq, free), and what has been placed (key, seq, off)."""
+
+    def __init__(self, space: Workspace, capacity: int, gaps: DataFrame) -> None:
+        self.space, self.capacity, self.turn = space, capacity, 0
+        self.placed: list[DataFrame] = []
+        self.gaps = gaps
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        return self.space.save(df, f"{name}{self.turn}")
+
+    def put(self, matches: DataFrame) -> None:
+        """Takes matches (key, length, seq, slot, free: of the gap as a whole): pieces of one gap stand in the order of its slots."""
+        before = Window.partitionBy("seq").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+        off = F.lit(self.capacity) - F.col("free") + F.coalesce(F.sum("length").over(before), F.lit(0))
+        placed = self.save(matches.select("key", "length", "seq", off.cast("long").alias("off")), "placed")
+        self.placed.append(placed.select("key", "seq", "off"))
+        taken = placed.groupBy("seq").agg(F.sum("length").alias("taken"))
+        left = self.gaps.join(taken, "seq", "left").select("seq", (F.col("free") - F.coalesce("taken", F.lit(0))).cast("int").alias("free"))
+        self.gaps = self.save(left.filter("free > 0"), "gaps")
+
+    def sweep(self, items: DataFrame, least: int, bound: int, rows: int) -> DataFrame:
+        """Places what it can of items (key, length) of lengths from least to bound; gives the others."""
+        parts = max(1, -(-rows // RANGE_ROWS))
+        none = F.lit(None)
+        wanted = items.select(F.lit(0).alias("kind"), F.col("length").alias("size"), "key", "length", none.cast("long").alias("seq"), none.cast("int").alias("slot"), none.cast("int").alias("free"))
+        n = F.greatest(F.floor(F.col("free") / bound).cast("int"), F.lit(1))
+        slots = self.gaps.filter(F.col("free") >= least).withColumn("n", n).select("seq", "free", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slot"))
+        # all slots of a gap but the last hold any piece of the band
+        size = F.when(F.col("slot") < F.col("n") - 1, F.lit(bound)).otherwise(F.col("free") - bound * (F.col("n") - 1))
+        offered = slots.select(F.lit(1).alias("kind"), F.least(size, F.lit(bound)).cast("int").alias("size"), none.cast("long").alias("key"), none.cast("int").alias("length"), "seq", "slot", "free")
+        # equal sizes: pieces first, then by number, so that they spread over ranges too
+        both = wanted.unionByName(offered).withColumn("tie", F.coalesce("key", F.xxhash64("seq", "slot")))
+        filled = both.select("kind", "size", "tie", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("key", "length", "seq", "slot", "free")])
+        order = ["size", "kind", "tie"]
+        swept = self.save(filled.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_sweep_range, _SWEPT), "swept")
+        # one row a range
+        counts = swept.filter("kind < 2").groupBy("part").agg(F.count(F.when(F.col("kind") == 0, 1)).alias("o"), F.count(F.when(F.col("kind") == 1, 1)).alias("c")).collect()
+        runs = carried(sorted((r.part, r.o, r.c) for r in counts))
+        matches = swept.filter("kind = 2").select("key", "length", "seq", "slot", "free")
+        left = swept.filter("kind = 0").select("part", "idx", "key", "length")
+        if runs:
+            schema = T.StructType([T.StructField(n, T.LongType()) for n in ("part", "lo", "hi", "at", "used")])
+            # at most two runs a range
+            across = left.join(F.broadcast(self.space.spark.createDataFrame(runs, schema)), "part").filter((F.col("idx") >= F.col("lo")) & (F.col("idx") < F.col("hi")))
+            wanted = across.select("key", "length", F.col("at").alias("part"), (F.col("used") + F.col("hi") - 1 - F.col("idx")).alias("idx"))
+            more = self.save(wanted.join(swept.filter("kind = 1").select("part", "idx", "seq", "slot", "free"), ["part", "idx"]).select("key", "length", "seq", "slot", "free"), "across")
+            matches = matches.unionByName(more)
+            left = left.join(more.select("key"), "key", "left_anti")
+        self.put(matches)
+        return left.select("key", "length")
+
+    def open(self, items: DataFrame, most: int) -> tuple[DataFrame, bool]:
+        """Opens sequences with the longest of items (key, length), as many as those beyond ``most`` tokens need at least; gives the others, and whether any was opened."""
+        beyond = items.filter(F.col("length") > most).agg(F.sum("length").alias("s"), F.count(F.lit(1)).alias("n")).first()
+        if not beyond.n:
+            return items, False
+        if beyond.n <= TAIL:
+            capacity = self.capacity
+
+            def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                few = [(k, n) for b in batches for k, n in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+                if few:
+                    yield pa.RecordBatch.from_pylist([{"key": k, "length": n, "seq": s, "off": o} for k, n, s, o in sequential(few, capacity)[0]], schema=pa.schema([("key", pa.int64()), ("length", pa.int32()), ("seq", pa.int64()), ("off", pa.int64())]))
+
+            # one task: TAIL pieces at most
+            placed = self.save(items.filter(F.col("length") > most).select("key", "length").coalesce(1).mapInArrow(last, "key long, length int, seq long, off long"), "tail")
+            self.placed.append(placed.select("key", "seq", "off"))
+            fresh = placed.groupBy("seq").agg((F.lit(capacity) - F.sum("length")).cast("int").alias("free")).filter("free > 0")
+            rest = items.filter(F.col("length") <= most)
+        else:
+            wanted = -(-beyond.s // self.capacity)
+            # of each length, how many are longer: a table of at most one row a length
+            lengths = items.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
+            longer = lengths.withColumn("longer", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+            edge = longer.filter(F.col("longer") < wanted).orderBy("length").first()
+            # the shortest length that opens sequences may be one of very many pieces: its pieces are numbered part by part
+            salts = max(1, edge.n // RANGE_ROWS)
+            last_ones = items.filter(F.col("length") == edge.length).select("key", "length", F.pmod(F.xxhash64("key"), F.lit(salts)).alias("salt"))
+            before = last_ones.groupBy("salt").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+            place = F.col("before") + F.row_number().over(Window.partitionBy("salt").orderBy("key"))
+            some = last_ones.join(before, "salt").select("key", "length", (place <= wanted - edge.longer).alias("opens"))
+            every = some.unionByName(items.filter(F.col("length") != edge.length).select("key", "length", (F.col("length") > edge.length).alias("opens")))
+            every = self.save(every, "chosen")
+            first, rest = every.filter("opens"), every.filter("not opens")
+            self.placed.append(first.select("key", F.col("key").alias("seq"), F.lit(0).cast("long").alias("off")))
+            fresh = first.select(F.col("key").alias("seq"), (F.lit(self.capacity) - F.col("length")).cast("int").alias("free"))
+        self.gaps = self.gaps.unionByName(fresh)
+        return rest.select("key", "length"), True
+
+    def band(self, items: DataFrame, bound: int) -> None:
+        """Places all of items (key, length), of lengths up to bound."""
+        while True:
+            self.turn += 1
+            none = F.lit(None).cast("long")
+            size = items.agg(F.count(F.lit(1)).alias("n"), F.min("length").cast("long").alias("least"), none.alias("slots"), none.alias("most"))
+            free = F.when(F.col("free") > bound // 2, F.col("free"))
+            fit = self.gaps.agg(none.alias("n"), none.alias("least"), F.sum(F.greatest(F.floor(free / bound), F.lit(1))).cast("long").alias("slots"), F.max(free).cast("long").alias("most"))
+            size, fit = sorted(size.unionByName(fit).collect(), key=lambda r: r.n is None)
+            if not size.n:
+                return
+            items, opened = self.open(items, fit.most or 0)
+            if opened or (fit.most or 0) >= size.least:
+                items = self.sweep(items, size.least, bound, size.n + (fit.slots or 0))
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary_path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """Every piece with its sequence_id and offset; no rows for an empty table."""
-    spark = docs.sparkSession
-    space = Workspace(spark, "pack")
-    cut = space.save(pieces(docs, capacity, vocabulary_path, end_id), "pieces")
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    # at most capacity x SALTS rows
-    counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = space.save(counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "offsets")
-    lengths = {r.length: r.n for r in offsets.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    moves, _ = sweep(lengths, capacity)
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("length", "first_rank", "end_rank", "first_sequence", "each", "first_offset")])
-    placed = spark.createDataFrame(moves, schema)
-    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("place", F.row_number().over(order)).join(F.broadcast(offsets.drop("n")), ["length", "salt"]).withColumn("rank", F.col("before") + F.col("place") - 1)
-    within = F.col("rank") - F.col("first_rank")
-    return (
-        ranked.join(F.broadcast(placed), (ranked["length"] == placed["length"]) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank")))
-        .select(
-            "doc_id", "piece", "start", ranked["length"], "ids_crc32",
-            (F.col("first_sequence") + F.floor(within / F.col("each"))).cast("long").alias("sequence_id"),
-            (F.col("first_offset") + F.pmod(within, F.col("each")) * ranked["length"]).cast("long").alias("offset"),
-        )
-    )
+    """Every piece with its sequence_id and offset; no rows for an empty table.
+
+    Lengths that very many pieces share are dealt by number. A long text is
+    many pieces, each placed for itself.
+    """
+    space = Workspace(docs.sparkSession, "pack")
+    cut = space.save(pieces(docs, capacity, vocabulary_path, end_id).withColumn("key", F.monotonically_increasing_id()), "pieces")
+    bounds = [b for b in (capacity >> k for k in range(1, capacity.bit_length())) if b]
+    alone = F.col("length") > capacity // 2
+    fit = cut.filter(alone & (F.col("length") < capacity)).select(F.col("key").alias("seq"), (F.lit(capacity) - F.col("length")).cast("int").alias("free"))
+    rounds = _Rounds(space, capacity, fit)
+    short = cut.filter(~alone).select("key", F.col("length").cast("int").alias("length"))
+    # at most one row a bound
+    band = reduce(lambda other, b: F.when(F.col("length") <= b, F.lit(b)).otherwise(other), bounds, F.lit(None))
+    there = {r.band for r in short.select(band.alias("band")).distinct().collect()}
+    for bound in bounds:
+        if bound in there:
+            rounds.band(short.filter((F.col("length") <= bound) & (F.col("length") > bound // 2)), bound)
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    out = cut.filter(alone).select(*columns, F.col("key").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    if rounds.placed:
+        places = space.save(reduce(DataFrame.unionByName, rounds.placed), "places")
+        out = out.unionByName(cut.filter(~alone).join(places, "key").select(*columns, F.col("seq").alias("sequence_id"), F.col("off").alias("offset")))
+    return out
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 The vocabulary splits a text at white space before anything else, so ids are
 looked up chunk by chunk. Chunks of plain Latin-1 letters and signs go through
-two bounded caches straight to the BPE model; every other chunk, and any text
-with control characters on whose class libraries differ, goes through the
-library's own ``encode``.
+a bounded cache, piece by piece, straight to the BPE model; every other chunk,
+and any text with control characters on whose class libraries differ, goes
+through the library's own ``encode``.
 """
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
 import regex
@@ -17,8 +18,8 @@ from tokenizers import Tokenizer
 _ODD = regex.compile("[\x1c-\x1f]")
 _SLOW = regex.compile("[^\x00-\xff]|<\\|")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-#: Entries of a cache's newer half in one Python worker; when it is full it becomes the older half, and that goes.
-CHUNKS, PIECES = 200_000, 150_000
+#: Entries of a generation of a worker's cache (a full one replaces the older one), and characters of the longest chunk that it holds.
+ENTRIES, LONGEST = 150_000, 64
 
 
 def _byte_letters() -> dict[int, str]:
@@ -29,65 +30,70 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Chunks(dict):
-    def __init__(self, encoder: "WordEncoder") -> None:
-        self.encoder, self.older = encoder, {}
+    """Ids of chunks and of the pieces they are made of, in two generations of at most ENTRIES each."""
+
+    def __init__(self, tokenizer: Tokenizer, code: str) -> None:
+        self.tokenizer, self.code, self.older = tokenizer, code, {}
+        self.tokenize = tokenizer.model.tokenize
+        self.table = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+        #: Whether the text at hand has nothing but Latin-1 characters and no special token's opening.
+        self.plain = False
+
+    def whole(self, text: str) -> bytes:
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def packed(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        spelled = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.table)
+        return array(self.code, [t.id for t in self.tokenize(spelled)]).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CHUNKS:
-            self.older = dict(self)
-            self.clear()
         ids = self.older.get(chunk)
         if ids is None:
-            ids = self.encoder.chunk(chunk)
-        self[chunk] = ids
+            low = chunk.lower()
+            if not self.plain and _SLOW.search(chunk):
+                ids = self.whole(chunk)
+            elif low.isalpha():
+                ids = self.piece(low) if low == chunk else self[low]
+            else:
+                head, last = low[:-1], low[-1]
+                if head.isalpha() and "!" <= last <= "~" and not last.isalnum():  # a word and one sign
+                    ids = self[head] + self[last]
+                else:
+                    parts = _PIECES.findall(low)
+                    ids = self.piece(chunk) if parts == [chunk] else b"".join([self[p] for p in parts])
+        if len(chunk) <= LONGEST:
+            if len(self) >= ENTRIES:
+                self.older = dict(self)
+                self.clear()
+            self[chunk] = ids
         return ids
 
 
 class WordEncoder:
-    """Ids as little-endian unsigned integers of ``width`` bytes."""
+    """Ids as little-endian unsigned integers of ``width`` bytes, 2 or 4 (in the order of bytes of every machine that Spark's Arrow exchange runs on)."""
 
     def __init__(self, path: str, width: int = 4, special: bool = True) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
+        tokenizer = Tokenizer.from_file(path)
         if not special:
-            self.tokenizer.encode_special_tokens = True
-        if self.tokenizer.get_vocab_size() > 1 << (8 * width):
+            tokenizer.encode_special_tokens = True
+        if tokenizer.get_vocab_size() > 1 << (8 * width):
             raise ValueError(f"ids of this vocabulary don't fit {width} bytes")
-        self.width, self.model = width, self.tokenizer.model
-        self.letters = {chr(b): c for b, c in _byte_letters().items()}
-        self.table = str.maketrans(self.letters)
-        self.pieces: dict[str, bytes] = {}
-        self.chunks = _Chunks(self)
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return b"".join(i.to_bytes(self.width, "little") for i in ids)
-
-    def _slow(self, text: str) -> bytes:
-        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def piece(self, piece: str) -> bytes:
-        if (ids := self.pieces.get(piece)) is None:
-            if len(self.pieces) >= PIECES:
-                self.pieces.clear()
-            spelled = piece.encode().decode("latin-1").translate(self.table)
-            ids = self.pieces[piece] = self._bytes([t.id for t in self.model.tokenize(spelled)])
-        return ids
-
-    def chunk(self, chunk: str) -> bytes:
-        if chunk.isascii():  # a word, or a word and one sign: its pieces are plain to see
-            if chunk.isalpha():
-                return self.piece(chunk.lower())
-            last = chunk[-1]
-            if chunk[:-1].isalpha() and not last.isalnum() and last > " " and last != "\x7f":
-                return self.piece(chunk[:-1].lower()) + self.piece(last)
-        if _SLOW.search(chunk):
-            return self._slow(chunk)
-        return b"".join(map(self.piece, _PIECES.findall(chunk.lower())))
+        self.width = width
+        self.chunks = _Chunks(tokenizer, {2: "H", 4: "I"}[width])
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         if _ODD.search(text):
-            return self._slow(text)
+            return self.chunks.whole(text)
+        try:
+            text.encode("latin-1")
+            self.chunks.plain = "<|" not in text
+        except UnicodeEncodeError:
+            self.chunks.plain = False
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
 

@@ -6,40 +6,79 @@ from collections import Counter
 import numpy as np
 from tokenizers import Tokenizer
 
-from strataglyph.llm.packing import VOCABULARY, pack, sweep
+from strataglyph.llm import packing
+from strataglyph.llm.packing import VOCABULARY, brackets, carried, pack
 from strataglyph.llm.tokens import encoder, vocabulary
 
+from ..conftest import SMALL
+
 DOCS = "doc_id long, text string, sequence_id string, length int"
 
 
-def sequential(lengths, capacity):
+def best_fit(lengths, capacity):
     gaps, n = [], 0
     for size in sorted(lengths, reverse=True):
         i = bisect.bisect_left(gaps, size)
+        n += i == len(gaps)
         gap = capacity if i == len(gaps) else gaps.pop(i)
-        n += i == len(gaps) and gap == capacity
         if gap > size:
             bisect.insort(gaps, gap - size)
-    return gaps
+    return n
+
+
+def test_brackets():
+    r = random.Random(4)
+    for n in (0, 1, 2, 50):
+        for _ in range(30):
+            gap = np.array([r.random() < 0.5 for _ in range(n)], bool)
+            open_, want = [], []
+            for i, g in enumerate(gap):
+                if not g:
+                    open_.append(i)
+                elif open_:
+                    want.append((open_.pop(), i))
+            assert sorted(zip(*(x.tolist() for x in brackets(gap)), strict=True)) == sorted(want)
+
 
+def test_ranges_give_the_matching_of_the_whole():
+    r = random.Random(5)
+    for _ in range(50):
+        gap = np.array([r.random() < 0.5 for _ in range(60)], bool)
+        cuts = [0, *sorted(r.sample(range(61), 4)), 60]
+        got, left, counts = set(), {}, []
+        for part, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            a, b = brackets(gap[lo:hi])
+            got |= set(zip((a + lo).tolist(), (b + lo).tolist(), strict=True))
+            rest = [i for i in range(lo, hi) if i not in {x for p in got for x in p}]
+            left[part] = [i for i in rest if not gap[i]], [i for i in rest if gap[i]]
+            counts.append((part, *map(len, left[part])))
+        for part, lo, hi, at, used in carried(counts):
+            got |= {(left[part][0][i], left[at][1][used + hi - 1 - i]) for i in range(lo, hi)}
+        assert got == set(zip(*(x.tolist() for x in brackets(gap)), strict=True))
 
-def test_sweep_equals_sequential_best_fit():
+
+def test_as_few_sequences_as_sequential_best_fit(spark, monkeypatch):
     r = random.Random(1)
-    for capacity in (7, 64, 2048):
-        for n in (0, 1, 5, 400):
-            lengths = [r.randint(1, capacity) if r.random() < 0.7 else capacity // 3 + 1 for _ in range(n)]
-            moves, opened = sweep(Counter(lengths), capacity)
-            gaps = sequential(lengths, capacity)
-            used = [0] * opened
-            placed = Counter()
-            for length, lo, hi, first, each, offset in moves:
-                for k in range(hi - lo):
-                    seq = first + k // each
-                    assert offset + k % each * length == used[seq]
-                    used[seq] += length
-                placed[length] += hi - lo
-            assert placed == Counter(lengths)
-            assert sorted(capacity - u for u in used if u < capacity) == gaps
+    monkeypatch.setattr(packing, "RANGE_ROWS", 40)  # many ranges, and pieces that are numbered part by part
+    monkeypatch.setattr(packing, "TAIL", 5)
+    for capacity, sizes in ((64, lambda: r.randint(1, 64) if r.random() < 0.7 else 22), (7, lambda: r.randint(1, 5)), (1, lambda: 1)):
+        lengths = [sizes() for _ in range(300)]
+        cut = [(i, 0, 0, n, i) for i, n in enumerate(lengths)]
+        monkeypatch.setattr(packing, "pieces", lambda *_: spark.createDataFrame(cut, packing._PIECES).repartition(3))  # noqa: B023
+        got = packing.pack(spark.createDataFrame([], DOCS), capacity).collect()
+        assert sorted((x.doc_id, x.length) for x in got) == list(enumerate(lengths))
+        used = Counter()
+        for x in sorted(got, key=lambda x: (x.sequence_id, x.offset)):
+            assert used[x.sequence_id] == x.offset
+            used[x.sequence_id] += x.length
+        assert max(used.values()) <= capacity
+        assert len(used) <= best_fit(lengths, capacity) + 1
+        assert sorted(packing.sequential(list(enumerate(lengths)), capacity)[1]) and len(packing.sequential(list(enumerate(lengths)), capacity)[1]) == best_fit(lengths, capacity)
+
+
+def test_query_needs_no_more_sequences_than_sequential_best_fit(spark):
+    got = packing.op6_best_fit_packing(spark, SMALL).select("sequence_id", "length").collect()
+    assert len({x.sequence_id for x in got}) == best_fit([x.length for x in got], packing.CAPACITY)
 
 
 def test_pack(spark):
