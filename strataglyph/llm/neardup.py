@@ -3,36 +3,42 @@
 A document's set is its distinct five-word shingles. Each tree of the forest is
 one sorted order of the documents by their own sequence of minhashes. A
 document's candidates are its neighbours there, longest common prefix first:
-the walk goes on while the prefix is shared at all and ends where a sure
-partner is met, so that crowded regions are told apart by deeper prefixes and
-sparse ones by their first value. A sketch that travels with the row keeps
-neighbours that merely share a passage from becoming pairs. Equal sets are one
-class before the forest, and pairs are confirmed on whole texts in rounds: each
-component's most alike partners first, then only pairs that would still join
-two components, until none is left.
-
-The forest alone is not exhaustive, so an exact pass follows: prefix filtering
-finds every pair of rows in different components that can still be linked. In
-any one order of all shingles, linked sets share one of their first
-``n - ceil(3 n / 4) + 1``. Bounds that a linked pair cannot fail (sizes, places
-in the prefixes, parities of hashed shingles) leave few pairs, and these are
-confirmed in the same rounds.
+the walk goes on while the prefix is shared at all. A sketch that travels with
+the row keeps neighbours that merely share a passage from becoming pairs. Equal
+sets are one class before the forest, and pairs are confirmed on whole texts in
+rounds: each component's most alike partners first, then only pairs that would
+still join two components, until none is left.
+
+A walk may end early, at a sure partner or after many steps. Such a row is open
+in that region (the rows of a tree with one first minhash), and a link can be
+lost only between two rows that are open in the same one. So open rows of
+different components are compared region by region, whatever its size: rows of
+a region's main component not with each other, the others with all, by bounds
+that a linked pair cannot fail (sizes, parities of hashed shingles). Regions in
+which that would be very many comparisons are deepened first: rows that are
+open in several of them meet where they share two, and then three. What is left
+is confirmed in the same rounds.
+
+Two sets of similarity 0.75 share no first minhash in any of 12 trees once in
+10^7 times, and fewer than two or three, which matters in crowded regions only,
+once in 10^5 times. Nothing else loses a link.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graph import components
-from .workspace import Workspace, table
+from .workspace import Workspace, fresh, table
 
 WORDS = 5
 #: Linked: 100 * intersection >= SIMILAR * union.
@@ -41,20 +47,24 @@ TREES, DEPTH = 12, 8
 #: Bytes of a tree's order: four of the first minhash, two of each other.
 ORDER = 4 + 2 * (DEPTH - 1)
 SKETCH = TREES * DEPTH // 2
-#: Neighbours that a walk sees each way, what it asks of a sketch (of 1) to emit a pair, and the most alike ones that it emits.
-WALK, MAYBE, BEST = 96, 0.62, 6
+#: Neighbours that a walk sees each way, what it asks of a sketch (of 1) to emit a pair (five deviations below a linked one), and the most alike ones that it emits.
+WALK, MAYBE, BEST = 96, 0.55, 6
 #: The walk ends at one partner with the first agreement, or at the third with the second.
 SURE, LIKELY = 0.86, 0.8
 #: Pairs of a component that a round confirms, best first; the last round takes all that are left.
 ROUNDS = (2, None)
 #: Rows of ids up to which a table is broadcast.
 BROADCAST_ROWS = 300_000
-#: Texts from which the exact pass learns which shingles are common, the shingles it lists, and their least count. They shape the order of shingles only; any order is exact.
-SAMPLE, LISTED, COMMON = 20_000, 100_000, 2
 #: Bits of a set's parities: least and most, powers of two.
 LEAST_BITS, MOST_BITS = 512, 16_384
-#: Rows of a shingle that one block holds; longer lists are compared block by block.
+#: Rows of a region that one block holds; larger regions are compared block by block.
 BLOCK = 1024
+#: Comparisons beyond which a region is deepened, and the first minhashes that rows share at most then.
+CROWDED, DEEPEST = 1 << 24, 3
+#: Pairs that wait for one leading set.
+BATCH = 64
+#: Rows of the orders that one range holds.
+RANGE_ROWS = 400_000
 #: Pairs of rows that are compared at once.
 AT_ONCE = 50_000
 _FACTORS = np.random.default_rng(20240607).integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -64,9 +74,11 @@ _EQUAL = np.array([(x & 15 == 0) + (x >> 4 == 0) for x in range(256)], np.uint8)
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:  # so that the cache's bytes are bounded too
+            if len(self) >= 100_000:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -108,77 +120,65 @@ def _signature(s: np.ndarray) -> tuple[bytes, bytes]:
     return orders, (nibbles[::2] | nibbles[1::2] << 4).tobytes()
 
 
-def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, their counts) of the shingles that are common in a sample of bounded size."""
-    share = max(8, -(-docs.count() // SAMPLE))
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0):
-                s = shingles(text.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["h"])
-
-    sample = docs.select(F.col("text").cast("string").alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).dropDuplicates(["text"])
-    counted = sample.mapInArrow(each, "h long").groupBy("h").count().filter(F.col("count") >= COMMON)
-    top = counted.orderBy(F.desc("count"), "h").limit(LISTED).toArrow()
-    h, n = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order]
-
-
-def prefix(s: np.ndarray, listed: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles of a sorted set, rare ones first, of which any linked set shares one with its own."""
-    first = len(s) - -(-SIMILAR * len(s) // 100) + 1
-    if not len(listed):
-        return s[:first]
-    at = np.minimum(np.searchsorted(listed, s), len(listed) - 1)
-    return s[np.argsort(np.where(listed[at] == s, counts[at], 0), kind="stable")[:first]]
-
-
 def parities(s: np.ndarray) -> bytes:
     """Of each hash value whether an odd number of shingles has it: two sets differ in as many shingles as they differ in bits, at least."""
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(s) - 1).bit_length()))
     return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, t1, t2 (two hashes of the text) and text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(1), text).alias("t1"), F.xxhash64(F.lit(2), text).alias("t2"), text.alias("text"))
+
+
+_SIGNED = "doc_id long, t1 long, t2 long, n_shingles long, f1 long, f2 long, orders binary, sketch binary, parities binary"
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, two words of fingerprint of the set, orders, sketch, prefix, parities; the last six null without words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("orders", pa.binary()), ("sketch", pa.binary()), ("prefix", pa.list_(pa.int64())), ("parities", pa.binary())])
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
+    """doc_id, t1, t2, n_shingles, two words of fingerprint of the set, orders, sketch, parities; the last five null without words."""
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in map(str.split, _SIGNED.split(", "))])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[] for _ in schema]
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            for doc_id, t1, t2, text in zip(*batch.columns, strict=True):
                 s = shingles(text.as_py())
                 if len(s):
                     digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
-                    row = (doc_id.as_py(), len(s), int(digest[0]), int(digest[1]), *_signature(s), prefix(s, *common.value).view(np.int64), parities(s))
+                    row = (len(s), int(digest[0]), int(digest[1]), *_signature(s), parities(s))
                 else:
-                    row = (doc_id.as_py(), 0, *[None] * 6)
-                for column, value in zip(rows, row, strict=True):
+                    row = (0, *[None] * 5)
+                for column, value in zip(rows, (doc_id.as_py(), t1.as_py(), t2.as_py(), *row), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(each, "doc_id long, n_shingles long, f1 long, f2 long, orders binary, sketch binary, prefix array<long>, parities binary")
+    return _keyed(docs).mapInArrow(each, _SIGNED)
 
 
 def _fixed(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
-def walk(tree: np.ndarray, order: np.ndarray, sketch: np.ndarray, ids: np.ndarray, fresh: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (a, b, agreement in millionths) among sorted rows; only those with a row at fresh or beyond.
+def walk(tree: np.ndarray, order: np.ndarray, sketch: np.ndarray, ids: np.ndarray, fresh: int = 0, ends: tuple[int, int] = (0, 0)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (a, b, agreement in millionths) among sorted rows, only those with a row at fresh or beyond; and rows that end early, as (a, a, region).
 
-    Every row walks both ways, as its neighbour may have ended before it.
+    Every row walks both ways, as its neighbour may have ended before it. ends:
+    rows before the first number that run into the end of what is here, and
+    rows from the second on that run into its beginning, have ended early too.
     """
     n = len(ids)
     key = tree.astype(np.uint64) << np.uint64(32) | np.ascontiguousarray(order[:, :4]).view(">u4").ravel().astype(np.uint64)
     rows, others, agreements = [], [], []
+    early = np.zeros(n, bool)
     for way in (1, -1):
         at, likely = np.arange(n), np.zeros(n, np.int8)
         for step in range(way, way * (WALK + 1), way):
-            at = at[(at + step < n) & (at + step >= 0)]
+            inside = (at + step < n) & (at + step >= 0)
+            out = at[~inside]
+            early[out[out < ends[0]] if way == 1 else out[out >= n - ends[1]]] = True
+            at = at[inside]
             at = at[key[at] == key[at + step]]
             if not len(at):
                 break
@@ -188,16 +188,18 @@ def walk(tree: np.ndarray, order: np.ndarray, sketch: np.ndarray, ids: np.ndarra
             others.append(at[found] + step)
             agreements.append(agree[found])
             likely[at] += 3 * (agree >= SURE) + (agree >= LIKELY)
+            early[at[likely[at] >= 3]] = True
             at = at[likely[at] < 3]
-    if not rows:
-        return (np.empty(0, np.int64),) * 3
-    row, other, agree = (np.concatenate(x) for x in (rows, others, agreements))
+        early[at] = True  # the last step was within the region
+    empty = (np.empty(0, np.int64),) * 3
+    row, other, agree = (np.concatenate(x) for x in (rows, others, agreements)) if rows else empty
     best = np.lexsort((other, -agree, row))
     row, other, agree = row[best], other[best], agree[best]
     rank = np.arange(len(row)) - np.searchsorted(row, row)  # among the row's own pairs, most alike first
     near = rank < BEST
-    a, b = ids[row[near]], ids[other[near]]
-    return np.minimum(a, b), np.maximum(a, b), (agree[near] * 1e6).astype(np.int64)
+    early[row[~near]] = True
+    a, b, open_ = ids[row[near]], ids[other[near]], ids[early]
+    return np.concatenate([np.minimum(a, b), open_]), np.concatenate([np.maximum(a, b), open_]), np.concatenate([(agree[near] * 1e6).astype(np.int64), key[early].view(np.int64)])
 
 
 _WALKED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("w", pa.int64()), ("border", pa.int32()), ("side", pa.int32()), ("tree", pa.int32()), ("order", pa.binary()), ("sketch", pa.binary())])
@@ -230,11 +232,14 @@ def _walk_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield rows(held, part, 0)
 
 
-def candidates(space: Workspace, reps: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b, w, ca, cb) of ids in reps (id, orders, sketch) that meet in any tree; w: how far sketches agree; ca, cb: their components so far, themselves."""
+def candidates(space: Workspace, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b, w, ca, cb) of ids in reps (id, orders, sketch) that meet in any tree, and the regions (id, key) in which a row ended early.
+
+    w: how far sketches agree; ca, cb: their components so far, themselves.
+    """
     spark = reps.sparkSession
     trees = reps.select("id", "sketch", F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.expr(f"substring(orders, {t * ORDER + 1}, {ORDER})").alias("order")) for t in range(TREES)])).alias("x")).select("x.tree", "x.order", "sketch", "id")
-    parts = max(1, min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), reps.count() * TREES // 20_000))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), reps.count() * TREES // RANGE_ROWS)
     ordered = trees.repartitionByRange(parts, "tree", "order", "id").sortWithinPartitions("tree", "order", "id")
     walked = space.save(ordered.mapInArrow(_walk_partition, _WALKED_SQL), "walked")
 
@@ -242,19 +247,16 @@ def candidates(space: Workspace, reps: DataFrame) -> DataFrame:
         import pandas as pd
 
         rows = rows.sort_values(["side", "tree", "order", "a"], kind="stable")
-        a, b, w = walk(rows["tree"].to_numpy(), np.frombuffer(b"".join(rows["order"]), np.uint8).reshape(-1, ORDER), np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, SKETCH), rows["a"].to_numpy(), fresh=int((rows["side"] == 0).sum()))
+        before = int((rows["side"] == 0).sum())
+        a, b, w = walk(rows["tree"].to_numpy(), np.frombuffer(b"".join(rows["order"]), np.uint8).reshape(-1, ORDER), np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, SKETCH), rows["a"].to_numpy(), before, (before, len(rows) - before))
         return pd.DataFrame({"a": a, "b": b, "w": w})
 
     # at most 2 x WALK rows at each border
     borders = walked.filter("border is not null").groupBy("border").applyInPandas(across, "a long, b long, w long")
-    pairs = walked.filter("border is null").select("a", "b", "w").unionByName(borders)
-    return space.save(pairs.filter("a <> b").groupBy("a", "b").agg(F.max("w").alias("w")).select("a", "b", "w", F.col("a").alias("ca"), F.col("b").alias("cb")), "pairs")
-
-
-def _near(left: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
-    """left, semi- or anti-joined with ids (id): broadcast where they are few."""
-    few = ids.count() <= BROADCAST_ROWS
-    return left.join(F.broadcast(ids) if few else ids, left[column] == ids["id"], how)
+    met = space.save(walked.filter("border is null").select("a", "b", "w").unionByName(borders), "walks")
+    pairs = met.filter("a <> b").groupBy("a", "b").agg(F.max("w").alias("w")).select("a", "b", "w", F.col("a").alias("ca"), F.col("b").alias("cb"))
+    opened = met.filter("a = b").select(F.col("a").alias("id"), F.col("w").alias("key")).distinct()
+    return space.save(pairs, "pairs"), space.save(opened, "opened")
 
 
 def best_of_each(pairs: DataFrame, most: int) -> DataFrame:
@@ -266,27 +268,40 @@ def best_of_each(pairs: DataFrame, most: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked, by the whole sets of both texts (id, text)."""
+    """The pairs (a, b) that are linked, by the whole sets of both texts (id, text).
+
+    The one with more pairs leads; its text goes once with every BATCH of them.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda c: ends.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"))
+    counted = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
+    first = F.col("na") >= F.col("nb")
+    led = counted.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("lead"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("other"), F.greatest("na", "nb").alias("n"))
+    led = led.withColumn("part", F.pmod(F.xxhash64("other"), F.ceil(F.col("n") / BATCH)).cast("int"))
+    wanted = led.select("lead", "part", F.lit(0).alias("place"), F.col("lead").alias("id")).distinct().unionByName(led.select("lead", "part", F.lit(1).alias("place"), F.col("other").alias("id")))
+    dealt = wanted.join(texts, "id").select("lead", "part", "place", "id", "text").repartition("lead", "part").sortWithinPartitions("lead", "part", "place", "id")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = np.empty(0, np.uint64)
         for batch in batches:
-            keep = []
-            last: tuple[str | None, np.ndarray] = (None, np.empty(0, np.uint64))
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                one, two = x.as_py(), y.as_py()
-                if one != last[0]:
-                    last = (one, shingles(one))
-                s, t = last[1], shingles(two)
+            found: tuple[list, list] = ([], [])
+            for lead, place, other, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
+                t = shingles(text.as_py())
+                if not place:
+                    s = t
+                    continue
+                if 100 * min(len(s), len(t)) < SIMILAR * max(len(s), len(t)):
+                    continue
                 common = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * common >= SIMILAR * (len(s) + len(t) - common) > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
+                if 100 * common >= SIMILAR * (len(s) + len(t) - common) > 0:
+                    found[0].append(min(lead, other))
+                    found[1].append(max(lead, other))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
 
-    one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    both = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(each, "a long, b long")
+    return dealt.mapInArrow(each, "a long, b long")
 
 
-def within(group: np.ndarray, probe: np.ndarray, major: np.ndarray, ids: np.ndarray, component: np.ndarray, n: np.ndarray, place: np.ndarray, parity: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def within(group: np.ndarray, probe: np.ndarray, major: np.ndarray, ids: np.ndarray, component: np.ndarray, n: np.ndarray, parity: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (a, b, most similarity in millionths) of rows of one group and unlike components that can be linked.
 
     A group's rows are its probes, its other rows outside the major component, and those within that, in this
@@ -307,9 +322,7 @@ def within(group: np.ndarray, probe: np.ndarray, major: np.ndarray, ids: np.ndar
 
     def compare(x: np.ndarray, y: np.ndarray) -> None:
         total = n[x] + n[y]
-        # the greatest intersection after a first common shingle at these places
-        left = 1 + np.minimum(n[x] - 1 - place[x], n[y] - 1 - place[y])
-        fit = (component[x] != component[y]) & (100 * np.minimum(n[x], n[y]) >= SIMILAR * np.maximum(n[x], n[y])) & ((100 + SIMILAR) * left >= SIMILAR * total)
+        fit = (component[x] != component[y]) & (100 * np.minimum(n[x], n[y]) >= SIMILAR * np.maximum(n[x], n[y]))
         x, y, total = x[fit], y[fit], total[fit]
         least = np.minimum(words[x], words[y])
         for w in np.unique(least):
@@ -349,9 +362,9 @@ def _within_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     """Pairs of each group of rows; a group that goes on in the next batch waits for it."""
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
-        token, block, probe, major, ids, component, n, place = (t.column(k).to_numpy() for k in range(8))
-        group = np.concatenate([[0], np.cumsum((token[1:] != token[:-1]) | (block[1:] != block[:-1]))])
-        a, b, w = within(group, probe, major, ids, component, n, place, t.column(8).to_pylist())
+        key, block, probe, major, ids, component, n = (t.column(k).to_numpy() for k in range(7))
+        group = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (block[1:] != block[:-1]))])
+        a, b, w = within(group, probe, major, ids, component, n, t.column(7).to_pylist())
         order = np.argsort(ids, kind="stable")
         own = [component[order[np.searchsorted(ids, x, sorter=order)]] for x in (a, b)]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, w, *own)], names=["a", "b", "w", "ca", "cb"])
@@ -360,10 +373,10 @@ def _within_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for batch in batches:
         if not len(batch):
             continue
-        token, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        ending = np.flatnonzero((token != token[-1]) | (block != block[-1]))
+        key, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        ending = np.flatnonzero((key != key[-1]) | (block != block[-1]))
         last = int(ending[-1]) + 1 if len(ending) else 0
-        if held and (last or held[0].column(0)[0].as_py() != token[0] or held[0].column(1)[0].as_py() != block[0]):
+        if held and (last or held[0].column(0)[0].as_py() != key[0] or held[0].column(1)[0].as_py() != block[0]):
             yield pairs(pa.Table.from_batches([*held, *([batch.slice(0, last)] if last else [])]))
             held = []
         elif last:
@@ -373,45 +386,61 @@ def _within_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pairs(pa.Table.from_batches(held))
 
 
-def unmet(space: Workspace, sets: DataFrame, found: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b, w, ca, cb) of unlike components that may be linked: all that are linked are among them.
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
 
-    sets: id, n_shingles, prefix, parities; found: the components (id, component) of the ids that have others.
+def unmet(space: Workspace, sets: DataFrame, opened: DataFrame, found: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b, w, ca, cb) of unlike components that may be linked and that are open in one region.
+
+    sets: id, n, parities; opened: id, key; found: the components (id,
+    component) of the ids that have others.
     """
-    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-    sets = sets.join(few(found), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sets = sets.select("id", "component", F.col("n_shingles").alias("n"), "prefix", "parities")
-    posted = sets.select("component", F.explode("prefix").alias("token")).groupBy("token")
-    live = space.save(posted.agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("token"), "live")
-    # parities join the few live rows only
-    posts = sets.select("id", "n", F.posexplode("prefix").alias("place", "token")).join(few(live), "token")
-    posts = space.save(posts.join(sets.select("id", "n", "component", "parities").dropDuplicates(["id", "n"]), ["id", "n"]), "posts")
-    # the component that most rows of a shingle have: its rows need not be compared with each other, so that a family that is one component already costs its rows once
-    counted = posts.groupBy("token", "component").count().groupBy("token").agg(F.sum("count").alias("m"), F.max_by("component", F.struct("count", "component")).alias("chief"))
-    posts = posts.join(few(space.save(counted, "chiefs")), "token")
+    component = F.coalesce("component", "id").alias("component")
+    posts = opened.join(_few(found), "id", "left").select("id", component, "key", F.array("key").alias("path"))
+    posts = space.save(posts, "posts1")
+    ready, base = [], None
+    for depth in range(1, DEEPEST + 1):
+        # the component that most rows of a region have: they need not be compared with each other, so that a family that is one component already costs its rows once
+        counted = posts.groupBy("key", "component").count().groupBy("key").agg(F.sum("count").alias("m"), F.max("count").alias("c"), F.max_by("component", F.struct("count", "component")).alias("chief")).filter("c < m")
+        counted = space.save(counted.withColumn("crowded", (F.col("m") - F.col("c")) * F.col("m") > F.lit(CROWDED)), f"regions{depth}")
+        live = posts.join(_few(counted), "key")
+        ready.append(live if depth == DEEPEST else live.filter("not crowded"))
+        crowd = counted.filter("crowded").select("key")
+        if depth == DEEPEST or crowd.isEmpty():
+            break
+        tight = space.save(live.filter("crowded").select("id", "component", "path"), f"crowded{depth}")
+        # the regions of the first depth in which a row is open and crowded
+        base = base or space.save(tight.groupBy("id").agg(F.sort_array(F.collect_set(F.col("path")[0])).alias("base")), "base")
+        deeper = tight.join(base, "id").withColumn("next", F.explode(F.filter("base", lambda k: k > F.element_at("path", -1))))
+        path = F.concat("path", F.array("next"))
+        posts = space.save(deeper.select("id", "component", F.xxhash64(path).alias("key"), path.alias("path")), f"posts{depth + 1}")
+    rows = space.save(reduce(DataFrame.unionByName, [r.select("key", "id", "component", "m", "chief") for r in ready]), "ready")
+    # parities join the rows of live regions only
+    rows = rows.join(sets, "id")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     major = (F.col("component") == F.col("chief")).cast("int")
     home = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    posts = posts.withColumn("major", major).withColumn("home", home).withColumn("block", F.explode(F.when(F.col("major") == 1, F.array("home")).otherwise(F.sequence(F.lit(0), blocks - 1))))
-    dealt = posts.select("token", "block", (F.col("block") != F.col("home")).cast("int").alias("probe"), "major", "id", "component", "n", F.col("place").cast("long").alias("place"), "parities")
-    dealt = dealt.repartition("token", "block").sortWithinPartitions("token", "block", F.desc("probe"), "major", "id")
+    rows = rows.withColumn("major", major).withColumn("home", home).withColumn("block", F.explode(F.when(F.col("major") == 1, F.array("home")).otherwise(F.sequence(F.lit(0), blocks - 1))))
+    dealt = rows.select("key", "block", (F.col("block") != F.col("home")).cast("int").alias("probe"), "major", "id", "component", "n", "parities")
+    dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block", F.desc("probe"), "major", "id")
     pairs = space.save(dealt.mapInArrow(_within_partition, "a long, b long, w long, ca long, cb long"), "met")
-    space.drop("posts")
     return space.save(pairs.groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("w", "ca", "cb")]), "unmet")
 
 
-def linked_components(space: Workspace, docs: DataFrame, pairs: DataFrame, proven: DataFrame | None, name: str) -> tuple[DataFrame, DataFrame]:
-    """(the pairs proven so far, the components they make), with those of pairs (a, b, w, ca, cb) that are linked and join two components."""
-    wanted = space.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"wanted-{name}")
-    raw = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
-    texts = space.save(_near(raw, wanted, "_id", "left_semi").select(F.col("_id").alias("id"), "text").dropDuplicates(["id"]), f"texts-{name}")
+def linked_components(space: Workspace, docs: DataFrame, classes: DataFrame, pairs: DataFrame, proven: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(the links (a, b) proven so far, the components they make), with those of pairs (a, b, w, ca, cb) that are linked and join two components."""
+    wanted = space.save(classes.join(_few(space.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"ids-{name}")), "id", "left_semi").select("id", "t1", "t2"), f"wanted-{name}")
+    texts = _keyed(docs).select("t1", "t2", "text").join(_few(wanted), ["t1", "t2"]).select("id", "text")
+    texts = space.save(texts.dropDuplicates(["id"]), f"texts-{name}")
     left = pairs
     for turn, most in enumerate(ROUNDS):
         chosen = left if most is None else best_of_each(left, most)
         chosen = space.save(chosen.select("a", "b"), f"chosen-{name}{turn}")
-        new = space.save(confirmed(chosen, texts), f"proven-{name}{turn}")
-        proven = new if proven is None else proven.unionByName(new)
-        found = space.save(components(Workspace(docs.sparkSession, "neardup-turn"), proven), f"found-{name}{turn}")
+        proven = proven.unionByName(space.save(confirmed(chosen, texts), f"proven-{name}{turn}"))
+        contraction = Workspace(docs.sparkSession, "neardup-turn")
+        found = space.save(components(contraction, proven), f"found-{name}{turn}")
+        contraction.close()
         if most is None:
             break
         side = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"n{c}"))  # noqa: E731, B023
@@ -424,38 +453,73 @@ def linked_components(space: Workspace, docs: DataFrame, pairs: DataFrame, prove
     return proven, found
 
 
-def link(docs: DataFrame) -> DataFrame:
-    """One row a row of docs: doc_id, n_shingles, component_id, kept.
-
-    Texts without words are linked with nothing. Rows that share a doc_id are
-    one document. A row without a doc_id is linked with nothing either: its
-    component_id is null and it is kept.
-    """
+def groups(docs: DataFrame) -> DataFrame:
+    """One row a row of docs: doc_id, t1, t2, n_shingles, group (null without words), component_id (the group's least doc_id)."""
     space = Workspace(docs.sparkSession, "neardup")
     known = space.save(signatures(docs), "signatures")
-    useful = known.filter("f1 is not null and doc_id is not null")
-    classes = useful.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id"))
+    worded = known.filter("f1 is not null")
+    key = ["f1", "f2", "n_shingles"]
+    # equal sets are one class, with one text and, written down, one number
+    one = F.min_by(F.struct("t1", "t2", "orders", "sketch", "parities"), F.struct("t1", "t2")).alias("x")
+    classes = worded.groupBy(*key).agg(F.min("doc_id").alias("least"), one).select(*key, "least", "x.*", F.monotonically_increasing_id().alias("id"))
     classes = space.save(classes, "classes")
-    reps = space.save(useful.join(classes.select(F.col("id")).distinct(), useful["doc_id"] == F.col("id")).select("id", "orders", "sketch").dropDuplicates(["id"]), "reps")
-    pairs = candidates(space, reps)
-    proven, found = linked_components(space, docs, pairs, None, "near")
-    space.drop("walked", "reps")
-    ids = space.save(classes.select("id").distinct(), "ids")
-    sets = _near(useful, ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "prefix", "parities")
-    rest = unmet(space, sets, found)
+    names = classes.select(*key, "id")
+    # rows that share a doc_id are one document, so their classes are linked
+    several = worded.groupBy("doc_id").agg(*[f(c).alias(f"{f.__name__}{c}") for c in ("f1", "f2") for f in (F.min, F.max)]).filter("doc_id is not null and (minf1 <> maxf1 or minf2 <> maxf2)").select("doc_id")
+    several = space.save(worded.select("doc_id", *key).join(_few(space.save(several, "several")), "doc_id", "left_semi").join(names, key).select("doc_id", "id"), "members")
+    proven = space.save(several.join(several.groupBy("doc_id").agg(F.min("id").alias("first")), "doc_id").select(F.col("first").alias("a"), F.col("id").alias("b")).filter("a <> b").distinct(), "shared")
+    pairs, opened = candidates(space, classes.select("id", "orders", "sketch"))
+    space.drop("walked", "walks")
+    proven, found = linked_components(space, docs, classes, pairs, proven, "near")
+    rest = unmet(space, classes.select("id", F.col("n_shingles").alias("n"), "parities"), opened, found)
     if not rest.isEmpty():
-        proven, found = linked_components(space, docs, rest, proven, "rest")
-    final = classes.join(found, "id", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    linked = known.select("doc_id", "n_shingles", "f1", "f2").join(final, ["f1", "f2", "n_shingles"], "left")
-    # least over rows that share a doc_id, by their class
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return linked.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+        proven, found = linked_components(space, docs, classes, rest, proven, "rest")
+    grouped = classes.select(*key, "least", "id").join(found, "id", "left").withColumn("group", F.coalesce("component", "id"))
+    least = grouped.filter("component is not null").groupBy("component").agg(F.min("least").alias("_least"))
+    final = space.save(grouped.join(_few(least), "component", "left").select(*key, "group", F.coalesce("_least", "least").alias("component_id")), "final")
+    return known.select("doc_id", "t1", "t2", *key).join(final, key, "left").select("doc_id", "t1", "t2", "n_shingles", "group", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def link(docs: DataFrame) -> DataFrame:
+    """One row a row of docs: doc_id, n_shingles, component_id, kept.
+
+    Null and empty texts, and texts without words, are linked with nothing.
+    Rows that share a doc_id are one document, whatever their order, but for
+    those without words. A row without a doc_id belongs to its group like any
+    other; its component_id is the group's least doc_id, and it is kept only
+    where the group has none. Equal and repeated rows are one class; ties cannot
+    matter, as components don't depend on which pairs are tried first. Texts of
+    any length are taken whole. An empty table gives no rows. Other columns
+    play no part, whatever their names.
+    """
+    found = groups(docs)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group, with all its columns."""
-    gone = Workspace(docs.sparkSession, "neardup-gone").save(link(docs).filter("not kept").select(F.col("doc_id").alias("id")).distinct(), "gone")
-    return _near(docs, gone, "doc_id", "left_anti")
+    """One row of each group, with all its columns: of least doc_id, and of its rows that share text too, any least one. Rows without words all stay."""
+    space = Workspace(docs.sparkSession, "neardup-gone")
+    known = space.save(groups(docs).filter("group is not null").select("group", F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "t1", "t2").alias("row")), "known")
+    counted = known.groupBy("group", "row").agg(F.count(F.lit(1)).alias("n"))
+    counted = space.save(counted, "counted")
+    first = counted.groupBy("group").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    gone = space.save(counted.join(first, "group").filter("row <> first").select("row.doc_id", "row.t1", "row.t2"), "gone")
+    own = [c for c in docs.columns]
+    names = dict(zip(("doc_id", "t1", "t2"), fresh(own, 3), strict=True))
+    text = F.col("text").cast("string")
+    tagged = docs.withColumns({names["doc_id"]: F.col("doc_id").cast("long"), names["t1"]: F.xxhash64(F.lit(1), text), names["t2"]: F.xxhash64(F.lit(2), text)})
+
+    def matches(rows: DataFrame) -> tuple[DataFrame, list[Column]]:
+        few = _few(rows)
+        return few, [F.col(names[c]).eqNullSafe(few[c]) for c in names]
+
+    kept = tagged.join(*matches(gone), "left_anti")
+    repeated = space.save(counted.filter("n > 1").select("row.doc_id", "row.t1", "row.t2"), "repeated")
+    if repeated.isEmpty():
+        return kept.select(*[F.col(f"`{c}`") for c in own])
+    rest = [F.col(f"`{c}`") for c in own]
+    once = kept.join(*matches(repeated), "left_semi").groupBy(*names.values()).agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("row")).select("row.*")
+    return kept.join(*matches(repeated), "left_anti").select(*rest).unionByName(once)
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

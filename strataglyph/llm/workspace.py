@@ -7,8 +7,11 @@ executor costs only the tasks it was running.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,9 +19,11 @@ _roots: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where that is unset (tests, local mode)."""
+    """``spark.checkpoint.dir``; a temporary folder only where that is unset and all tasks run in the driver (tests, local mode)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="strataglyph-")
         spark.conf.set("spark.checkpoint.dir", folder)
         _roots.append((spark, folder))
@@ -56,10 +61,33 @@ class Workspace:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def close(self) -> None:
+        """Deletes all its tables."""
+        delete(self.spark, self.root)
+
     def drop(self, *names: str) -> None:
         for name in names:
             delete(self.spark, self.path(name))
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables of the workspaces that were made inside it as it ends."""
+    shared_folder(spark)
+    before = len(_roots)
+    try:
+        yield
+    finally:
+        for _, path in _roots[before:]:
+            delete(spark, path)
+        del _roots[before:]
+
+
+def fresh(taken: list[str], n: int) -> list[str]:
+    """Names that no column has, in whatever case."""
+    low = {c.lower() for c in taken}
+    return [x for k in range(len(low) + n) if (x := f"_sg_{k}") not in low][:n]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from strataglyph.llm import neardup
 from strataglyph.llm.graph import components
@@ -55,12 +56,34 @@ def test_against_brute_force(spark):
 
 
 def test_edges(spark):
-    df = spark.createDataFrame([(None, "a b c d e f", "x", 1, 1), (None, "a b c d e f", "x", 1, 1), (7, "a b c d e f", None, None, None), (7, "a b c d e f", None, None, None)], DOCS)
+    df = spark.createDataFrame([(None, "a b c d e f", "x", 1, 1), (None, "a b c d e f", "x", 1, 1), (7, "a b c d e f", None, None, None), (7, "a b c d e f", None, None, None), (None, " ", "x", 1, 1), (None, None, "x", 1, 1), (None, "g h", "x", 1, 1), (None, "G h", "x", 1, 1)], DOCS)
     got = link(df).collect()
-    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (0, 0, True), (7, 7, True), (7, 7, True)]
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True)] * 4 + [(0, 7, False)] * 2 + [(7, 7, True)] * 2
+    kept = keep_first(df).collect()
+    assert sorted((r.doc_id or 0, r.text or "", r.component_id) for r in kept if r.text not in ("g h", "G h")) == [(0, "", "x"), (0, " ", "x"), (7, "a b c d e f", None)]
+    assert len(kept) == 4
     assert link(df.limit(0)).count() == 0 and keep_first(df.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_are_one_document(spark):
+    one, two = "a b c d e f g", "p q r s t u v"
+    rows = [(3, one), (5, one), (5, two), (9, two), (5, ""), (11, two + " w x y z 0 1")]
+    for turn in range(3):
+        df = spark.createDataFrame(random.Random(turn).sample(rows, len(rows)), "doc_id long, text string").repartition(1 + turn)
+        got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in link(df).collect()}
+        assert got == {(3, 3, 3, True), (5, 3, 3, False), (9, 3, 3, False), (5, 0, 5, True), (11, 9, 11, True)}
+        assert sorted((r.doc_id, r.text) for r in keep_first(df).collect()) == [(3, one), (5, ""), (11, two + " w x y z 0 1")]
+
+
+def test_clashing_names_and_a_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(150_000))
+    names = ["doc_id", "text", "_sg_0", "_SG_1", "t1", "group", "row", "key", "n_shingles"]
+    df = spark.createDataFrame([(1, long, *"abcdefg"), (2, long + " x", *"abcdefg"), (3, "y", *"abcdefg"), (3, "y", *"abcdefg")], ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    assert {(r.doc_id, r.component_id) for r in link(df).collect()} == {(1, 1), (2, 1), (3, 3)}
+    kept = keep_first(df)
+    assert kept.columns == names and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 160)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5, 5)] + [(r.randint(0, 90), r.randint(0, 90)) for _ in range(40)]
@@ -102,11 +125,34 @@ def test_crowded_family(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_star(spark):
+    """Every copy is linked with the hub only, which lies among thousands of them in every tree."""
+    r = random.Random(11)
+    base = [f"b{i}" for i in range(109)]
+    texts = [" ".join(base)]
+    for k in range(3000):
+        copy = list(base)
+        for at in (20, 50, 80):  # far apart: 90 of 105 shingles stay, of 120 in both
+            copy[at + r.randint(-9, 9)] = f"e{k}x{at}"
+        texts.append(" ".join(copy))
+    ids = r.sample(range(10_000), len(texts))
+    got = link(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")).collect()
+    assert {x.component_id for x in got} == {min(ids)}
+
+
 def test_refuted_favourites(spark, monkeypatch):
-    """Links are found whatever pairs the forest emits, even none."""
+    """Links are found whatever pairs the walks emit, even none, as long as rows are told to be open; and in crowded regions."""
     texts = crowd(random.Random(9), 60, 204, (4, 6))
     want = brute(texts)
     assert len(set(want.values())) < 60
-    monkeypatch.setattr(neardup, "candidates", lambda space, reps: spark.createDataFrame([], "a long, b long, w long, ca long, cb long"))
-    got = link(spark.createDataFrame([(i, t, "c", i, 1) for i, t in enumerate(texts)], DOCS)).collect()
-    assert {r.doc_id: r.component_id for r in got} == want
+    forest = neardup.candidates
+
+    def none(space, reps):
+        opened = spark.createDataFrame(reps.collect()).select("id", F.explode(F.array(*[F.expr(f"({t}L << 32) | cast(conv(hex(substring(orders, {t * neardup.ORDER + 1}, 4)), 16, 10) as long)") for t in range(neardup.TREES)])).alias("key"))
+        return forest(space, reps)[0].limit(0), opened
+
+    monkeypatch.setattr(neardup, "candidates", none)
+    for crowded in (neardup.CROWDED, 30):
+        monkeypatch.setattr(neardup, "CROWDED", crowded)
+        got = link(spark.createDataFrame([(i, t, "c", i, 1) for i, t in enumerate(texts)], DOCS)).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
