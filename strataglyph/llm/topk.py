@@ -1,17 +1,19 @@
 """Exact top-k search by a three-phase uniform threshold.
 
-A vector's dimensions are dealt to a few lists; a score is the sum of a
-candidate's local scores over the lists. Phase one gathers every list's best
-entries for each query, with the sums of those few candidates; the k-th best of
-them is a lower bound. Its uniform share, told to all lists, is a safe cutoff:
-whatever misses it everywhere cannot be among the best. Phase two collects the
-entries at or above it and drops candidates whose upper bound stays below the
-new k-th lower bound.
-Phase three resolves the exact scores of what is left.
+A vector's dimensions are dealt to a few lists. A list is held and scored for
+itself, in cells of a block of candidates and a block of queries; a score is the
+sum of a candidate's local scores over the lists. Phase one gathers every
+list's best entries for each query and looks the exact scores of these few
+candidates up; the k-th best of them is a lower bound. Its uniform share, told
+to all lists, is a safe cutoff: whatever misses it everywhere cannot be among
+the best. Phase two collects each list's entries at or above it, joins them by
+query and candidate, and drops candidates whose upper bound stays below the new
+k-th lower bound. Phase three resolves the exact scores of what is left.
 
 Local scores may be negative, so each is taken above its list's least for the
 query. Equal vectors are one candidate (with its smallest ids) and one query,
-so copies multiply no work. Queries and candidates meet in blocks of fixed size.
+so copies multiply no work. A cell meets one block of either side, so no key
+gathers more than two blocks.
 """
 
 from __future__ import annotations
@@ -20,22 +22,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .workspace import Workspace, table
 
 LISTS = 2
-#: Vectors in a block of candidates, and of queries.
-BLOCK, QUERY_BLOCK = 2048, 512
+#: Vectors in a block of candidates, and of queries, about.
+BLOCK, QUERY_BLOCK = 4096, 1024
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id, v: floor(scale * x) of each component; rows with a null id, an empty vector, or null or non-finite components, go."""
+    """vec_id, v: floor(scale * x) of each component; rows with a null id, a null vector, or null or non-finite components, go."""
     x = F.col("embedding").cast("array<double>")
-    finite = (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
+    finite = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     return vectors.filter(F.coalesce(finite, F.lit(False)) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale).cast("long")).alias("v"))
 
 
@@ -48,17 +49,20 @@ def _classes(rows: DataFrame, ids: int, salts: int = 16) -> DataFrame:
     return few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("cid", F.col("ids")[0])
 
 
-def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Rows (cid, v) as blocks: number, ids and components, of about ``size`` rows and never more than twice that, but for unlucky hashes."""
+def _blocks(rows: DataFrame, size: int, name: str, cuts: list[slice]) -> tuple[DataFrame, int]:
+    """Rows (cid, v, and others) as blocks of a list each: j, number, and its rows with the list's components; and how many blocks there are."""
     count = max(1, -(-rows.count() // size))
-    return rows.withColumn(f"{name}b", F.pmod(F.xxhash64("cid"), F.lit(count)).cast("int")).groupBy(f"{name}b").agg(F.collect_list(F.struct("cid", "v")).alias(name)).withColumn(f"{name}n", F.lit(count))
+    others = [c for c in rows.columns if c not in ("cid", "v")]
+    slices = F.array(*[F.struct(F.lit(j).alias("j"), F.slice("v", cut.start + 1, cut.stop - cut.start).alias("x")) for j, cut in enumerate(cuts)])
+    each = rows.withColumn(f"{name}b", F.pmod(F.xxhash64("cid"), F.lit(count)).cast("int")).withColumn("s", F.explode(slices))
+    return each.groupBy("s.j", f"{name}b").agg(F.collect_list(F.struct("cid", "s.x", *others)).alias(name)), count
 
 
 def _matrix(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
     cells = rows.values
     ids = cells.field(0).to_numpy(zero_copy_only=False)
     flat = cells.field(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return ids, flat.reshape(len(ids), -1) if len(ids) else flat.reshape(0, 0)
+    return ids, flat.reshape(len(ids), len(flat) // max(1, len(ids)))
 
 
 def _slices(dim: int, lists: int) -> list[slice]:
@@ -66,13 +70,20 @@ def _slices(dim: int, lists: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
+def _dot(x: str, y: str) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0).cast("long"), lambda a, b: a + b)
+
+
 def search(vectors: DataFrame, is_query, k: int = 5, lists: int = LISTS, scale: int = 256) -> DataFrame:  # noqa: ANN001
     """query_id, rank, vec_id, score for the rows that is_query (a Column over vec_id) picks.
 
     Ranks run from 1; ties go to the smaller vec_id; a query is no candidate of
     its own; with fewer than k candidates all come. Vectors of another length
-    than the query's are no candidates of it. Rows that repeat an id are
-    candidates once. Integer products must stay below 2^53.
+    than the query's are no candidates of it; empty ones have score 0 with each
+    other. Rows that repeat an id and a vector are one candidate, and rows of
+    one id with unlike vectors are several. Rows without an id take no part. No
+    rows, or none that is a query, give none. Other columns play no part,
+    whatever their names. Integer products must stay below 2^53.
     """
     spark = vectors.sparkSession
     space = Workspace(spark, "topk")
@@ -80,82 +91,78 @@ def search(vectors: DataFrame, is_query, k: int = 5, lists: int = LISTS, scale:
     out = None
     for (dim,) in rows.select(F.size("v")).distinct().collect():  # vectors of one table have one length, as a rule
         part = rows.filter(F.size("v") == dim)
-        found = _search(spark, Workspace(spark, "topk"), part, part.filter(is_query), dim, k, lists)
+        found = _search(Workspace(spark, "topk"), part, part.filter(is_query), dim, k, max(1, min(lists, dim)))
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     return out
 
 
-def _search(spark: SparkSession, space: Workspace, rows: DataFrame, asked: DataFrame, dim: int, k: int, lists: int) -> DataFrame:
+def _search(space: Workspace, rows: DataFrame, asked: DataFrame, dim: int, k: int, lists: int) -> DataFrame:
     # a query drops itself at the end, so one more is sought
     want = k + 1
     classes = space.save(_classes(rows, want), "classes")
     queries = space.save(asked.groupBy("v").agg(F.min("vec_id").alias("cid")), "queries")
     own = space.save(asked.join(queries, "v").select(F.col("vec_id").alias("query_id"), F.col("cid").alias("q")), "own")
+    by_q = queries.select(F.col("cid").alias("q"), F.col("v").alias("x"))
+    by_c = classes.select(F.col("cid").alias("c"), F.col("v").alias("y"), "ids")
     cuts = _slices(dim, lists)
-    cand = space.save(_blocks(classes.select("cid", "v"), BLOCK, "c"), "candidate_blocks")
-    qs = space.save(_blocks(queries.select("cid", "v"), QUERY_BLOCK, "q"), "query_blocks")
-    blocks = qs.count()
-    # every block of queries against every block of candidates
-    grid = cand.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1)))))
+    held, held_n = _blocks(classes.select("cid", "v"), BLOCK, "c", cuts)
+    held = space.save(held, "held")
+
+    def cells(asking: DataFrame) -> DataFrame:
+        """(q, c): every block of queries beside every block of candidates, list by list."""
+        told, told_n = _blocks(asking, QUERY_BLOCK, "q", cuts)
+        one = told.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(held_n - 1))))
+        two = held.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(told_n - 1))))
+        return one.join(two, ["j", "cb", "qb"]).select("j", "q", "c")
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Phase one: each list's best entries of a block, and its least score there."""
+        """Phase one: a list's best entries of a cell, and its least score there."""
         for batch in batches:
-            for q_rows, c_rows in zip(*batch.columns, strict=True):
+            for j, q_rows, c_rows in zip(*batch.columns, strict=True):
                 q_ids, q = _matrix(q_rows)
                 c_ids, c = _matrix(c_rows)
                 n, top = len(q_ids), min(want, len(c_ids))
-                scores = [q[:, cut] @ c[:, cut].T for cut in cuts]
-                whole = np.sum(scores, axis=0)
-                for j, s in enumerate(scores):
-                    best = np.argpartition(-s, top - 1, axis=1)[:, :top]
-                    told = [pa.array(np.take_along_axis(x, best, 1).ravel().astype(np.int64)) for x in (s, whole)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, top)), pa.array(np.full(n * top, j, np.int32)), pa.array(c_ids[best].ravel()), *told, pa.array(np.repeat(s.min(axis=1).astype(np.int64), top))], names=["q", "j", "c", "s", "total", "least"])
-
-    pairs = grid.join(qs, "qb").select("q", "c")
-    first = space.save(pairs.mapInArrow(local, "q long, j int, c long, s long, total long, least long"), "local")
-    floors = first.groupBy("q", "j").agg(F.min("least").alias("least"))
-    base = floors.groupBy("q").agg(F.sum("least").alias("base"))
-    by_low = Window.partitionBy("q").orderBy(F.desc("low"))
-    sums = first.groupBy("q", "c").agg(F.max("total").alias("total")).join(base, "q").select("q", (F.col("total") - F.col("base")).alias("low"))
-    # the want-th best sum, above the floors; none if there are fewer candidates
-    kth = sums.withColumn("r", F.row_number().over(by_low)).filter(F.col("r") == want).select("q", "low")
-    cutoff = floors.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("j", "least"))).alias("f")).join(kth, "q", "left")
-    # at least the share of each of the lists; 0 takes all
-    cutoff = cutoff.select("q", F.col("f.least").alias("floors"), F.ceil(F.coalesce(F.col("low"), F.lit(0)) / lists).cast("long").alias("share"))
-    cutoff = space.save(cutoff, "cutoff")
-    told = queries.join(cutoff, queries["cid"] == cutoff["q"]).select("cid", "v", "floors", "share")
-    count = max(1, blocks)
-    told = told.withColumn("qb", F.pmod(F.xxhash64("cid"), F.lit(count)).cast("int")).groupBy("qb").agg(F.collect_list(F.struct("cid", "v")).alias("q"), F.collect_list("floors").alias("floors"), F.collect_list("share").alias("shares"))
+                s = q @ c.T
+                best = np.argpartition(-s, top - 1, axis=1)[:, :top]
+                entries = [np.repeat(q_ids, top), np.full(n * top, j.as_py(), np.int32), c_ids[best].ravel(), np.take_along_axis(s, best, 1).ravel().astype(np.int64), np.repeat(s.min(axis=1).astype(np.int64), top)]
+                yield pa.RecordBatch.from_arrays([pa.array(e) for e in entries], names=["q", "j", "c", "s", "least"])
+
+    first = space.save(cells(queries).mapInArrow(local, "q long, j int, c long, s long, least long"), "local")
+    floors = space.save(first.groupBy("q", "j").agg(F.min("least").alias("least")), "floors")
+    # what the lists told: each one's best, whose exact scores are looked up
+    of_list = Window.partitionBy("q", "j").orderBy(F.desc("s"), "c")
+    told = first.withColumn("r", F.row_number().over(of_list)).filter(F.col("r") <= want).select("q", "c").distinct()
+    sums = told.join(by_q, "q").join(by_c, "c").select("q", _dot("x", "y").alias("total"))
+    base = floors.groupBy("q").agg(F.sum("least").alias("base"), F.array_sort(F.collect_list(F.struct("j", "least"))).alias("f"))
+    # the want-th best of them; none if there are fewer candidates
+    kth = sums.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("total")))).filter(F.col("r") == want).select("q", "total")
+    low = F.coalesce(F.col("total") - F.col("base"), F.lit(0))
+    # at least the share of each of the lists, above its floor; 0 takes all
+    cutoff = space.save(base.join(kth, "q", "left").select("q", F.col("f.least").alias("floors"), F.ceil(low / lists).cast("long").alias("share")), "cutoff")
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Phase two: entries of a list at or above the cutoff, one number a list (null: below it)."""
+        """Phase two: a list's entries of a cell at or above the cutoff."""
         for batch in batches:
-            for q_rows, floors_, shares, c_rows in zip(*batch.columns, strict=True):
+            for number, q_rows, c_rows in zip(*batch.columns, strict=True):
+                j = number.as_py()
                 q_ids, q = _matrix(q_rows)
                 c_ids, c = _matrix(c_rows)
-                base = np.array(floors_.as_py(), np.float64).reshape(len(q_ids), lists)
-                share = np.array(shares.as_py(), np.float64)
-                scores = [q[:, cut] @ c[:, cut].T - base[:, j : j + 1] for j, cut in enumerate(cuts)]
-                over = [s >= share[:, None] for s in scores]
-                a, b = np.nonzero(np.logical_or.reduce(over))
-                entries = [pa.array(s[a, b].astype(np.int64), mask=~o[a, b]) for s, o in zip(scores, over, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[a]), pa.array(c_ids[b]), *entries], names=["q", "c", *[f"s{j}" for j in range(lists)]])
-
-    second = grid.join(told, "qb").select("q", "floors", "shares", "c").mapInArrow(collect, "q long, c long, " + ", ".join(f"s{j} long" for j in range(lists)))
-    bounds = second.join(cutoff.select("q", "share"), "q").select(
-        "q", "c",
-        sum((F.coalesce(F.col(f"s{j}"), F.lit(0)) for j in range(lists)), F.lit(0)).alias("low"),
-        sum((F.coalesce(F.col(f"s{j}"), F.greatest(F.col("share") - 1, F.lit(0))) for j in range(lists)), F.lit(0)).alias("high"),
-    )
-    bounds = space.save(bounds, "bounds")
-    best = bounds.withColumn("r", F.row_number().over(by_low)).filter(F.col("r") == want).select("q", F.col("low").alias("bar"))
+                floors_, shares = q_rows.values.field(2).flatten(), q_rows.values.field(3)
+                s = q @ c.T - floors_.to_numpy(zero_copy_only=False).reshape(len(q_ids), lists)[:, j : j + 1]
+                a, b = np.nonzero(s >= shares.to_numpy(zero_copy_only=False)[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[a]), pa.array(c_ids[b]), pa.array(s[a, b].astype(np.int64))], names=["q", "c", "s"])
+
+    asking = queries.join(cutoff, queries["cid"] == cutoff["q"]).select("cid", "v", "floors", "share")
+    second = cells(asking).mapInArrow(collect, "q long, c long, s long")
+    # lists that told nothing of a candidate have it below the cutoff
+    joined = second.groupBy("q", "c").agg(F.sum("s").alias("low"), F.count(F.lit(1)).alias("n")).join(cutoff.select("q", "share"), "q")
+    bounds = space.save(joined.select("q", "c", "low", (F.col("low") + (lists - F.col("n")) * F.greatest(F.col("share") - 1, F.lit(0))).alias("high")), "bounds")
+    best = bounds.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("low")))).filter(F.col("r") == want).select("q", F.col("low").alias("bar"))
     left = bounds.join(best, "q", "left").filter(F.col("high") >= F.coalesce("bar", F.lit(0))).select("q", "c")
     # phase three: exact scores of what is left
-    dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, b: a + b)
-    exact = left.join(queries.select(F.col("cid").alias("q"), F.col("v").alias("x")), "q").join(classes.select(F.col("cid").alias("c"), F.col("v").alias("y"), "ids"), "c").select("q", "ids", dot.alias("score"))
+    exact = left.join(by_q, "q").join(by_c, "c").select("q", "ids", _dot("x", "y").alias("score"))
     each = exact.select("q", "score", F.explode("ids").alias("vec_id"))
     final = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     top = space.save(each.withColumn("r", F.row_number().over(final)).filter(F.col("r") <= want).select("q", "score", "vec_id"), "top")
