@@ -8,7 +8,8 @@ block, and where the last one did.
 
 Files are written and read by Spark's own readers and writers alone, so they
 may lie in any store that Spark reaches. Spark reads such a file whole before it
-is cut; the writer therefore rolls to the next file every FILE_ROWS documents.
+is cut; the writer therefore rolls to the next file before it has FILE_BYTES,
+unless one document alone is longer.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from .workspace import Workspace, table
 
 VOCABULARY, SEPARATOR, WIDTH = "word_bpe_49k.json", 49407, 2
 BLOCK = 1 << 17
-FILE_ROWS = 4_000
+FILE_BYTES = 1 << 24
 #: Tokens at a document's head that name it, each below 2^15 and so never a separator of this vocabulary: whether there is an id, and the id's 64 bits.
 HEAD = 5
 
@@ -37,19 +38,34 @@ def _head(doc_id: int | None) -> np.ndarray:
 
 
 def write_flat(docs: DataFrame, path: str, vocabulary_path: str | None = None, separator: int = SEPARATOR, width: int = WIDTH) -> None:
-    """Writes every row's head, token ids and separator. Null and empty texts have no ids between the two."""
+    """Writes every row's head, token ids and separator.
+
+    Null and empty texts have no ids between the two. Repeated rows are written
+    again. A text of any length is written whole. An empty table gives a folder
+    without documents. Other columns play no part, whatever their names.
+    """
     name = vocabulary_path or vocabulary(VOCABULARY)
     mark = separator.to_bytes(width, "little")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row a file: documents with separators between them."""
         encode, kind = encoder(name, width, False), np.dtype(f"<u{width}")
+        held: list[bytes] = []
+        size = 0
         for batch in batches:
-            out = [_head(i.as_py()).astype(kind).tobytes() + encode(t.as_py()) for i, t in zip(*batch.columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
+            for i, t in zip(*batch.columns, strict=True):
+                ids = _head(i.as_py()).astype(kind).tobytes() + encode(t.as_py())
+                if held and size + len(ids) + width > FILE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([mark.join(held)], pa.binary())], names=["ids"])
+                    held, size = [], 0
+                held.append(ids)
+                size += len(ids) + width
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([mark.join(held)], pa.binary())], names=["ids"])
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(each, "ids binary")
     # Spark's text writer puts the bytes down as they are, and the separator's bytes behind each row
-    ids.select(F.col("ids").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", mark.decode("latin-1")).option("maxRecordsPerFile", FILE_ROWS).mode("overwrite").text(path)
+    ids.select(F.col("ids").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", mark.decode("latin-1")).option("maxRecordsPerFile", 1).mode("overwrite").text(path)
 
 
 def scan(spark: SparkSession, path: str, separator: int = SEPARATOR, width: int = WIDTH, block: int = BLOCK, head: int = HEAD) -> DataFrame:

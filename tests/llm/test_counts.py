@@ -1,3 +1,4 @@
+from strataglyph.llm import counts
 from strataglyph.llm.counts import HEAD, SEPARATOR, VOCABULARY, named, op1_token_counts, scan, write_flat
 from strataglyph.llm.tokens import encoder, vocabulary
 from strataglyph.llm.workspace import Workspace
@@ -18,6 +19,17 @@ def test_round_trip_at_any_block_size(spark):
         assert [(r.doc_id, r.n_tokens, r.ordinal, r.start) for r in got] == want
 
 
+def test_files_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(counts, "FILE_BYTES", 100)
+    rows = [(i, "a b c d e f g h " * (i % 5)) for i in range(40)] + [(99, "long " * 300_000), (99, "long " * 300_000)]
+    path = Workspace(spark, "t").path("flat")
+    write_flat(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), path)
+    sizes = [r.length for r in spark.read.format("binaryFile").load(path).select("length").collect()]
+    assert sorted(sizes)[-2:] == [2 * (HEAD + 300_000 + 1)] * 2 and sorted(sizes)[-3] <= 100
+    got = sorted((r.doc_id, r.n_tokens) for r in named(scan(spark, path)).collect())
+    assert got == sorted((i, len(t.split())) for i, t in rows)
+
+
 def test_foreign_files(spark, tmp_path):
     end = SEPARATOR.to_bytes(2, "little")
     (tmp_path / "a.bin").write_bytes(b"\1\0" * 3 + end + end + b"\2\0")  # no separator at the end
