@@ -1,10 +1,15 @@
+import itertools
+import math
 import random
 import re
 from collections import Counter
 
 import numpy as np
 
-from strataglyph.llm.quality import NOISE, judge, keep_good, with_statistics
+from pyspark.sql import functions as F
+
+from strataglyph.llm.quality import CONSISTENCY, NOISE, SHARE, fit, judge, keep_good, with_statistics
+from strataglyph.llm.workspace import Workspace
 
 DOCS = "doc_id long, text string, lang string, source string, kept string, n_words int"
 
@@ -54,3 +59,37 @@ def test_outliers_go_and_clean_texts_stay(spark):
     assert kept.columns == df.columns
     assert kept.count() == sum(x.q_kept for x in got)
     assert judge(df.limit(0)).count() == 0
+
+
+def determinant(f):
+    cov = CONSISTENCY * np.cov(f.T, bias=True) + np.diag(np.array(NOISE) ** 2)
+    return np.linalg.slogdet(cov)[1]
+
+
+def test_determinant_against_every_subset(spark):
+    """The reweighted estimate rests on the subset of least determinant among all subsets of a small group."""
+    r = np.random.default_rng(3)
+    for outliers in (0, 2, 3):
+        f = r.normal(size=(13, 5)) * np.array(NOISE) * 0.6
+        f[:outliers] += np.array([0.2, 8, 4, 3, 2]) + r.normal(size=(outliers, 5)) * 0.1
+        size = math.ceil(SHARE * len(f))
+        best = min(itertools.combinations(range(len(f)), size), key=lambda x: determinant(f[list(x)]))
+        df = spark.createDataFrame([(i, ["g"], [float(v) for v in x]) for i, x in enumerate(f)], "_sg_id long, _sg_keys array<string>, _sg_f array<double>")
+        space = Workspace(spark, "t")
+        (got,) = fit(space, df).collect()
+        (raw,) = spark.read.parquet(space.path("estimate4")).orderBy("_sg_det").limit(1).collect()
+        assert raw._sg_det <= determinant(f[list(best)]) + 0.35
+        far = lambda x: np.einsum("ij,jk,ik->i", x - f[list(best)].mean(axis=0), np.linalg.inv(CONSISTENCY * np.cov(f[list(best)].T, bias=True) + np.diag(np.array(NOISE) ** 2)), x - f[list(best)].mean(axis=0))  # noqa: E731, B023
+        inner = f[far(f) <= 12.83]
+        assert np.allclose(got._sg_mu, inner.mean(axis=0), atol=0.25)
+
+
+def test_clashing_names_ties_and_long_texts(spark):
+    r = random.Random(8)
+    long = prose(r, 60_000)
+    rows = [(1, long, "en", "a", "x", 1, 2), (1, long, "en", "a", "x", 1, 2)] + [(2, prose(r), "en", "a", None, None, None)] * 60
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _sg_text string, row int, _SG_0 int")
+    got = judge(df).collect()
+    assert len(got) == 62 and {x["_sg_text"] for x in got} == {"x", None} and {x.n_words for x in got if x.doc_id == 1} == {60_000}
+    assert len({(x.n_words, x.distance2, x.kept) for x in got}) == 2
+    assert keep_good(df).columns == df.columns
