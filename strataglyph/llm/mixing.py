@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, table
+from .workspace import Workspace, fresh, table
 
 SEED = 20240607
 #: Rates beyond this are drawn as sums of equal Poisson parts, as exp(-rate) would vanish.
@@ -58,33 +58,36 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float |
     weights: target weights by source; sources that it does not name have
     weight_of_others. total: wanted rows, by default as many as there are.
     names: of the two columns that number the copies, or None for docs' columns
-    only. Rows that share source and doc_id (null counts as an id) are drawn
-    alike; text and other columns play no part and may be null. A source of
-    weight 0 goes. No rows give no rows.
+    only; a column of docs named so gives way. Rows that share source and doc_id
+    (null counts as an id) are drawn alike; text and other columns play no part,
+    may be null and of any length, and keep whatever names they have. A source
+    of weight 0 goes. No rows give no rows.
     """
     spark = docs.sparkSession
     space = Workspace(spark, "mix")
+    own = [c for c in docs.columns if c.lower() not in {n.lower() for n in names or ()}]
     known = space.save(distributions(rates(docs, weights, total, weight_of_others)), "distributions")
+    of, parts, cdf, u_, n_, copy, deal, place, salt, salt2 = fresh(docs.columns, 10)
+    known = known.toDF(of, parts, cdf)
     source = F.col("source").cast("string")
     if known.count() <= BROADCAST_ROWS:
-        joined = docs.join(F.broadcast(known), source.eqNullSafe(F.col("_sg_source")))
+        joined = docs.join(F.broadcast(known), source.eqNullSafe(F.col(of)))
     else:
         # a source may hold a third of all rows: its rows are dealt under a salt
-        salted = docs.withColumn("_sg_salt", F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int"))
-        spread = known.withColumn("_sg_salt2", F.explode(F.sequence(F.lit(0), F.lit(63))))
-        joined = salted.join(spread, source.eqNullSafe(F.col("_sg_source")) & (F.col("_sg_salt") == F.col("_sg_salt2")))
+        salted = docs.withColumn(salt, F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int"))
+        spread = known.withColumn(salt2, F.explode(F.sequence(F.lit(0), F.lit(63))))
+        joined = salted.join(spread, source.eqNullSafe(F.col(of)) & (F.col(salt) == F.col(salt2)))
     u = lambda k: uniform(F.lit(seed), F.col("doc_id"), k)
-    below = lambda k: F.size(F.filter("_sg_cdf", lambda c: c <= u(k))).cast("long")
-    one = F.size(F.filter("_sg_cdf", lambda c: c <= F.col("_sg_u"))).cast("long")
-    many = F.aggregate(F.sequence(F.lit(1), F.col("_sg_parts")), F.lit(0).cast("long"), lambda a, k: a + below(k))
-    counted = joined.withColumn("_sg_u", u(F.lit(1))).withColumn("_sg_n", F.when(F.col("_sg_parts") == 1, one).otherwise(many))
-    copies = counted.filter(F.col("_sg_n") > 0).withColumn("_sg_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_sg_n"))))
+    below = lambda k: F.size(F.filter(cdf, lambda c: c <= u(k))).cast("long")
+    one = F.size(F.filter(cdf, lambda c: c <= F.col(u_))).cast("long")
+    many = F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0).cast("long"), lambda a, k: a + below(k))
+    counted = joined.withColumn(u_, u(F.lit(1))).withColumn(n_, F.when(F.col(parts) == 1, one).otherwise(many))
+    copies = counted.filter(F.col(n_) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n_))))
     # where a row goes and its place there are hashes of their own: a global shuffle in one exchange
-    place = copies.withColumn("_sg_deal", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("_sg_copy"))).withColumn("_sg_place", F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("_sg_copy")))
-    shuffled = place.repartition("_sg_deal").sortWithinPartitions("_sg_place")
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    extra = [] if names is None else [F.col("_sg_copy").alias(names[0]), F.col("_sg_n").alias(names[1])]
-    return shuffled.select(*own, *extra)
+    dealt = copies.withColumn(deal, F.xxhash64(F.lit(seed), F.col("doc_id"), F.col(copy))).withColumn(place, F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col(copy)))
+    shuffled = dealt.repartition(deal).sortWithinPartitions(place)
+    extra = [] if names is None else [F.col(copy).alias(names[0]), F.col(n_).alias(names[1])]
+    return shuffled.select(*[F.col(f"`{c}`") for c in own], *extra)
 
 
 #: Half of the mix from four named sources, the other half shared alike by all others.

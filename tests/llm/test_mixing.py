@@ -31,3 +31,15 @@ def test_order_is_shuffled(spark):
     df = spark.range(2000).selectExpr("id as doc_id", "'s' as source")
     ids = [r.doc_id for r in mix(df, names=None).collect()]
     assert ids != sorted(ids)
+
+
+def test_clashing_names_and_long_texts(spark):
+    df = spark.createDataFrame([(k % 40, "t " * 500_000 if not k else None, "a", "mine", 1, 2) for k in range(80)], "doc_id long, text string, source string, copy string, _sg_0 int, _SG_1 int")
+    got = mix(df, total=400)
+    assert got.columns == ["doc_id", "text", "source", "_sg_0", "_SG_1", "copy", "n_copies"]
+    rows = got.collect()
+    assert abs(len(rows) - 400) < 100
+    assert all(1 <= x["copy"] <= x.n_copies for x in rows)
+    drawn = Counter((x.doc_id, x["copy"]) for x in rows)
+    assert set(drawn.values()) == {2}  # repeated rows are drawn alike
+    assert mix(df, names=None).columns == df.columns
