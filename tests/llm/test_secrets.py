@@ -2,9 +2,12 @@ import base64
 import hashlib
 import json
 import re
+import time
 
 from strataglyph.llm import secrets as S
 
+from ..conftest import SMALL
+
 
 def der(tag, content):
     n = len(content)
@@ -38,6 +41,61 @@ def test_structures():
     assert kinds("just words " + "QUJD" * 30) == []
 
 
+def test_encodings_and_inner_values():
+    def wrapped(data, width, end="\n"):
+        text = b64(data)
+        return end.join(text[k : k + width] for k in range(0, len(text), width))
+
+    armour = "-----BEGIN {0}-----\n{1}\n-----END {0}-----\n".format
+    for end in ("\n", "\r\n", "\\n", "\\r\\n"):
+        text = f"key {wrapped(PKCS1, 64, end)}{end}and more words"
+        (span,) = S.confirmed_spans(text)
+        assert S.unbase64(text[span[0] : span[2]].replace("\\r", "").replace("\\n", "")) == PKCS1
+        assert kinds(armour("RSA PRIVATE KEY", wrapped(PKCS1, 64)).replace("\n", end)) == ["pem"]
+    assert kinds(f"x {wrapped(SSH, 70)} y") == ["key"]
+    assert kinds(b64(armour("PRIVATE KEY", wrapped(PKCS8, 64)).encode())) == ["key"]
+    assert kinds(b64(armour("PRIVATE KEY", "bm90IGEga2V5").encode())) == []
+    pkcs8 = lambda inner: der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, inner))
+    assert S.is_key(pkcs8(der(4, b"s" * 32))) and S.is_key(pkcs8(der(2, b"x" * 20)))
+    assert S.is_key(pkcs8(der(0x30, der(2, b"\1") + der(4, b"k" * 32))))
+    assert not S.is_key(pkcs8(b"s" * 34)) and not S.is_key(pkcs8(der(0x30, der(2, b"\1") * 3)))
+    assert not S.is_key(der(0x30, der(0x30, der(6, b"\x2a")) + der(4, b"c" * 64)))  # no parameters of the cipher
+    assert S.is_key(der(0x30, der(0x30, der(6, b"\x2a") + der(0x30, der(4, b"salt"))) + der(4, b"c" * 64)))
+    sealed = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899aabbccddeeff\n\n"
+    assert kinds(armour("RSA PRIVATE KEY", sealed + wrapped(b"c" * 64, 64))) == ["pem", "hex"]  # the initial vector is one
+    assert kinds(armour("RSA PRIVATE KEY", sealed + wrapped(b"c" * 65, 64))) == ["hex"]
+    assert kinds(armour("RSA PRIVATE KEY", "not a key ENCRYPTED at all")) == []
+    assert kinds(f"{JWT.rpartition('.')[0]}. x") == []
+    assert kinds(f"{url({'alg': 'none'})}.{url({'a': 1})}.c2ln") == []
+
+
+def test_time_is_linear():
+    for text in ("-----BEGIN RSA PRIVATE KEY-----\n" * 330_000, "-----BEGIN " + "A" * 10_000_000, "A" * 10_000_000, "eyJ" * 3_000_000, ("A" * 64 + "\n") * 150_000, "token" + " " * 10_000_000):
+        began = time.process_time()
+        S.confirmed_spans(text)
+        S.base_spans(text)
+        assert time.process_time() - began < 4
+    lines = "-----BEGIN RSA PRIVATE KEY-----\n" * 330_000
+    began = time.process_time()
+    assert S.armoured(lines) == []
+    assert time.process_time() - began < 1
+
+
+def test_query_against_the_patterns_as_given(spark):
+    """Every whole text of documents by the patterns of the contract, one after the other."""
+    patterns = ((r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 12, 2), (r"AKIA[A-Z0-9]+", 18, 0), (r"[0-9a-f]+", 16, 0))
+    want = {}
+    for d in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
+        spans = [(m.start(), k, m.end()) for k, (p, n, g) in enumerate(patterns) for m in re.finditer(p, d.text or "") if len(m[g]) >= n]
+        told = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        want[d.doc_id] = (*[sum(s[1] == k for s in spans) for k in range(3)], hashlib.sha256(told.encode()).hexdigest(), set(told.split(",")) - {""})
+    rows = S.op9_secret_scan(spark, SMALL).collect()
+    assert len(rows) == len(want) and any(w[4] for w in want.values())
+    for r in rows:
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == want[r.doc_id][:4]
+        assert want[r.doc_id][4] <= set(r.spans.split(","))
+
+
 def test_base_patterns():
     text = "é Token = 'abcdefghijkl' passwd:short AKIAABCDEFGHIJKLMN deadbeefdeadbeef AKIA1 api-key=zzzzzzzzzzzzzz api_key:\"0123456789abcdef0\""
     want = []
