@@ -9,11 +9,13 @@ import tomllib
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from . import serve
 from .functions.ladder import LEVELS
 from .operators import checks, claims
 from .operators.api import Api
-from .operators.export import export
+from .operators.export import export, totals
 from .operators.search import SEARCHED
 from .operators.sql import first_rows, read_only
 from .plans.build import build
@@ -36,7 +38,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--relock", action="store_true")
     p = sub.add_parser("build")
     p.add_argument("raw"), p.add_argument("lock"), p.add_argument("plan", help="TOML with info, morphology and [[editions]]")
-    for name in ("verify", "stats", "exceptions", "tree"):
+    p = sub.add_parser("fetch", help="download declared files that are missing")
+    p.add_argument("declarations"), p.add_argument("raw"), p.add_argument("lock")
+    p.add_argument("--force", action="store_true"), p.add_argument("--relock", action="store_true")
+    p = sub.add_parser("serve", help="payloads over HTTP, on this machine only")
+    p.add_argument("--port", type=int, default=8765)
+    for name in ("verify", "stats", "counters", "exceptions", "tree"):
         sub.add_parser(name)
     p = sub.add_parser("claims")
     p.add_argument("folder")
@@ -69,13 +76,18 @@ def main(argv: list[str] | None = None) -> int:
         wrong = raw.compare(declared, found, spark.createDataFrame([(k, f["sha256"]) for k, f in known.items()], "key string, sha256 string")).collect()
         table([r.asDict() for r in wrong])
         return int(bool(wrong))
+    if a.command == "fetch":
+        raw.fetch(spark, raw.declarations(spark, a.declarations), a.raw, a.lock, a.force, a.relock)
+        return 0
     if a.command == "build":
-        build(spark, a.raw, a.lock, tomllib.loads(Path(a.plan).read_text("utf-8")), a.store)
+        t = build(spark, a.raw, a.lock, tomllib.loads(Path(a.plan).read_text("utf-8")), a.store)
+        table(Api(t).counters())
         return 0
     t = store.read(spark, a.store)
     api = Api(t)
     if a.command == "verify":
-        rows = checks.all_checks(t, {}).collect()
+        expect = json.loads(next((r.value for r in t["build"].filter("key = 'expect'").collect()), "{}"))
+        rows = checks.all_checks(t, expect, expect.get("verses"), expect.get("editions")).collect()
         table([{"ok": "ok" if r.ok else "FAILED", "name": r.name, "detail": r.detail} for r in rows])
         return int(not all(r.ok for r in rows))
     if a.command == "claims":
@@ -84,12 +96,22 @@ def main(argv: list[str] | None = None) -> int:
         return int(not all(r.ok for r in results))
     if a.command == "stats":
         table([{"table": k, "rows": v} for k, v in api.stats().items()])
+        (share,) = t["word_text"].agg((100 * F.count(F.lit(1)) / F.greatest(F.lit(t["word"].count()), F.lit(1))).alias("p")).collect()
+        print(f"{share.p:.2f} % of words aligned")
+    elif a.command == "counters":
+        table(api.counters())
+    elif a.command == "serve":
+        front = serve.server(api, a.port)
+        print(f"http://127.0.0.1:{front.server_port}/")
+        try:
+            front.serve_forever()
+        except KeyboardInterrupt:
+            front.server_close()
     elif a.command == "show":
         table(api.show(a.ref, a.edition or ["uthmani-hafs"], a.level))
     elif a.command == "words":
-        first, last = api.span(a.ref, None)
-        for i in range(first, last + 1):
-            table([{k: w[k] for k in ("position", "text_form", "form", "root", "lemma", "pos")} for w in api.words(i)["words"]])
+        rows = api.words_of(*api.span(a.ref, None)).select("ayah_id", "position", "text_form", "form", "root", "lemma", "pos")
+        table([r.asDict() for r in rows.toLocalIterator()])
     elif a.command == "search":
         got = api.search(a.text, a.level, a.edition)
         table([{"ref": h["ref"], "text": h["raw"]} for h in got["hits"][: max(0, a.limit)]])
@@ -106,7 +128,9 @@ def main(argv: list[str] | None = None) -> int:
         if more:
             print("… more rows")
     elif a.command == "export":
-        table([{"file": k, "bytes": v} for k, v in export(t, a.folder).items()])
+        total, largest = totals(export(t, a.folder))
+        table([{"file": k, "bytes": v} for k, v in largest])
+        print(f"{total} bytes in all")
     else:
         print(json.dumps(getattr(api, a.command)(), ensure_ascii=False, default=str))
     return 0

@@ -1,47 +1,91 @@
 """The six-rung normalization ladder, as Column builders and for plain strings.
 
-Each rung is made from the one before it. Only NFC needs Python (the JVM's
-Unicode tables are older than Python's); everything else stays in Catalyst.
+Each rung is made from the one before it, and each ends in NFC, which needs
+Python (the JVM's Unicode tables are older than Python's). So a row's rungs are
+made in one Arrow call, however many are wanted; text that has no combining
+marks needs none.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 LEVELS = ("raw", "nfc", "plain", "unvocalized", "rasm", "archigraphemic")
 
 
-def points(spec: str) -> str:
-    """The characters of a list of hexadecimal code points and ranges."""
-    out = []
-    for part in spec.split():
-        first, _, last = part.partition("-")
-        out += [chr(c) for c in range(int(first, 16), int(last or first, 16) + 1)]
-    return "".join(out)
-
-
 # Character classes by code point -------------------------------------
-TATWEEL = points("0640")
-INVISIBLE = points("200B-200F 061C 2066-2069 FEFF")
-QURANIC_MARKS = points("0614-0617 06D6-06DE 06E2 06E3 06E8-06ED 08D4-08E2")
-VOWEL_MARKS = points("064B-0652 0656-065F 0670 0618-061A 06E1 06DF 06E0 06E5-06E7 08F0-08F2")
-TANWIN = points("064B 064C 064D 08F0 08F1 08F2")
-ORTHOGRAPHIC_MARKS = points("0653 0654 0655 06E4")
-BARE_HAMZA = points("0621 0674")
-LETTER_VARIANTS = dict(zip(points("06D2 06D3 06CC 06A9"), points("064A 064A 064A 0643"), strict=True))
-HAMZA_CARRIERS = dict(zip(points("0622 0623 0625 0671 0672 0673 0675 0624 0626 0649"), points("0627 0627 0627 0627 0627 0627 0627 0648 064A 0649"), strict=True))
-ARCHI_ANY = dict(zip(points("062C 062E 0630 0632 0634 0636 0638 063A 0641 0642 0629"), points("062D 062D 062F 0631 0633 0635 0637 0639 06A1 06A1 0647"), strict=True))
-ARCHI_NONFINAL = dict.fromkeys(points("0628 062A 062B 0646 064A 0649"), points("066E"))
-ARCHI_FINAL = dict(zip(points("0628 062A 062B 0646 064A 0649"), points("066E 066E 066E 06BA 0649 0649"), strict=True))
-BASE_LETTERS = points("0627 0644 0645 0647 0648 0643 062F 0631 0633 0635 0637 0639 062D 066E 06BA 0649 06A1") + " "
-ALIFS = points("0627 0649")
+TATWEEL = "\u0640"
+INVISIBLE = "\u200b\u200c\u200d\u200e\u200f\u061c\u2066\u2067\u2068\u2069\ufeff"
+QURANIC_MARKS = (
+    "\u0614\u0615\u0616\u0617\u06d6\u06d7\u06d8\u06d9\u06da\u06db\u06dc\u06dd"
+    "\u06de\u06e2\u06e3\u06e8\u06e9\u06ea\u06eb\u06ec\u06ed\u08d4\u08d5\u08d6"
+    "\u08d7\u08d8\u08d9\u08da\u08db\u08dc\u08dd\u08de\u08df\u08e0\u08e1\u08e2"
+)
+VOWEL_MARKS = (
+    "\u064b\u064c\u064d\u064e\u064f\u0650\u0651\u0652\u0656\u0657\u0658\u0659"
+    "\u065a\u065b\u065c\u065d\u065e\u065f\u0670\u0618\u0619\u061a\u06e1\u06df"
+    "\u06e0\u06e5\u06e6\u06e7\u08f0\u08f1\u08f2"
+)
+TANWIN = "\u064b\u064c\u064d\u08f0\u08f1\u08f2"
+ORTHOGRAPHIC_MARKS = "\u0653\u0654\u0655\u06e4"
+BARE_HAMZA = "\u0621\u0674"
+LETTER_VARIANTS = {
+    "\u06d2": "\u064a",  # yeh barree
+    "\u06d3": "\u064a",  # yeh barree with hamza above
+    "\u06cc": "\u064a",  # farsi yeh
+    "\u06a9": "\u0643",  # keheh
+}
+HAMZA_CARRIERS = {
+    "\u0622": "\u0627",  # alef with madda above
+    "\u0623": "\u0627",  # alef with hamza above
+    "\u0625": "\u0627",  # alef with hamza below
+    "\u0671": "\u0627",  # alef wasla
+    "\u0672": "\u0627",  # alef with wavy hamza above
+    "\u0673": "\u0627",  # alef with wavy hamza below
+    "\u0675": "\u0627",  # high hamza alef
+    "\u0624": "\u0648",  # waw with hamza above
+    "\u0626": "\u064a",  # yeh with hamza above
+    "\u0649": "\u0649",  # alef maksura
+}
+ARCHI_ANY = {
+    "\u062c": "\u062d",  # jeem
+    "\u062e": "\u062d",  # khah
+    "\u0630": "\u062f",  # thal
+    "\u0632": "\u0631",  # zain
+    "\u0634": "\u0633",  # sheen
+    "\u0636": "\u0635",  # dad
+    "\u0638": "\u0637",  # zah
+    "\u063a": "\u0639",  # ghain
+    "\u0641": "\u06a1",  # feh
+    "\u0642": "\u06a1",  # qaf
+    "\u0629": "\u0647",  # teh marbuta
+}
+ARCHI_NONFINAL = {
+    "\u0628": "\u066e",  # beh
+    "\u062a": "\u066e",  # teh
+    "\u062b": "\u066e",  # theh
+    "\u0646": "\u066e",  # noon
+    "\u064a": "\u066e",  # yeh
+    "\u0649": "\u066e",  # alef maksura
+}
+ARCHI_FINAL = {
+    "\u0628": "\u066e",  # beh
+    "\u062a": "\u066e",  # teh
+    "\u062b": "\u066e",  # theh
+    "\u0646": "\u06ba",  # noon
+    "\u064a": "\u0649",  # yeh
+    "\u0649": "\u0649",  # alef maksura
+}
+BASE_LETTERS = "\u0627\u0644\u0645\u0647\u0648\u0643\u062f\u0631\u0633\u0635\u0637\u0639\u062d\u066e\u06ba\u0649\u06a1" " "
+ALIFS = "\u0627\u0649"
 # ------------------------------------------------------------------------------------
 
 MARK_CLASSES = {"tatweel": TATWEEL, "invisible": INVISIBLE, "apparatus": QURANIC_MARKS, "vowel": VOWEL_MARKS, "orthographic": ORTHOGRAPHIC_MARKS}
@@ -71,50 +115,86 @@ def _combining() -> str:
 _HEAL = f"([{TANWIN}][{_combining()}]*) ([{ALIFS}])(?= |%s)"
 
 
-@F.pandas_udf(StringType())
-def _nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+def _nfc_text(text: str) -> str:
+    return text if text.isascii() else unicodedata.normalize("NFC", text)
 
 
-def nfc(c: Column) -> Column:
-    return _nfc(c)
+def _without(chars: str) -> Callable[[str], str]:
+    return partial(re.compile(f"[{chars}]+").sub, "")
 
 
-def _table(c: Column, pairs: dict[str, str]) -> Column:
-    return F.translate(c, "".join(pairs), "".join(pairs.values()))
+def _replaced(text: str, pairs: dict[str, str]) -> str:
+    for old, new in pairs.items():  # each a search for one character, far faster than a table
+        if old in text:
+            text = text.replace(old, new)
+    return text
 
 
-def _same(c: Column) -> Column:
-    return c
+_drop_apparatus, _drop_vowels, _drop_signs = map(_without, (_PLAIN_DROP, VOWEL_MARKS, _RASM_DROP))
+_heal_text = partial(re.compile(_HEAL % r"\Z").sub, r"\1\2")
+_inner = partial(re.compile(f"[{_UNEVEN}](?=[^ ])").sub, _SHAPE)
+_OUTER = {x: ARCHI_FINAL[x] for x in _UNEVEN}
 
+#: How a rung is made from the one below it.
+TEXT_STEPS: dict[str, Callable[[str], str]] = {
+    "nfc": _nfc_text,
+    "plain": lambda t: _nfc_text(_heal_text(_drop_apparatus(t))),
+    "unvocalized": lambda t: _nfc_text(_drop_vowels(t)),
+    "rasm": lambda t: _nfc_text(_replaced(_drop_signs(t), _FOLD)),
+    "archigraphemic": lambda t: _nfc_text(_replaced(_inner(_replaced(t, _EVEN)), _OUTER)),
+}
 
-def _heal(c: Column) -> Column:
-    return F.regexp_replace(c, _HEAL % r"\z", "$1$2")
 
+def _climb(text: str | None, steps: Sequence[str]) -> list[str | None]:
+    """The rungs that the steps make one after the other."""
+    out = []
+    for step in steps:
+        text = None if text is None else TEXT_STEPS[step](text)
+        out.append(text)
+    return out
 
-def plain_of_nfc(c: Column, compose: Callable[[Column], Column] = nfc) -> Column:
-    return compose(_heal(F.translate(c, _PLAIN_DROP, "")))
 
+def _last_of(steps: Sequence[str]) -> Callable[[Column], Column]:
+    @F.pandas_udf(StringType())
+    def climb(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _climb(t, steps)[-1])
 
-def unvocalized_of_plain(c: Column, compose: Callable[[Column], Column] = nfc) -> Column:
-    return compose(F.translate(c, VOWEL_MARKS, ""))
+    return climb
 
 
-def rasm_of_unvocalized(c: Column, compose: Callable[[Column], Column] = nfc) -> Column:
-    return compose(_table(F.translate(c, _RASM_DROP, ""), _FOLD))
+def climbed(c: Column, first: str = "nfc") -> Column:
+    """A struct of the rungs from ``first`` on; c is at the rung below it."""
+    steps = LEVELS[LEVELS.index(first) :]
 
+    @F.pandas_udf(StructType([StructField(s, StringType()) for s in steps]))
+    def climb(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_climb(t, steps) for t in texts], columns=list(steps), dtype=object)
 
-def archigraphemic_of_rasm(c: Column, compose: Callable[[Column], Column] = nfc) -> Column:
-    body = F.regexp_replace(_table(c, _EVEN), f"[{_UNEVEN}](?=[^ ])", _SHAPE)
-    return compose(_table(body, {x: ARCHI_FINAL[x] for x in _UNEVEN}))
+    return climb(c)
 
 
-def letters_skeleton(c: Column) -> Column:
-    """The archigraphemic rung of text that is at ``rasm`` and has no combining marks: no Python at all."""
-    return archigraphemic_of_rasm(c, _same)
+STEPS: dict[str, Callable[[Column], Column]] = {step: _last_of((step,)) for step in TEXT_STEPS}
+
+
+def nfc(c: Column) -> Column:
+    return STEPS["nfc"](c)
+
+
+def archigraphemic_of_rasm(c: Column) -> Column:
+    return STEPS["archigraphemic"](c)
 
 
-STEPS: dict[str, Callable[[Column], Column]] = {"nfc": nfc, "plain": plain_of_nfc, "unvocalized": unvocalized_of_plain, "rasm": rasm_of_unvocalized, "archigraphemic": archigraphemic_of_rasm}
+def _table(c: Column, pairs: dict[str, str]) -> Column:
+    return F.translate(c, "".join(pairs), "".join(pairs.values()))
+
+
+def _heal(c: Column) -> Column:
+    return F.regexp_replace(c, _HEAL % r"\z", "$1$2")
+
+
+def letters_skeleton(c: Column) -> Column:
+    """The archigraphemic rung of text that is at ``rasm`` and has no combining marks: no Python at all."""
+    return _table(F.regexp_replace(_table(c, _EVEN), f"[{_UNEVEN}](?=[^ ])", _SHAPE), _OUTER)
 
 
 def known_level(level: str) -> str:
@@ -124,17 +204,24 @@ def known_level(level: str) -> str:
 
 
 def normalize(c: Column, level: str) -> Column:
-    for step in LEVELS[1 : LEVELS.index(known_level(level)) + 1]:
-        c = STEPS[step](c)
-    return c
+    """A text at a rung, in one call."""
+    steps = LEVELS[1 : LEVELS.index(known_level(level)) + 1]
+    return _last_of(steps)(c) if steps else c
 
 
 def with_levels(df, column: str = "raw"):  # noqa: ANN001, ANN201
-    """df with all rungs above ``column`` as columns, each computed from the one before."""
-    for level in LEVELS[1:]:
-        df = df.withColumn(level, STEPS[level](F.col(column)))
-        column = level
-    return df
+    """df with all rungs above ``column`` as columns."""
+    return df.withColumn("_rungs", climbed(F.col(column))).select("*", *[F.col("_rungs")[level].alias(level) for level in LEVELS[1:]]).drop("_rungs")
+
+
+def register(spark, name: str = "rung") -> None:  # noqa: ANN001
+    """Makes rung(text, level) callable from SQL; an unknown level fails."""
+
+    @F.pandas_udf(StringType())
+    def rung(texts: pd.Series, levels: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None or v is None else text_at(t, v) for t, v in zip(texts, levels, strict=True)], dtype=object)
+
+    spark.udf.register(name, rung)
 
 
 def tokens(c: Column) -> Column:
@@ -156,32 +243,13 @@ def unclassified(c: Column) -> Column:
 # The same rungs for a query's own words ----------------------------------------------
 
 
-def _nfc_text(text: str) -> str:
-    return unicodedata.normalize("NFC", text)
-
-
 def text_at(text: str, level: str) -> str:
     """A plain string at a rung; equal to the Column form."""
-    rung = LEVELS.index(known_level(level))
-    if rung >= 1:
-        text = _nfc_text(text)
-    if rung >= 2:
-        text = text.translate(str.maketrans("", "", _PLAIN_DROP))
-        text = _nfc_text(re.sub(_HEAL % r"\Z", r"\1\2", text))
-    if rung >= 3:
-        text = _nfc_text(text.translate(str.maketrans("", "", VOWEL_MARKS)))
-    if rung >= 4:
-        text = _nfc_text(text.translate(str.maketrans("", "", _RASM_DROP)).translate(str.maketrans(_FOLD)))
-    if rung >= 5:
-        words = text.translate(str.maketrans(_EVEN)).split(" ")
-        last = str.maketrans({c: ARCHI_FINAL[c] for c in _UNEVEN})
-        inner = str.maketrans(dict.fromkeys(_UNEVEN, _SHAPE))
-        text = _nfc_text(" ".join(w[:-1].translate(inner) + w[-1:].translate(last) for w in words))
-    return text
+    return [text, *_climb(text, LEVELS[1 : LEVELS.index(known_level(level)) + 1])][-1]
 
 
 def all_levels(text: str) -> dict[str, str]:
-    return {level: text_at(text, level) for level in LEVELS}
+    return dict(zip(LEVELS, [text, *_climb(text, LEVELS[1:])], strict=True))
 
 
 def tokenize_text(text: str, level: str = "plain") -> list[str]:

@@ -54,13 +54,18 @@ class Api:
         rows = self._texts(edition).filter(F.col("ayah_id").between(first, last)).join(self.t["v_ayah"].select(F.col("id").alias("ayah_id"), "ref"), "ayah_id")
         return {"ref": ref, "edition": edition, "ayahs": _dicts(rows.select("ayah_id", "ref", *LEVELS).orderBy("ayah_id"))}
 
-    def words(self, ayah_id: int = 1) -> dict:
-        own = self.t["word"].filter(F.col("ayah_id") == int(ayah_id))
+    def words_of(self, first: int, last: int) -> DataFrame:
+        """The words of a span of ayahs, with the reference's spelling and their segments."""
+        own = self.t["word"].filter(F.col("ayah_id").between(int(first), int(last)))
         reference = self.t["edition"].filter("is_reference = 1").select(F.col("id").alias("edition_id"))
         spelled = self.t["word_text"].join(F.broadcast(reference), "edition_id", "left_semi").select("word_id", F.col("form").alias("text_form"))
-        parts = self.t["segment"].groupBy("word_id").agg(F.array_sort(F.collect_list(F.struct("position", "form", "pos", "tag", "root", "lemma", "features"))).alias("segments"))
+        mine = self.t["segment"].join(own.select(F.col("id").alias("word_id")), "word_id", "left_semi")
+        parts = mine.groupBy("word_id").agg(F.array_sort(F.collect_list(F.struct("position", "form", "pos", "tag", "root", "lemma", "features"))).alias("segments"))
         rows = own.join(spelled, own["id"] == spelled["word_id"], "left").drop("word_id").join(parts, own["id"] == parts["word_id"], "left").drop("word_id")
-        return {"ayah_id": int(ayah_id), "words": _dicts(rows.orderBy("position"))}
+        return rows.orderBy("ayah_id", "position")
+
+    def words(self, ayah_id: int = 1) -> dict:
+        return {"ayah_id": int(ayah_id), "words": _dicts(self.words_of(ayah_id, ayah_id))}
 
     def apparatus(self, ayah_id: int = 1) -> dict:
         editions = self.t["edition"].select(F.col("id").alias("edition_id"), "slug", "riwayah")
@@ -84,7 +89,8 @@ class Api:
     def search(self, q: str = "", level: str = "rasm", edition: str = "uthmani-hafs") -> dict:
         if level not in search.SEARCHED or not q.strip():
             return {"q": q, "level": level, "total": 0, "hits": []}
-        hits = search.phrase(self._texts(edition), q, level).join(self.t["v_ayah"].select(F.col("id").alias("ayah_id"), "ref"), "ayah_id")
+        texts = self._texts(edition).join(search.indexed(self.t["postings"], q, level), ["edition_id", "ayah_id"], "left_semi")
+        hits = texts.join(self.t["v_ayah"].select(F.col("id").alias("ayah_id"), "ref"), "ayah_id")
         return {"q": q, "level": level, "total": hits.count(), "hits": _dicts(hits.select("ayah_id", "ref", "raw", F.col(level).alias("text")).orderBy("ayah_id").limit(MOST_HITS))}
 
     def roots(self, q: str = "") -> dict:
@@ -104,27 +110,37 @@ class Api:
     def tree(self) -> dict:
         readings = self.t["edition"].filter("kind = 'quran' and orthography = 'uthmani'").select(F.col("id").alias("edition_id"), "slug", "riwayah")
         texts = self.t["ayah_text"].join(F.broadcast(readings), "edition_id").select(F.col("edition_id").alias("edition"), F.col("ayah_id").alias("unit"), "rasm")
-        far = distance.matrix(texts)
+        far = _dicts(distance.intensity(distance.matrix(texts)))  # at most a row a pair of declared editions
         slugs = {r.edition_id: r for r in readings.orderBy("edition_id").collect()}
         name = lambda i: slugs[i].slug
-        near = distance.nearest(far).collect()
+        near = {a: min((r["distance"], r["b"]) for r in far if r["a"] == a and r["b"] != a) for a in slugs if any(r["a"] == a != r["b"] for r in far)}
         return {
             "editions": [{"slug": r.slug, "riwayah": r.riwayah} for r in slugs.values()],
-            "distance": {f"{name(r.a)}|{name(r.b)}": r.distance for r in far.collect()},
-            "nearest": {name(r.a): {"slug": name(r.nearest), "distance": r.distance} for r in near},
-            "pairs": sorted({tuple(sorted((name(r.a), name(r.nearest)))) for r in near}),
+            "distance": {f"{name(r['a'])}|{name(r['b'])}": r["distance"] for r in far},
+            "intensity": {f"{name(r['a'])}|{name(r['b'])}": r["intensity"] for r in far},
+            "nearest": {name(a): {"slug": name(b), "distance": d} for a, (d, b) in near.items()},
+            "pairs": sorted({tuple(sorted((name(a), name(b)))) for a, (_, b) in near.items()}),
         }
 
     def variants(self, ref: str, every: bool = False) -> list[dict]:
         first, last = self.span(ref, None)
         rows = self.t["variant"].filter(F.col("ayah_id").between(first, last))
         rows = rows if every else rows.filter("same_rasm = 0")
-        return _dicts(rows.join(F.broadcast(self.t["edition"].select(F.col("id").alias("edition_id"), "slug", "riwayah")), "edition_id").orderBy("ayah_id", "edition_id", "id"))
+        flag = F.when(F.col("same_rasm") == 1, "same rasm").when(F.col("same_archi") == 1, "same undotted").otherwise("different")
+        return _dicts(rows.join(F.broadcast(self.t["edition"].select(F.col("id").alias("edition_id"), "slug", "riwayah")), "edition_id").withColumn("flag", flag).orderBy("ayah_id", "edition_id", "id"))
 
     def show(self, ref: str, editions: list[str], level: str = "raw") -> list[dict]:
         known_level(level)
         first, last = self.span(ref, None)
-        return [r for e in editions for r in _dicts(self._texts(e).filter(F.col("ayah_id").between(first, last)).select("slug", "ayah_id", F.col(level).alias("text")).orderBy("ayah_id"))]
+        wanted = self.t["edition"].filter(F.col("slug").isin(*editions)).select(F.col("id").alias("edition_id"), "slug")
+        rows = self.t["ayah_text"].filter(F.col("ayah_id").between(first, last)).join(F.broadcast(wanted), "edition_id")
+        return sorted(_dicts(rows.select("slug", "ayah_id", F.col(level).alias("text"))), key=lambda r: (editions.index(r["slug"]), r["ayah_id"]))
+
+    def counters(self) -> list[dict]:
+        """Texts, and consonantal and vocalic variants, of every edition."""
+        editions = self.t["edition"].select(F.col("id").alias("edition_id"), "slug")
+        texts = self.t["ayah_text"].groupBy("edition_id").agg(F.count(F.lit(1)).alias("ayahs"))
+        return _dicts(variants.counters(self.t["variant"], editions).join(texts, "edition_id", "left").orderBy("edition_id"))
 
     def stats(self) -> dict[str, int]:
         return {n: self.t[n].count() for n in ("surah", "ayah", "edition", "ayah_text", "word", "segment", "segment_feature", "word_text", "spine_exception", "root", "lemma", "variant")}

@@ -69,7 +69,9 @@ def shaped(rows: list) -> Any:
 
 def check(spark: SparkSession, claim: Claim) -> Result:
     try:
-        actual = shaped(read_only(spark, claim.query).collect())
+        # as many rows as were expected, and one more to tell that there are more
+        most = max(1, len(claim.expect)) if isinstance(claim.expect, list) else 1
+        actual = shaped(read_only(spark, claim.query).limit(most + 1).collect())
     except (PySparkException, ValueError) as error:
         return Result(claim, False, None, str(error).splitlines()[0])
     return Result(claim, actual == claim.expect, actual)

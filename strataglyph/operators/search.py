@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,15 +51,29 @@ def phrase(texts: DataFrame, text: str, level: str = "rasm", column: str | None
     return texts.filter(F.contains(hay, F.lit(f" {' '.join(wanted)} ")))
 
 
-def postings(texts: DataFrame, key: str, column: str) -> DataFrame:
+def postings(texts: DataFrame, key: str | list[str], column: str) -> DataFrame:
     """(term, key, pos): an inverted index, for stores that are searched often."""
-    return texts.select(F.col(key), F.posexplode(terms(F.col(column))).alias("pos", "term")).select("term", key, "pos")
+    keys = [key] if isinstance(key, str) else key
+    return texts.select(*keys, F.posexplode(terms(F.col(column))).alias("pos", "term")).select("term", *keys, "pos")
 
 
-def phrase_by_postings(index: DataFrame, wanted: list[str], key: str) -> DataFrame:
+def stored_postings(ayah_text: DataFrame) -> DataFrame:
+    """The index of every rung that is searched: level, term, edition_id, ayah_id, pos."""
+    each = [postings(ayah_text, ["edition_id", "ayah_id"], level).withColumn("level", F.lit(level)) for level in SEARCHED]
+    return reduce(DataFrame.unionByName, each)
+
+
+def phrase_by_postings(index: DataFrame, wanted: list[str], key: str | list[str]) -> DataFrame:
     """Keys that hold the tokens side by side: each token's postings, shifted to the first one's place, meet in one grouped count."""
+    keys = [key] if isinstance(key, str) else key
     if not wanted:
-        return index.select(key).filter(F.lit(False))
+        return index.select(*keys).filter(F.lit(False))
     places = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(i).alias("i")) for i, w in enumerate(wanted)])
-    shifted = index.filter(F.col("term").isin(*set(wanted))).withColumn("x", F.explode(F.filter(places, lambda p: p["w"] == F.col("term")))).select(key, (F.col("pos") - F.col("x.i")).alias("begin"), F.col("x.i").alias("i"))
-    return shifted.groupBy(key, "begin").agg(F.count_distinct("i").alias("n")).filter(F.col("n") == len(wanted)).select(key).distinct()
+    shifted = index.filter(F.col("term").isin(*set(wanted))).withColumn("x", F.explode(F.filter(places, lambda p: p["w"] == F.col("term")))).select(*keys, (F.col("pos") - F.col("x.i")).alias("begin"), F.col("x.i").alias("i"))
+    return shifted.groupBy(*keys, "begin").agg(F.count_distinct("i").alias("n")).filter(F.col("n") == len(wanted)).select(*keys).distinct()
+
+
+def indexed(index: DataFrame, text: str, level: str) -> DataFrame:
+    """(edition_id, ayah_id) that have the phrase, by the stored index; an unknown rung has none."""
+    wanted = needle_terms(text, level) if level in SEARCHED else []
+    return phrase_by_postings(index.filter(F.col("level") == level), wanted, ["edition_id", "ayah_id"])

@@ -4,18 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Consecutive values of an order that are numbered together.
+STRIPE = 100_000
+
+
+def _within_stripes(rows: DataFrame, group: str, order: str, value: Column) -> DataFrame:
+    """Adds _earlier: the sum of value over the rows of the group that come before, by an integer order without ties.
+
+    A group is cut into stripes of the order, which are summed where they are;
+    a window holds one stripe, or one group's stripes.
+    """
+    striped = rows.withColumn("_stripe", F.floor(F.col(order) / STRIPE)).withColumn("_value", value)
+    sums = striped.groupBy(group, "_stripe").agg(F.sum("_value").alias("_sum"))
+    upto = Window.partitionBy(group).orderBy("_stripe").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(F.col(group).alias("_g"), F.col("_stripe").alias("_s"), F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_before_stripe"))
+    inside = Window.partitionBy(group, "_stripe").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = striped.join(before, F.col(group).eqNullSafe(F.col("_g")) & F.col("_stripe").eqNullSafe(F.col("_s")))
+    return joined.withColumn("_earlier", (F.col("_before_stripe") + F.coalesce(F.sum("_value").over(inside), F.lit(0))).cast("long")).drop("_g", "_s", "_stripe", "_value", "_before_stripe")
+
+
 def dense_ids(rows: DataFrame, group: str, order: Sequence[str], number: str, ident: str) -> DataFrame:
     """Adds ``number``, from 1 within each group in order, and ``ident``, from 1 over groups in their order.
 
-    Only the groups' counts are summed in one place; rows are numbered group by
-    group.
+    Only the groups' counts are summed in one place. Rows are numbered stripe by
+    stripe where their order is one integer column, else group by group.
     """
-    numbered = rows.withColumn(number, F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    if len(order) == 1 and dict(rows.dtypes)[order[0]] in ("int", "bigint", "smallint", "tinyint"):
+        numbered = _within_stripes(rows, group, order[0], F.lit(1)).withColumn(number, (F.col("_earlier") + 1).cast("int")).drop("_earlier")
+    else:
+        numbered = rows.withColumn(number, F.row_number().over(Window.partitionBy(group).orderBy(*order)))
     return numbered.join(before_groups(rows, group), group).withColumn(ident, (F.col("_before") + F.col(number)).cast("long")).drop("_before", "_count")
 
 
@@ -36,11 +58,11 @@ def child_spans(children: DataFrame, parent: str, ident: str, prefix: str) -> Da
     return children.groupBy(parent).agg(F.min(ident).alias(f"{prefix}_start"), F.max(ident).alias(f"{prefix}_end"))
 
 
-def offsets(texts: DataFrame, edition: str, order: str, text: str = "plain") -> DataFrame:
-    """Adds char_start and char_end in the text of an edition whose units are joined by single newlines, in order."""
-    earlier = Window.partitionBy(edition).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length(text) + 1).over(earlier), F.lit(0)).cast("long")
-    return texts.withColumn("char_start", start).withColumn("char_end", F.col("char_start") + F.length(text))
+def offsets(texts: DataFrame, edition: str, order: str, length: Column | None = None) -> DataFrame:
+    """Adds char_start and char_end in the text of an edition whose units are joined by single newlines, in order (an integer column). length: of a unit's text, by default of ``plain``."""
+    length = F.length("plain") if length is None else length
+    placed = _within_stripes(texts.withColumn("_length", length), edition, order, F.col("_length") + 1)
+    return placed.withColumn("char_start", F.col("_earlier")).withColumn("char_end", F.col("_earlier") + F.col("_length")).drop("_earlier", "_length")
 
 
 def token_rows(texts: DataFrame, keys: Sequence[str], text: str = "plain") -> DataFrame:

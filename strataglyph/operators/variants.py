@@ -9,17 +9,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ladder import archigraphemic_of_rasm
+from ..functions.ladder import TEXT_STEPS
 
-_ROWS = "ayah_id long, edition_id long, block int, k int, op string, ref_position int, ref_text string, var_text string, ref_rasm string, var_rasm string, same_rasm int"
+_ROWS = "ayah_id long, edition_id long, block int, k int, op string, ref_position int, ref_text string, var_text string, same_rasm int, same_archi int"
 
 
 def opcodes(ref: list[str], var: list[str]) -> list[tuple[str, int, int, int, int]]:
     return SequenceMatcher(None, ref, var, autojunk=False).get_opcodes()
 
 
-def _differences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _realigned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of units whose rasm differs."""
     names = [c.split()[0] for c in _ROWS.split(", ")]
+    skeleton = TEXT_STEPS["archigraphemic"]
     for batch in batches:
         out = []
         for row in batch.itertuples():
@@ -31,12 +33,12 @@ def _differences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     for k in range(i2 - i1):
                         a, b = ref[i1 + k], var[j1 + k]
                         if a[0] != b[0]:
-                            out.append((row.ayah_id, row.edition_id, block, k, "replace", a[2] + 1, a[0], b[0], a[1], b[1], 1))
+                            out.append((row.ayah_id, row.edition_id, block, k, "replace", a[2] + 1, a[0], b[0], 1, 1))
                 else:
                     a, b = ref[i1:i2], var[j1:j2]
                     at = ref[i1][2] if i1 < len(ref) else len(row.ref_plain)
                     join = lambda ts, k: " ".join(t[k] for t in ts)
-                    out.append((row.ayah_id, row.edition_id, block, 0, op, at + 1, join(a, 0), join(b, 0), join(a, 1), join(b, 1), 0))
+                    out.append((row.ayah_id, row.edition_id, block, 0, op, at + 1, join(a, 0), join(b, 0), 0, int(skeleton(join(a, 1)) == skeleton(join(b, 1)))))
         yield pd.DataFrame(out, columns=names)
 
 
@@ -44,12 +46,21 @@ def differences(pairs: DataFrame) -> DataFrame:
     """Variant rows of pairs: ayah_id, edition_id, ref_plain, ref_rasm, var_plain, var_rasm (arrays, position by position).
 
     Units are aligned on their rasm. Inside an equal block each token spelled
-    otherwise is a row with same_rasm = 1; any other block is one row.
+    otherwise is a row with same_rasm = 1; any other block is one row. Units
+    whose rasm is equal throughout, which most are, never leave the JVM.
     """
-    changed = pairs.filter(F.col("ref_plain") != F.col("var_plain"))
-    rows = changed.select("ayah_id", "edition_id", "ref_plain", "ref_rasm", "var_plain", "var_rasm").mapInPandas(_differences, _ROWS)
-    skeleton: Column = (archigraphemic_of_rasm(F.col("ref_rasm")) == archigraphemic_of_rasm(F.col("var_rasm"))).cast("int")
-    return rows.withColumn("same_archi", F.when(F.col("same_rasm") == 1, 1).otherwise(skeleton)).drop("ref_rasm", "var_rasm")
+    changed = pairs.filter(F.col("ref_plain") != F.col("var_plain")).select("ayah_id", "edition_id", "ref_plain", "ref_rasm", "var_plain", "var_rasm")
+    alike = F.col("ref_rasm") == F.col("var_rasm")
+    spelled = F.expr("filter(transform(ref_rasm, (r, i) -> struct(i + 1 as place, ref_plain[i] as a, var_plain[i] as b, r as r)), x -> x.r <> '')")
+    tokens = changed.filter(alike).select("ayah_id", "edition_id", F.posexplode(spelled).alias("k", "x")).filter("x.a <> x.b")
+    vocalic = tokens.select(F.col("ayah_id").cast("long").alias("ayah_id"), F.col("edition_id").cast("long").alias("edition_id"), F.lit(0).alias("block"), "k", F.lit("replace").alias("op"), F.col("x.place").alias("ref_position"), F.col("x.a").alias("ref_text"), F.col("x.b").alias("var_text"), F.lit(1).alias("same_rasm"), F.lit(1).alias("same_archi"))
+    return vocalic.unionByName(changed.filter(~alike).mapInPandas(_realigned, _ROWS))
+
+
+def counters(rows: DataFrame, editions: DataFrame) -> DataFrame:
+    """How many consonantal and vocalic variants every edition (edition_id, slug) has."""
+    of = lambda flag: F.count(F.when(F.col("same_rasm") == flag, 1))
+    return editions.select("edition_id", "slug").join(rows.groupBy("edition_id").agg(of(0).alias("consonantal"), of(1).alias("vocalic")), "edition_id", "left").na.fill(0, ["consonantal", "vocalic"])
 
 
 def numbered(rows: DataFrame) -> DataFrame:

@@ -11,8 +11,31 @@ from pyspark.sql import functions as F
 
 from .. import __version__
 from ..functions.ladder import LEVELS, archigraphemic_of_rasm, normalize, tokens, with_levels
-from ..operators import align, digest, lexicon, morphology, spine, variants
+from ..operators import align, digest, lexicon, morphology, search, spine, variants
 from ..sources import raw, store
+from .canon import EXPECTED
+
+
+class BuildError(ValueError):
+    """Sources that don't make a complete store."""
+
+
+def refuse_incomplete(surah: DataFrame, expect: dict) -> None:
+    """Fails unless the chapters and their verses are as many as expected."""
+    found = {r.number: r.ayah_count for r in surah.select("number", "ayah_count").collect()}  # a row a chapter
+    if "surahs" in expect and len(found) != expect["surahs"]:
+        raise BuildError(f"{len(found)} chapters, expected {expect['surahs']}")
+    wanted = dict(enumerate(expect.get("verses", ()), 1))
+    if wrong := [f"chapter {n}: {found.get(n)} verses, expected {wanted.get(n)}" for n in sorted(found | wanted) if found.get(n) != wanted.get(n)] if wanted else []:
+        raise BuildError("; ".join(wrong))
+
+
+def refuse_partial_editions(ayah_text: DataFrame, edition: DataFrame, ayahs: int) -> None:
+    """Fails unless every edition has a text for every ayah."""
+    counts = ayah_text.groupBy(F.col("edition_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    short = edition.join(counts, "id", "left").select("slug", F.coalesce("n", F.lit(0)).alias("n")).filter(F.col("n") != ayahs).orderBy("slug").collect()
+    if short:
+        raise BuildError("; ".join(f"edition {r.slug}: {r.n} ayahs, expected {ayahs}" for r in short))
 
 
 def spine_tables(surah: DataFrame, verse: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -50,7 +73,11 @@ def build(spark: SparkSession, root: str, lock_path: str, plan: dict, out: str)
 
     plan: ``info`` and ``morphology`` (keys of the lock), and ``editions``, each
     with key, slug and what else the edition table has; one has is_reference.
+    ``expect`` has the numbers of a complete store (those of ``canon`` by
+    default); sources that don't reach them are refused, and verify reads them
+    again from the store.
     """
+    expect = plan.get("expect", EXPECTED)
     lock = json.loads(Path(lock_path).read_text("utf-8"))
     read = lambda key: raw.text_of(raw.content(spark, root, key, lock))
 
@@ -66,7 +93,10 @@ def build(spark: SparkSession, root: str, lock_path: str, plan: dict, out: str)
         one = raw.edition(read(e["key"])).withColumn("edition_id", F.lit(i).cast("long"))
         verses = one if verses is None else verses.unionByName(one)
     surah, ayah, edition, _ = saved(surah=surah, ayah=ayah, edition=edition, source=raw.source_rows(spark, lock))
+    refuse_incomplete(surah, expect)
     (ayah_text,) = saved(ayah_text=edition_texts(verses, ayah))
+    refuse_partial_editions(ayah_text, edition, ayah.count())
+    saved(postings=search.stored_postings(ayah_text))
     places = ayah.select("surah", F.col("number").alias("verse"), F.col("id").alias("ayah_id"))
     found = raw.morphology(read(plan["morphology"])).join(places, ["surah", "verse"], "left").withColumn("ayah_id", F.coalesce("ayah_id", F.raise_error(F.lit("morphology off the spine")).cast("long")))
     word, segment, feature = morphology.compile_words(found)
@@ -86,7 +116,7 @@ def build(spark: SparkSession, root: str, lock_path: str, plan: dict, out: str)
     roots = lexicon.roots(placed)
     saved(root=roots.withColumn("archigraphemic", archigraphemic_of_rasm(normalize(F.col("text"), "rasm"))), lemma=lexicon.lemmas(placed), variant=variants.numbered(variants.differences(variant_pairs(ayah_text, edition))))
     store.write({name: spark.createDataFrame([], kind) for name, kind in store.EMPTY.items()}, out)
-    contents = {name: spark.read.parquet(f"{out}/{name}") for name in store.TABLES if name != "build"}
-    meta = {"version": __version__, "built_at": datetime.now(UTC).isoformat(timespec="seconds"), "sources_lock": raw.sha256_file(lock_path), "content_digest": digest.content_digest(contents), "levels": ",".join(LEVELS)}
+    contents = {name: spark.read.parquet(f"{out}/{name}") for name in store.TABLES if name not in ("build", "postings")}
+    meta = {"version": __version__, "built_at": datetime.now(UTC).isoformat(timespec="seconds"), "sources_lock": raw.sha256_file(lock_path), "content_digest": digest.content_digest(contents), "levels": ",".join(LEVELS), "expect": json.dumps(expect | {"editions": [e["slug"] for e in plan["editions"]]})}
     store.write({"build": spark.createDataFrame(list(meta.items()), "key string, value string")}, out)
     return store.read(spark, out)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import shutil
 import tomllib
+import urllib.request
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -58,6 +60,37 @@ def write_lock(declared: DataFrame, found: DataFrame, path: str) -> dict:
     return lock
 
 
+def download(url: str, path: Path, seconds: float = 120) -> None:
+    """Fetches a file; it takes its place only when it is whole."""
+    path.parent.mkdir(parents=True, exist_ok=True)
+    part = path.with_name(path.name + ".part")
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": "strataglyph"}), timeout=seconds) as answer, part.open("wb") as out:
+            shutil.copyfileobj(answer, out)
+    except OSError as error:
+        part.unlink(missing_ok=True)
+        raise SourceError(f"{url}: {error}") from error
+    part.replace(path)
+
+
+def fetch(spark: SparkSession, declared: DataFrame, root: str, lock_path: str, force: bool = False, relock: bool = False) -> dict:
+    """Fetches declared files that are missing (with force, all), compares them with the lock and gives it; with relock, or without a lock, they are locked anew."""
+    for r in declared.orderBy("key").collect():
+        path = Path(root, r.local)
+        if force:
+            path.unlink(missing_ok=True)
+        if not path.exists():
+            download(r.url, path)
+    found = digests(spark, root)
+    if relock or not Path(lock_path).exists():
+        return write_lock(declared, found, lock_path)
+    lock = json.loads(Path(lock_path).read_text("utf-8"))
+    known = spark.createDataFrame([(k, f["sha256"]) for k, f in lock["files"].items()], "key string, sha256 string")
+    if wrong := compare(declared, found, known).filter("problem = 'changed'").orderBy("key").collect():
+        raise SourceError("not what was locked: " + ", ".join(r.key for r in wrong))
+    return write_lock(declared, found, lock_path) if set(lock["files"]) != {r.key for r in declared.collect()} else lock
+
+
 def source_rows(spark: SparkSession, lock: dict) -> DataFrame:
     rows = [(key, f["source"], f["repo"], f["commit"], f["path"], f["url"], f["sha256"], f["bytes"], f.get("license")) for key, f in lock["files"].items()]
     return spark.createDataFrame(rows, "id string, source_set string, repo string, commit_sha string, path string, url string, sha256 string, bytes long, license string")
@@ -67,7 +100,8 @@ def content(spark: SparkSession, root: str, key: str, lock: dict) -> DataFrame:
     """One row with the file's content; it fails as it is read if the bytes are not the locked ones."""
     if key not in lock["files"]:
         raise SourceError(f"{key} is not in the lock")
-    if not Path(root, key).exists():
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{key}")  # root may lie in any store that Spark reads
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         raise SourceError(f"{key} is not there")
     same = F.assert_true(F.sha2("content", 256) == lock["files"][key]["sha256"], F.lit(f"{key} is not what was locked"))
     return spark.read.format("binaryFile").load(f"{root}/{key}").withColumn("_ok", same).select(F.decode(F.col("content"), "UTF-8").alias("text"), "_ok")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,18 +12,47 @@ from pyspark.sql import functions as F
 
 from ..operators.sql import register
 
-TABLES = ("build", "source", "surah", "ayah", "edition", "ayah_text", "word", "segment", "segment_feature", "word_text", "spine_exception", "root", "lemma", "variant", "annotation_layer", "annotation")
+TABLES = ("build", "source", "surah", "ayah", "edition", "ayah_text", "word", "segment", "segment_feature", "word_text", "spine_exception", "root", "lemma", "variant", "annotation_layer", "annotation", "postings")
 EMPTY = {
     "annotation_layer": "id long, slug string, title string, description string, author string, method string, created_at string",
     "annotation": "id long, layer_id long, word_start long, word_end long, edition_id long, key string, value string, confidence double, evidence string, created_at string",
 }
 #: Columns by which a table's files are sorted, so that point lookups skip row groups.
-SORTED = {"ayah_text": ["edition_id", "ayah_id"], "word": ["archigraphemic"], "word_text": ["edition_id", "word_id"], "variant": ["ayah_id"], "segment": ["word_id"], "root": ["text"]}
+SORTED = {"ayah_text": ["edition_id", "ayah_id"], "word": ["archigraphemic"], "word_text": ["edition_id", "word_id"], "variant": ["ayah_id"], "segment": ["word_id"], "root": ["text"], "postings": ["level", "term", "edition_id", "ayah_id"]}
+
+
+#: What the tables hold: a compiled table that lacks a column or has one of another kind is not written.
+SCHEMA = {
+    "build": "key string, value string",
+    "source": "id string, source_set string, repo string, commit_sha string, path string, url string, sha256 string, bytes long, license string",
+    "surah": "number int, name_ar string, name_en string, name_translit string, revelation_place string, ayah_count long, ayah_start long, ayah_end long",
+    "ayah": "id long, surah int, number int, juz int, manzil int, page int, ruku int, maqra int, sajda int",
+    "edition": "id long, slug string, name string, language string, kind string, riwayah string, orthography string, is_reference int, source_id string, note string",
+    "ayah_text": "edition_id long, ayah_id long, raw string, nfc string, plain string, unvocalized string, rasm string, archigraphemic string, char_start long, char_end long, token_count int",
+    "word": "id long, ayah_id long, position int, form string, root string, lemma string, pos string, rasm string, segment_count int, archigraphemic string",
+    "segment": "id long, word_id long, position int, form string, pos string, tag string, root string, lemma string, features string",
+    "segment_feature": "segment_id long, key string, value string",
+    "word_text": "word_id long, edition_id long, form string, char_start long, char_end long",
+    "spine_exception": "ayah_id long, edition_id long, text_tokens int, corpus_words int, detail struct<text:array<string>,corpus:array<string>>",
+    "root": "text string, letters int, word_count long, lemma_count long, surah_count long, first_word_id long, archigraphemic string",
+    "lemma": "text string, root string, word_count long",
+    "variant": "id long, ayah_id long, edition_id long, op string, ref_position int, ref_text string, var_text string, same_rasm int, same_archi int",
+    "postings": "level string, term string, edition_id long, ayah_id long, pos int",
+} | EMPTY
+
+
+def declared(df: DataFrame, name: str) -> DataFrame:
+    """df with the columns that its table declares, in their order and kinds (and any others behind them)."""
+    wanted = [c.split(" ", 1) for c in re.split(r", (?![^<]*>)", SCHEMA[name])]
+    if missing := [c for c, _ in wanted if c not in df.columns]:
+        raise ValueError(f"{name} lacks {', '.join(missing)}")
+    return df.select(*[F.col(c).cast(kind).alias(c) for c, kind in wanted], *[c for c in df.columns if c not in {w for w, _ in wanted}])
 
 
 def write(tables: dict[str, DataFrame], folder: str) -> None:
     for name, df in tables.items():
-        ordered = df.sortWithinPartitions(*SORTED[name]) if name in SORTED else df
+        ready = declared(df, name) if name in SCHEMA else df
+        ordered = ready.sortWithinPartitions(*SORTED[name]) if name in SORTED else ready
         ordered.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
@@ -47,7 +78,21 @@ def read(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 def write_json(payload: object, path: str) -> int:
     """Compact JSON with its characters as they are; returns the size in bytes."""
-    data = json.dumps(payload, ensure_ascii=False, separators=(",", ":"), default=str).encode()
+    return write_text(iter([json.dumps(payload, ensure_ascii=False, separators=(",", ":"), default=str)]), path)
+
+
+def write_text(parts: Iterator[str], path: str) -> int:
+    size = 0
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_bytes(data)
-    return len(data)
+    with open(path, "wb") as f:
+        for part in parts:
+            size += f.write(part.encode())
+    return size
+
+
+def json_rows(df: DataFrame) -> Iterator[str]:
+    """A JSON list of df's rows, made on the executors; the driver holds one partition at a time."""
+    yield "["
+    for k, row in enumerate(df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("r")).toLocalIterator()):
+        yield ("," if k else "") + row.r
+    yield "]"

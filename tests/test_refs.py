@@ -4,8 +4,19 @@ from pyspark.sql import functions as F
 from strataglyph.functions import features as ft
 from strataglyph.functions import refs as R
 
-GOOD = {"Q2:255": "Q2:255", "2:255": "Q2:255", "q2:255": "Q2:255", "Q112": "Q112", "Q2:255:1": "Q2:255:1", "Q2:255:1:2": "Q2:255:1:2", "٢:٢٥٥": "Q2:255", " 3:4 ": "Q3:4"}
-BAD = ["Q0:1", "Q115:1", "Q2:0", "nonsense", "", "Q2:-1", "Q1:2:3:4:5"]
+def spellings():
+    """Every depth of a reference in several spellings, with what it is shown as; and texts that are none."""
+    for depth, parts in enumerate(((78,), (36, 58), (18, 9, 4), (24, 35, 17, 2)), 1):
+        shown = "Q" + ":".join(map(str, parts))
+        bare = shown[1:]
+        for text in (shown, bare, f"q{bare}", f"\t{shown} ", bare.translate(str.maketrans("0123456789", "٠١٢٣٤٥٦٧٨٩"))):
+            yield text, shown, R.PARTS[depth - 1]
+    for text in ("Q114:0", "114:6:0", "7:1:2:0", "0", "999:1", "Q120", "one:2", "5:", ":5", "Q", "5:+1", "1:2:3:4:", "9:1:1:1:1", "4.5", "   "):
+        yield text, None, None
+
+
+GOOD = {t: shown for t, shown, _ in spellings() if shown}
+BAD = [t for t, shown, _ in spellings() if not shown]
 
 
 def test_strings_and_columns_agree(spark):
@@ -21,20 +32,16 @@ def test_strings_and_columns_agree(spark):
                 R.Ref.parse(row.t)
 
 
-@pytest.mark.parametrize(("text", "start", "end"), [("Q2:255-257", "Q2:255", "Q2:257"), ("Q2:285-3:1", "Q2:285", "Q3:1"), ("Q5", "Q5", "Q5")])
-def test_ranges(text, start, end):
-    r = R.RefRange.parse(text)
-    assert (str(r.start), str(r.end)) == (start, end)
-    assert R.RefRange.parse(str(r)) == r
-
-
-def test_bad_ranges():
-    with pytest.raises(R.RefError):
-        R.RefRange.parse("Q3:1-2:1")
-    with pytest.raises(R.RefError):
-        R.RefRange.parse("Q2:255:1-4")  # only the surah is taken over, so this runs back to 2:4
+def test_ranges():
+    for text, start, end in (("Q36:1-12", "Q36:1", "Q36:12"), ("9:128-10:3", "Q9:128", "Q10:3"), ("Q55-57", "Q55", "Q57"), ("Q80", "Q80", "Q80")):
+        r = R.RefRange.parse(text)
+        assert (str(r.start), str(r.end)) == (start, end)
+        assert R.RefRange.parse(str(r)) == r
+    for text in ("Q40:8-40:7", "Q12-11", "Q16:90:2-5"):  # of a word, only the surah is taken over, so the last runs back to 16:5
+        with pytest.raises(R.RefError):
+            R.RefRange.parse(text)
     with pytest.raises(R.RefError):
-        R.Ref(2, None, 5)
+        R.Ref(6, None, 1)
 
 
 def test_features(spark):

@@ -1,14 +1,19 @@
 import hashlib
 import json
+import threading
+import urllib.error
+import urllib.request
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from strataglyph.operators import checks, claims, digest, export, search, variants
+from strataglyph import serve
+from strataglyph.operators import checks, claims, digest, display, distance, export, search, variants
 from strataglyph.operators.api import Api
 from strataglyph.operators.sql import first_rows, read_only
-from strataglyph.plans.build import build
+from strataglyph.plans.build import BuildError, build, refuse_partial_editions
+from strataglyph.plans.canon import EXPECTED
 from strataglyph.sources import raw, store
 from strataglyph.streaming.recheck import recheck
 
@@ -45,7 +50,7 @@ def made(spark, tmp_path_factory):
         path.write_text(text, "utf-8")
         lock["files"][key] = {"source": key[0], "repo": "r", "commit": "c", "path": key, "url": "u", "sha256": hashlib.sha256(text.encode()).hexdigest(), "bytes": len(text.encode()), "license": None}
     (top / "lock.json").write_text(json.dumps(lock), "utf-8")
-    plan = {"info": "a/info.json", "morphology": "m/morph.tsv", "editions": [{"key": "a/one.json", "slug": "uthmani-hafs", "riwayah": "hafs", "orthography": "uthmani", "is_reference": True}, {"key": "a/two.json", "slug": "uthmani-warsh", "riwayah": "warsh", "orthography": "uthmani"}]}
+    plan = {"info": "a/info.json", "morphology": "m/morph.tsv", "editions": [{"key": "a/one.json", "slug": "uthmani-hafs", "riwayah": "hafs", "orthography": "uthmani", "is_reference": True}, {"key": "a/two.json", "slug": "uthmani-warsh", "riwayah": "warsh", "orthography": "uthmani"}], "expect": {"surahs": 2, "ayahs": 4, "words": 8, "segments": 9, "exceptions": 1, "aligned_percent": 70, "verses": [2, 2]}}
     tables = build(spark, str(root), str(top / "lock.json"), plan, str(top / "out"))
     return top, root, lock, tables, plan
 
@@ -162,7 +167,90 @@ def test_only_queries(spark, made):
 def test_export(made, tmp_path):
     sizes = export.export(made[3], str(tmp_path))
     assert set(sizes) == {"meta", "ayahs", "variants", "skeletons", "roots", "words"}
-    assert len(json.loads((tmp_path / "words.json").read_text("utf-8"))) == 8
+    read = {n: json.loads((tmp_path / f"{n}.json").read_text("utf-8")) for n in sizes}
+    assert len(read["words"]) == 8 and len(read["ayahs"]) == 4
+    assert [r["ayah_id"] for r in read["variants"]["rows"]] == [2, 4] and read["variants"]["vocalic"] == [{"ayah_id": 1, "vocalic": 1}]
+    assert sizes == {n: (tmp_path / f"{n}.json").stat().st_size for n in sizes}
+    assert export.totals({"a": 1, "b": 5, "c": 3}, 2) == (9, [("b", 5), ("c", 3)])
+
+
+def test_incomplete_sources_are_refused(spark, made):
+    top, root, _, _, plan = made
+    for wrong, said in (({"surahs": 3}, "2 chapters, expected 3"), ({"verses": [2, 3]}, "chapter 2: 2 verses, expected 3"), (EXPECTED, "2 chapters, expected 114")):
+        with pytest.raises(BuildError, match=said):
+            build(spark, str(root), str(top / "lock.json"), {**plan, "expect": wrong}, str(top / "refused"))
+    short = made[3]["ayah_text"].filter("edition_id = 1 or ayah_id > 1")
+    with pytest.raises(BuildError, match="uthmani-warsh: 3 ayahs, expected 4"):
+        refuse_partial_editions(short, made[3]["edition"], 4)
+    assert sum(EXPECTED["verses"]) == EXPECTED["ayahs"] and len(EXPECTED["verses"]) == EXPECTED["surahs"]
+
+
+def test_tables_have_what_they_declare(made):
+    for name in store.TABLES:
+        assert made[3][name].schema == store.declared(made[3][name], name).schema
+    with pytest.raises(ValueError, match="root lacks letters"):
+        store.declared(made[3]["root"].drop("letters"), "root")
+
+
+def test_search_index(made):
+    t = made[3]
+    for level in search.SEARCHED:
+        for phrase in ("الله", "قال", "ما قال", "بسم الله", "جري"):
+            direct = {(r.edition_id, r.ayah_id) for r in search.phrase(t["ayah_text"], phrase, level).collect()}
+            assert {(r.edition_id, r.ayah_id) for r in search.indexed(t["postings"], phrase, level).collect()} == direct
+    assert search.indexed(t["postings"], "الله", "plain").count() == 0
+
+
+def test_counters(made):
+    assert [(r["slug"], r["ayahs"], r["consonantal"], r["vocalic"]) for r in Api(made[3]).counters()] == [("uthmani-hafs", 4, 0, 0), ("uthmani-warsh", 4, 2, 1)]
+
+
+def test_fetch(spark, tmp_path):
+    up = tmp_path / "up"
+    up.mkdir()
+    (up / "x.json").write_text("1")
+    row = lambda url: spark.createDataFrame([("a/x.json", "a", "github-raw", "r", "c", "x.json", None, url, "a/x.json")], "key string, source string, kind string, repo string, commit string, path string, license string, url string, local string")
+    declared, root, lock = row((up / "x.json").as_uri()), str(tmp_path / "raw"), str(tmp_path / "lock.json")
+    first = raw.fetch(spark, declared, root, lock)
+    assert raw.fetch(spark, declared, root, lock) == first and first["files"]["a/x.json"]["bytes"] == 1
+    (up / "x.json").write_text("22")
+    assert raw.fetch(spark, declared, root, lock) == first  # it is there already
+    with pytest.raises(raw.SourceError, match="not what was locked"):
+        raw.fetch(spark, declared, root, lock, force=True)
+    assert raw.fetch(spark, declared, root, lock, relock=True)["files"]["a/x.json"]["bytes"] == 2
+    with pytest.raises(raw.SourceError, match="gone"):
+        raw.fetch(spark, row((up / "gone.json").as_uri()), str(tmp_path / "none"), lock)
+    assert not list((tmp_path / "none").rglob("*.part"))
+
+
+def test_server(made):
+    front = serve.server(Api(made[3]), 0)
+    threading.Thread(target=front.serve_forever, daemon=True).start()
+    get = lambda path: urllib.request.urlopen(f"http://127.0.0.1:{front.server_port}{path}").read().decode()
+    try:
+        assert "/api/ladder" in get("/")
+        assert len(json.loads(get("/api/ladder?ref=Q1"))["ayahs"]) == 2
+        assert "error" in json.loads(get("/api/ladder?ref=Q9:1"))
+        with pytest.raises(urllib.error.HTTPError):
+            get("/api/stats")
+    finally:
+        front.shutdown()
+        front.server_close()
+
+
+def test_display(spark):
+    df = spark.createDataFrame([("كِتَابٌۖ x", "Q2:3:4"), (None, None), ("", "Q1")], "t string, ref string")
+    rows = df.select(display.tinted(F.col("t")).alias("runs"), display.ayah_of(F.col("ref")).alias("a")).collect()
+    assert "".join(r.text for r in rows[0].runs) == "كِتَابٌۖ x" and [r["class"] for r in rows[0].runs] == [None, "vowel", None, "vowel", None, "vowel", "apparatus", None]
+    assert [r.a for r in rows] == ["Q2:3", None, "Q1"] and rows[1].runs is None and rows[2].runs == []
+
+
+def test_distances(spark):
+    texts = {"a": "xyz", "b": "xyw", "c": "qyw"}
+    df = spark.createDataFrame([(e, i, ch) for e, t in texts.items() for i, ch in enumerate(t)] + [("d", 7, "x")], "edition string, unit int, rasm string")
+    got = {(r.a, r.b): (r.distance, r.intensity) for r in distance.intensity(distance.matrix(df)).collect()}
+    want = {(a, b): sum(x != y for x, y in zip(texts[a], texts[b], strict=True)) for a in texts for b in texts}
+    assert got == {k: (n, 1 - n / 2) for k, n in want.items()} | {("d", "d"): (0, 1.0)}
 
 
 def test_verified_reads(spark, made):
@@ -227,6 +315,8 @@ def test_command_line(made, capsys):
 
     at = ["--store", str(made[0] / "out")]
     assert cli.main([*at, "stats"]) == 0
+    assert cli.main([*at, "verify"]) == 0
+    assert cli.main([*at, "counters"]) == 0
     assert cli.main([*at, "show", "Q1:1", "--level", "rasm"]) == 0
     assert cli.main([*at, "words", "Q1:1"]) == 0
     assert cli.main([*at, "search", "الله"]) == 0
