@@ -20,8 +20,9 @@ open in several of them meet where they share two, and then three. What is left
 is confirmed in the same rounds.
 
 Two sets of similarity 0.75 share no first minhash in any of 12 trees once in
-10^7 times, and fewer than two or three, which matters in crowded regions only,
-once in 10^5 times. Nothing else loses a link.
+10^7 times; fewer than two of them three times in 10^6, and fewer than three
+four times in 10^5, which matters in crowded regions only. Nothing else loses a
+link.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ TREES, DEPTH = 12, 8
 ORDER = 4 + 2 * (DEPTH - 1)
 SKETCH = TREES * DEPTH // 2
 #: Neighbours that a walk sees each way, what it asks of a sketch (of 1) to emit a pair (five deviations below a linked one), and the most alike ones that it emits.
-WALK, MAYBE, BEST = 96, 0.55, 6
+WALK, MAYBE, BEST = 96, 0.55, 3
 #: The walk ends at one partner with the first agreement, or at the third with the second.
 SURE, LIKELY = 0.86, 0.8
 #: Pairs of a component that a round confirms, best first; the last round takes all that are left.
