@@ -3,20 +3,24 @@
 A string of SPAN bytes that occurs twice has the same leftmost least GRAM-byte
 hash in both places, so only suffixes that start at such anchors need sorting,
 and only with suffixes at anchors of the same hash. The starts that share an
-anchor are a segment. Segments with equal bytes are one class, repeated as a
-whole. Where an anchor has unlike segments, these are sorted by the suffixes
-from the anchor on: a mergesort whose comparisons find the common extension by
-binary search over prefix polynomial hashes. Extensions to the right of sorted
-neighbours and to the left of the anchor bound which strings two segments
-share; the bytes themselves confirm that before anything is removed. Anchors
-with very many unlike segments are settled by grouping the digests of their
-strings instead, which partial aggregation spreads over the cluster.
+anchor are a segment. Segments with equal digests are one class, repeated as a
+whole: each text's runs of such segments are compared, byte by byte, with the
+text that stands for their classes, and a difference ends the attempt, which is
+made again with other hashes. Where an anchor has unlike segments, these are
+sorted by the suffixes from the anchor on: a mergesort whose comparisons find
+the common extension by binary search over prefix polynomial hashes. Extensions
+to the right of sorted neighbours and to the left of the anchor bound which
+strings two segments share; the bytes themselves confirm that before anything
+is removed. Anchors with very many unlike segments, whose pairs would be too
+many, are settled exactly by grouping 128-bit BLAKE2b digests of their strings
+instead, which partial aggregation spreads over the cluster. Equal texts are
+told by 120 bits of SHA-256.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +37,15 @@ WIDTH = SPAN - GRAM + 1
 CHUNK = 1 << 20
 #: Unlike segments of an anchor up to which they are sorted in one task.
 BUCKET = 32
+#: Strings that are asked of a text in one row.
+ASKED = 2_000
 #: Rows up to which a table of longs is broadcast.
 BROADCAST_ROWS = 1_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LOW = np.uint64((1 << 24) - 1)
 _powers: dict[str, np.ndarray] = {}
+#: 16 bytes from a string and a seed.
+Digest = Callable[[bytes, int], bytes]
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +75,7 @@ def _sliding_least(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def segments(data: bytes) -> tuple[np.ndarray, ...]:
+def segments(data: bytes, seed: int = 0, digest: Digest = xxhash.xxh3_128_digest) -> tuple[np.ndarray, ...]:
     """Runs of starts with one anchor: anchor's hash, two words of digest, first start, last start, anchor. Together they hold every start of SPAN bytes once."""
     up, down = _tables()
     out: list[tuple[np.ndarray, ...]] = []
@@ -82,7 +90,7 @@ def segments(data: bytes) -> tuple[np.ndarray, ...]:
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         last = np.append(first[1:], len(at)) - 1
         anchor = at[first].astype(np.int64)
-        digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[begin + a : begin + b]) for a, b in zip(first.tolist(), (last + SPAN).tolist(), strict=True)), np.int64).reshape(-1, 2)
+        digests = np.frombuffer(b"".join(digest(view[begin + a : begin + b], seed) for a, b in zip(first.tolist(), (last + SPAN).tolist(), strict=True)), np.int64).reshape(-1, 2)
         place = _mixed((anchor - first).astype(np.uint64) << np.uint64(32) | (last - first).astype(np.uint64)).view(np.int64)
         out.append((grams[anchor].view(np.int64), digests[:, 0] ^ place, digests[:, 1], first + begin, last + begin, anchor + begin))
     if not out:
@@ -206,7 +214,7 @@ def shared_starts(bucket: np.ndarray, contexts: list[bytes], anchor: np.ndarray,
 _SEGMENTS = "a long, g1 long, g2 long, k1 long, k2 long, first long, last long, at long"
 
 
-def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _segment_rows(batches: Iterator[pa.RecordBatch], seed: int, digest: Digest) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in _SEGMENTS.split(", ")]
     for batch in batches:
         parts: list[list[np.ndarray]] = [[] for _ in names]
@@ -215,7 +223,7 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             value = data.as_py()
             if len(value) < SPAN:
                 continue
-            a, g1, g2, first, last, at = segments(value)
+            a, g1, g2, first, last, at = segments(value, seed, digest)
             n = len(a)
             for part, x in zip(parts, (a, g1, g2, np.full(n, k1.as_py()), np.full(n, k2.as_py()), first, last, at), strict=True):
                 part.append(x)
@@ -227,18 +235,29 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], names=names)
 
 
+#: What is asked of a text, all but k1 and k2: the bytes of an unlike segment (its anchor and digest), or those to be compared with a run of another text.
+_ASKED = "unlike boolean, a long, g1 long, g2 long, many boolean, m1 long, m2 long, first long, last long, at long, begin long"
+_CUT = "unlike boolean, a long, g1 long, g2 long, many boolean, k1 long, k2 long, first long, starts long, anchor long, bytes binary"
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the segments (a, g1, g2, first, last, at) of each text."""
-    names = ["a", "g1", "g2", "many", "k1", "k2", "first", "starts", "anchor", "bytes"]
-    kinds = [pa.int64()] * 3 + [pa.bool_()] + [pa.int64()] * 5 + [pa.binary()]
+    """The bytes that are asked of each text: from begin to as far as the starts first to last reach."""
+    names = [c.split()[0] for c in _CUT.split(", ")]
+    kinds = [{"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}[c.split()[1]] for c in _CUT.split(", ")]
     for batch in batches:
         rows: list[list] = [[] for _ in names]
-        for k1, k2, data, found in zip(*batch.columns, strict=True):
+        size = 0
+        for data, found in zip(*batch.columns, strict=True):
             value = data.as_py()
             for x in found.as_py():
-                row = (x["a"], x["g1"], x["g2"], x["many"], k1.as_py(), k2.as_py(), x["first"], x["last"] - x["first"] + 1, x["at"] - x["first"], value[x["first"] : x["last"] + SPAN])
+                starts = x["last"] - x["first"] + 1
+                row = (x["unlike"], x["a"], x["g1"], x["g2"], x["many"], x["m1"], x["m2"], x["first"], starts, x["at"] - x["first"], value[x["begin"] : x["begin"] + starts - 1 + SPAN])
+                size += len(row[-1])
                 for column, v in zip(rows, row, strict=True):
                     column.append(v)
+            if size > 1 << 23:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=names)
+                rows, size = [[] for _ in names], 0
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=names)
 
 
@@ -283,53 +302,93 @@ def _few(df: DataFrame, rows: int, nested: str | None = None) -> DataFrame:
     return F.broadcast(df) if size <= rows else df
 
 
-def removed(space: Workspace, texts: DataFrame) -> DataFrame:
-    """(k1, k2, spans): for each text (k1, k2, data) with repeats, its maximal runs of bytes to remove, sorted."""
-    every = space.save(texts.mapInArrow(_segment_rows, _SEGMENTS), "segments")
+def _islands(runs: DataFrame, by: list[str], gap: int) -> DataFrame:
+    """Adds the number of the island that each run (first, last) of by lies in: runs that overlap, or are ``gap`` apart at most, share one."""
+    order = Window.partitionBy(*by).orderBy("first", "last")
+    before = runs.withColumn("before", F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    return before.withColumn("island", F.sum(F.coalesce((F.col("first") > F.col("before") + gap).cast("int"), F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("before")
+
+
+def removed(space: Workspace, texts: DataFrame, seed: int = 0, digest: Digest = xxhash.xxh3_128_digest) -> tuple[DataFrame, DataFrame]:
+    """(k1, k2, spans): for each text (k1, k2, data) with repeats, its maximal runs of bytes to remove, sorted; and (k1, k2, same): what the bytes of some of them have to be for that."""
+    every = space.save(texts.mapInArrow(lambda batches: _segment_rows(batches, seed, digest), _SEGMENTS), "segments")
     common = space.save(every.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a"), "anchors")
     rows = space.save(every.join(_few(common, BROADCAST_ROWS), "a"), "shared")
     space.drop("segments")
     key = ["a", "g1", "g2"]
     classes = space.save(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k1", "k2", "first", "last", "at")).alias("x")), "classes")
-    whole = rows.join(classes.filter("c > 1").select(*key), key).select("k1", "k2", "first", "last")
+    # runs of starts that are repeated as a whole, and where the text that stands for their classes has them
+    stands = classes.filter("c > 1").select(*key, F.col("x.k1").alias("r1"), F.col("x.k2").alias("r2"), F.col("x.first").alias("rfirst"))
+    whole = rows.join(stands, key).select("k1", "k2", "r1", "r2", (F.col("rfirst") - F.col("first")).alias("shift"), "first", "last").distinct()
+    by = ["k1", "k2", "r1", "r2", "shift"]
+    whole = space.save(_islands(whole, by, 1).groupBy(*by, "island").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("island"), "whole")
     kinds = classes.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("a", (F.col("kinds") > BUCKET).alias("many"))
-    unlike = classes.join(kinds, "a").select("x.k1", "x.k2", F.struct(*key, "many", "x.first", "x.last", "x.at").alias("s")).groupBy("k1", "k2").agg(F.collect_list("s").alias("found"))
-    unlike = space.save(unlike, "unlike")
-    # copies of one text give the same contexts; one of each is enough
-    held = texts.join(_few(unlike, BROADCAST_ROWS // 2, "found"), ["k1", "k2"]).select("k1", "k2", "data", "found")
-    context = "a long, g1 long, g2 long, many boolean, k1 long, k2 long, first long, starts long, anchor long, bytes binary"
-    contexts = space.save(held.mapInArrow(_contexts, context), "contexts").dropDuplicates(key)
-    bucketed = contexts.filter("not many").repartition("a").sortWithinPartitions("a").mapInArrow(_sorted_buckets, "k1 long, k2 long, first long, last long")
-    strings = contexts.filter("many").mapInArrow(_digests, "d1 long, d2 long, k1 long, k2 long, first long")
+    none = F.lit(None).cast("long")
+    unlike = classes.join(kinds, "a").select("x.k1", "x.k2", F.struct(F.lit(True).alias("unlike"), *key, "many", F.col("x.k1").alias("m1"), F.col("x.k2").alias("m2"), "x.first", "x.last", "x.at", F.col("x.first").alias("begin")).alias("s"))
+    other = whole.filter("r1 <> k1 or r2 <> k2 or shift <> 0")
+    compare = other.select(F.col("r1").alias("k1"), F.col("r2").alias("k2"), F.struct(F.lit(False).alias("unlike"), *[none.alias(c) for c in key], F.lit(False).alias("many"), F.col("k1").alias("m1"), F.col("k2").alias("m2"), "first", "last", F.col("first").alias("at"), (F.col("first") + F.col("shift")).alias("begin")).alias("s"))
+    asked = space.save(unlike.unionByName(compare), "asked")
+    # a text that stands for very many others is asked in parts
+    sizes = asked.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"))
+    dealt = asked.join(sizes, ["k1", "k2"]).withColumn("part", F.pmod(F.xxhash64("s.m1", "s.first", "s.a"), F.ceil(F.col("n") / ASKED)).cast("int"))
+    lists = dealt.groupBy("k1", "k2", "part").agg(F.collect_list("s").alias("found"))
+    # copies of one text would give the same bytes; one of each is enough
+    wanted = space.save(asked.select("k1", "k2").distinct(), "wanted")
+    one = texts.join(_few(wanted, BROADCAST_ROWS), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("data").alias("data"))
+    contexts = space.save(lists.join(one, ["k1", "k2"]).select("data", "found").mapInArrow(_contexts, _CUT), "contexts")
+    space.drop("asked")
+    segments_ = contexts.filter("unlike").drop("unlike")
+    bucketed = segments_.filter("not many").repartition("a").sortWithinPartitions("a").mapInArrow(_sorted_buckets, "k1 long, k2 long, first long, last long")
+    strings = segments_.filter("many").mapInArrow(_digests, "d1 long, d2 long, k1 long, k2 long, first long")
     twice = strings.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("d1", "d2")
     crowded = strings.join(twice, ["d1", "d2"]).select("k1", "k2", "first", F.col("first").alias("last"))
-    runs = whole.unionByName(bucketed).unionByName(crowded).distinct()
-    # gaps and islands: runs that overlap or touch become one
-    order = Window.partitionBy("k1", "k2").orderBy("first", "last")
-    ends = runs.select("k1", "k2", "first", (F.col("last") + SPAN).alias("last")).withColumn("before", F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    islands = ends.withColumn("island", F.sum(F.coalesce((F.col("first") > F.col("before")).cast("int"), F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = islands.groupBy("k1", "k2", "island").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    return space.save(merged.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans")), "spans")
+    runs = whole.select("k1", "k2", "first", "last").unionByName(bucketed).unionByName(crowded).distinct()
+    ends = runs.select("k1", "k2", "first", (F.col("last") + SPAN).alias("last"))
+    merged = _islands(ends, ["k1", "k2"], 0).groupBy("k1", "k2", "island").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    spans = space.save(merged.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans")), "spans")
+    return spans, contexts.filter("not unlike").groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "bytes")).alias("same"))
 
 
-def dedup(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+class Collision(RuntimeError):
+    """Strings of equal digests differ."""
+
+
+def dedup(docs: DataFrame, keep_text: bool = False, seed: int = 0, digest: Digest = xxhash.xxh3_128_digest) -> DataFrame:
     """One row a row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with keep_text the remaining text (bytes).
 
-    A null text is empty. Rows that repeat are copies of each other, so texts
-    of SPAN bytes or more lose everything. Texts shorter than SPAN stay whole.
+    A null text is empty, and a null doc_id stays null. Rows that repeat are
+    copies of each other, so texts of SPAN bytes or more lose everything. Texts
+    shorter than SPAN stay whole, and longer ones are taken whole, CHUNK by
+    CHUNK. Which of equal strings comes first makes no difference, as all go. An
+    empty table gives no rows. Other columns play no part, whatever their names.
     """
-    space = Workspace(docs.sparkSession, "repeats")
+    for turn in range(seed, seed + 4):
+        space = Workspace(docs.sparkSession, "repeats")
+        try:
+            return space.save(_dedup(space, docs, keep_text, turn, digest), "result")
+        except Exception as error:
+            if Collision.__name__ not in str(error):
+                raise
+    raise Collision("four sets of hashes collided")
+
+
+def _dedup(space: Workspace, docs: DataFrame, keep_text: bool, seed: int, digest: Digest) -> DataFrame:
     data = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(1), data).alias("k1"), F.xxhash64(F.lit(2), data).alias("k2"), data.cast("binary").alias("data"))
-    spans = removed(space, texts.select("k1", "k2", "data"))
-    joined = texts.join(_few(spans, BROADCAST_ROWS // 2, "spans"), ["k1", "k2"], "left").select("doc_id", "data", "spans")
+    name = F.sha2(data, 256)
+    number = lambda at: F.conv(F.substring(name, at, 15), 16, 10).cast("long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), number(1).alias("k1"), number(16).alias("k2"), data.cast("binary").alias("data"))
+    spans, same = removed(space, texts.select("k1", "k2", "data"), seed, digest)
+    joined = texts.join(_few(spans, BROADCAST_ROWS // 2, "spans"), ["k1", "k2"], "left").join(same, ["k1", "k2"], "left").select("doc_id", "data", "spans", "same")
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * keep_text)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[] for _ in schema]
-            for doc_id, value, found in zip(*batch.columns, strict=True):
+            for doc_id, value, found, expected in zip(*batch.columns, strict=True):
                 whole, cut = value.as_py(), found.as_py() or []
+                for x in expected.as_py() or []:
+                    if whole[x["first"] : x["first"] + len(x["bytes"])] != x["bytes"]:
+                        raise Collision(doc_id.as_py())
                 kept, at = [], 0
                 for x in cut:
                     kept.append(whole[at : x["first"]])

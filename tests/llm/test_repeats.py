@@ -3,8 +3,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
+import xxhash
 
-from strataglyph.llm.repeats import SPAN, _Prefixes, dedup, segments, suffix_order
+from strataglyph.llm.repeats import CHUNK, SPAN, _dedup, _Prefixes, dedup, segments, suffix_order
+from strataglyph.llm.workspace import Workspace
 
 
 def brute(texts):
@@ -35,6 +38,37 @@ def test_against_brute_force(spark):
     assert dedup(df.limit(3), keep_text=True).columns[-1] == "kept"
 
 
+def test_digests_that_collide_are_noticed(spark):
+    r = random.Random(7)
+    s = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    hot = [s(230) for _ in range(8)]  # segments of one anchor and one shape, but of other bytes around it
+    texts = [s(350) + h + s(350) for h in hot for _ in range(4)] + [s(20) + hot[0] * 2 + s(9), s(7) + hot[0] * 2]
+
+    def weak(data, seed):
+        return xxhash.xxh3_128_digest(bytes(data), seed) if seed else len(data).to_bytes(16)
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for digest in (xxhash.xxh3_128_digest, weak):
+        got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in dedup(df, digest=digest).collect()}
+        assert [got[i] for i in range(len(texts))] == brute(texts)
+    space = Workspace(spark, "t")
+    with pytest.raises(Exception, match="Collision"):
+        _dedup(space, df, False, 0, weak).collect()
+
+
+def test_a_text_longer_than_a_chunk(spark):
+    r = random.Random(9)
+    body = bytes(r.choice(b"0123456789abcdefghijklmnopqrstuv") for _ in range(CHUNK + 300_000)).decode()
+    passage = body[CHUNK - 500 : CHUNK + 500]
+    text = body[: CHUNK + 200_000] + passage + body[CHUNK + 200_000 :]
+    other = "x" + body[1000:1500]
+    df = spark.createDataFrame([(1, text), (2, other)], "doc_id long, text string")
+    got = {x.doc_id: x for x in dedup(df).collect()}
+    left = text[:1000] + text[1500 : CHUNK - 500] + text[CHUNK + 500 : CHUNK + 200_000] + text[CHUNK + 201_000 :]
+    assert (got[1].n_removed, got[1].n_spans, got[1].kept_sha256) == (2500, 3, hashlib.sha256(left.encode()).hexdigest())
+    assert (got[2].n_removed, got[2].n_spans) == (500, 1)
+
+
 def test_segments_cover_every_start_once():
     r = random.Random(1)
     data = bytes(r.choice(b"abc") for _ in range(5000))
