@@ -117,15 +117,20 @@ def held_out() -> Column:
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> dict:
-    """The model from the ``sample`` labelled rows, not held out, of least hash of doc_id."""
+    """The model from the ``sample`` labelled rows, not held out, of least hash of doc_id (of rows that share one, of text). No more rows are taken, however often a doc_id repeats."""
     spark = docs.sparkSession
     space = Workspace(spark, "langid")
     open_rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     h = F.xxhash64(F.lit(11), F.col("doc_id"))
-    cut = open_rows.select(h.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    least = open_rows.select(h.alias("h")).orderBy("h").limit(sample)
+    cut = least.agg(F.max("h")).first()[0]
     if cut is None:
         return {"langs": [], "weights": np.zeros((DIM, 0), np.float32), "bias": np.zeros(0), "temperature": 1.0}
-    chosen = open_rows.filter(h <= cut).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), (F.pmod(h, F.lit(5)) != 0).alias("fits"))
+    below = least.filter(F.col("h") < cut).count()
+    text = F.col("text").cast("string")
+    known = open_rows.select(text.alias("text"), F.col("lang").cast("string").alias("lang"), h.alias("h"), (F.pmod(h, F.lit(5)) != 0).alias("fits"))
+    last = known.filter(F.col("h") == cut).orderBy(F.xxhash64("text"), "lang").limit(sample - below)
+    chosen = known.filter(F.col("h") < cut).unionByName(last).select("text", "lang", "fits")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -145,7 +150,14 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> dict:
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row. Null texts and texts without a letter are ``und``, with score 0."""
+    """doc_id, held_out, lang_pred, score for every row.
+
+    Null texts and texts without a letter are ``und``, with score 0; so are all
+    texts where nothing was learnt. Whole texts are scored, of any length. Ties
+    go to the first lang by name. Rows that repeat are scored alike; a null
+    doc_id stays null. An empty table gives no rows. Other columns play no part,
+    whatever their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .workspace import Workspace, table
 
 #: Labelled rows that the classifier is fitted on, and documents of them in which a word must be to count.
-SAMPLE, LEAST = 4000, 12
-ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 3.0, 0.01, 8
+SAMPLE, LEAST = 4000, 5
+ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 4.0, 0.01, 12
 TARGETS = ("quality", "toxic")
 #: Rows of site sums up to which they are broadcast.
 BROADCAST_ROWS = 20_000
@@ -111,11 +111,16 @@ def score(model: dict | None, text: str | None) -> list[float]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None:
-    """The classifier from the ``sample`` labelled documents of least hash of doc_id; None without any."""
+    """The classifier from the ``sample`` labelled documents of least hash of doc_id; None without any.
+
+    A document of several rows is learnt from one of them, so that no more than
+    ``sample`` rows are. One that any label calls toxic, or bad, counts as such.
+    """
     h = F.xxhash64(F.lit(13), F.col("doc_id"))
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull())
     chosen = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("quality"), F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(h).limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "quality", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -138,7 +143,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | No
 def _attach(rows: DataFrame, small: DataFrame, key: list[str]) -> DataFrame:
     if small.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(small), key)
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(32)).cast("int"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "own_quality"), F.lit(32)).cast("int"))
     return salted.join(small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31)))), [*key, "salt"]).drop("salt")
 
 
@@ -165,7 +170,10 @@ def posteriors(docs: DataFrame, model: dict | None, host: Column, path: Column)
     """One row a row of docs: doc_id, own_, site_ and final probabilities of TARGETS, kept.
 
     A null host or path is a site like any other. Null and empty texts are
-    scored as texts without words. kept: quality at least one half, and toxic
+    scored as texts without words, texts of any length as a whole. Rows that
+    repeat are scored alike and each counts in its site; a null doc_id stays
+    null. An empty table gives no rows. Columns of docs other than doc_id, text
+    and those of host and path play no part, whatever their names. kept: quality at least one half, and toxic
     below it; without labelled rows every probability is one half and all are
     kept.
     """

@@ -1,8 +1,10 @@
 """Language identification and the quality classifier: held-out accuracy and edges."""
 
+import math
 import random
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from strataglyph.llm import langid, sites
@@ -28,6 +30,132 @@ def test_language_held_out(spark):
     assert one["langs"] == ["en"]
 
 
+def plain_grams(text):
+    """Features of a text one n-gram after the other."""
+    mask = (1 << 64) - 1
+    text = f" {text.lower()} "
+    for n in langid.ORDERS:
+        for i in range(len(text) - n + 1):
+            h = n
+            for ch in text[i : i + n]:
+                h = (h + ord(ch)) * 0x9E3779B97F4A7C15 & mask
+                h ^= h >> 29
+            yield h >> 7 & langid.DIM - 1
+
+
+def test_predictions_against_plain_sums(spark):
+    """Every text of documents, by a dictionary of weights and one n-gram after the other."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = langid.learn(docs)
+    got = {r.doc_id: r for r in langid.op2_language_id(spark, SMALL).collect()}
+    rows = docs.select("doc_id", "text").orderBy(F.length("text")).limit(150).collect()
+    for d in rows:
+        text = d.text or ""
+        if not any(ch.isalpha() for ch in text):
+            assert (got[d.doc_id].lang_pred, got[d.doc_id].score) == ("und", 0.0)
+            continue
+        grams = list(plain_grams(text))
+        logits = [(sum(float(model["weights"][g, k]) for g in grams) / len(grams) + model["bias"][k]) / model["temperature"] for k in range(len(model["langs"]))]
+        odds = [math.exp(x - max(logits)) for x in logits]
+        best = odds.index(max(odds))
+        assert got[d.doc_id].lang_pred == model["langs"][best]
+        assert abs(got[d.doc_id].score - odds[best] / sum(odds)) < 1e-4
+
+
+def test_training_against_plain_updates(monkeypatch):
+    """Follow-the-regularised-leader, coordinate by coordinate."""
+    monkeypatch.setattr(langid, "DIM", 64)
+    r = random.Random(2)
+    rows = []
+    for k in range(40):
+        ids = np.array(sorted(r.sample(range(0 if k % 2 else 20, 40 if k % 2 else 60), 6)))
+        share = np.array([r.random() for _ in ids])
+        rows.append((ids, share / share.sum(), "ab"[k % 2], True))
+    got = langid.train(rows)
+    idf = [math.log((1 + len(rows)) / (1 + sum(i in x[0] for x in rows))) + 1 for i in range(64)]
+    z, n, bias, bias_n = np.zeros((64, 2)), np.zeros((64, 2)), [0.0, 0.0], [0.0, 0.0]
+
+    def weight(i, c):
+        if abs(z[i, c]) <= langid.L1:
+            return 0.0
+        return -(z[i, c] - math.copysign(langid.L1, z[i, c])) / ((langid.BETA + math.sqrt(n[i, c])) / langid.ALPHA + langid.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(langid.EPOCHS):
+        for k in order.permutation(len(rows)):
+            ids, share, lang, _ = rows[k]
+            x = {int(i): float(v) * idf[i] * langid.SCALE for i, v in zip(ids, share, strict=True)}
+            w = {(i, c): weight(i, c) for i in x for c in (0, 1)}
+            logits = [sum(v * w[i, c] for i, v in x.items()) + bias[c] for c in (0, 1)]
+            odds = [math.exp(v - max(logits)) for v in logits]
+            for c in (0, 1):
+                p = odds[c] / sum(odds) - ("ab"[c] == lang)
+                for i, v in x.items():
+                    g = v * p
+                    z[i, c] += g - (math.sqrt(n[i, c] + g * g) - math.sqrt(n[i, c])) / langid.ALPHA * w[i, c]
+                    n[i, c] += g * g
+                bias_n[c] += p * p
+                bias[c] -= 0.1 * p / (1 + math.sqrt(bias_n[c]))
+    want = np.array([[weight(i, c) * idf[i] * langid.SCALE for c in (0, 1)] for i in range(64)])
+    assert np.allclose(got["weights"], want, rtol=1e-4, atol=1e-5) and np.allclose(got["bias"], bias)
+    assert (want == 0).any() and (want != 0).any()
+
+
+def test_samples_are_bounded_by_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(k % 7, f"text {k} of words", "ab"[k % 2]) for k in range(400)], "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(langid.Workspace, "save", lambda self, df, name: seen.append(df.count()) or df)
+    langid.learn(docs, 50)
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(7)], "doc_id long, quality int, toxic int")
+    sites.learn(docs, labels, 5)
+    assert seen == [50, 5]
+
+
+def test_clashing_names_long_and_repeated_texts(spark):
+    long = "the of and to in " * 60_000
+    rows = [(1, long, "en", "h", 1, "x"), (1, long, "en", "h", 2, "y"), (2, "le la les des", "fr", "h", 3, None), (None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, host string, score int, own_quality string")
+    model = langid.learn(df.filter("lang is not null"), 10)
+    got = langid.predict(df, model).collect()
+    assert len(got) == 4 and len({(r.lang_pred, r.score) for r in got if r.doc_id == 1}) == 1
+    own = sites.posteriors(df, None, F.col("host"), F.col("lang")).collect()
+    assert len(own) == 4 and all(r.kept and r.quality == 0.5 for r in own)
+
+
+def test_posteriors_against_plain_sums(spark):
+    """Every document's probabilities from the evidence of all, group by group."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = sites.learn(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    got = sites.posteriors(docs, model, F.col("source"), F.col("lang")).collect()
+    site = {r.doc_id: (r.source, r.lang) for r in docs.select("doc_id", "source", "lang").collect()}
+    clip = lambda p: max(p, 1e-9)
+    odds = lambda p: math.log(clip(p) / clip(1 - p))
+
+    def strength(groups):  # (n, sum, mean of the level above)
+        many = [g for g in groups if g[0] > 1]
+        excess = max(0.0, sum(n * (s / n - m) ** 2 for n, s, m in many) - sum(m * (1 - m) for _, _, m in many))
+        weight = sum(n * m * (1 - m) for n, _, m in many)
+        ratio = excess / weight if weight else 0.0
+        return min(1e4, max(2.0, 1 / ratio - 1 if ratio > 0 else 1e4))
+
+    for target in sites.TARGETS:
+        own = {r.doc_id: r[f"own_{target}"] for r in got}
+        mean = sum(own.values()) / len(own)
+        hosts, paths = {}, {}
+        for i, p in own.items():
+            for table, key in ((hosts, site[i][0]), (paths, site[i])):
+                n, s = table.get(key, (0, 0.0))
+                table[key] = (n + 1, s + p)
+        k = strength([(n, s, mean) for n, s in hosts.values()])
+        host = {h: (s + k * mean) / (n + k) for h, (n, s) in hosts.items()}
+        k = strength([(n, s, host[h]) for (h, _), (n, s) in paths.items()])
+        for r in got:
+            n, s = paths[site[r.doc_id]]
+            others = (s - own[r.doc_id] + k * host[site[r.doc_id][0]]) / (n - 1 + k)
+            assert abs(r[f"site_{target}"] - others) < 1e-6
+            assert abs(r[target] - 1 / (1 + math.exp(-(odds(own[r.doc_id]) + odds(others) - odds(mean))))) < 1e-6
+
+
 def test_long_text_equals_its_parts():
     r = random.Random(1)
     text = "".join(r.choice("abc é") for _ in range(3000))
