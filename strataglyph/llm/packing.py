@@ -35,7 +35,7 @@ CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
 #: Rows of a range that is swept in one task, and pieces longer than any gap that one task packs in the end.
-RANGE_ROWS, TAIL = 250_000, 2_000
+RANGE_ROWS, TAIL = 250_000, 20_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
