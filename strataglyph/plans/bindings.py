@@ -6,6 +6,7 @@ SQL fragments are shared with the oracles where both engines read them alike.
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +48,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.ladder import letters_skeleton
 
     rows = cleaned(spark, sf_dir).filter("plain <> ''").select("doc_id", "source", F.posexplode(F.split("plain", " ")).alias("k", "token"))
-    spelled = rows.select((F.col("doc_id") * 1_000_000 + F.col("k") + 1).alias("id"), F.col("doc_id").alias("ayah_id"), "source", (F.col("k") + 1).alias("position"), F.translate("token", LATIN, ARABIC).alias("rasm"))
+    spelled = rows.select((F.col("doc_id") * 1_000_000_000 + F.col("k") + 1).alias("id"), F.col("doc_id").alias("ayah_id"), "source", (F.col("k") + 1).alias("position"), F.translate("token", LATIN, ARABIC).alias("rasm"))
     return spelled.withColumn("archigraphemic", letters_skeleton(F.col("rasm")))
 
 
@@ -55,7 +56,7 @@ def verses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ayah_id, tokens: all texts in verses of VERSE tokens."""
     cut = cleaned(spark, sf_dir).filter("plain <> ''").withColumn("t", F.split(F.translate("plain", LATIN, ARABIC), " "))
     parts = F.expr(f"transform(sequence(0, (size(t) - 1) div {VERSE}), i -> slice(t, i * {VERSE} + 1, {VERSE}))")
-    return cut.select("doc_id", F.posexplode(parts).alias("k", "tokens")).select((F.col("doc_id") * 1000 + F.col("k")).alias("ayah_id"), "tokens")
+    return cut.select("doc_id", F.posexplode(parts).alias("k", "tokens")).select((F.col("doc_id") * 1_000_000 + F.col("k")).alias("ayah_id"), "tokens")
 
 
 def spine_of_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -69,3 +70,50 @@ def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     line, part, orders = (read(spark, sf_dir, n) for n in ("lineitem", "part", "orders"))
     joined = line.select("l_orderkey", "l_linenumber", "l_partkey").join(part.select("p_partkey", "p_brand", "p_name"), F.col("l_partkey") == F.col("p_partkey")).join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("p_brand").alias("root"), F.col("p_name").alias("lemma"), F.col("o_custkey").alias("surah"))
+
+
+def store(spark: SparkSession, sf_dir: str, keep: Callable[[DataFrame, str], DataFrame]) -> dict[str, DataFrame]:
+    """A store's tables, to be written, from documents: sources as chapters, 40 tokens as a verse, two editions of which the other has vowels in every second verse and moved dots in the rest. keep writes a table that several others are made from, and gives it back."""
+    from ..functions import ladder
+    from ..operators import align, lexicon, morphology, search, variants
+    from ..sources.store import EMPTY
+    from .build import variant_pairs
+
+    cut = cleaned(spark, sf_dir).filter("plain <> ''").withColumn("t", F.split(F.translate("plain", LATIN, ARABIC), " "))
+    parts = F.expr(f"transform(sequence(0, (size(t) - 1) div {VERSE}), i -> slice(t, i * {VERSE} + 1, {VERSE}))")
+    verse = cut.select("source", "doc_id", F.posexplode(parts).alias("k", "tokens")).withColumn("verse", F.col("doc_id") * 1_000_000 + F.col("k"))
+    names = verse.select("source").distinct()
+    chapters = names.select("source", F.row_number().over(spine.Window.orderBy("source")).alias("surah"))
+    ayah = keep(spine.dense_ids(verse, "source", ["verse"], "number", "id").join(F.broadcast(chapters), "source"), "verse")
+    spans = ayah.groupBy("surah", "source").agg(F.count(F.lit(1)).alias("ayah_count"), F.min("id").alias("ayah_start"), F.max("id").alias("ayah_end"))
+    surah = spans.select(F.col("surah").alias("number"), F.col("source").alias("name_ar"), F.col("source").alias("name_en"), F.col("source").alias("name_translit"), F.lit("meccan").alias("revelation_place"), "ayah_count", "ayah_start", "ayah_end")
+    spoken = ayah.select(F.col("id").alias("ayah_id"), F.posexplode("tokens").alias("p", "token"))
+    rows = spoken.select((F.col("ayah_id") * 100 + F.col("p")).alias("line"), "ayah_id", (F.col("p") + 1).alias("place"), F.lit(1).alias("part"), F.col("token").alias("form"), F.lit("N").alias("pos"), F.concat(F.lit("N|ROOT:"), F.substring("token", 1, 2), F.lit("|LEM:"), F.substring("token", 1, 3)).alias("features"))
+    word, segment, _ = morphology.compile_words(rows)
+    word, segment = keep(word, "word_kept"), keep(segment, "segment_kept")
+    feature = morphology.segment_features(segment)
+    text = ayah.select(F.col("id").alias("ayah_id"), F.array_join("tokens", " ").alias("one"))
+    other = F.when(F.col("ayah_id") % 2 == 0, F.replace("one", F.lit("م"), F.lit("مَ"))).otherwise(F.replace("one", F.lit("ب"), F.lit("ت")))
+    raws = text.select("ayah_id", F.explode(F.array(F.struct(F.lit(1).cast("long").alias("edition_id"), F.col("one").alias("raw")), F.struct(F.lit(2).cast("long").alias("edition_id"), other.alias("raw")))).alias("e")).select("e.edition_id", "ayah_id", "e.raw")
+    placed = spine.offsets(ladder.with_levels(raws), "edition_id", "ayah_id")
+    ayah_text = keep(placed.withColumn("token_count", F.size(ladder.tokens(F.col("plain")))), "text_kept")
+    edition = spark.createDataFrame([(1, "uthmani-hafs", "One", "ar", "quran", "hafs", "uthmani", 1, "a/one", None), (2, "uthmani-warsh", "Two", "ar", "quran", "warsh", "uthmani", 0, "a/two", None)], "id long, slug string, name string, language string, kind string, riwayah string, orthography string, is_reference int, source_id string, note string")
+    first = ayah_text.filter("edition_id = 1")
+    # every 29th verse lacks its first word on the spine
+    spine_words = word.filter((F.col("ayah_id") % 29 != 0) | (F.col("position") > 1)).withColumn("position", F.col("position") - (F.col("ayah_id") % 29 == 0).cast("int"))
+    aligned, exceptions = align.align(first.select("ayah_id", "edition_id", "plain", "char_start"), spine_words)
+    marks = spine.child_spans(word, "ayah_id", "id", "word")
+    whole = ayah.select("id", "surah", "number").join(marks, F.col("id") == F.col("ayah_id"), "left").drop("ayah_id")
+    roots = lexicon.roots(word.join(whole.select(F.col("id").alias("ayah_id"), "surah"), "ayah_id"))
+    t = {
+        "build": spark.createDataFrame([("version", "1"), ("built_at", "now"), ("sources_lock", "0")], "key string, value string"),
+        "source": spark.createDataFrame([("a/one", "a", "r", "c"), ("a/two", "a", "r", "c")], "id string, source_set string, repo string, commit_sha string").withColumn("license", F.lit("free")),
+        "surah": surah, "ayah": whole, "edition": edition, "ayah_text": ayah_text, "word": word, "segment": segment, "segment_feature": feature, "word_text": aligned,
+        "spine_exception": exceptions, "root": roots.withColumn("archigraphemic", ladder.letters_skeleton(F.col("text"))), "lemma": lexicon.lemmas(word),
+        "variant": variants.numbered(variants.differences(variant_pairs(ayah_text, edition))), "postings": search.stored_postings(ayah_text),
+    }
+    t |= {name: spark.createDataFrame([], kind) for name, kind in EMPTY.items()}
+    # what general tables have no counterpart of is null
+    for name, columns in (("source", ("path", "url", "sha256", "bytes")), ("ayah", ("juz", "manzil", "page", "ruku", "maqra", "sajda"))):
+        t[name] = t[name].withColumns({c: F.lit(None).cast("string") for c in columns})
+    return t

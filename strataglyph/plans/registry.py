@@ -11,9 +11,10 @@ from ..functions import features, ladder, refs
 from ..operators import align, checks, claims, digest, distance, lexicon, morphology, search, spine, variants
 from ..operators.sql import register
 from . import bindings as b
+from . import stored
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict = dict(stored.QUERIES)
+ORACLES: dict[str, str] = dict(stored.ORACLES)
 
 Q = tuple[SparkSession, str]
 
@@ -47,7 +48,7 @@ def _archi_sql(token: str) -> str:
 _RUNGS = f"{_MARKED}, r1 AS (SELECT *, {_NFC}(raw) AS nfc, {_SQL_PLAIN} AS plain FROM marked), r2 AS (SELECT *, {_SQL_UNV} AS unvocalized FROM r1), r3 AS (SELECT *, {_SQL_RASM} AS rasm FROM r2), r4 AS (SELECT *, array_to_string(list_transform(string_split(rasm, ' '), lambda w: {_archi_sql('w')}), ' ') AS archigraphemic FROM r3)"
 _CLEAN = "clean AS (SELECT doc_id, source, coalesce(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), '') AS plain FROM documents)"
 _TOK = f"{_CLEAN}, cut AS (SELECT doc_id, source, string_split(plain, ' ') AS t FROM clean WHERE plain <> ''), tok AS (SELECT doc_id, source, unnest(t) AS token, generate_subscripts(t, 1) AS position FROM cut)"
-_WORDS = f"{_TOK}, spelled AS (SELECT doc_id * 1000000 + position AS id, doc_id AS ayah_id, source, position, translate(token, '{b.LATIN}', '{b.ARABIC}') AS rasm FROM tok), words AS (SELECT *, {_archi_sql('rasm')} AS archigraphemic FROM spelled)"
+_WORDS = f"{_TOK}, spelled AS (SELECT doc_id * 1000000000 + position AS id, doc_id AS ayah_id, source, position, translate(token, '{b.LATIN}', '{b.ARABIC}') AS rasm FROM tok), words AS (SELECT *, {_archi_sql('rasm')} AS archigraphemic FROM spelled)"
 _SPINE = "ayah AS (SELECT doc_id, source, dense_rank() OVER (ORDER BY source) AS surah, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS number, row_number() OVER (ORDER BY source, doc_id) AS id FROM documents)"
 _LEX = "lex AS (SELECT l_orderkey * 10 + l_linenumber AS id, p_brand AS root, p_name AS lemma, o_custkey AS surah FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey)"
 _ROOTS = "SELECT root AS text, length(any_value(root))::INTEGER AS letters, count(*) AS word_count, count(DISTINCT lemma) AS lemma_count, count(DISTINCT surah) AS surah_count, min(id) AS first_word_id FROM lex WHERE root IS NOT NULL AND root <> '' GROUP BY root"
@@ -135,25 +136,7 @@ def spine_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edition_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = b.read(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("n"))
     # only lengths are moved
-    return spine.offsets(docs.withColumn("plain", F.repeat(F.lit("x"), F.col("n"))), "source", "doc_id").select("doc_id", "source", "char_start", "char_end")
-
-
-@query(f"WITH {_SPINE} SELECT id, source, 'Q' || surah || ':' || number AS ref FROM ayah")
-def view_ayah(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, ayah = b.spine_of_documents(spark, sf_dir)
-    numbers = ayah.select("source").distinct().withColumn("surah", F.row_number().over(spine.Window.orderBy("source")))
-    return ayah.join(F.broadcast(numbers), "source").select("id", "source", F.concat(F.lit("Q"), F.concat_ws(":", F.col("surah").cast("string"), F.col("number").cast("string"))).alias("ref"))
-
-
-@query(f"WITH {_WORDS} SELECT id, 'Q' || source || ':' || ayah_id || ':' || position AS ref, rasm FROM words")
-def view_word(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.words(spark, sf_dir).select("id", F.concat(F.lit("Q"), F.concat_ws(":", "source", F.col("ayah_id").cast("string"), F.col("position").cast("string"))).alias("ref"), "rasm")
-
-
-@query(f"WITH {_TOK}, seg AS (SELECT doc_id, position, unnest(range(0, (length(token) - 1) // 3 + 1)) AS k, token FROM tok) SELECT doc_id, position::INTEGER AS word, (k + 1)::INTEGER AS segment, substr(token, k * 3 + 1, 3) AS form, 'Q' || doc_id || ':' || position || ':' || (k + 1) AS ref FROM seg")
-def view_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = b.cleaned(spark, sf_dir).filter("plain <> ''").select("doc_id", F.posexplode(F.split("plain", " ")).alias("p", "token")).select("doc_id", (F.col("p") + 1).alias("word"), F.expr("posexplode(regexp_extract_all(token, '.{1,3}', 0))").alias("k", "form"))
-    return rows.select("doc_id", "word", (F.col("k") + 1).alias("segment"), "form", F.concat(F.lit("Q"), F.concat_ws(":", *[c.cast("string") for c in (F.col("doc_id"), F.col("word"), F.col("k") + 1)])).alias("ref"))
+    return spine.offsets(docs, "source", "doc_id", F.col("n")).select("doc_id", "source", "char_start", "char_end")
 
 
 # Morphology -----------------------------------------------------------------------------------
@@ -201,11 +184,11 @@ def _alignment(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     texts = b.cleaned(spark, sf_dir).filter("plain <> ''").select(F.col("doc_id").alias("ayah_id"), F.lit(1).cast("long").alias("edition_id"), "plain", F.lit(0).cast("long").alias("char_start"))
     rows = texts.select("ayah_id", F.posexplode(F.split("plain", " ")).alias("k", "form"))
     # every 29th document lacks its first word on the spine
-    spine_words = rows.filter((F.col("ayah_id") % 29 != 0) | (F.col("k") > 0)).select((F.col("ayah_id") * 1_000_000 + F.col("k") + 1).alias("id"), "ayah_id", (F.col("k") + 1 - (F.col("ayah_id") % 29 == 0).cast("int")).alias("position"), "form")
+    spine_words = rows.filter((F.col("ayah_id") % 29 != 0) | (F.col("k") > 0)).select((F.col("ayah_id") * 1_000_000_000 + F.col("k") + 1).alias("id"), "ayah_id", (F.col("k") + 1 - (F.col("ayah_id") % 29 == 0).cast("int")).alias("position"), "form")
     return align.align(texts, spine_words)
 
 
-@query(f"WITH {_TOK} SELECT doc_id * 1000000 + position AS word_id, 1::BIGINT AS edition_id, token AS form, coalesce(sum(length(token) + 1) OVER w, 0)::BIGINT AS char_start, (coalesce(sum(length(token) + 1) OVER w, 0) + length(token))::BIGINT AS char_end FROM tok WHERE doc_id % 29 <> 0 WINDOW w AS (PARTITION BY doc_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+@query(f"WITH {_TOK} SELECT doc_id * 1000000000 + position AS word_id, 1::BIGINT AS edition_id, token AS form, coalesce(sum(length(token) + 1) OVER w, 0)::BIGINT AS char_start, (coalesce(sum(length(token) + 1) OVER w, 0) + length(token))::BIGINT AS char_end FROM tok WHERE doc_id % 29 <> 0 WINDOW w AS (PARTITION BY doc_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def align_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _alignment(spark, sf_dir)[0]
 
@@ -260,12 +243,12 @@ def ambiguous_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Distances --------------------------------------------------------------------------------------
-_DIST = f"{_SPINE.replace('SELECT doc_id, source,', 'SELECT doc_id, source, lang,')}, dist AS (SELECT x.source AS a, y.source AS b, sum((x.lang <> y.lang)::INTEGER)::BIGINT AS distance FROM ayah x JOIN ayah y ON x.number = y.number GROUP BY 1, 2), near AS (SELECT a, arg_min(b, (distance, b)) AS nearest, min(distance) AS distance FROM dist WHERE a <> b GROUP BY a)"
+_DIST = f"{_SPINE.replace('SELECT doc_id, source,', 'SELECT doc_id, source, text,')}, dist AS (SELECT x.source AS a, y.source AS b, sum((x.text <> y.text)::INTEGER)::BIGINT AS distance FROM ayah x JOIN ayah y ON x.number = y.number GROUP BY 1, 2), near AS (SELECT a, arg_min(b, (distance, b)) AS nearest, min(distance) AS distance FROM dist WHERE a <> b GROUP BY a)"
 
 
 def _editions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = b.read(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    return spine.dense_ids(docs, "source", ["doc_id"], "number", "id").select(F.col("source").alias("edition"), F.col("number").alias("unit"), F.col("lang").alias("rasm"))
+    docs = b.read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return spine.dense_ids(docs, "source", ["doc_id"], "number", "id").select(F.col("source").alias("edition"), F.col("number").alias("unit"), F.col("text").alias("rasm"))
 
 
 @query(f"WITH {_DIST} SELECT a, b, distance FROM dist")
@@ -284,33 +267,37 @@ def mutual_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Variants ---------------------------------------------------------------------------------------
-def _pairs(spark: SparkSession, sf_dir: str, only_vocalic: bool) -> DataFrame:
-    """Each verse beside an edition of it: a vowel on every 11th token; and, but for only_vocalic, dots moved on every 13th and every 17th left out."""
-    v = b.verses(spark, sf_dir)
-    rasm = "transform(tokens, (x, i) -> case when (i + 1) % 13 = 0 then translate(x, 'بنت', 'تبن') else x end)"
-    kept = "filter({}, (x, i) -> (i + 1) % 17 <> 0)"
-    vowel = "transform({}, (x, i) -> case when (i + 1) % 11 = 0 then concat(x, 'َ') else x end)"
-    base = "tokens" if only_vocalic else rasm
-    wrap = (lambda x: x) if only_vocalic else kept.format
-    return v.select("ayah_id", F.lit(2).cast("long").alias("edition_id"), F.col("tokens").alias("ref_plain"), F.col("tokens").alias("ref_rasm"), F.expr(wrap(vowel.format(base))).alias("var_plain"), F.expr(wrap(base)).alias("var_rasm"))
+_VOCALIC = f"{_TOK}, v AS (SELECT doc_id * 1000000 + (position - 1) // {b.VERSE} AS ayah_id, ((position - 1) % {b.VERSE} + 1)::INTEGER AS ref_position, translate(token, '{b.LATIN}', '{b.ARABIC}') AS ref_text FROM tok), voc AS (SELECT * FROM v WHERE ref_position % 11 = 0)"
+#: Every verse beside an edition of it: a vowel on every 11th token; every 13th spelled otherwise, which at the 26th is a matter of dots; every 17th left out. Two letters of its place make each token the only one of its kind, so that there is one way to align.
+_SPELLED = f"concat(if(i = 25, 'ب', ''), x, substr('{b.ARABIC}', cast(floor(i / 26) as int) + 1, 1), substr('{b.ARABIC}', i % 26 + 1, 1))"
+_CHANGED = "CASE WHEN ref_position = 26 THEN 'ت' || substr(ref_text, 2) WHEN ref_position % 13 = 0 THEN ref_text || 'ط' WHEN ref_position % 17 = 0 THEN '' ELSE ref_text || 'َ' END"
 
 
-_VOCALIC = f"{_TOK}, v AS (SELECT doc_id * 1000 + (position - 1) // {b.VERSE} AS ayah_id, ((position - 1) % {b.VERSE} + 1)::INTEGER AS ref_position, translate(token, '{b.LATIN}', '{b.ARABIC}') AS ref_text FROM tok), voc AS (SELECT * FROM v WHERE ref_position % 11 = 0)"
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each verse beside an edition that has only vowels on every 11th token."""
+    v = b.verses(spark, sf_dir)
+    vowels = F.expr("transform(tokens, (x, i) -> case when (i + 1) % 11 = 0 then concat(x, 'َ') else x end)")
+    return v.select("ayah_id", F.lit(2).cast("long").alias("edition_id"), F.col("tokens").alias("ref_plain"), F.col("tokens").alias("ref_rasm"), vowels.alias("var_plain"), F.col("tokens").alias("var_rasm"))
 
 
-@query()
+@query(f"WITH {_VOCALIC}, odd AS (SELECT ayah_id, ref_position, {_SPELLED.replace('concat(if(i = 25', 'concat(if(ref_position = 26').replace('x,', 'ref_text,').replace('floor(i / 26)', 'floor((ref_position - 1) / 26)').replace('i % 26', '(ref_position - 1) % 26')} AS ref_text FROM v WHERE ref_position % 11 = 0 OR ref_position % 13 = 0 OR ref_position % 17 = 0) SELECT ayah_id, 2::BIGINT AS edition_id, CASE WHEN ref_position % 17 = 0 THEN 'delete' ELSE 'replace' END AS op, ref_position, ref_text, {_CHANGED} AS var_text, (ref_position % 11 = 0)::INTEGER AS same_rasm, (ref_position % 11 = 0 OR ref_position = 26)::INTEGER AS same_archi FROM odd")
 def variant_opcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return variants.differences(_pairs(spark, sf_dir, False))
+    own = b.verses(spark, sf_dir).select("ayah_id", F.expr(f"transform(tokens, (x, i) -> {_SPELLED})").alias("t"))
+    rasm = "case when i = 25 then concat('ت', substr(x, 2)) when (i + 1) % 13 = 0 then concat(x, 'ط') else x end"
+    kept = "filter(transform(t, (x, i) -> {}), (x, i) -> (i + 1) % 17 <> 0)"
+    plain = f"case when (i + 1) % 11 = 0 then concat(x, 'َ') else {rasm} end"
+    pairs = own.select("ayah_id", F.lit(2).cast("long").alias("edition_id"), F.col("t").alias("ref_plain"), F.col("t").alias("ref_rasm"), F.expr(kept.format(plain)).alias("var_plain"), F.expr(kept.format(rasm)).alias("var_rasm"))
+    return variants.differences(pairs).drop("block", "k")
 
 
 @query(f"WITH {_VOCALIC} SELECT ayah_id, 2::BIGINT AS edition_id, 'replace' AS op, ref_position, ref_text, ref_text || 'َ' AS var_text, 1 AS same_rasm, 1 AS same_archi FROM voc")
 def variant_vocalic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return variants.differences(_pairs(spark, sf_dir, True)).drop("block", "k")
+    return variants.differences(_pairs(spark, sf_dir)).drop("block", "k")
 
 
 @query(f"WITH {_VOCALIC} SELECT ayah_id, count(*) AS vocalic FROM voc GROUP BY ayah_id")
 def vocalic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return variants.vocalic_counts(variants.differences(_pairs(spark, sf_dir, True)))
+    return variants.vocalic_counts(variants.differences(_pairs(spark, sf_dir)))
 
 
 _VARIANT = "rows AS (SELECT event_id AS ayah_id, user_id % 3 + 1 AS edition_id, (value > 50)::INTEGER AS same_rasm FROM events)"
@@ -350,11 +337,6 @@ def search_by_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Checks -----------------------------------------------------------------------------------------
-@query("WITH ids AS (SELECT DISTINCT o_custkey AS id FROM orders) SELECT id FROM ids a WHERE id > (SELECT min(id) FROM ids) AND NOT EXISTS (SELECT 1 FROM ids b WHERE b.id = a.id - 1)")
-def check_gap_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.gaps(b.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")).distinct()).select(F.col("_id").alias("id"))
-
-
 @query("SELECT n.event_id AS id FROM events p JOIN events n ON n.event_id = p.event_id + 1 WHERE p.user_id >= n.user_id")
 def check_monotone_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = b.read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("word_start"), F.col("user_id").alias("word_end"))
@@ -432,3 +414,18 @@ def claims_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.content_digests({t: b.read(spark, sf_dir, t) for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "labels", "benchmark", "conversations")})
+
+
+#: Tables of numbers and strings, which both engines write as the same JSON.
+_PLAIN = {"region": ("r_name", "r_regionkey"), "nation": ("n_name", "n_nationkey", "n_regionkey"), "benchmark": ("item_id", "text"), "labels": ("doc_id", "quality", "toxic"), "conversations": ("conv_id", "role", "text", "turn"), "documents": ("doc_id", "lang", "n_chars", "source", "text")}
+
+
+def _digest_sql(name: str, columns: tuple[str, ...]) -> str:
+    row = ", ".join(f"{c} := {c}" for c in columns)
+    words = " || ':' || ".join(f"coalesce(sum(('0x' || substr(h, {1 + 8 * k}, 8))::BIGINT)::VARCHAR, '0')" for k in range(8))
+    return f"SELECT '{name}' AS name, count(*) AS rows, sha256('{name}:' || count(*) || ':' || {words}) AS digest FROM (SELECT sha256(to_json(struct_pack({row}))::VARCHAR) AS h FROM {name})"
+
+
+@query(" UNION ALL ".join(_digest_sql(n, c) for n, c in _PLAIN.items()))
+def content_digest_of_plain_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.content_digests({t: b.read(spark, sf_dir, t).select(*columns) for t, columns in _PLAIN.items()})
