@@ -15,12 +15,16 @@ is removed. Anchors with very many unlike segments, whose pairs would be too
 many, are settled exactly by grouping 128-bit BLAKE2b digests of their strings
 instead, which partial aggregation spreads over the cluster. Equal texts are
 told by 120 bits of SHA-256.
+
+The same is done for passages of more than 50 words, whatever their bytes: a
+text is then the string of its words' 32-bit hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +35,20 @@ from pyspark.sql.window import Window
 
 from .workspace import Workspace, table
 
-SPAN, GRAM = 400, 200
-WIDTH = SPAN - GRAM + 1
+
+
+class Size(NamedTuple):
+    """Bytes of the strings that are looked for, and of the grams whose hashes make anchors."""
+
+    span: int
+    gram: int
+
+
+BYTES = Size(400, 200)
+SPAN = BYTES.span
+#: Words of a passage, and bytes of a word's hash.
+PASSAGE, HASH = 51, 4
+WORDS = Size(HASH * PASSAGE, HASH * PASSAGE // 2)
 #: Starts of a text that are looked at together; positions must fit 24 bits.
 CHUNK = 1 << 20
 #: Unlike segments of an anchor up to which they are sorted in one task.
@@ -51,7 +67,7 @@ Digest = Callable[[bytes, int], bytes]
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base modulo 2^64 and their inverses."""
     if not _powers:
-        n = CHUNK + SPAN
+        n = CHUNK + max(BYTES.span, WORDS.span)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             x = np.full(n, base, np.uint64)
             x[0] = 1
@@ -75,22 +91,22 @@ def _sliding_least(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def segments(data: bytes, seed: int = 0, digest: Digest = xxhash.xxh3_128_digest) -> tuple[np.ndarray, ...]:
-    """Runs of starts with one anchor: anchor's hash, two words of digest, first start, last start, anchor. Together they hold every start of SPAN bytes once."""
+def segments(data: bytes, size: Size = BYTES, seed: int = 0, digest: Digest = xxhash.xxh3_128_digest) -> tuple[np.ndarray, ...]:
+    """Runs of starts with one anchor: anchor's hash, two words of digest, first start, last start, anchor. Together they hold every start of size.span bytes once."""
     up, down = _tables()
     out: list[tuple[np.ndarray, ...]] = []
     view = memoryview(data)
-    for begin in range(0, len(data) - SPAN + 1, CHUNK):
-        part = np.frombuffer(view[begin : begin + CHUNK + SPAN - 1], np.uint8)
+    for begin in range(0, len(data) - size.span + 1, CHUNK):
+        part = np.frombuffer(view[begin : begin + CHUNK + size.span - 1], np.uint8)
         n = len(part)
         prefix = np.zeros(n + 1, np.uint64)
         np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[:n], out=prefix[1:])
-        grams = _mixed((prefix[GRAM:] - prefix[:-GRAM]) * down[: n - GRAM + 1])
-        at = _sliding_least((grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64), WIDTH) & _LOW
+        grams = _mixed((prefix[size.gram:] - prefix[:-size.gram]) * down[: n - size.gram + 1])
+        at = _sliding_least((grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64), size.span - size.gram + 1) & _LOW
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         last = np.append(first[1:], len(at)) - 1
         anchor = at[first].astype(np.int64)
-        digests = np.frombuffer(b"".join(digest(view[begin + a : begin + b], seed) for a, b in zip(first.tolist(), (last + SPAN).tolist(), strict=True)), np.int64).reshape(-1, 2)
+        digests = np.frombuffer(b"".join(digest(view[begin + a : begin + b], seed) for a, b in zip(first.tolist(), (last + size.span).tolist(), strict=True)), np.int64).reshape(-1, 2)
         place = _mixed((anchor - first).astype(np.uint64) << np.uint64(32) | (last - first).astype(np.uint64)).view(np.int64)
         out.append((grams[anchor].view(np.int64), digests[:, 0] ^ place, digests[:, 1], first + begin, last + begin, anchor + begin))
     if not out:
@@ -170,8 +186,8 @@ def suffix_order(bucket: np.ndarray, start: np.ndarray, end: np.ndarray, prefixe
     return order
 
 
-def shared_starts(bucket: np.ndarray, contexts: list[bytes], anchor: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
-    """(row, first, last): starts of a context, from 0, whose SPAN bytes are also in another context of its bucket.
+def shared_starts(bucket: np.ndarray, contexts: list[bytes], anchor: np.ndarray, starts: np.ndarray, span: int = SPAN) -> list[tuple[int, int, int]]:
+    """(row, first, last): starts of a context, from 0, whose span bytes are also in another context of its bucket.
 
     anchor: its place in the context. starts: how many starts the context has.
     """
@@ -195,17 +211,17 @@ def shared_starts(bucket: np.ndarray, contexts: list[bytes], anchor: np.ndarray,
         a, b, r = order[rows[keep]], order[rows[keep] + step], right[keep]
         left = prefixes.extension(at[a], at[b], np.minimum(anchor[a], anchor[b]), back=True)
         for x, y, fore, aft in zip(a.tolist(), b.tolist(), r.tolist(), left.tolist(), strict=True):
-            # strings that begin d bytes before the anchor, SPAN - fore <= d <= aft
+            # strings that begin d bytes before the anchor, span - fore <= d <= aft
             for own, other in ((x, y), (y, x)):
                 most = min(aft, int(anchor[own]))
-                least = max(SPAN - fore, int(anchor[own]) - int(starts[own]) + 1, 0)
+                least = max(span - fore, int(anchor[own]) - int(starts[own]) + 1, 0)
                 if least <= most:
                     s, t = int(anchor[own]) - most, int(anchor[other]) - most
-                    size = most - least + SPAN
+                    size = most - least + span
                     if contexts[own][s : s + size] == contexts[other][t : t + size]:
                         out.append((own, s, s + most - least))
                     else:  # hashes collided: compare the strings one by one
-                        out += [(own, s + d, s + d) for d in range(most - least + 1) if contexts[own][s + d : s + d + SPAN] == contexts[other][t + d : t + d + SPAN]]
+                        out += [(own, s + d, s + d) for d in range(most - least + 1) if contexts[own][s + d : s + d + span] == contexts[other][t + d : t + d + span]]
     return out
 
 
@@ -214,16 +230,16 @@ def shared_starts(bucket: np.ndarray, contexts: list[bytes], anchor: np.ndarray,
 _SEGMENTS = "a long, g1 long, g2 long, k1 long, k2 long, first long, last long, at long"
 
 
-def _segment_rows(batches: Iterator[pa.RecordBatch], seed: int, digest: Digest) -> Iterator[pa.RecordBatch]:
+def _segment_rows(batches: Iterator[pa.RecordBatch], size: Size, seed: int, digest: Digest) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in _SEGMENTS.split(", ")]
     for batch in batches:
         parts: list[list[np.ndarray]] = [[] for _ in names]
         held = 0
         for k1, k2, data in zip(*batch.columns, strict=True):
             value = data.as_py()
-            if len(value) < SPAN:
+            if len(value) < size.span:
                 continue
-            a, g1, g2, first, last, at = segments(value, seed, digest)
+            a, g1, g2, first, last, at = segments(value, size, seed, digest)
             n = len(a)
             for part, x in zip(parts, (a, g1, g2, np.full(n, k1.as_py()), np.full(n, k2.as_py()), first, last, at), strict=True):
                 part.append(x)
@@ -240,7 +256,7 @@ _ASKED = "unlike boolean, a long, g1 long, g2 long, many boolean, m1 long, m2 lo
 _CUT = "unlike boolean, a long, g1 long, g2 long, many boolean, k1 long, k2 long, first long, starts long, anchor long, bytes binary"
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contexts(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
     """The bytes that are asked of each text: from begin to as far as the starts first to last reach."""
     names = [c.split()[0] for c in _CUT.split(", ")]
     kinds = [{"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}[c.split()[1]] for c in _CUT.split(", ")]
@@ -251,7 +267,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             value = data.as_py()
             for x in found.as_py():
                 starts = x["last"] - x["first"] + 1
-                row = (x["unlike"], x["a"], x["g1"], x["g2"], x["many"], x["m1"], x["m2"], x["first"], starts, x["at"] - x["first"], value[x["begin"] : x["begin"] + starts - 1 + SPAN])
+                row = (x["unlike"], x["a"], x["g1"], x["g2"], x["many"], x["m1"], x["m2"], x["first"], starts, x["at"] - x["first"], value[x["begin"] : x["begin"] + starts - 1 + span])
                 size += len(row[-1])
                 for column, v in zip(rows, row, strict=True):
                     column.append(v)
@@ -261,13 +277,13 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=names)
 
 
-def _sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sorted_buckets(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
     """Runs of repeated starts (k1, k2, first, last) of contexts that come sorted by anchor."""
     held: pa.Table | None = None
 
     def settle(rows: pa.Table) -> pa.RecordBatch:
         col = lambda c: rows.column(c).to_numpy()
-        found = shared_starts(np.unique(col("a"), return_inverse=True)[1], rows.column("bytes").to_pylist(), col("anchor"), col("starts"))
+        found = shared_starts(np.unique(col("a"), return_inverse=True)[1], rows.column("bytes").to_pylist(), col("anchor"), col("starts"), span)
         own = np.array([x[0] for x in found], np.int64)
         first = col("first")[own] if len(own) else own
         return pa.RecordBatch.from_arrays([pa.array(col("k1")[own]), pa.array(col("k2")[own]), pa.array(first + np.array([x[1] for x in found], np.int64)), pa.array(first + np.array([x[2] for x in found], np.int64))], names=["k1", "k2", "first", "last"])
@@ -287,12 +303,12 @@ def _sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield settle(held)
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each start of a context: the digest of its SPAN bytes."""
+def _digests(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+    """A row for each start of a context: the digest of its span bytes."""
     for batch in batches:
         for k1, k2, first, starts, data in zip(*[batch.column(c) for c in ("k1", "k2", "first", "starts", "bytes")], strict=True):
             n, value = starts.as_py(), data.as_py()
-            words = np.frombuffer(b"".join(hashlib.blake2b(value[i : i + SPAN], digest_size=16).digest() for i in range(n)), np.int64).reshape(-1, 2)
+            words = np.frombuffer(b"".join(hashlib.blake2b(value[i : i + span], digest_size=16).digest() for i in range(n)), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(words[:, 0]), pa.array(words[:, 1]), pa.array(np.full(n, k1.as_py())), pa.array(np.full(n, k2.as_py())), pa.array(first.as_py() + np.arange(n))], names=["d1", "d2", "k1", "k2", "first"])
 
 
@@ -309,9 +325,9 @@ def _islands(runs: DataFrame, by: list[str], gap: int) -> DataFrame:
     return before.withColumn("island", F.sum(F.coalesce((F.col("first") > F.col("before") + gap).cast("int"), F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("before")
 
 
-def removed(space: Workspace, texts: DataFrame, seed: int = 0, digest: Digest = xxhash.xxh3_128_digest) -> tuple[DataFrame, DataFrame]:
-    """(k1, k2, spans): for each text (k1, k2, data) with repeats, its maximal runs of bytes to remove, sorted; and (k1, k2, same): what the bytes of some of them have to be for that."""
-    every = space.save(texts.mapInArrow(lambda batches: _segment_rows(batches, seed, digest), _SEGMENTS), "segments")
+def repeated(space: Workspace, texts: DataFrame, size: Size = BYTES, seed: int = 0, digest: Digest = xxhash.xxh3_128_digest) -> tuple[DataFrame, DataFrame]:
+    """(k1, k2, spans): for each text (k1, k2, data) with repeats, its maximal runs of bytes in strings of size.span bytes that start elsewhere too, sorted; and (k1, k2, same): what the bytes of some of them have to be for that."""
+    every = space.save(texts.mapInArrow(lambda batches: _segment_rows(batches, size, seed, digest), _SEGMENTS), "segments")
     common = space.save(every.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a"), "anchors")
     rows = space.save(every.join(_few(common, BROADCAST_ROWS), "a"), "shared")
     space.drop("segments")
@@ -335,17 +351,18 @@ def removed(space: Workspace, texts: DataFrame, seed: int = 0, digest: Digest =
     # copies of one text would give the same bytes; one of each is enough
     wanted = space.save(asked.select("k1", "k2").distinct(), "wanted")
     one = texts.join(_few(wanted, BROADCAST_ROWS), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("data").alias("data"))
-    contexts = space.save(lists.join(one, ["k1", "k2"]).select("data", "found").mapInArrow(_contexts, _CUT), "contexts")
+    contexts = space.save(lists.join(one, ["k1", "k2"]).select("data", "found").mapInArrow(lambda batches: _contexts(batches, size.span), _CUT), "contexts")
     space.drop("asked")
     segments_ = contexts.filter("unlike").drop("unlike")
-    bucketed = segments_.filter("not many").repartition("a").sortWithinPartitions("a").mapInArrow(_sorted_buckets, "k1 long, k2 long, first long, last long")
-    strings = segments_.filter("many").mapInArrow(_digests, "d1 long, d2 long, k1 long, k2 long, first long")
+    bucketed = segments_.filter("not many").repartition("a").sortWithinPartitions("a").mapInArrow(lambda batches: _sorted_buckets(batches, size.span), "k1 long, k2 long, first long, last long")
+    strings = segments_.filter("many").mapInArrow(lambda batches: _digests(batches, size.span), "d1 long, d2 long, k1 long, k2 long, first long")
     twice = strings.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("d1", "d2")
     crowded = strings.join(twice, ["d1", "d2"]).select("k1", "k2", "first", F.col("first").alias("last"))
     runs = whole.select("k1", "k2", "first", "last").unionByName(bucketed).unionByName(crowded).distinct()
-    ends = runs.select("k1", "k2", "first", (F.col("last") + SPAN).alias("last"))
+    ends = runs.select("k1", "k2", "first", (F.col("last") + size.span).alias("last"))
     merged = _islands(ends, ["k1", "k2"], 0).groupBy("k1", "k2", "island").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     spans = space.save(merged.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans")), "spans")
+    space.drop("anchors", "shared", "classes", "whole", "wanted")
     return spans, contexts.filter("not unlike").groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "bytes")).alias("same"))
 
 
@@ -353,52 +370,77 @@ class Collision(RuntimeError):
     """Strings of equal digests differ."""
 
 
-def dedup(docs: DataFrame, keep_text: bool = False, seed: int = 0, digest: Digest = xxhash.xxh3_128_digest) -> DataFrame:
-    """One row a row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with keep_text the remaining text (bytes).
+def word_hashes(data: bytes) -> bytes:
+    """The 32-bit hashes of a text's words, one after the other."""
+    return b"".join(xxhash.xxh32_digest(w) for w in data.split())
+
 
-    A null text is empty, and a null doc_id stays null. Rows that repeat are
-    copies of each other, so texts of SPAN bytes or more lose everything. Texts
-    shorter than SPAN stay whole, and longer ones are taken whole, CHUNK by
-    CHUNK. Which of equal strings comes first makes no difference, as all go. An
-    empty table gives no rows. Other columns play no part, whatever their names.
+def _check(data: bytes, expected: pa.Scalar) -> None:
+    for x in expected.as_py() or []:
+        if data[x["first"] : x["first"] + len(x["bytes"])] != x["bytes"]:
+            raise Collision
+
+
+def dedup(docs: DataFrame, keep_text: bool = False, seed: int = 0, digest: Digest = xxhash.xxh3_128_digest) -> DataFrame:
+    """One row a row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words, and with keep_text the remaining text (bytes).
+
+    n_passage_words: words that lie in strings of PASSAGE words, however spaced,
+    that also start anywhere else. A null text is empty, and a null doc_id stays
+    null. Rows that repeat are copies of each other, so texts of SPAN bytes or
+    more lose everything. Texts shorter than SPAN stay whole, and longer ones
+    are taken whole, CHUNK by CHUNK. Which of equal strings comes first makes no
+    difference, as all go. An empty table gives no rows. Other columns play no
+    part, whatever their names.
     """
     for turn in range(seed, seed + 4):
         space = Workspace(docs.sparkSession, "repeats")
         try:
-            return space.save(_dedup(space, docs, keep_text, turn, digest), "result")
+            return space.save(_dedup(docs, keep_text, turn, digest), "result")
         except Exception as error:
             if Collision.__name__ not in str(error):
                 raise
     raise Collision("four sets of hashes collided")
 
 
-def _dedup(space: Workspace, docs: DataFrame, keep_text: bool, seed: int, digest: Digest) -> DataFrame:
+def _dedup(docs: DataFrame, keep_text: bool, seed: int, digest: Digest) -> DataFrame:
+    spark = docs.sparkSession
     data = F.coalesce(F.col("text").cast("string"), F.lit(""))
     name = F.sha2(data, 256)
     number = lambda at: F.conv(F.substring(name, at, 15), 16, 10).cast("long")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), number(1).alias("k1"), number(16).alias("k2"), data.cast("binary").alias("data"))
-    spans, same = removed(space, texts.select("k1", "k2", "data"), seed, digest)
-    joined = texts.join(_few(spans, BROADCAST_ROWS // 2, "spans"), ["k1", "k2"], "left").join(same, ["k1", "k2"], "left").select("doc_id", "data", "spans", "same")
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * keep_text)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([word_hashes(x.as_py()) for x in batch.column(2)], pa.binary())], names=["k1", "k2", "data"])
+
+    key = ["k1", "k2"]
+    spans, same = repeated(Workspace(spark, "repeats-bytes"), texts.select(*key, "data"), BYTES, seed, digest)
+    words = texts.select(*key, "data").mapInArrow(hashed, "k1 long, k2 long, data binary")
+    passages, alike = repeated(Workspace(spark, "repeats-words"), words, WORDS, seed, digest)
+    joined = texts.join(spans, key, "left").join(same, key, "left").join(passages.withColumnRenamed("spans", "passages"), key, "left").join(alike.withColumnRenamed("same", "alike"), key, "left")
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_passage_words", pa.int64())] + [("kept", pa.binary())] * keep_text)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[] for _ in schema]
-            for doc_id, value, found, expected in zip(*batch.columns, strict=True):
+            for doc_id, value, found, expected, long, likewise in zip(*batch.columns, strict=True):
                 whole, cut = value.as_py(), found.as_py() or []
-                for x in expected.as_py() or []:
-                    if whole[x["first"] : x["first"] + len(x["bytes"])] != x["bytes"]:
-                        raise Collision(doc_id.as_py())
+                _check(whole, expected)
+                if likewise.is_valid:
+                    _check(word_hashes(whole), likewise)
+                # a string that begins within a word's hash is none of whole words
+                lengths = [x["last"] // HASH - -(-x["first"] // HASH) for x in long.as_py() or []]
                 kept, at = [], 0
                 for x in cut:
                     kept.append(whole[at : x["first"]])
                     at = x["last"]
                 left = b"".join([*kept, whole[at:]]) if cut else whole
-                for column, v in zip(rows, (doc_id.as_py(), len(whole), len(whole) - len(left), len(cut), hashlib.sha256(left).hexdigest(), *[left] * keep_text), strict=True):
+                row = (doc_id.as_py(), len(whole), len(whole) - len(left), len(cut), hashlib.sha256(left).hexdigest(), sum(n for n in lengths if n >= PASSAGE), *[left] * keep_text)
+                for column, v in zip(rows, row, strict=True):
                     column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
 
-    return joined.mapInArrow(each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+    return joined.select("doc_id", "data", "spans", "same", "passages", "alike").mapInArrow(each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long" + ", kept binary" * keep_text)
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

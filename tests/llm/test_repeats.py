@@ -6,8 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from strataglyph.llm.repeats import CHUNK, SPAN, _dedup, _Prefixes, dedup, segments, suffix_order
-from strataglyph.llm.workspace import Workspace
+from strataglyph.llm.repeats import CHUNK, PASSAGE, SPAN, _dedup, _Prefixes, dedup, segments, suffix_order
 
 
 def brute(texts):
@@ -38,6 +37,21 @@ def test_against_brute_force(spark):
     assert dedup(df.limit(3), keep_text=True).columns[-1] == "kept"
 
 
+def test_passages_of_words(spark):
+    r = random.Random(6)
+    w = lambda n: [r.choice("ab") * r.randint(1, 4) + str(r.randint(0, 10**6)) for _ in range(n)]
+    p, q = w(60), w(PASSAGE)
+    texts = [w(30) + p + w(20), w(5) + p, q, w(9) + q + w(3), q[:50] + w(9), p[20:] + w(40), p[5:56] + w(2) + p[5:55], w(200), [], ["x"] * 70, ["y"] * 51]
+    blank = [" ", "\n", "\t ", "  "]
+    rows = [(i, "".join(x + r.choice(blank) for x in t)) for i, t in enumerate(texts)] + [(99, None)]
+    seen = Counter(tuple(t[i : i + PASSAGE]) for t in texts for i in range(len(t) - PASSAGE + 1))
+    want = {99: 0}
+    for n, t in enumerate(texts):
+        want[n] = len({i + k for i in range(len(t) - PASSAGE + 1) if seen[tuple(t[i : i + PASSAGE])] > 1 for k in range(PASSAGE)})
+    assert {x.doc_id: x.n_passage_words for x in dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+    assert sorted(v for v in want.values() if v)[:2] == [51, 51]
+
+
 def test_digests_that_collide_are_noticed(spark):
     r = random.Random(7)
     s = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
@@ -51,9 +65,8 @@ def test_digests_that_collide_are_noticed(spark):
     for digest in (xxhash.xxh3_128_digest, weak):
         got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in dedup(df, digest=digest).collect()}
         assert [got[i] for i in range(len(texts))] == brute(texts)
-    space = Workspace(spark, "t")
     with pytest.raises(Exception, match="Collision"):
-        _dedup(space, df, False, 0, weak).collect()
+        _dedup(df, False, 0, weak).collect()
 
 
 def test_a_text_longer_than_a_chunk(spark):
