@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ladder import ORTHOGRAPHIC_MARKS, QURANIC_MARKS, VOWEL_MARKS
@@ -29,3 +29,12 @@ def tinted(c: Column) -> Column:
 def ayah_of(ref: Column) -> Column:
     """The reference of the ayah that a reference to a word or segment lies in."""
     return F.substring_index(ref, ":", 2)
+
+
+#: How many rows a page shows of each list.
+SHOWN = {"vocalic": 40, "clusters": 24, "occurrences": 36}
+
+
+def shown(rows: DataFrame, what: str, *order: Column | str) -> tuple[DataFrame, int]:
+    """The rows that a page shows of a list, in order, and how many there are in all."""
+    return rows.orderBy(*order).limit(SHOWN[what]), rows.count()

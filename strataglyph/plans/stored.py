@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
+import json
 import tempfile
 import uuid
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ladder, refs
-from ..operators import checks, display, distance, export, variants
+from ..operators import checks, display, distance, export, lexicon, variants
 from ..operators.api import Api
+from ..operators.sql import first_rows, read_only, register
 from ..sources import raw, store
 from . import bindings as b
 
@@ -305,3 +308,85 @@ def range_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = compiled(spark, sf_dir)["ayah"].select("id", F.concat_ws(":", "surah", "number").alias("f"), F.concat_ws(":", "surah", (F.col("number") + F.col("id") % 5).cast("int")).alias("l")).collect()
     told = [(r.id, refs.RefRange.parse(f"Q{r.f}-{r.l}")) for r in a]
     return spark.createDataFrame([(i, str(x), x.start.level) for i, x in told], "id long, shown string, level string")
+
+
+def _files(spark: SparkSession, sf_dir: str, texts: dict[str, str]) -> str:
+    """A folder that driver and executors share, with a file of each name."""
+    compiled(spark, sf_dir)
+    root = f"{_folder(spark.sparkContext.applicationId, sf_dir, spark.conf.get('spark.checkpoint.dir', None))}/files-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for name, text in texts.items():
+        out = files.create(path(f"{root}/{name}"), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+    return root
+
+
+@query("SELECT lower(replace(r_name, ' ', '-')) || '/' || n_name || '.json' AS key, 'https://raw.githubusercontent.com/org/' || lower(replace(r_name, ' ', '-')) || '/c' || r_regionkey || '/' || n_name || '.json' AS url, lower(replace(r_name, ' ', '-')) || '/' || n_name || '.json' AS local, 'free' AS license FROM nation JOIN region ON n_regionkey = r_regionkey")
+def declared_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = b.read(spark, sf_dir, "nation").join(b.read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_regionkey", "r_name").agg(F.sort_array(F.collect_list(F.concat("n_name", F.lit(".json")))).alias("files")).collect()
+    declared = "".join(f'[[source]]\nid = "{r.r_name.lower().replace(" ", "-")}"\nkind = "github-raw"\nrepo = "org/{r.r_name.lower().replace(" ", "-")}"\ncommit = "c{r.r_regionkey}"\nlicense = "free"\nfiles = {json.dumps(list(r.files))}\n' for r in named)
+    with tempfile.NamedTemporaryFile("w", suffix=".toml") as f:  # the driver alone reads it
+        f.write(declared)
+        f.flush()
+        return raw.declarations(spark, f.name).select("key", "url", "local", "license")
+
+
+@query("SELECT n_nationkey || '.txt' AS local, sha256(n_name) AS sha256, length(n_name)::BIGINT AS bytes FROM nation")
+def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = {f"{r.n_nationkey}.txt": r.n_name for r in b.read(spark, sf_dir, "nation").collect()}
+    return raw.digests(spark, _files(spark, sf_dir, texts))
+
+
+def _lock(texts: dict[str, str]) -> dict:
+    return {"files": {k: {"source": "s", "repo": "r", "commit": "c", "path": k, "url": f"u/{k}", "sha256": hashlib.sha256(t.encode()).hexdigest(), "bytes": len(t.encode()), "license": None} for k, t in texts.items()}}
+
+
+@query("SELECT r_name AS text FROM region")
+def verified_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = {f"{r.r_regionkey}.txt": r.r_name for r in b.read(spark, sf_dir, "region").collect()}
+    root, lock = _files(spark, sf_dir, texts), _lock(texts)
+    return reduce(DataFrame.unionByName, [raw.text_of(raw.content(spark, root, key, lock)) for key in texts])
+
+
+@query("SELECT r_regionkey || '.txt' AS id, 's' AS source_set, 'u/' || r_regionkey || '.txt' AS url, sha256(r_name) AS sha256, length(r_name)::BIGINT AS bytes FROM region")
+def locked_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw.source_rows(spark, _lock({f"{r.r_regionkey}.txt": r.r_name for r in b.read(spark, sf_dir, "region").collect()})).select("id", "source_set", "url", "sha256", "bytes")
+
+
+@query("SELECT c_custkey, c_name, c_nationkey FROM customer")
+def json_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is written as JSON, read again."""
+    rows_ = b.read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    root = _files(spark, sf_dir, {"rows.json": "".join(store.json_rows(rows_))})
+    return spark.read.schema(rows_.schema).option("multiLine", "true").json(f"{root}/rows.json")
+
+
+_READINGS = "readings AS (SELECT archigraphemic, count(DISTINCT rasm) AS readings, count(*) AS occurrences FROM word GROUP BY 1 HAVING count(DISTINCT rasm) > 1)"
+
+
+@query(f"{_STORE}, {_READINGS} SELECT archigraphemic, readings, occurrences::BIGINT AS occurrences, (SELECT count(*) FROM readings)::BIGINT AS total FROM readings ORDER BY readings.readings DESC, occurrences DESC, archigraphemic LIMIT 24")
+def shown_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few, total = display.shown(lexicon.ambiguous(compiled(spark, sf_dir)["word"]), "clusters", F.desc("readings"), F.desc("occurrences"), "archigraphemic")
+    return few.select("archigraphemic", "readings", "occurrences", F.lit(total).cast("long").alias("total"))
+
+
+@query("SELECT o_orderkey, o_custkey, true AS more FROM orders ORDER BY o_orderkey LIMIT 50")
+def first_rows_and_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register({"orders": b.read(spark, sf_dir, "orders")})
+    few, more = first_rows(read_only(spark, "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey"), 50)
+    return spark.createDataFrame([(r.o_orderkey, r.o_custkey, more) for r in few], "o_orderkey long, o_custkey long, more boolean")
+
+
+@query(f"{_STORE}, r AS (SELECT root, count(*) AS n FROM word GROUP BY 1) SELECT root AS text, n AS word_count, length(root)::INTEGER AS letters FROM r")
+def sql_over_a_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compiled(spark, sf_dir)
+    return read_only(spark, "SELECT text, word_count, letters FROM root")
+
+
+@query(f"{_STORE} SELECT ayah_id, rasm FROM ayah_text WHERE edition_id = 2")
+def rung_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compiled(spark, sf_dir)
+    ladder.register(spark)
+    return read_only(spark, "SELECT ayah_id, rung(raw, 'rasm') AS rasm FROM ayah_text WHERE edition_id = 2")
