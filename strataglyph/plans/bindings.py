@@ -72,6 +72,36 @@ def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("p_brand").alias("root"), F.col("p_name").alias("lemma"), F.col("o_custkey").alias("surah"))
 
 
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verses with id, surah, number, source and tokens: sources as chapters, VERSE tokens of a document as a verse."""
+    cut = cleaned(spark, sf_dir).filter("plain <> ''").withColumn("t", F.split(F.translate("plain", LATIN, ARABIC), " "))
+    parts = F.expr(f"transform(sequence(0, (size(t) - 1) div {VERSE}), i -> slice(t, i * {VERSE} + 1, {VERSE}))")
+    verse = cut.select("source", "doc_id", F.posexplode(parts).alias("k", "tokens")).withColumn("verse", F.col("doc_id") * 1_000_000 + F.col("k"))
+    names = verse.select("source").distinct()
+    chapters = names.select("source", F.row_number().over(spine.Window.orderBy("source")).alias("surah"))
+    return spine.dense_ids(verse, "source", ["verse"], "number", "id").join(F.broadcast(chapters), "source")
+
+
+def _chapters(ayah: DataFrame) -> DataFrame:
+    spans = ayah.groupBy("surah", "source").agg(F.count(F.lit(1)).alias("ayah_count"), F.min("id").alias("ayah_start"), F.max("id").alias("ayah_end"))
+    return spans.select(F.col("surah").alias("number"), F.col("source").alias("name_ar"), F.col("source").alias("name_en"), F.col("source").alias("name_translit"), F.lit("meccan").alias("revelation_place"), "ayah_count", "ayah_start", "ayah_end")
+
+
+def _spoken(ayah: DataFrame) -> DataFrame:
+    return ayah.select(F.col("id").alias("ayah_id"), F.posexplode("tokens").alias("p", "token"))
+
+
+def spelled(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The chapters, verses, words and segments of such a store alone, without what compiling them adds."""
+    from ..functions.ladder import _FOLD, _table, letters_skeleton
+
+    ayah = _numbered(spark, sf_dir)
+    numbered = spine.dense_ids(_spoken(ayah).withColumn("line", F.col("ayah_id") * 100 + F.col("p")).withColumn("stripe", F.floor(F.col("line") / 1_000_000)), "stripe", ["line"], "_n", "id")
+    word = numbered.select("id", "ayah_id", (F.col("p") + 1).alias("position"), F.col("token").alias("form"), _table(F.col("token"), _FOLD).alias("rasm")).withColumn("archigraphemic", letters_skeleton(F.col("rasm")))
+    segment = word.select("id", F.col("id").alias("word_id"), F.lit(1).alias("position"), "form", F.lit("N").alias("tag"), F.substring("form", 1, 2).alias("root"), F.substring("form", 1, 3).alias("lemma"))
+    return {"surah": _chapters(ayah), "ayah": ayah.select("id", "surah", "number"), "word": word, "segment": segment}
+
+
 def store(spark: SparkSession, sf_dir: str, keep: Callable[[DataFrame, str], DataFrame]) -> dict[str, DataFrame]:
     """A store's tables, to be written, from documents: sources as chapters, 40 tokens as a verse, two editions of which the other has vowels in every second verse and moved dots in the rest. keep writes a table that several others are made from, and gives it back."""
     from ..functions import ladder
@@ -79,15 +109,8 @@ def store(spark: SparkSession, sf_dir: str, keep: Callable[[DataFrame, str], Dat
     from ..sources.store import EMPTY
     from .build import variant_pairs
 
-    cut = cleaned(spark, sf_dir).filter("plain <> ''").withColumn("t", F.split(F.translate("plain", LATIN, ARABIC), " "))
-    parts = F.expr(f"transform(sequence(0, (size(t) - 1) div {VERSE}), i -> slice(t, i * {VERSE} + 1, {VERSE}))")
-    verse = cut.select("source", "doc_id", F.posexplode(parts).alias("k", "tokens")).withColumn("verse", F.col("doc_id") * 1_000_000 + F.col("k"))
-    names = verse.select("source").distinct()
-    chapters = names.select("source", F.row_number().over(spine.Window.orderBy("source")).alias("surah"))
-    ayah = keep(spine.dense_ids(verse, "source", ["verse"], "number", "id").join(F.broadcast(chapters), "source"), "verse")
-    spans = ayah.groupBy("surah", "source").agg(F.count(F.lit(1)).alias("ayah_count"), F.min("id").alias("ayah_start"), F.max("id").alias("ayah_end"))
-    surah = spans.select(F.col("surah").alias("number"), F.col("source").alias("name_ar"), F.col("source").alias("name_en"), F.col("source").alias("name_translit"), F.lit("meccan").alias("revelation_place"), "ayah_count", "ayah_start", "ayah_end")
-    spoken = ayah.select(F.col("id").alias("ayah_id"), F.posexplode("tokens").alias("p", "token"))
+    ayah = keep(_numbered(spark, sf_dir), "verse")
+    surah, spoken = _chapters(ayah), _spoken(ayah)
     rows = spoken.select((F.col("ayah_id") * 100 + F.col("p")).alias("line"), "ayah_id", (F.col("p") + 1).alias("place"), F.lit(1).alias("part"), F.col("token").alias("form"), F.lit("N").alias("pos"), F.concat(F.lit("N|ROOT:"), F.substring("token", 1, 2), F.lit("|LEM:"), F.substring("token", 1, 3)).alias("features"))
     word, segment, _ = morphology.compile_words(rows)
     word, segment = keep(word, "word_kept"), keep(segment, "segment_kept")

@@ -103,22 +103,22 @@ _WORDREF = "'Q' || w.surah || ':' || w.ayah || ':' || w.position"
 # Views and references ------------------------------------------------------------------------
 @query(f"{_STORE} SELECT id, 'Q' || surah || ':' || number AS ref, name_en FROM ayah JOIN surah s ON s.number = ayah.surah".replace("|| number AS ref", "|| ayah.number AS ref"))
 def view_ayah(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compiled(spark, sf_dir)["v_ayah"].select("id", "ref", "name_en")
+    return store.views(b.spelled(spark, sf_dir))["v_ayah"].select("id", "ref", "name_en")
 
 
 @query(f"{_STORE} SELECT id, {_WORDREF} AS ref, rasm, archigraphemic FROM word w")
 def view_word(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compiled(spark, sf_dir)["v_word"].select("id", "ref", "rasm", "archigraphemic")
+    return store.views(b.spelled(spark, sf_dir))["v_word"].select("id", "ref", "rasm", "archigraphemic")
 
 
 @query(f"{_STORE} SELECT id, {_WORDREF} || ':1' AS ref, form, 'N' AS tag, root, lemma FROM word w")
 def view_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compiled(spark, sf_dir)["v_segment"].select("id", "ref", "form", "tag", "root", "lemma")
+    return store.views(b.spelled(spark, sf_dir))["v_segment"].select("id", "ref", "form", "tag", "root", "lemma")
 
 
 @query(f"{_STORE} SELECT id, 'Q' || w.surah || ':' || w.ayah AS ref FROM word w")
 def word_to_ayah_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compiled(spark, sf_dir)["v_word"].select("id", display.ayah_of(F.col("ref")).alias("ref"))
+    return store.views(b.spelled(spark, sf_dir))["v_word"].select("id", display.ayah_of(F.col("ref")).alias("ref"))
 
 
 # Payloads ------------------------------------------------------------------------------------
@@ -151,7 +151,7 @@ def payload_vocalic_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, found, "ayah_id long, slug string, op string, ref_position int, ref_text string, var_text string, flag string")
 
 
-@query(f"{_STORE} SELECT e.id AS edition_id, slug, (SELECT count(*) FROM ayah)::BIGINT AS ayahs, CASE e.id WHEN 2 THEN (SELECT count(*) FROM vowel) ELSE 0 END::BIGINT AS vocalic FROM edition e")
+@query(f"{_STORE} SELECT e.id::BIGINT AS edition_id, slug, (SELECT count(*) FROM ayah)::BIGINT AS ayahs, CASE e.id WHEN 2 THEN (SELECT count(*) FROM vowel) ELSE 0 END::BIGINT AS vocalic FROM edition e")
 def edition_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, Api(compiled(spark, sf_dir)).counters(), "edition_id long, slug string, ayahs long, vocalic long")
 
