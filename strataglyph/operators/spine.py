@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 STRIPE = 100_000
 
 
-def _within_stripes(rows: DataFrame, group: str, order: str, value: Column) -> DataFrame:
-    """Adds _earlier: the sum of value over the rows of the group that come before, by an integer order without ties.
+def running(rows: DataFrame, group: str, order: str, value: Column, name: str) -> DataFrame:
+    """Adds ``name``: the sum of value over the rows of the group that come before, by an integer order without ties.
 
     A group is cut into stripes of the order, which are summed where they are;
     a window holds one stripe, or one group's stripes.
@@ -25,7 +25,7 @@ def _within_stripes(rows: DataFrame, group: str, order: str, value: Column) -> D
     before = sums.select(F.col(group).alias("_g"), F.col("_stripe").alias("_s"), F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_before_stripe"))
     inside = Window.partitionBy(group, "_stripe").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     joined = striped.join(before, F.col(group).eqNullSafe(F.col("_g")) & F.col("_stripe").eqNullSafe(F.col("_s")))
-    return joined.withColumn("_earlier", (F.col("_before_stripe") + F.coalesce(F.sum("_value").over(inside), F.lit(0))).cast("long")).drop("_g", "_s", "_stripe", "_value", "_before_stripe")
+    return joined.withColumn(name, (F.col("_before_stripe") + F.coalesce(F.sum("_value").over(inside), F.lit(0))).cast("long")).drop("_g", "_s", "_stripe", "_value", "_before_stripe")
 
 
 def dense_ids(rows: DataFrame, group: str, order: Sequence[str], number: str, ident: str) -> DataFrame:
@@ -35,7 +35,7 @@ def dense_ids(rows: DataFrame, group: str, order: Sequence[str], number: str, id
     stripe where their order is one integer column, else group by group.
     """
     if len(order) == 1 and dict(rows.dtypes)[order[0]] in ("int", "bigint", "smallint", "tinyint"):
-        numbered = _within_stripes(rows, group, order[0], F.lit(1)).withColumn(number, (F.col("_earlier") + 1).cast("int")).drop("_earlier")
+        numbered = running(rows, group, order[0], F.lit(1), "_earlier").withColumn(number, (F.col("_earlier") + 1).cast("int")).drop("_earlier")
     else:
         numbered = rows.withColumn(number, F.row_number().over(Window.partitionBy(group).orderBy(*order)))
     return numbered.join(before_groups(rows, group), group).withColumn(ident, (F.col("_before") + F.col(number)).cast("long")).drop("_before", "_count")
@@ -61,7 +61,7 @@ def child_spans(children: DataFrame, parent: str, ident: str, prefix: str) -> Da
 def offsets(texts: DataFrame, edition: str, order: str, length: Column | None = None) -> DataFrame:
     """Adds char_start and char_end in the text of an edition whose units are joined by single newlines, in order (an integer column). length: of a unit's text, by default of ``plain``."""
     length = F.length("plain") if length is None else length
-    placed = _within_stripes(texts.withColumn("_length", length), edition, order, F.col("_length") + 1)
+    placed = running(texts.withColumn("_length", length), edition, order, F.col("_length") + 1, "_earlier")
     return placed.withColumn("char_start", F.col("_earlier")).withColumn("char_end", F.col("_earlier") + F.col("_length")).drop("_earlier", "_length")
 
 

@@ -96,8 +96,10 @@ def spelled(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     from ..functions.ladder import _FOLD, _table, letters_skeleton
 
     ayah = _numbered(spark, sf_dir)
-    numbered = spine.dense_ids(_spoken(ayah).withColumn("line", F.col("ayah_id") * 100 + F.col("p")).withColumn("stripe", F.floor(F.col("line") / 1_000_000)), "stripe", ["line"], "_n", "id")
-    word = numbered.select("id", "ayah_id", (F.col("p") + 1).alias("position"), F.col("token").alias("form"), _table(F.col("token"), _FOLD).alias("rasm")).withColumn("archigraphemic", letters_skeleton(F.col("rasm")))
+    # a word's id is its place after the words of all verses before its own
+    placed = spine.running(ayah.withColumn("one", F.lit(1)), "one", "id", F.size("tokens"), "before")
+    spoken = placed.select("before", F.col("id").alias("ayah_id"), F.posexplode("tokens").alias("p", "form"))
+    word = spoken.select((F.col("before") + F.col("p") + 1).alias("id"), "ayah_id", (F.col("p") + 1).alias("position"), "form", _table(F.col("form"), _FOLD).alias("rasm")).withColumn("archigraphemic", letters_skeleton(F.col("rasm")))
     segment = word.select("id", F.col("id").alias("word_id"), F.lit(1).alias("position"), "form", F.lit("N").alias("tag"), F.substring("form", 1, 2).alias("root"), F.substring("form", 1, 3).alias("lemma"))
     return {"surah": _chapters(ayah), "ayah": ayah.select("id", "surah", "number"), "word": word, "segment": segment}
 
