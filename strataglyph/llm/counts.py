@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .memory import turn_to
 from .tokens import encoder, vocabulary
 from .workspace import Workspace, table
 
@@ -49,6 +50,7 @@ def write_flat(docs: DataFrame, path: str, vocabulary_path: str | None = None, s
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row a file: documents with separators between them."""
+        turn_to("tokens")
         encode, kind = encoder(name, width, False), np.dtype(f"<u{width}")
         held: list[bytes] = []
         size = 0

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graph import components
+from .memory import cache, turn_to
 from .workspace import Workspace, fresh, table
 
 WORDS = 5
@@ -52,8 +53,8 @@ SKETCH = TREES * DEPTH // 2
 WALK, MAYBE, BEST = 96, 0.55, 3
 #: The walk ends at one partner with the first agreement, or at the third with the second.
 SURE, LIKELY = 0.86, 0.8
-#: Pairs of a component that a round confirms, best first; the last round takes all that are left.
-ROUNDS = (2, None)
+#: Pairs of a component that a round confirms, best first; the last round takes all that are left, and so does the first one if there are few.
+ROUNDS, FEW_PAIRS = (2, None), 50_000
 #: Rows of ids up to which a table is broadcast.
 BROADCAST_ROWS = 300_000
 #: Bits of a set's parities: least and most, powers of two.
@@ -84,6 +85,7 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+cache("words", _hashes.clear)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -142,6 +144,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     schema = pa.schema([(name, kinds[kind]) for name, kind in map(str.split, _SIGNED.split(", "))])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("words")
         for batch in batches:
             rows: list[list] = [[] for _ in schema]
             for doc_id, t1, t2, text in zip(*batch.columns, strict=True):
@@ -435,7 +438,7 @@ def linked_components(space: Workspace, docs: DataFrame, classes: DataFrame, pai
     texts = _keyed(docs).select("t1", "t2", "text").join(_few(wanted), ["t1", "t2"]).select("id", "text")
     texts = space.save(texts.dropDuplicates(["id"]), f"texts-{name}")
     left = pairs
-    for turn, most in enumerate(ROUNDS):
+    for turn, most in enumerate(ROUNDS if pairs.count() > FEW_PAIRS else (None,)):
         chosen = left if most is None else best_of_each(left, most)
         chosen = space.save(chosen.select("a", "b"), f"chosen-{name}{turn}")
         proven = proven.unionByName(space.save(confirmed(chosen, texts), f"proven-{name}{turn}"))

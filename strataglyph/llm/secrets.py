@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .memory import turn_to
 from .workspace import table
 
 #: In the order in which spans that start together are listed.
@@ -257,6 +258,7 @@ def scan(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("base", pa.string()), ("n", pa.list_(pa.int64())), ("spans", pa.string())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to(None)
         for batch in batches:
             rows: list[list] = [[], [], [], []]
             for doc_id, value in zip(batch.column(0), batch.column(1), strict=True):
@@ -290,6 +292,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def mask(texts):  # noqa: ANN001, ANN202
+        turn_to(None)
         return texts.map(lambda t: None if t is None else redact_text(t))
 
     out = docs.withColumn("text", mask(F.col("text").cast("string")))

@@ -15,12 +15,14 @@ from functools import lru_cache
 import regex
 from tokenizers import Tokenizer
 
+from .memory import cache
+
 #: Control characters on whose class libraries differ.
 _ODD = "\x1c\x1d\x1e\x1f"
 _SLOW = regex.compile("[^\x00-\xff]|<\\|")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Entries of a generation of a worker's cache (a full one replaces the older one), and characters of the longest chunk that it holds.
-ENTRIES, LONGEST = 200_000, 64
+ENTRIES, LONGEST = 150_000, 64
 
 
 def _byte_letters() -> dict[int, str]:
@@ -104,6 +106,9 @@ def encoder(path: str, width: int = 4, special: bool = True) -> WordEncoder:
     return WordEncoder(path, width, special)
 
 
+cache("tokens", encoder.cache_clear)
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
