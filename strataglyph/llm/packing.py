@@ -10,7 +10,8 @@ What a range leaves over is matched across its borders by rank, from one count
 a range. Gaps that hold several pieces of the band whatever their lengths stand
 for several slots. Then gaps are updated, and the round repeats. Pieces longer
 than any gap that is left open as many sequences as their tokens fill at least,
-the longest pieces first; a last few are packed in one task.
+the longest pieces first. When few pieces are left after a round, and few gaps that
+hold any, one task places them.
 """
 
 from __future__ import annotations
@@ -28,14 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .memory import turn_to
 from .tokens import encoder, vocabulary
 from .workspace import Workspace, table
 
 CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
-#: Rows of a range that is swept in one task, and pieces longer than any gap that one task packs in the end.
-RANGE_ROWS, TAIL = 250_000, 20_000
+#: Rows of a range that is swept in one task, and the last pieces and gaps of a band that one task takes at most.
+RANGE_ROWS, TAIL, TAIL_GAPS = 250_000, 20_000, 100_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -50,6 +52,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary_path: str | Non
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("tokens")
         encode, end, step = encoder(path), end_id.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
@@ -121,19 +124,20 @@ def _sweep_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told(k, rest, rest)
 
 
-def sequential(lengths: list[tuple[int, int]], capacity: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
-    """Best fit of few pieces (key, length) in new sequences: (key, length, seq, off), and (seq, free); a sequence is named by its first piece."""
-    gaps: list[tuple[int, int]] = []
+def sequential(pieces_: list[tuple[int, int]], gaps: list[tuple[int, int]], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """Best fit of few pieces (key, length) in gaps (free, seq) and new sequences, each named by its first piece: (key, length, seq, place in the gap, free of the gap as a whole)."""
+    gaps = sorted(gaps)
+    whole: dict[int, int] = {seq: free for free, seq in gaps}
     used: dict[int, int] = {}
     placed = []
-    for key, length in sorted(lengths, key=lambda x: (-x[1], x[0])):
+    for key, length in sorted(pieces_, key=lambda x: (-x[1], x[0])):
         k = bisect.bisect_left(gaps, (length, -(1 << 63)))
-        seq = key if k == len(gaps) else gaps.pop(k)[1]
-        placed.append((key, length, seq, used.get(seq, 0)))
+        free, seq = gaps.pop(k) if k < len(gaps) else (capacity, key)
+        placed.append((key, length, seq, used.get(seq, 0), whole.get(seq, capacity)))
         used[seq] = used.get(seq, 0) + length
-        if used[seq] < capacity:
-            bisect.insort(gaps, (capacity - used[seq], seq))
-    return placed, [(seq, capacity - n) for seq, n in used.items()]
+        if free > length:
+            bisect.insort(gaps, (free - length, seq))
+    return placed
 
 
 class _Rounds:
@@ -157,13 +161,16 @@ class _Rounds:
         left = self.gaps.join(taken, "seq", "left").select("seq", (F.col("free") - F.coalesce("taken", F.lit(0))).cast("int").alias("free"))
         self.gaps = self.save(left.filter("free > 0"), "gaps")
 
-    def sweep(self, items: DataFrame, least: int, bound: int, rows: int) -> DataFrame:
-        """Places what it can of items (key, length) of lengths from least to bound; gives the others."""
+    def sweep(self, items: DataFrame, items_n: int, bound: int, rows: int) -> DataFrame:
+        """Places what it can of the items_n items (key, length), of lengths beyond half of bound up to bound; gives the others."""
         parts = max(1, -(-rows // RANGE_ROWS))
         none = F.lit(None)
         wanted = items.select(F.lit(0).alias("kind"), F.col("length").alias("size"), "key", "length", none.cast("long").alias("seq"), none.cast("int").alias("slot"), none.cast("int").alias("free"))
-        n = F.greatest(F.floor(F.col("free") / bound).cast("int"), F.lit(1))
-        slots = self.gaps.filter(F.col("free") >= least).withColumn("n", n).select("seq", "free", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slot"))
+        # a gap stands for no more slots than there are pieces
+        n = F.least(F.greatest(F.floor(F.col("free") / bound), F.lit(1)), F.lit(items_n)).cast("int")
+        fit = self.gaps.filter(F.col("free") > bound // 2).withColumn("n", n)
+        several = fit.filter("n > 1").select("seq", "free", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slot"))
+        slots = fit.filter("n = 1").select("seq", "free", "n", F.lit(0).alias("slot")).unionByName(several)
         # all slots of a gap but the last hold any piece of the band
         size = F.when(F.col("slot") < F.col("n") - 1, F.lit(bound)).otherwise(F.col("free") - bound * (F.col("n") - 1))
         offered = slots.select(F.lit(1).alias("kind"), F.least(size, F.lit(bound)).cast("int").alias("size"), none.cast("long").alias("key"), none.cast("int").alias("length"), "seq", "slot", "free")
@@ -193,53 +200,62 @@ class _Rounds:
         beyond = items.filter(F.col("length") > most).agg(F.sum("length").alias("s"), F.count(F.lit(1)).alias("n")).first()
         if not beyond.n:
             return items, False
-        if beyond.n <= TAIL:
-            capacity = self.capacity
-
-            def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                few = [(k, n) for b in batches for k, n in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-                if few:
-                    yield pa.RecordBatch.from_pylist([{"key": k, "length": n, "seq": s, "off": o} for k, n, s, o in sequential(few, capacity)[0]], schema=pa.schema([("key", pa.int64()), ("length", pa.int32()), ("seq", pa.int64()), ("off", pa.int64())]))
-
-            # one task: TAIL pieces at most
-            placed = self.save(items.filter(F.col("length") > most).select("key", "length").coalesce(1).mapInArrow(last, "key long, length int, seq long, off long"), "tail")
-            self.placed.append(placed.select("key", "seq", "off"))
-            fresh = placed.groupBy("seq").agg((F.lit(capacity) - F.sum("length")).cast("int").alias("free")).filter("free > 0")
-            rest = items.filter(F.col("length") <= most)
-        else:
-            wanted = -(-beyond.s // self.capacity)
-            # of each length, how many are longer: a table of at most one row a length
-            lengths = items.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
-            longer = lengths.withColumn("longer", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-            edge = longer.filter(F.col("longer") < wanted).orderBy("length").first()
-            # the shortest length that opens sequences may be one of very many pieces: its pieces are numbered part by part
-            salts = max(1, edge.n // RANGE_ROWS)
-            last_ones = items.filter(F.col("length") == edge.length).select("key", "length", F.pmod(F.xxhash64("key"), F.lit(salts)).alias("salt"))
-            before = last_ones.groupBy("salt").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-            place = F.col("before") + F.row_number().over(Window.partitionBy("salt").orderBy("key"))
-            some = last_ones.join(before, "salt").select("key", "length", (place <= wanted - edge.longer).alias("opens"))
-            every = some.unionByName(items.filter(F.col("length") != edge.length).select("key", "length", (F.col("length") > edge.length).alias("opens")))
-            every = self.save(every, "chosen")
-            first, rest = every.filter("opens"), every.filter("not opens")
-            self.placed.append(first.select("key", F.col("key").alias("seq"), F.lit(0).cast("long").alias("off")))
-            fresh = first.select(F.col("key").alias("seq"), (F.lit(self.capacity) - F.col("length")).cast("int").alias("free"))
+        wanted = -(-beyond.s // self.capacity)
+        # of each length, how many are longer: a table of at most one row a length
+        lengths = items.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
+        longer = lengths.withColumn("longer", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        edge = longer.filter(F.col("longer") < wanted).orderBy("length").first()
+        # the shortest length that opens sequences may be one of very many pieces: its pieces are numbered part by part
+        salts = max(1, edge.n // RANGE_ROWS)
+        last_ones = items.filter(F.col("length") == edge.length).select("key", "length", F.pmod(F.xxhash64("key"), F.lit(salts)).alias("salt"))
+        before = last_ones.groupBy("salt").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+        place = F.col("before") + F.row_number().over(Window.partitionBy("salt").orderBy("key"))
+        some = last_ones.join(before, "salt").select("key", "length", (place <= wanted - edge.longer).alias("opens"))
+        every = some.unionByName(items.filter(F.col("length") != edge.length).select("key", "length", (F.col("length") > edge.length).alias("opens")))
+        every = self.save(every, "chosen")
+        first, rest = every.filter("opens"), every.filter("not opens")
+        self.placed.append(first.select("key", F.col("key").alias("seq"), F.lit(0).cast("long").alias("off")))
+        fresh = first.select(F.col("key").alias("seq"), (F.lit(self.capacity) - F.col("length")).cast("int").alias("free"))
         self.gaps = self.gaps.unionByName(fresh)
         return rest.select("key", "length"), True
 
+    def finish(self, items: DataFrame, bound: int) -> None:
+        """Places all of items (key, length), which are TAIL at most, in gaps beyond half of bound, which are TAIL_GAPS at most, and in new sequences."""
+        capacity = self.capacity
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            found = sequential([r[:2] for r in rows if r[0] is not None], [(r[3], r[2]) for r in rows if r[0] is None], capacity)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["key", "length", "seq", "place", "free"])
+
+        none = F.lit(None)
+        rows = items.select("key", "length", none.cast("long").alias("seq"), none.cast("int").alias("free"))
+        rows = rows.unionByName(self.gaps.filter(F.col("free") > bound // 2).select(none.cast("long").alias("key"), none.cast("int").alias("length"), "seq", "free"))
+        placed = self.save(rows.coalesce(1).mapInArrow(place, "key long, length int, seq long, place long, free int"), "last")
+        self.placed.append(placed.select("key", "seq", (F.lit(capacity) - F.col("free") + F.col("place")).cast("long").alias("off")))
+        taken = placed.groupBy("seq").agg(F.sum("length").alias("taken"), F.max("free").alias("whole"))
+        left = self.gaps.select("seq", F.col("free").alias("before")).join(taken, "seq", "full_outer")
+        left = left.select("seq", (F.coalesce("before", "whole") - F.coalesce("taken", F.lit(0))).cast("int").alias("free"))
+        self.gaps = self.save(left.filter("free > 0"), "gaps")
+
     def band(self, items: DataFrame, bound: int) -> None:
         """Places all of items (key, length), of lengths up to bound."""
+        swept = False
         while True:
             self.turn += 1
             none = F.lit(None).cast("long")
-            size = items.agg(F.count(F.lit(1)).alias("n"), F.min("length").cast("long").alias("least"), none.alias("slots"), none.alias("most"))
+            size = items.agg(F.count(F.lit(1)).alias("n"), F.min("length").cast("long").alias("least"), none.alias("slots"), none.alias("most"), none.alias("gaps"))
             free = F.when(F.col("free") > bound // 2, F.col("free"))
-            fit = self.gaps.agg(none.alias("n"), none.alias("least"), F.sum(F.greatest(F.floor(free / bound), F.lit(1))).cast("long").alias("slots"), F.max(free).cast("long").alias("most"))
+            fit = self.gaps.agg(none.alias("n"), none.alias("least"), F.sum(F.greatest(F.floor(free / bound), F.lit(1))).cast("long").alias("slots"), F.max(free).cast("long").alias("most"), F.count(free).alias("gaps"))
             size, fit = sorted(size.unionByName(fit).collect(), key=lambda r: r.n is None)
             if not size.n:
                 return
+            if size.n <= TAIL and fit.gaps <= TAIL_GAPS and (swept or not fit.gaps):
+                return self.finish(items, bound)
             items, opened = self.open(items, fit.most or 0)
             if opened or (fit.most or 0) >= size.least:
-                items = self.sweep(items, size.least, bound, size.n + (fit.slots or 0))
+                items, swept = self.sweep(items, size.n, bound, size.n + min(fit.slots or 0, fit.gaps * size.n)), True
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary_path: str | None = None, end_id: int = END_ID) -> DataFrame:
