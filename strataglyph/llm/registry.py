@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .centroids import OP12_SQL, op12_centroid_clustering
 from .counts import op1_token_counts
 from .langid import op2_language_id
 from .mixing import OP8_SQL, op8_poisson_mixing
@@ -11,6 +12,7 @@ from .quality import op3_quality_rules
 from .repeats import op7_suffix_array_dedup
 from .secrets import op9_secret_scan
 from .sites import op10_quality_classifier
+from .slack import op11_minimum_slack_packing
 from .topk import OP5_SQL, op5_exact_top_k
 
 QUERIES = {
@@ -24,9 +26,12 @@ QUERIES = {
     "op8_poisson_mixing": op8_poisson_mixing,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_minimum_slack_packing": op11_minimum_slack_packing,
+    "op12_centroid_clustering": op12_centroid_clustering,
 }
 
 ORACLES: dict[str, str] = {
     "op5_exact_top_k": OP5_SQL,
     "op8_poisson_mixing": OP8_SQL,
+    "op12_centroid_clustering": OP12_SQL,
 }

@@ -13,6 +13,7 @@ from array import array
 from functools import lru_cache
 
 import regex
+import tiktoken
 from tokenizers import Tokenizer
 
 from .memory import cache
@@ -21,8 +22,14 @@ from .memory import cache
 _ODD = "\x1c\x1d\x1e\x1f"
 _SLOW = regex.compile("[^\x00-\xff]|<\\|")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: How byte-level BPE of this kind cuts a text (a fixed value).
+_SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space besides spaces and line feeds, and runs of white space.
+_WIDE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+_KNOTS = (*_WIDE, "  ", "\n\n", " \n", "\n ")
+_KNOT = regex.compile("[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Entries of a generation of a worker's cache (a full one replaces the older one), and characters of the longest chunk that it holds.
-ENTRIES, LONGEST = 150_000, 64
+ENTRIES, SPACED_ENTRIES, LONGEST = 150_000, 250_000, 64
 
 
 def _byte_letters() -> dict[int, str]:
@@ -106,7 +113,79 @@ def encoder(path: str, width: int = 4, special: bool = True) -> WordEncoder:
     return WordEncoder(path, width, special)
 
 
-cache("tokens", encoder.cache_clear)
+class _Spaced(dict):
+    """Ids of chunks in two generations of at most SPACED_ENTRIES each. A chunk stands for a space and what follows it up to the next white space, or for a line feed and what follows, if it begins with one."""
+
+    def __init__(self, tokenizer: Tokenizer, ranks: tiktoken.Encoding) -> None:
+        self.tokenizer, self.ranks, self.older = tokenizer, ranks.encode_ordinary, {}
+        self.piece = ranks._core_bpe.encode_single_piece
+        self.signs = {chr(c): self.whole(chr(c)) for c in range(33, 127)}
+        self.line = self.whole("\n")
+
+    def whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids if _SLOW.search(text) or any(c in text for c in _WIDE) else self.ranks(text)
+        return array("H", ids).tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            last = chunk[-1:]
+            if chunk.isalpha() and (chunk.isascii() or max(chunk) <= "\xff"):  # one piece
+                ids = array("H", self.piece(b" " + chunk.encode())).tobytes()
+            elif last in self.signs and not last.isalnum() and chunk[:-1].isalpha():  # a word and one sign
+                ids = self[chunk[:-1]] + self.signs[last]
+            elif last and chunk[0] == "\n":
+                word = chunk[1:]
+                ids = self.line + array("H", self.piece(word.encode())).tobytes() if word.isascii() and word.isalpha() else self.whole(chunk)
+            else:
+                ids = self.whole(" " + chunk)
+        if len(chunk) <= LONGEST:
+            if len(self) >= SPACED_ENTRIES:
+                self.older = dict(self)
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
+class ByteEncoder:
+    """Ids of a byte-level BPE as little-endian unsigned integers of 2 bytes.
+
+    A word takes over one space before it, so a text falls apart at single
+    spaces and line feeds. Texts with longer runs of white space, or white
+    space of other kinds, are encoded whole; characters beyond Latin-1 and
+    special tokens are left to the library.
+    """
+
+    def __init__(self, path: str) -> None:
+        tokenizer = Tokenizer.from_file(path)
+        if tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids of this vocabulary don't fit 2 bytes")
+        back = {c: b for b, c in _byte_letters().items()}
+        special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+        ranks = {bytes(back[c] for c in token): i for token, i in tokenizer.get_vocab().items() if token not in special}
+        self.chunks = _Spaced(tokenizer, tiktoken.Encoding("own", pat_str=_SPACED, mergeable_ranks=ranks, special_tokens={}))
+
+    def __call__(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if any(k in text for k in _KNOTS) or (not text.isascii() and _KNOT.search(text)):
+            return self.chunks.whole(text)
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return (self.chunks.whole(first) if first else b"") + b"".join(map(self.chunks.__getitem__, rest))
+
+
+@lru_cache(maxsize=1)
+def byte_encoder(path: str) -> ByteEncoder:
+    """One encoder for each Python worker, kept between its tasks."""
+    return ByteEncoder(path)
+
+
+def _clear() -> None:
+    encoder.cache_clear()
+    byte_encoder.cache_clear()
+
+
+cache("tokens", _clear)
 
 
 def vocabulary(name: str) -> str:
