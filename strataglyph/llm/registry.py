@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .centroids import OP12_SQL, op12_centroid_clustering
 from .counts import op1_token_counts
+from .dialogue import OP13_SQL, op13_conversation_repair
 from .langid import op2_language_id
 from .mixing import OP8_SQL, op8_poisson_mixing
 from .neardup import op4_minhash_near_dedup
@@ -28,10 +29,12 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_minimum_slack_packing": op11_minimum_slack_packing,
     "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
     "op5_exact_top_k": OP5_SQL,
     "op8_poisson_mixing": OP8_SQL,
     "op12_centroid_clustering": OP12_SQL,
+    "op13_conversation_repair": OP13_SQL,
 }
