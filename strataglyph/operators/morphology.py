@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import features as ft
 from ..functions.ladder import archigraphemic_of_rasm, nfc, normalize
-from .spine import dense_ids
+from .spine import ids
 
 _SEGMENT = ("part", "form", "pos", "features", "root", "lemma", "tag")
 
@@ -21,13 +21,13 @@ def compile_words(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     described = rows.withColumn("form", nfc(F.col("form"))).withColumn("root", ft.feature(F.col("features"), "ROOT")).withColumn("lemma", ft.feature(F.col("features"), "LEM")).withColumn("tag", ft.tag(F.col("features")))
     grouped = described.groupBy("ayah_id", "place").agg(F.min("line").alias("line"), F.array_sort(F.collect_list(F.struct(*_SEGMENT))).alias("segments"))
-    numbered = dense_ids(grouped.withColumn("stripe", F.floor(F.col("line") / 100_000)), "stripe", ["line"], "_n", "id").drop("_n", "stripe")
+    numbered = ids(grouped, ["line"], "id")
     placed = numbered.withColumn("position", F.row_number().over(Window.partitionBy("ayah_id").orderBy("id")))
     told = placed.withColumn("stem", ft.stem(F.col("segments"))).withColumn("form", F.concat_ws("", F.transform("segments", lambda s: s["form"])))
     word = told.select("id", "ayah_id", "position", "form", F.col("stem.root").alias("root"), F.col("stem.lemma").alias("lemma"), F.col("stem.pos").alias("pos"), normalize(F.col("form"), "rasm").alias("rasm"), F.size("segments").alias("segment_count"), "segments")
     word = word.withColumn("archigraphemic", archigraphemic_of_rasm(F.col("rasm")))
     parts = word.select(F.col("id").alias("word_id"), F.posexplode("segments").alias("k", "s"))
-    segment = dense_ids(parts.withColumn("stripe", F.floor(F.col("word_id") / 100_000)), "stripe", ["word_id", "k"], "_n", "id").select("id", "word_id", (F.col("k") + 1).alias("position"), "s.form", "s.pos", "s.tag", "s.root", "s.lemma", "s.features")
+    segment = ids(parts, ["word_id", "k"], "id").select("id", "word_id", (F.col("k") + 1).alias("position"), "s.form", "s.pos", "s.tag", "s.root", "s.lemma", "s.features")
     return word.drop("segments"), segment, segment_features(segment)
 
 

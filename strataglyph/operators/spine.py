@@ -8,37 +8,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import kept, small
 
-#: Consecutive values of an order that are numbered together.
-STRIPE = 100_000
 
+def in_ranges(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """rows, written in order: ``_at`` grows from row to row of a range, ``_part`` from range to range. Ranges follow the rows, whatever kind of values the order has; nulls come first."""
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    # borders are sampled, so ranges are read twice from one table and never dealt again
+    return kept(placed, "ranges").withColumn("_part", F.shiftright("_at", 33))
 
-def running(rows: DataFrame, group: str, order: str, value: Column, name: str) -> DataFrame:
-    """Adds ``name``: the sum of value over the rows of the group that come before, by an integer order without ties.
 
-    A group is cut into stripes of the order, which are summed where they are;
-    a window holds one stripe, or one group's stripes.
-    """
-    striped = rows.withColumn("_stripe", F.floor(F.col(order) / STRIPE)).withColumn("_value", value)
-    sums = striped.groupBy(group, "_stripe").agg(F.sum("_value").alias("_sum"))
-    upto = Window.partitionBy(group).orderBy("_stripe").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select(F.col(group).alias("_g"), F.col("_stripe").alias("_s"), F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_before_stripe"))
-    inside = Window.partitionBy(group, "_stripe").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = striped.join(before, F.col(group).eqNullSafe(F.col("_g")) & F.col("_stripe").eqNullSafe(F.col("_s")))
-    return joined.withColumn(name, (F.col("_before_stripe") + F.coalesce(F.sum("_value").over(inside), F.lit(0))).cast("long")).drop("_g", "_s", "_stripe", "_value", "_before_stripe")
+def ids(rows: DataFrame, order: Sequence[str], ident: str) -> DataFrame:
+    """Adds ``ident``, from 1 in order, which should have no ties. Only the ranges' counts meet in one place."""
+    ranged = in_ranges(rows, order)
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_part", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    placed = ranged.join(small(before), "_part")
+    return placed.withColumn(ident, (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("long")).drop("_part", "_at", "_first", "_before")
 
 
-def dense_ids(rows: DataFrame, group: str, order: Sequence[str], number: str, ident: str) -> DataFrame:
-    """Adds ``number``, from 1 within each group in order, and ``ident``, from 1 over groups in their order.
+def running(rows: DataFrame, group: str, order: str | Sequence[str], value: Column, name: str) -> DataFrame:
+    """Adds ``name``: the sum of value over the rows of the group that come before in an order without ties.
 
-    Only the groups' counts are summed in one place. Rows are numbered stripe by
-    stripe where their order is one integer column, else group by group.
+    Rows are dealt by ranges of group and order, which are summed where they
+    are; a window holds one range of a group, or one row a range.
     """
-    if len(order) == 1 and dict(rows.dtypes)[order[0]] in ("int", "bigint", "smallint", "tinyint"):
-        numbered = running(rows, group, order[0], F.lit(1), "_earlier").withColumn(number, (F.col("_earlier") + 1).cast("int")).drop("_earlier")
-    else:
-        numbered = rows.withColumn(number, F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    return numbered.join(before_groups(rows, group), group).withColumn(ident, (F.col("_before") + F.col(number)).cast("long")).drop("_before", "_count")
+    columns = [order] if isinstance(order, str) else [*order]
+    ranged = in_ranges(rows.withColumn("_value", value), [group, *columns])
+    sums = ranged.groupBy(group, "_part").agg(F.sum("_value").alias("_sum"))
+    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(F.col(group).alias("_g"), F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_part", group).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    joined = ranged.join(small(before), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    return joined.withColumn(name, (F.col("_before") + F.coalesce(F.sum("_value").over(inside), F.lit(0))).cast("long")).drop("_g", "_p", "_part", "_at", "_value", "_before")
+
+
+def dense_ids(rows: DataFrame, group: str, order: Sequence[str], number: str, ident: str) -> DataFrame:
+    """Adds ``number``, from 1 within each group in order, and ``ident``, from 1 over groups in their order."""
+    placed = ids(rows, [group, *order], ident)
+    starts = placed.groupBy(F.col(group).alias("_g")).agg(F.min(ident).alias("_start"))
+    return placed.join(small(starts), F.col(group).eqNullSafe(F.col("_g"))).withColumn(number, (F.col(ident) - F.col("_start") + 1).cast("int")).drop("_g", "_start")
 
 
 def before_groups(rows: DataFrame, group: str) -> DataFrame:
@@ -59,7 +69,7 @@ def child_spans(children: DataFrame, parent: str, ident: str, prefix: str) -> Da
 
 
 def offsets(texts: DataFrame, edition: str, order: str, length: Column | None = None) -> DataFrame:
-    """Adds char_start and char_end in the text of an edition whose units are joined by single newlines, in order (an integer column). length: of a unit's text, by default of ``plain``."""
+    """Adds char_start and char_end in the text of an edition whose units are joined by single newlines, in order (a column). length: of a unit's text, by default of ``plain``."""
     length = F.length("plain") if length is None else length
     placed = running(texts.withColumn("_length", length), edition, order, F.col("_length") + 1, "_earlier")
     return placed.withColumn("char_start", F.col("_earlier")).withColumn("char_end", F.col("_earlier") + F.col("_length")).drop("_earlier", "_length")
@@ -80,10 +90,40 @@ def resolve(refs: DataFrame, surahs: DataFrame, ayahs: DataFrame, most: int | No
     a = lambda p: ayahs.select(F.col("surah").alias(f"_{p}as"), F.col("number").alias(f"_{p}an"), F.col("id").alias(f"_{p}id"))
     out = refs
     for p in ("start", "end"):
-        out = out.join(F.broadcast(s(p)), F.col(f"{p}.surah") == F.col(f"_{p}s"), "left")
+        out = out.join(small(s(p)), F.col(f"{p}.surah") == F.col(f"_{p}s"), "left")
         out = out.join(a(p), (F.col(f"{p}.surah") == F.col(f"_{p}as")) & (F.col(f"{p}.ayah") == F.col(f"_{p}an")), "left")
     first = F.when(F.col("start.ayah").isNull(), F.col("_startf")).otherwise(F.col("_startid"))
     last = F.when(F.col("end.ayah").isNull(), F.col("_endl")).otherwise(F.col("_endid"))
     if most is not None:
         last = F.least(last, first + most - 1)
     return out.select(*[F.col(c) for c in refs.columns], first.alias("first_id"), last.alias("last_id"))
+
+
+#: Widths of the intervals that a range of ids is cut into; each divides the next.
+WIDTHS = (1, 64, 4096, 262_144)
+
+
+def intervals(ranges: DataFrame, first: str = "first_id", last: str = "last_id") -> DataFrame:
+    """ranges with level and node: the fewest aligned intervals of WIDTHS that make each of them up, one a row. Ranges that are empty or have a null end have none."""
+    out = ranges.withColumn("_f", F.col(first).cast("long")).withColumn("_e", F.col(last).cast("long") + 1)
+    found = []
+    steps = lambda f, e, w: F.when(f < e, F.sequence(F.floor(f / w), F.floor(e / w) - 1)).otherwise(F.array().cast("array<bigint>"))
+    node = lambda level, nodes: F.transform(nodes, lambda n: F.struct(F.lit(level).alias("level"), n.alias("node")))
+    for level, (width, wider) in enumerate(zip(WIDTHS, WIDTHS[1:], strict=False)):
+        f, e = F.col("_f"), F.col("_e")
+        out = out.withColumn("_up", F.ceil(f / wider) * wider).withColumn("_down", F.floor(e / wider) * wider)
+        inner = F.col("_up") < F.col("_down")
+        ends = F.concat(steps(f, F.when(inner, F.col("_up")).otherwise(e), width), F.when(inner, steps(F.col("_down"), e, width)).otherwise(F.array().cast("array<bigint>")))
+        out = out.withColumn(f"_n{level}", node(level, ends))
+        found.append(f"_n{level}")
+        out = out.withColumn("_f", F.when(inner, F.col("_up"))).withColumn("_e", F.when(inner, F.col("_down")))
+    top = len(WIDTHS) - 1
+    last_ones = node(top, F.coalesce(steps(F.col("_f"), F.col("_e"), WIDTHS[-1]), F.array().cast("array<bigint>")))
+    every = F.concat(*[F.coalesce(F.col(n), F.array().cast("array<struct<level:int,node:bigint>>")) for n in found], last_ones)
+    return out.withColumn("_x", F.explode(every)).select(*[ranges[c] for c in ranges.columns], F.col("_x.level").alias("level"), F.col("_x.node").alias("node"))
+
+
+def within(ranges: DataFrame, members: DataFrame, ident: str = "id", first: str = "first_id", last: str = "last_id") -> DataFrame:
+    """ranges beside the members whose ident lies in them, each once: an equality join of the intervals, of which a range has about 126 a width at most and a member one a width."""
+    keyed = members.withColumn("_x", F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col(ident) / w).alias("node")) for k, w in enumerate(WIDTHS)])))
+    return intervals(ranges, first, last).join(keyed.select("*", "_x.level", "_x.node").drop("_x"), ["level", "node"]).drop("level", "node")

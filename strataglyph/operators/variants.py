@@ -2,44 +2,101 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.ladder import TEXT_STEPS
+from ..functions.ladder import letters_skeleton
+from ..sources.shared import kept
+from .spine import ids
 
-_ROWS = "ayah_id long, edition_id long, block int, k int, op string, ref_position int, ref_text string, var_text string, same_rasm int, same_archi int"
+_KEY = ("ayah_id", "edition_id")
+#: Rounds that one job plans; what is still open then is written and read again.
+ROUNDS = 3
+#: Positions in a unit are below it.
+_PLACES = 1 << 20
 
 
-def opcodes(ref: list[str], var: list[str]) -> list[tuple[str, int, int, int, int]]:
-    return SequenceMatcher(None, ref, var, autojunk=False).get_opcodes()
+def blocks(pairs: DataFrame) -> DataFrame:
+    """ayah_id, edition_id, i, j, n: the blocks of equal tokens of arrays a and b that recursive longest-match alignment finds.
 
-
-def _realigned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    The longest common block of a stretch comes first (of equal ones the first
+    in a, and of those the first in b), then what lies left of it in both and
+    what lies right, until nothing is common. All stretches of all units take
+    a step together: places where a and b have one token are runs on a
+    diagonal, and the longest run of each stretch splits it. A unit is a verse
+    or another text of bounded length; its repeated tokens meet pairwise.
+    """
+    places = lambda side, at: pairs.select(*_KEY, F.posexplode(side).alias(at, "token"))
+    met = places("a", "i").join(places("b", "j"), [*_KEY, "token"]).select(*_KEY, "i", "j")
+    open_ = met.withColumn("lo_i", F.lit(0)).withColumn("lo_j", F.lit(0))
+    found: list[DataFrame] = []
+    while True:
+        at = open_.repartition(*_KEY)  # every window of the rounds keeps this partitioning
+        done = None
+        for _ in range(ROUNDS):
+            best = _best_runs(at)
+            split = best.filter("i = bi and j = bj").select(*_KEY, "i", "j", F.col("bn").alias("n"))
+            done = split if done is None else done.unionByName(split)
+            left, right = (F.col("i") < F.col("bi")) & (F.col("j") < F.col("bj")), (F.col("i") >= F.col("bi") + F.col("bn")) & (F.col("j") >= F.col("bj") + F.col("bn"))
+            lo = lambda c: F.when(left, F.col(f"lo_{c}")).otherwise(F.col(f"b{c}") + F.col("bn")).alias(f"lo_{c}")  # noqa: B023, E731
+            at = best.filter(left | right).select(*_KEY, "i", "j", lo("i"), lo("j"))
+        # blocks and what is left of one evaluation, told apart by a null n
+        none = F.lit(None).cast("int")
+        both = kept(done.select(*_KEY, "i", "j", F.col("n").cast("int").alias("n"), none.alias("lo_i"), none.alias("lo_j")).unionByName(at.select(*_KEY, "i", "j", none.alias("n"), F.col("lo_i").cast("int").alias("lo_i"), F.col("lo_j").cast("int").alias("lo_j"))), "blocks")
+        found.append(both.filter("n is not null").select(*_KEY, "i", "j", "n"))
+        open_ = both.filter("n is null").select(*_KEY, "i", "j", "lo_i", "lo_j")
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+
+
+def _best_runs(at: DataFrame) -> DataFrame:
+    """Places (i, j) of stretches (lo_i, lo_j) with the stretch's longest run: bi, bj and bn."""
+    stretch = (*_KEY, "lo_i", "lo_j")
+    diagonal = at.withColumn("d", F.col("i") - F.col("j"))
+    run = diagonal.withColumn("run", F.col("i") - F.row_number().over(Window.partitionBy(*stretch, "d").orderBy("i")))
+    of_run = Window.partitionBy(*stretch, "d", "run")
+    sized = run.withColumn("n", F.count(F.lit(1)).over(of_run)).withColumn("from_", F.min("i").over(of_run))
+    # one number that grows with the length and falls with the places
+    rank = (F.col("n") * _PLACES + (_PLACES - 1 - F.col("from_"))) * _PLACES + (_PLACES - 1 - (F.col("from_") - F.col("d")))
+    best = sized.withColumn("best", F.max(rank).over(Window.partitionBy(*stretch)))
+    back = lambda c: (_PLACES - 1 - c % _PLACES).cast("int")
+    first = F.floor(F.col("best") / _PLACES)
+    return best.select(*stretch, "i", "j", back(first).alias("bi"), back(F.col("best")).alias("bj"), F.floor(first / _PLACES).cast("int").alias("bn"))
+
+
+def opcodes(pairs: DataFrame) -> DataFrame:
+    """ayah_id, edition_id, block, op, i1, i2, j1, j2 of arrays a and b: what lies between blocks of equal tokens (replace, delete or insert), and the blocks (equal)."""
+    end = pairs.select(*_KEY, F.size("a").alias("i"), F.size("b").alias("j"), F.lit(0).alias("n"))
+    in_order = Window.partitionBy(*_KEY).orderBy("i", "j")
+    told = blocks(pairs).unionByName(end).withColumn("block", 2 * F.row_number().over(in_order))
+    for c in "ij":
+        told = told.withColumn(f"{c}1", F.coalesce(F.lag(F.col(c) + F.col("n")).over(in_order), F.lit(0)))
+    gone, new = F.col("i1") < F.col("i"), F.col("j1") < F.col("j")
+    op = F.when(gone & new, "replace").when(gone, "delete").when(new, "insert")
+    between = told.withColumn("op", op).filter("op is not null").select(*_KEY, (F.col("block") - 1).alias("block"), "op", "i1", F.col("i").alias("i2"), "j1", F.col("j").alias("j2"))
+    equal = told.filter("n > 0").select(*_KEY, "block", F.lit("equal").alias("op"), F.col("i").alias("i1"), (F.col("i") + F.col("n")).alias("i2"), F.col("j").alias("j1"), (F.col("j") + F.col("n")).alias("j2"))
+    return between.unionByName(equal)
+
+
+def _realigned(changed: DataFrame) -> DataFrame:
     """Rows of units whose rasm differs."""
-    names = [c.split()[0] for c in _ROWS.split(", ")]
-    skeleton = TEXT_STEPS["archigraphemic"]
-    for batch in batches:
-        out = []
-        for row in batch.itertuples():
-            # pairs of (plain, rasm); a token without any rasm can't be aligned
-            ref = [t for t in zip(row.ref_plain, row.ref_rasm, range(len(row.ref_plain)), strict=True) if t[1]]
-            var = [t for t in zip(row.var_plain, row.var_rasm, strict=True) if t[1]]
-            for block, (op, i1, i2, j1, j2) in enumerate(opcodes([t[1] for t in ref], [t[1] for t in var])):
-                if op == "equal":
-                    for k in range(i2 - i1):
-                        a, b = ref[i1 + k], var[j1 + k]
-                        if a[0] != b[0]:
-                            out.append((row.ayah_id, row.edition_id, block, k, "replace", a[2] + 1, a[0], b[0], 1, 1))
-                else:
-                    a, b = ref[i1:i2], var[j1:j2]
-                    at = ref[i1][2] if i1 < len(ref) else len(row.ref_plain)
-                    join = lambda ts, k: " ".join(t[k] for t in ts)
-                    out.append((row.ayah_id, row.edition_id, block, 0, op, at + 1, join(a, 0), join(b, 0), 0, int(skeleton(join(a, 1)) == skeleton(join(b, 1)))))
-        yield pd.DataFrame(out, columns=names)
+    # a token without any rasm can't be aligned; the others keep their places
+    spelled = lambda side: F.expr(f"filter(transform({side}_rasm, (r, k) -> struct({side}_plain[k] as p, r, k as at)), x -> x.r <> '')")
+    units = kept(changed.select(*[F.col(c).cast("long").alias(c) for c in _KEY], F.size("ref_plain").alias("size"), spelled("ref").alias("ref"), spelled("var").alias("var")), "units")
+    codes = opcodes(units.select(*_KEY, F.col("ref.r").alias("a"), F.col("var.r").alias("b"))).join(units, [*_KEY])
+    none = F.lit(None)
+    cut = lambda side, k: F.slice(side, F.col(f"{k}1") + 1, F.col(f"{k}2") - F.col(f"{k}1"))
+    text = lambda cut_, c: F.array_join(F.transform(cut_, lambda x: x[c]), " ")
+    a, b = cut("ref", "i"), cut("var", "j")
+    place = F.coalesce(F.get("ref", F.col("i1"))["at"], F.col("size")) + 1
+    archi = (letters_skeleton(text(a, "r")) == letters_skeleton(text(b, "r"))).cast("int")
+    whole = codes.filter("op <> 'equal'").select(*_KEY, "block", F.lit(0).alias("k"), "op", place.alias("ref_position"), text(a, "p").alias("ref_text"), text(b, "p").alias("var_text"), F.lit(0).alias("same_rasm"), archi.alias("same_archi"))
+    tokens = codes.filter("op = 'equal'").select(*_KEY, "block", F.posexplode(F.arrays_zip(a.alias("a"), b.alias("b"))).alias("k", "x"), none.alias("_")).filter("x.a.p <> x.b.p")
+    vocalic = tokens.select(*_KEY, "block", "k", F.lit("replace").alias("op"), (F.col("x.a.at") + 1).alias("ref_position"), F.col("x.a.p").alias("ref_text"), F.col("x.b.p").alias("var_text"), F.lit(1).alias("same_rasm"), F.lit(1).alias("same_archi"))
+    return whole.unionByName(vocalic)
 
 
 def differences(pairs: DataFrame) -> DataFrame:
@@ -47,14 +104,14 @@ def differences(pairs: DataFrame) -> DataFrame:
 
     Units are aligned on their rasm. Inside an equal block each token spelled
     otherwise is a row with same_rasm = 1; any other block is one row. Units
-    whose rasm is equal throughout, which most are, never leave the JVM.
+    whose rasm is equal throughout, which most are, need no alignment.
     """
     changed = pairs.filter(F.col("ref_plain") != F.col("var_plain")).select("ayah_id", "edition_id", "ref_plain", "ref_rasm", "var_plain", "var_rasm")
     alike = F.col("ref_rasm") == F.col("var_rasm")
     spelled = F.expr("filter(transform(ref_rasm, (r, i) -> struct(i + 1 as place, ref_plain[i] as a, var_plain[i] as b, r as r)), x -> x.r <> '')")
     tokens = changed.filter(alike).select("ayah_id", "edition_id", F.posexplode(spelled).alias("k", "x")).filter("x.a <> x.b")
     vocalic = tokens.select(F.col("ayah_id").cast("long").alias("ayah_id"), F.col("edition_id").cast("long").alias("edition_id"), F.lit(0).alias("block"), "k", F.lit("replace").alias("op"), F.col("x.place").alias("ref_position"), F.col("x.a").alias("ref_text"), F.col("x.b").alias("var_text"), F.lit(1).alias("same_rasm"), F.lit(1).alias("same_archi"))
-    return vocalic.unionByName(changed.filter(~alike).mapInPandas(_realigned, _ROWS))
+    return vocalic.unionByName(_realigned(changed.filter(~alike)))
 
 
 def counters(rows: DataFrame, editions: DataFrame) -> DataFrame:
@@ -65,9 +122,7 @@ def counters(rows: DataFrame, editions: DataFrame) -> DataFrame:
 
 def numbered(rows: DataFrame) -> DataFrame:
     """Adds id in the order of edition, ayah, block and place."""
-    from .spine import dense_ids
-
-    return dense_ids(rows, "edition_id", ["ayah_id", "block", "k"], "_n", "id").drop("_n", "block", "k")
+    return ids(rows, ["edition_id", "ayah_id", "block", "k"], "id").drop("block", "k")
 
 
 def apparatus(rows: DataFrame, editions: DataFrame, reference: str) -> DataFrame:
