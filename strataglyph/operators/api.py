@@ -89,7 +89,7 @@ class Api:
     def search(self, q: str = "", level: str = "rasm", edition: str = "uthmani-hafs") -> dict:
         if level not in search.SEARCHED or not q.strip():
             return {"q": q, "level": level, "total": 0, "hits": []}
-        texts = self._texts(edition).join(search.indexed(self.t["postings"], q, level), ["edition_id", "ayah_id"], "left_semi")
+        texts = self._texts(edition).join(search.indexed(self.t, q, level), ["edition_id", "ayah_id"], "left_semi")
         hits = texts.join(self.t["v_ayah"].select(F.col("id").alias("ayah_id"), "ref"), "ayah_id")
         return {"q": q, "level": level, "total": hits.count(), "hits": _dicts(hits.select("ayah_id", "ref", "raw", F.col(level).alias("text")).orderBy("ayah_id").limit(MOST_HITS))}
 

@@ -154,6 +154,6 @@ def all_checks(t: dict[str, DataFrame], wanted: dict[str, int], counts_by_surah:
     if "build" in t:
         keys = spark.createDataFrame([(k,) for k in METADATA], "key string")
         out.append(none_of("build metadata is there", keys.join(t["build"], "key", "left_anti")))
-    hits = (search.indexed(t["postings"], needle, "rasm") if "postings" in t else search.phrase(t["ayah_text"], needle, "rasm")).agg(F.count(F.lit(1)).alias("n"))
+    hits = (search.indexed(t, needle, "rasm") if "postings" in t else search.phrase(t["ayah_text"], needle, "rasm")).agg(F.count(F.lit(1)).alias("n"))
     out.append(hits.select(F.lit("search responds").alias("name"), (F.col("n") > 0).alias("ok"), F.concat(F.col("n").cast("string"), F.lit(" hits")).alias("detail")))
     return reduce(DataFrame.unionByName, out)

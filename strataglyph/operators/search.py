@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ladder import text_at
+from ..sources.shared import kept
+from . import index
 
 #: Rungs that are searched.
 SEARCHED = ("unvocalized", "rasm", "archigraphemic")
@@ -57,23 +59,21 @@ def postings(texts: DataFrame, key: str | list[str], column: str) -> DataFrame:
     return texts.select(*keys, F.posexplode(terms(F.col(column))).alias("pos", "term")).select("term", *keys, "pos")
 
 
-def stored_postings(ayah_text: DataFrame) -> DataFrame:
-    """The index of every rung that is searched: level, term, edition_id, ayah_id, pos."""
+def stored_index(ayah_text: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings, term): blocks of every rung that is searched, and their dictionary, by level and edition."""
     each = [postings(ayah_text, ["edition_id", "ayah_id"], level).withColumn("level", F.lit(level)) for level in SEARCHED]
-    return reduce(DataFrame.unionByName, each)
+    held = kept(index.blocks(reduce(DataFrame.unionByName, each), ("level", "edition_id"), "ayah_id"), "postings")
+    return index.laid_out(held, ("level", "edition_id")), index.dictionary(held, ("level", "edition_id"))
 
 
-def phrase_by_postings(index: DataFrame, wanted: list[str], key: str | list[str]) -> DataFrame:
-    """Keys that hold the tokens side by side: each token's postings, shifted to the first one's place, meet in one grouped count."""
-    keys = [key] if isinstance(key, str) else key
-    if not wanted:
-        return index.select(*keys).filter(F.lit(False))
-    places = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(i).alias("i")) for i, w in enumerate(wanted)])
-    shifted = index.filter(F.col("term").isin(*set(wanted))).withColumn("x", F.explode(F.filter(places, lambda p: p["w"] == F.col("term")))).select(*keys, (F.col("pos") - F.col("x.i")).alias("begin"), F.col("x.i").alias("i"))
-    return shifted.groupBy(*keys, "begin").agg(F.count_distinct("i").alias("n")).filter(F.col("n") == len(wanted)).select(*keys).distinct()
-
-
-def indexed(index: DataFrame, text: str, level: str) -> DataFrame:
+def indexed(t: dict[str, DataFrame], text: str, level: str) -> DataFrame:
     """(edition_id, ayah_id) that have the phrase, by the stored index; an unknown rung has none."""
     wanted = needle_terms(text, level) if level in SEARCHED else []
-    return phrase_by_postings(index.filter(F.col("level") == level), wanted, ["edition_id", "ayah_id"])
+    of_level = lambda name: t[name].filter(F.col("level") == level)
+    return index.phrase(of_level("postings"), of_level("term"), wanted, ("edition_id",), "ayah_id").select("edition_id", "ayah_id")
+
+
+def phrase_by_postings(places: DataFrame, wanted: list[str], key: str) -> DataFrame:
+    """Keys (integers) that hold the tokens side by side, by an index of rows (term, key, pos) that is made for it."""
+    held = kept(index.laid_out(index.blocks(places, (), key), ()), "postings", index.LAYOUT)
+    return index.phrase(held, index.dictionary(held, ()), wanted, (), key).select(key)
