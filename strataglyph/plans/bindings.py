@@ -130,12 +130,13 @@ def store(spark: SparkSession, sf_dir: str, keep: Callable[[DataFrame, str], Dat
     marks = spine.child_spans(word, "ayah_id", "id", "word")
     whole = ayah.select("id", "surah", "number").join(marks, F.col("id") == F.col("ayah_id"), "left").drop("ayah_id")
     roots = lexicon.roots(word.join(whole.select(F.col("id").alias("ayah_id"), "surah"), "ayah_id"))
+    postings, term = search.stored_index(ayah_text)
     t = {
         "build": spark.createDataFrame([("version", "1"), ("built_at", "now"), ("sources_lock", "0")], "key string, value string"),
         "source": spark.createDataFrame([("a/one", "a", "r", "c"), ("a/two", "a", "r", "c")], "id string, source_set string, repo string, commit_sha string").withColumn("license", F.lit("free")),
         "surah": surah, "ayah": whole, "edition": edition, "ayah_text": ayah_text, "word": word, "segment": segment, "segment_feature": feature, "word_text": aligned,
         "spine_exception": exceptions, "root": roots.withColumn("archigraphemic", ladder.letters_skeleton(F.col("text"))), "lemma": lexicon.lemmas(word),
-        "variant": variants.numbered(variants.differences(variant_pairs(ayah_text, edition))), "postings": search.stored_postings(ayah_text),
+        "variant": variants.numbered(variants.differences(variant_pairs(ayah_text, edition))), "postings": postings, "term": term,
     }
     t |= {name: spark.createDataFrame([], kind) for name, kind in EMPTY.items()}
     # what general tables have no counterpart of is null

@@ -13,6 +13,7 @@ from .. import __version__
 from ..functions.ladder import LEVELS, archigraphemic_of_rasm, normalize, tokens, with_levels
 from ..operators import align, digest, lexicon, morphology, search, spine, variants
 from ..sources import raw, store
+from ..sources.shared import kept
 from .canon import EXPECTED
 
 
@@ -75,48 +76,59 @@ def build(spark: SparkSession, root: str, lock_path: str, plan: dict, out: str)
     with key, slug and what else the edition table has; one has is_reference.
     ``expect`` has the numbers of a complete store (those of ``canon`` by
     default); sources that don't reach them are refused, and verify reads them
-    again from the store.
+    again from the store. ``chunks`` is where the chunk digests of files lie
+    that the lock has roots of. Tables are written to a version of their own,
+    which is published when it is whole; a build that fails leaves the store
+    at out as it was.
     """
+    with store.version(spark, out) as path:
+        _compile(spark, root, lock_path, plan, path)
+    return store.read(spark, out)
+
+
+def _compile(spark: SparkSession, root: str, lock_path: str, plan: dict, out: str) -> None:
     expect = plan.get("expect", EXPECTED)
     lock = json.loads(Path(lock_path).read_text("utf-8"))
-    read = lambda key: raw.text_of(raw.content(spark, root, key, lock))
+
+    def checked(key: str) -> str:
+        raw.verify(spark, root, key, lock, plan.get("chunks"))
+        return f"{root}/{key}"
 
     def saved(**tables: DataFrame) -> list[DataFrame]:
         store.write(tables, out)
         return [spark.read.parquet(f"{out}/{name}") for name in tables]
 
-    surah, ayah = spine_tables(*raw.info(read(plan["info"])))
+    surah, ayah = spine_tables(*raw.info(raw.text_of(raw.content(spark, root, plan["info"], lock))))
     rows = [(i, e["slug"], e.get("name") or e["slug"].replace("-", " ").title(), e.get("language", "ar"), e.get("kind", "quran"), e.get("riwayah"), e.get("orthography"), int(e.get("is_reference", False)), e["key"], e.get("note")) for i, e in enumerate(plan["editions"], 1)]
     edition = spark.createDataFrame(rows, "id long, slug string, name string, language string, kind string, riwayah string, orthography string, is_reference int, source_id string, note string")
     verses = None
     for i, e in enumerate(plan["editions"], 1):
-        one = raw.edition(read(e["key"])).withColumn("edition_id", F.lit(i).cast("long"))
+        one = raw.edition_file(spark, checked(e["key"])).drop("file").withColumn("edition_id", F.lit(i).cast("long"))
         verses = one if verses is None else verses.unionByName(one)
     surah, ayah, edition, _ = saved(surah=surah, ayah=ayah, edition=edition, source=raw.source_rows(spark, lock))
     refuse_incomplete(surah, expect)
     (ayah_text,) = saved(ayah_text=edition_texts(verses, ayah))
     refuse_partial_editions(ayah_text, edition, ayah.count())
-    saved(postings=search.stored_postings(ayah_text))
+    postings, term = search.stored_index(ayah_text)
+    saved(postings=postings, term=term)
     places = ayah.select("surah", F.col("number").alias("verse"), F.col("id").alias("ayah_id"))
-    found = raw.morphology(read(plan["morphology"])).join(places, ["surah", "verse"], "left").withColumn("ayah_id", F.coalesce("ayah_id", F.raise_error(F.lit("morphology off the spine")).cast("long")))
+    found = raw.morphology_file(spark, checked(plan["morphology"])).join(places, ["surah", "verse"], "left").withColumn("ayah_id", F.coalesce("ayah_id", F.raise_error(F.lit("morphology off the spine")).cast("long")))
     word, segment, feature = morphology.compile_words(found)
     reference = edition.filter("is_reference = 1").select(F.col("id").alias("edition_id"))
     segment, feature = saved(segment=segment, segment_feature=feature)
-    store.write({"word_first": word}, out)
-    word = spark.read.parquet(f"{out}/word_first")
+    word = kept(word, "word")
     aligned, exceptions = align.align(ayah_text.join(F.broadcast(reference), "edition_id", "left_semi"), word)
     aligned, exceptions = saved(word_text=aligned, spine_exception=exceptions)
     (word,) = saved(word=align.spelled_as_aligned(word, aligned))
     spans = spine.child_spans(word, "ayah_id", "id", "word")
     of_ayah = ayah.join(spans, ayah["id"] == spans["ayah_id"], "left").drop("ayah_id")
     of_surah = of_ayah.groupBy(F.col("surah").alias("number")).agg(F.min("word_start").alias("word_start"), F.max("word_end").alias("word_end"))
-    store.write({"ayah_new": of_ayah, "surah_new": surah.join(of_surah, "number", "left")}, out)
-    ayah, surah = saved(ayah=spark.read.parquet(f"{out}/ayah_new"), surah=spark.read.parquet(f"{out}/surah_new"))
+    # both are read from the tables that they take the place of
+    ayah, surah = saved(ayah=kept(of_ayah, "ayah"), surah=kept(surah.join(of_surah, "number", "left"), "surah"))
     placed = word.join(ayah.select(F.col("id").alias("ayah_id"), "surah"), "ayah_id")
     roots = lexicon.roots(placed)
     saved(root=roots.withColumn("archigraphemic", archigraphemic_of_rasm(normalize(F.col("text"), "rasm"))), lemma=lexicon.lemmas(placed), variant=variants.numbered(variants.differences(variant_pairs(ayah_text, edition))))
     store.write({name: spark.createDataFrame([], kind) for name, kind in store.EMPTY.items()}, out)
-    contents = {name: spark.read.parquet(f"{out}/{name}") for name in store.TABLES if name not in ("build", "postings")}
+    contents = {name: spark.read.parquet(f"{out}/{name}") for name in store.TABLES if name not in digest.LEFT_OUT}
     meta = {"version": __version__, "built_at": datetime.now(UTC).isoformat(timespec="seconds"), "sources_lock": raw.sha256_file(lock_path), "content_digest": digest.content_digest(contents), "levels": ",".join(LEVELS), "expect": json.dumps(expect | {"editions": [e["slug"] for e in plan["editions"]]})}
     store.write({"build": spark.createDataFrame(list(meta.items()), "key string, value string")}, out)
-    return store.read(spark, out)

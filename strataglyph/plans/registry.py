@@ -11,10 +11,10 @@ from ..functions import features, ladder, refs
 from ..operators import align, checks, claims, digest, distance, lexicon, morphology, search, spine, variants
 from ..operators.sql import register
 from . import bindings as b
-from . import stored
+from . import scanned, stored
 
-QUERIES: dict = dict(stored.QUERIES)
-ORACLES: dict[str, str] = dict(stored.ORACLES)
+QUERIES: dict = stored.QUERIES | scanned.QUERIES
+ORACLES: dict[str, str] = stored.ORACLES | scanned.ORACLES
 
 Q = tuple[SparkSession, str]
 
@@ -300,6 +300,24 @@ def vocalic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.vocalic_counts(variants.differences(_pairs(spark, sf_dir)))
 
 
+#: The edition of each verse here: two tokens come in before the 5th, the 12th and 13th are left out, and two others stand for the 20th to 22nd.
+_NEW, _OTHER = ("ططط", "ظظظ"), ("صصص", "ضضض")
+_BLOCK_ROWS = f"""{_TOK}, v AS (SELECT doc_id * 1000000 + (position - 1) // {b.VERSE} AS ayah_id, ((position - 1) % {b.VERSE} + 1)::INTEGER AS p, translate(token, '{b.LATIN}', '{b.ARABIC}') AS x FROM tok),
+own AS (SELECT ayah_id, p, {_SPELLED.replace('concat(if(i = 25', 'concat(if(p = 26').replace('floor(i / 26)', 'floor((p - 1) / 26)').replace('i % 26', '(p - 1) % 26')} AS t FROM v),
+u AS (SELECT ayah_id, count(*) AS n, string_agg(t, ' ' ORDER BY p) FILTER (p IN (12, 13)) AS gone, string_agg(t, ' ' ORDER BY p) FILTER (p IN (20, 21, 22)) AS old FROM own GROUP BY ayah_id)"""
+
+
+@query(f"""WITH {_BLOCK_ROWS} SELECT ayah_id, 2::BIGINT AS edition_id, 'insert' AS op, 5 AS ref_position, '' AS ref_text, '{' '.join(_NEW)}' AS var_text, 0 AS same_rasm, 0 AS same_archi FROM u WHERE n >= 5
+UNION ALL SELECT ayah_id, 2, 'delete', 12, gone, '', 0, 0 FROM u WHERE n >= 12 UNION ALL SELECT ayah_id, 2, 'replace', 20, old, CASE WHEN n = 20 THEN '{_OTHER[0]}' ELSE '{' '.join(_OTHER)}' END, 0, 0 FROM u WHERE n >= 20""")
+def variant_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of several tokens that come in, go, or are others."""
+    own = b.verses(spark, sf_dir).select("ayah_id", F.expr(f"transform(tokens, (x, i) -> {_SPELLED})").alias("t"))
+    parts = f"case when i = 4 then array('{_NEW[0]}', '{_NEW[1]}', x) when i in (11, 12, 21) then array() when i = 19 then array('{_OTHER[0]}') when i = 20 then array('{_OTHER[1]}') else array(x) end"
+    other = F.expr(f"flatten(transform(t, (x, i) -> {parts}))")
+    pairs = own.select("ayah_id", F.lit(2).cast("long").alias("edition_id"), F.col("t").alias("ref_plain"), F.col("t").alias("ref_rasm"), other.alias("var_plain"), other.alias("var_rasm"))
+    return variants.differences(pairs).drop("block", "k")
+
+
 _VARIANT = "rows AS (SELECT event_id AS ayah_id, user_id % 3 + 1 AS edition_id, (value > 50)::INTEGER AS same_rasm FROM events)"
 
 

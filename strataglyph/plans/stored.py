@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ladder, refs
-from ..operators import checks, display, distance, export, lexicon, variants
+from ..operators import checks, display, distance, export, lexicon, spine, variants
 from ..operators.api import Api
 from ..operators.sql import first_rows, read_only, register
 from ..sources import raw, store
@@ -305,9 +305,24 @@ _RANGES = "r AS (SELECT id, surah, number AS f, number + id % 5 AS l FROM ayah0
 
 @query(f"{_STORE}, {_RANGES} SELECT id, 'Q' || surah || ':' || f || CASE WHEN l = f THEN '' ELSE '-' || surah || ':' || l END AS shown, 'ayah' AS level FROM r")
 def range_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = compiled(spark, sf_dir)["ayah"].select("id", F.concat_ws(":", "surah", "number").alias("f"), F.concat_ws(":", "surah", (F.col("number") + F.col("id") % 5).cast("int")).alias("l")).collect()
-    told = [(r.id, refs.RefRange.parse(f"Q{r.f}-{r.l}")) for r in a]
-    return spark.createDataFrame([(i, str(x), x.start.level) for i, x in told], "id long, shown string, level string")
+    spelled = F.concat_ws(":", F.concat(F.lit("Q"), "surah"), "number"), F.concat_ws(":", "surah", (F.col("number") + F.col("id") % 5).cast("int"))
+    told = compiled(spark, sf_dir)["ayah"].select("id", refs.parse_range(F.concat_ws("-", *spelled)).alias("r")).filter("r is not null")
+    return told.select("id", refs.show_range(F.col("r")).alias("shown"), refs.level(F.col("r")["start"]).alias("level"))
+
+
+#: A range for each order: a few verses, or for some a whole chapter; beyond a chapter's end it leads nowhere.
+_ASKED = "asked AS (SELECT o_orderkey, o_custkey % 20 + 1 AS s, CASE WHEN o_orderkey % 499 = 0 THEN NULL ELSE o_orderkey % 53 + 1 END AS f, o_orderkey % 53 + 1 + o_orderkey % 37 AS l FROM orders)"
+
+
+@query(f"{_STORE}, {_ASKED}, span AS (SELECT o_orderkey, CASE WHEN f IS NULL THEN u.ayah_start ELSE x.id END AS first_id, CASE WHEN f IS NULL THEN u.ayah_end ELSE y.id END AS last_id FROM asked JOIN surah u ON u.number = s LEFT JOIN ayah x ON x.surah = s AND x.number = f LEFT JOIN ayah y ON y.surah = s AND y.number = l) SELECT o_orderkey, a.id FROM span JOIN ayah a ON a.id BETWEEN first_id AND last_id")
+def range_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verses of every order's range, by the interval join."""
+    t = compiled(spark, sf_dir)
+    key, chapter = F.col("o_orderkey"), (F.col("o_custkey") % 20 + 1).cast("string")
+    spelled = F.when(key % 499 == 0, F.concat(F.lit("q"), chapter)).otherwise(F.concat(F.lit(" Q"), chapter, F.lit(":"), (key % 53 + 1).cast("string"), F.lit("-"), (key % 53 + 1 + key % 37).cast("string")))
+    asked = b.read(spark, sf_dir, "orders").select("o_orderkey", refs.parse_range(spelled).alias("r")).select("o_orderkey", F.col("r.start").alias("start"), F.col("r.end").alias("end"))
+    found = spine.resolve(asked, t["surah"], t["ayah"]).select("o_orderkey", "first_id", "last_id")
+    return spine.within(found, t["ayah"].select("id")).select("o_orderkey", "id")
 
 
 def _files(spark: SparkSession, sf_dir: str, texts: dict[str, str]) -> str:

@@ -8,14 +8,19 @@ import shutil
 import tomllib
 import urllib.request
 from datetime import UTC, datetime
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import splits
+from .shared import file_system, kept
+
 #: Upstream names of the places of revelation.
 PLACES = {"Mecca": "meccan", "Madina": "medinan", "Medina": "medinan"}
 INFO = "chapters array<struct<chapter:bigint,name:string,englishname:string,arabicname:string,revelation:string,verses:array<struct<verse:bigint,juz:int,manzil:int,page:int,ruku:int,maqra:int,sajda:string>>>>"
+VERSE = "chapter bigint, verse bigint, text string"
 EDITION = "quran array<struct<chapter:bigint,verse:bigint,text:string>>"
 
 
@@ -91,6 +96,51 @@ def fetch(spark: SparkSession, declared: DataFrame, root: str, lock_path: str, f
     return write_lock(declared, found, lock_path) if set(lock["files"]) != {r.key for r in declared.collect()} else lock
 
 
+def lock_chunks(spark: SparkSession, root: str, keys: list[str], where: str) -> dict[str, str]:
+    """Writes the chunk digests of files below root to where (file, chunk, records, digest), and gives each one's root; with it, files of any size are verified in tasks of their own."""
+    found = reduce(DataFrame.unionByName, [_chunks(spark, root, key) for key in keys])
+    found.write.mode("overwrite").parquet(where)
+    held = spark.read.parquet(where)
+    return {r.file: r.root for r in splits.roots(held, _sizes(spark, root, keys)).collect()}
+
+
+def _chunks(spark: SparkSession, root: str, key: str) -> DataFrame:
+    rows = splits.numbered(splits.records(spark, f"{root}/{key}", splits.separator(key)))
+    return splits.chunks(rows.withColumn("file", F.lit(key)))
+
+
+def _sizes(spark: SparkSession, root: str, keys: list[str]) -> DataFrame:
+    sizes = []
+    for key in keys:
+        files, path = file_system(spark, f"{root}/{key}")
+        sizes.append((key, files.getFileStatus(path).getLen()))
+    return spark.createDataFrame(sizes, "file string, bytes long")
+
+
+def verify(spark: SparkSession, root: str, key: str, lock: dict, where: str | None = None) -> None:
+    """Fails unless a file is what was locked. With a ``merkle`` root in the lock it is read in splits, and the chunks of where that differ are told; else by its SHA-256."""
+    if key not in lock["files"]:
+        raise SourceError(f"{key} is not in the lock")
+    files, path = file_system(spark, f"{root}/{key}")  # root may lie in any store that Spark reads
+    if not files.exists(path):
+        raise SourceError(f"{key} is not there")
+    entry = lock["files"][key]
+    if "merkle" not in entry:
+        row = spark.read.format("binaryFile").load(f"{root}/{key}").select(F.sha2("content", 256).alias("sha256")).first()
+        if row.sha256 != entry["sha256"]:
+            raise SourceError(f"{key} is not what was locked")
+        return
+    found = kept(_chunks(spark, root, key), "chunks")
+    told = splits.roots(found, _sizes(spark, root, [key])).first()
+    if told is not None and told.root == entry["merkle"]:
+        return
+    detail = ""
+    if where:
+        wrong = splits.changed(found, spark.read.parquet(where).filter(F.col("file") == key)).orderBy("chunk").limit(20).collect()
+        detail = ": " + ", ".join(f"chunk {r.chunk} {r.problem}" for r in wrong) if wrong else ": its end"
+    raise SourceError(f"{key} is not what was locked{detail}")
+
+
 def source_rows(spark: SparkSession, lock: dict) -> DataFrame:
     rows = [(key, f["source"], f["repo"], f["commit"], f["path"], f["url"], f["sha256"], f["bytes"], f.get("license")) for key, f in lock["files"].items()]
     return spark.createDataFrame(rows, "id string, source_set string, repo string, commit_sha string, path string, url string, sha256 string, bytes long, license string")
@@ -132,15 +182,32 @@ def truthy(c: Column) -> Column:
     return ~F.coalesce(F.trim(c), F.lit("")).isin("", "false", "0", "null", "{}", "[]")
 
 
+def edition_file(spark: SparkSession, path: str) -> DataFrame:
+    """file, pos (the order in the file), surah, verse and raw of editions, read in splits; an object that is no verse fails."""
+    rows = splits.elements(spark, path, "quran").withColumn("v", F.from_json("json", VERSE))
+    bad = F.raise_error(F.concat(F.lit("edition, element "), F.col("pos").cast("string"), F.lit(": "), F.col("json")))
+    text = F.coalesce(F.col("v.text"), bad.cast("string"))
+    return rows.select("file", "pos", F.col("v.chapter").cast("int").alias("surah"), F.col("v.verse").cast("int").alias("verse"), text.alias("raw"))
+
+
 def edition(texts: DataFrame) -> DataFrame:
-    """pos (the order in the file), chapter, verse, raw."""
+    """pos (the order in the file), chapter, verse, raw of editions that are a row each."""
     return texts.select(F.posexplode(F.from_json("text", EDITION)["quran"]).alias("pos", "v")).select("pos", F.col("v.chapter").cast("int").alias("surah"), F.col("v.verse").cast("int").alias("verse"), F.col("v.text").alias("raw"))
 
 
+def morphology_file(spark: SparkSession, path: str, as_one: bool = False) -> DataFrame:
+    """The rows of a TSV (as_one: of a folder's files in order) that is read in splits."""
+    return morphology_lines(splits.lines(spark, path, as_one))
+
+
 def morphology(texts: DataFrame) -> DataFrame:
-    """line, surah, verse, place, part, form, pos, features of a TSV; lines that aren't four fields at a four-part place fail."""
-    lines = texts.select(F.posexplode(F.split("text", r"\r?\n")).alias("line", "value")).filter(F.trim("value") != "")
-    cut = lines.withColumn("f", F.split("value", "\t"))
+    """The rows of TSV texts that are a row each."""
+    return morphology_lines(texts.select(F.posexplode(F.split("text", r"\r?\n")).alias("line", "value")))
+
+
+def morphology_lines(lines: DataFrame) -> DataFrame:
+    """line, surah, verse, place, part, form, pos, features of lines (line, value); blank ones count, but have no row, and those that aren't four fields at a four-part place fail."""
+    cut = lines.filter(F.trim("value") != "").withColumn("f", F.split("value", "\t"))
     bad = F.raise_error(F.concat(F.lit("morphology, line "), (F.col("line") + 1).cast("string"), F.lit(": "), F.col("value")))
     spot = F.split(F.get("f", 0), ":")
     good = (F.size("f") == 4) & (F.size(spot) == 4) & F.forall(spot, lambda x: x.rlike("^[0-9]+$"))
