@@ -6,9 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.ladder import CLASSIFIED, INVISIBLE, LEVELS, STEPS, nfc
+from ..functions.ladder import CLASSIFIED, INVISIBLE, LEVELS, audited, nfc
+from ..sources.shared import kept
 from . import search
 
 #: child table, its column, parent table, its column
@@ -36,15 +36,6 @@ DOMAINS = (
 METADATA = ("version", "built_at", "sources_lock")
 
 
-def none_of(name: str, bad: DataFrame) -> DataFrame:
-    """Holds if bad has no rows."""
-    return bad.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), (F.col("n") == 0).alias("ok"), F.concat(F.col("n").cast("string"), F.lit(" rows against it")).alias("detail"))
-
-
-def equal_counts(name: str, df: DataFrame, wanted: int) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), (F.col("n") == wanted).alias("ok"), F.concat(F.col("n").cast("string"), F.lit(f", expected {wanted}")).alias("detail"))
-
-
 def dangling(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:
     """Rows whose reference leads nowhere."""
     return child.filter(F.col(column).isNotNull()).join(parent.select(F.col(key).alias("_k")), F.col(column) == F.col("_k"), "left_anti")
@@ -90,70 +81,157 @@ def unclassified_characters(texts: DataFrame, column: str = "raw") -> DataFrame:
     return rest.groupBy("char").agg(F.count(F.lit(1)).alias("n"))
 
 
-def drifted(texts: DataFrame) -> DataFrame:
-    """Rows whose stored rungs differ from their recomputation, each from the rung below."""
-    again = texts
-    for below, level in zip(LEVELS, LEVELS[1:], strict=False):
-        again = again.withColumn(f"_{level}", STEPS[level](F.col(below)))
-    return again.filter(reduce(Column.__or__, [~F.col(level).eqNullSafe(F.col(f"_{level}")) for level in LEVELS[1:]]))
+def _key(columns: list[str]) -> Column:
+    return F.concat_ws("\x01", *[F.coalesce(F.col(c).cast("string"), F.lit("\x02")) for c in columns])
+
+
+def _space(table: str, columns: list[str]) -> str:
+    return f"{table}.{','.join(columns)}"
 
 
-def unstable(texts: DataFrame) -> DataFrame:
-    """Rows with a rung that its own step changes once more."""
-    again = texts
-    for level in LEVELS[1:]:
-        again = again.withColumn(f"_{level}", STEPS[level](F.col(level)))
-    return again.filter(reduce(Column.__or__, [~F.col(level).eqNullSafe(F.col(f"_{level}")) for level in LEVELS[1:]]))
+def _note(space: str, key: Column, role: str, low: Column | None = None, high: Column | None = None, when: Column | None = None) -> Column:
+    """What one row says about a key: in what role it names it, and up to two numbers."""
+    number = lambda c: (F.lit(None) if c is None else c).cast("long")
+    note = F.struct(F.lit(space).alias("space"), key.cast("string").alias("key"), F.lit(role).alias("role"), number(low).alias("low"), number(high).alias("high"))
+    return F.when(key.isNotNull() if when is None else key.isNotNull() & when, note)
+
+
+def _fact(name: str, of: Column | None = None) -> Column:
+    """A row that counts for a fact (all do, if of is None)."""
+    return _note("", F.lit(""), name, when=None if of is None else F.coalesce(of, F.lit(False)))
+
+
+def _notes(t: dict[str, DataFrame], declared: list[int] | None, reference: list[int], written: list[int]) -> dict[str, list[Column]]:
+    """By table: all that its rows are asked, so that one scan answers it."""
+    out: dict[str, list[Column]] = {name: [_fact(f"rows:{name}")] for name in t}
+    for name, keys in [*PRIMARY_KEYS.items(), *UNIQUE]:
+        if name in t:
+            own = {"ayah": ("word_start", "word_end"), "word": ("ayah_id", None), "ayah_text": ("char_start", "char_end")}.get(name, (None, None)) if keys == PRIMARY_KEYS.get(name) else (None, None)
+            out[name].append(_note(_space(name, keys), _key(keys), "self", *[None if c is None else F.col(c) for c in own]))
+    for child, column, parent, key in FOREIGN_KEYS:
+        if child in t and parent in t:
+            span = F.col("id") if (child, column) == ("word", "ayah_id") else None
+            out[child].append(_note(_space(parent, [key]), F.col(column), f"{child}.{column}", span, span))
+    for name, rule in DOMAINS:
+        if name in t:
+            out[name].append(_fact(f"{name}: {rule}", F.expr(f"not ({rule})")))
+    out["ayah"] += [_note("ayah.id", F.col("id") + 1, "next", high=F.col("word_end")), _fact("ayah without words", F.col("word_start").isNull() | F.col("word_end").isNull())]
+    out["edition"] += [_fact("reference", F.col("is_reference") == 1), _fact("edition without source", F.col("source_id").isNull())]
+    # ladders are recomputed where they are wanted only
+    ladder = audited(F.when(F.col("edition_id").isin(*reference, *written), F.struct(*LEVELS)))
+    of = lambda ids, name: F.col("edition_id").isin(*ids) & ladder[name]
+    out["ayah_text"] += [_fact("empty text", F.trim("plain") == ""), _fact("invisible", F.col("plain").rlike(f"[{INVISIBLE}]")), _fact("no tokens", F.col("token_count").isNull() | (F.col("token_count") < 1))]
+    out["ayah_text"] += [_fact("drifted", of(reference, "drifted")), _fact("unstable", of(reference, "unstable")), _fact("unclassified", of(written, "unclassified"))]
+    out["word"] += [_note("root.text", F.col("root"), "word.root", when=F.col("root") != ""), _fact("rooted", F.col("root") != "")]
+    out["word_text"].append(_note("word.id", F.col("word_id"), "at", F.col("char_start"), F.col("char_end")))
+    out["root"].append(F.when(F.lit(True), F.struct(F.lit("").alias("space"), F.lit("").alias("key"), F.lit("root words").alias("role"), F.col("word_count").cast("long").alias("low"), F.lit(None).cast("long").alias("high"))))
+    if declared is not None:
+        out["surah"].append(_fact("other verse counts", ~F.col("ayah_count").eqNullSafe(F.get(F.array(*[F.lit(n).cast("long") for n in declared]), (F.col("number") - 1).cast("int")))))
+    if "build" in t:
+        out["build"] += [_fact(f"has {k}", F.col("key") == k) for k in METADATA]
+    return out
+
+
+def facts(t: dict[str, DataFrame], declared: list[int] | None, reference: list[int], written: list[int]) -> DataFrame:
+    """(fact, n): every number that the checks need, from one scan of each table.
+
+    Rows say what they know of the keys they hold or name. What is said of one
+    key meets in one group, summed by role before it is moved, so no key is
+    more than a few rows. That table is written once; word offsets, which are
+    known by word and bounded by text, meet in a second, smaller grouping.
+    """
+    asked = _notes(t, declared, reference, written)
+    said = [t[name].select(F.explode(F.filter(F.array(*notes), lambda x: x.isNotNull())).alias("x")).select("x.*") for name, notes in asked.items()]
+    every = reduce(DataFrame.unionByName, said).groupBy("space", "key", "role").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("low").alias("total"))
+    held = kept(every, "said")
+    plain = held.filter("space = ''").select(F.col("role").alias("fact"), F.when(F.col("role") == "root words", F.col("total")).otherwise(F.col("n")).alias("n"))
+    own = F.max(F.when(F.col("role") == "self", F.struct("n", "low", "high")))
+    keyed = held.filter("space <> ''").groupBy("space", "key").agg(own.alias("own"), F.collect_list(F.struct("role", "n", "low", "high")).alias("said"))
+    of = lambda role: F.get(F.filter("said", lambda x: x["role"] == role), 0)
+    is_ayah, there = F.col("space") == "ayah.id", F.col("own").isNotNull()
+    one = lambda name, when: F.when(when, F.struct(F.lit(name).alias("fact"), F.lit(1).cast("long").alias("n")))
+    lost = F.when(~there, F.transform(F.filter("said", lambda x: ~x["role"].isin("self", "next", "at")), lambda x: F.struct(F.concat(F.lit("lost:"), x["role"]).alias("fact"), x["n"].alias("n"))))
+    texts = F.when((F.col("space") == "edition.id") & of("ayah_text.edition_id").isNotNull(), F.struct(F.concat(F.lit("texts:"), "key").alias("fact"), of("ayah_text.edition_id")["n"].alias("n")))
+    word = of("word.ayah_id")
+    about = F.array(
+        F.when(F.col("own.n") > 1, F.struct(F.concat(F.lit("repeated:"), "space").alias("fact"), F.lit(1).cast("long").alias("n"))), texts,
+        one("surahs known", there & (F.col("space") == "surah.number")),
+        one("first ids", is_ayah & there & of("next").isNull()),
+        one("backwards", is_ayah & there & (of("next")["high"] >= F.col("own.low"))),
+        one("outside", is_ayah & there & ((word["low"] < F.col("own.low")) | (word["high"] > F.col("own.high")))),
+    )
+    listed = F.concat(F.filter(about, lambda x: x.isNotNull()), F.coalesce(lost, F.array().cast("array<struct<fact:string,n:bigint>>")))
+    of_keys = keyed.select(F.explode(listed).alias("f")).select("f.fact", "f.n")
+    # word_text names its word; which text that is, the word says
+    spots = t["word_text"].sparkSession
+    placed = held.filter("space = 'word.id' and role in ('self', 'at')").groupBy("key").agg(F.max(F.when(F.col("role") == "self", F.col("low"))).alias("ayah"), F.min(F.when(F.col("role") == "at", F.col("low"))).alias("low"), F.max(F.when(F.col("role") == "at", F.col("high"))).alias("high")).filter("low is not null and ayah is not null")
+    aligned = spots.createDataFrame([(e,) for e in reference], "edition_id long")  # words are aligned to the reference edition
+    at = placed.crossJoin(F.broadcast(aligned)).select(_key(["edition_id", "ayah"]).alias("key"), "low", "high")
+    span = held.filter(F.col("space") == _space("ayah_text", PRIMARY_KEYS["ayah_text"])).select("key", F.col("low").alias("first"), F.col("high").alias("last"))
+    offset = at.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).join(span, "key").filter("low < first or high > last").agg(F.count(F.lit(1)).alias("n")).select(F.lit("offsets").alias("fact"), "n")
+    return reduce(DataFrame.unionByName, [plain, of_keys, offset]).groupBy("fact").agg(F.sum("n").alias("n"))
 
 
 def all_checks(t: dict[str, DataFrame], wanted: dict[str, int], counts_by_surah: list[int] | None = None, editions: list[str] | None = None, needle: str = "الله") -> DataFrame:
-    """All checks of a compiled store. wanted: expected numbers (surahs, ayahs, words, segments, exceptions, aligned_percent), any of which may be missing."""
-    out: list[DataFrame] = []
+    """All checks of a compiled store: name, ok, detail. wanted: expected numbers (surahs, ayahs, words, segments, exceptions, aligned_percent), any of which may be missing.
+
+    Every table is scanned once. Editions are declared, so few; their rows are
+    read before, as what is asked of texts depends on them.
+    """
+    spark = t["ayah"].sparkSession
+    declared = t["edition"].collect()
+    tables = {name: df for name, df in t.items() if name in PRIMARY_KEYS} | {"edition": spark.createDataFrame(declared, t["edition"].schema)}
+    reference, written = sorted({r.id for r in declared if r.is_reference == 1}), sorted({r.id for r in declared if r.kind == "quran"})
+    told = {r.fact: r.n for r in facts(tables, counts_by_surah, reference, written).collect()}  # a row a fact, of which the schema bounds the number
+    n = lambda fact: told.get(fact) or 0
+    out: list[tuple[str, bool, str]] = []
+
+    def check(name: str, ok: bool, detail: object) -> None:
+        out.append((name, bool(ok), str(detail)))
+
+    def none(name: str, fact: str) -> None:
+        check(name, n(fact) == 0, f"{n(fact)} against it")
+
+    def equal(name: str, fact: str, number: int) -> None:
+        check(name, n(fact) == number, f"{n(fact)}, expected {number}")
+
     for name, table in (("surahs", "surah"), ("ayahs", "ayah"), ("words", "word"), ("segments", "segment"), ("exceptions", "spine_exception")):
         if name in wanted:
-            out.append(equal_counts(f"number of {name}", t[table], wanted[name]))
-    spark = t["ayah"].sparkSession
+            equal(f"number of {name}", f"rows:{table}", wanted[name])
     if counts_by_surah is not None:
-        declared = spark.createDataFrame(list(enumerate(counts_by_surah, 1)), "number int, declared int")
-        out.append(none_of("verse counts by surah", t["surah"].join(F.broadcast(declared), "number", "full_outer").filter(~F.col("ayah_count").eqNullSafe(F.col("declared")))))
-    out.append(none_of("ayah ids have no gaps", gaps(t["ayah"])))
-    per = t["edition"].select("slug", F.col("id").alias("edition_id")).join(t["ayah_text"].groupBy("edition_id").agg(F.count(F.lit(1)).alias("n")), "edition_id", "left")
-    total = F.broadcast(t["ayah"].agg(F.count(F.lit(1)).alias("all")))
-    out.append(per.join(total).select(F.concat(F.lit("edition is complete: "), F.col("slug")).alias("name"), F.coalesce(F.col("n") == F.col("all"), F.lit(False)).alias("ok"), F.concat(F.coalesce(F.col("n"), F.lit(0)).cast("string"), F.lit(" texts")).alias("detail")))
-    out.append(equal_counts("one reference edition", t["edition"].filter("is_reference = 1"), 1))
+        check("verse counts by surah", n("other verse counts") == 0 and n("surahs known") == len(counts_by_surah), f"{n('other verse counts')} against it")
+    check("ayah ids have no gaps", n("first ids") <= 1, f"{n('first ids')} ids begin a run")
+    for r in declared:
+        check(f"edition is complete: {r.slug}", n(f"texts:{r.id}") == n("rows:ayah"), f"{n(f'texts:{r.id}')} texts")
+    equal("one reference edition", "reference", 1)
     if editions is not None:
-        out.append(none_of("declared editions are there", spark.createDataFrame([(e,) for e in editions], "slug string").join(t["edition"], "slug", "left_anti")))
-    out.append(none_of("no empty text", t["ayah_text"].filter(F.trim("plain") == "")))
-    out.append(none_of("every ayah has words", t["ayah"].filter("word_start is null or word_end is null")))
-    out.append(none_of("words lie within their ayah", outside_span(t["word"], t["ayah"], "ayah_id")))
-    out.append(none_of("words follow the order of ayahs", backwards(t["ayah"].filter("word_start is not null"), "id", "word_start", "word_end")))
+        missing = sorted(set(editions) - {r.slug for r in declared})
+        check("declared editions are there", not missing, ", ".join(missing))
+    none("no empty text", "empty text")
+    none("every ayah has words", "ayah without words")
+    none("words lie within their ayah", "outside")
+    none("words follow the order of ayahs", "backwards")
     if "aligned_percent" in wanted:
-        share = t["word"].agg(F.count(F.lit(1)).alias("w")).join(t["word_text"].agg(F.count(F.lit(1)).alias("a")))
-        out.append(share.select(F.lit("share of aligned words").alias("name"), F.coalesce(100 * F.col("a") / F.nullif(F.col("w"), F.lit(0)) >= wanted["aligned_percent"], F.lit(False)).alias("ok"), F.concat_ws(" of ", F.col("a").cast("string"), F.col("w").cast("string")).alias("detail")))
-    out.append(none_of("word offsets lie within their text", offsets_outside(t["word_text"], t["word"], t["ayah_text"])))
-    out.append(none_of("roots of words are listed", dangling(t["word"].filter("root <> ''"), "root", t["root"], "text")))
-    sums = t["root"].agg(F.coalesce(F.sum("word_count"), F.lit(0)).alias("s")).join(t["word"].filter("root is not null and root <> ''").agg(F.count(F.lit(1)).alias("n")))
-    out.append(sums.select(F.lit("root counts add up").alias("name"), (F.col("s") == F.col("n")).alias("ok"), F.concat_ws(" against ", F.col("s").cast("string"), F.col("n").cast("string")).alias("detail")))
-    reference = t["ayah_text"].join(F.broadcast(t["edition"].filter("is_reference = 1").select(F.col("id").alias("edition_id"))), "edition_id", "left_semi")
-    out.append(none_of("stored rungs equal their recomputation", drifted(reference)))
-    out.append(none_of("rungs are stable", unstable(reference)))
-    texts = t["ayah_text"].join(F.broadcast(t["edition"].filter("kind = 'quran'").select(F.col("id").alias("edition_id"))), "edition_id", "left_semi")
-    out.append(none_of("every character is classified", unclassified_characters(texts)))
-    out.append(none_of("no invisible characters at plain", t["ayah_text"].filter(F.col("plain").rlike(f"[{INVISIBLE}]"))))
-    out.append(none_of("every text has tokens", t["ayah_text"].filter("token_count is null or token_count < 1")))
+        a, w = n("rows:word_text"), n("rows:word")
+        check("share of aligned words", w and 100 * a / w >= wanted["aligned_percent"], f"{a} of {w}")
+    none("word offsets lie within their text", "offsets")
+    none("roots of words are listed", "lost:word.root")
+    check("root counts add up", n("root words") == n("rooted"), f"{n('root words')} against {n('rooted')}")
+    for name, fact in (("stored rungs equal their recomputation", "drifted"), ("rungs are stable", "unstable"), ("every character is classified", "unclassified"), ("no invisible characters at plain", "invisible"), ("every text has tokens", "no tokens")):
+        none(name, fact)
     for child, column, parent, key in FOREIGN_KEYS:
         if child in t and parent in t:
-            out.append(none_of(f"{child}.{column} leads to {parent}.{key}", dangling(t[child], column, t[parent], key)))
+            none(f"{child}.{column} leads to {parent}.{key}", f"lost:{child}.{column}")
     for name, keys in [*PRIMARY_KEYS.items(), *UNIQUE]:
         if name in t:
-            out.append(none_of(f"{name} has each {', '.join(keys)} once", repeated(t[name], keys)))
+            none(f"{name} has each {', '.join(keys)} once", f"repeated:{_space(name, keys)}")
     for name, rule in DOMAINS:
         if name in t:
-            out.append(none_of(f"{name}: {rule}", t[name].filter(f"not ({rule})")))
-    out.append(none_of("every edition names a source", t["edition"].filter("source_id is null")))
+            none(f"{name}: {rule}", f"{name}: {rule}")
+    none("every edition names a source", "edition without source")
     if "build" in t:
-        keys = spark.createDataFrame([(k,) for k in METADATA], "key string")
-        out.append(none_of("build metadata is there", keys.join(t["build"], "key", "left_anti")))
-    hits = (search.indexed(t, needle, "rasm") if "postings" in t else search.phrase(t["ayah_text"], needle, "rasm")).agg(F.count(F.lit(1)).alias("n"))
-    out.append(hits.select(F.lit("search responds").alias("name"), (F.col("n") > 0).alias("ok"), F.concat(F.col("n").cast("string"), F.lit(" hits")).alias("detail")))
-    return reduce(DataFrame.unionByName, out)
+        lacking = [k for k in METADATA if not n(f"has {k}")]
+        check("build metadata is there", not lacking, ", ".join(lacking))
+    hits = (search.indexed(t, needle, "rasm") if "postings" in t else search.phrase(t["ayah_text"], needle, "rasm")).count()
+    check("search responds", hits, f"{hits} hits")
+    return spark.createDataFrame(out, "name string, ok boolean, detail string")

@@ -1,8 +1,8 @@
 """A positional index: a dictionary of terms, and their postings in blocks.
 
 A block holds what one term has in one span of units (texts with an integer
-id): the units as differences, how many positions each has, and the positions
-as differences within their unit. A frequent term has many blocks of bounded
+id): its places, a number each of unit and position, as the differences of
+their order. A frequent term has many blocks of bounded
 size, never one list. Blocks lie sorted by term, in files that are ranges of
 terms, with small pages, so a lookup reads the pages of its terms.
 
@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Units of a span, by their ids; spans that are looked up by number at most; rows of a page.
-SPAN, FEW_SPANS, PAGE = 1024, 2000, 64
+#: Units of a span, by their ids; positions in a unit are below PLACES; spans that are looked up by number at most; rows of a page.
+SPAN, PLACES, FEW_SPANS, PAGE = 1024, 1 << 32, 2000, 64
 
 
 def layout(page: int = PAGE, group: int = 8 << 20) -> dict[str, str]:
@@ -38,18 +38,16 @@ def differences(c: Column) -> Column:
 
 
 def blocks(places: DataFrame, keys: Sequence[str], unit: str) -> DataFrame:
-    """term, keys, span, size, units, counts, positions of rows (term, keys, unit, pos). keys: what units are told apart by besides (an edition, a rung)."""
-    each = places.groupBy("term", *keys, unit).agg(F.array_sort(F.collect_list("pos")).alias("at"))
-    told = each.groupBy("term", *keys, F.floor(F.col(unit) / SPAN).alias("span")).agg(F.array_sort(F.collect_list(F.struct((F.col(unit) % SPAN).cast("int").alias("u"), "at"))).alias("l"))
-    units = differences(F.transform("l", lambda x: x["u"]))
-    counts = F.transform("l", lambda x: F.size(x["at"]))
-    positions = F.flatten(F.transform("l", lambda x: differences(x["at"])))
-    return told.select("term", *keys, "span", F.size("l").alias("size"), units.alias("units"), counts.alias("counts"), positions.alias("positions"))
+    """term, keys, span, size, n, places of rows (term, keys, unit, pos). keys: what units are told apart by besides (an edition, a rung)."""
+    place = F.col(unit) % SPAN * PLACES + F.col("pos")  # one number a position, gathered where the text is read before it is moved
+    told = places.groupBy("term", *keys, F.floor(F.col(unit) / SPAN).alias("span")).agg(F.array_sort(F.collect_list(place.cast("long"))).alias("l"))
+    units = F.array_distinct(F.transform("l", lambda x: F.floor(x / PLACES)))
+    return told.select("term", *keys, "span", F.size(units).alias("size"), F.size("l").alias("n"), differences(F.col("l")).alias("places"))
 
 
 def dictionary(held: DataFrame, keys: Sequence[str]) -> DataFrame:
     """term, keys, units, positions and blocks: how much of each term there is."""
-    return held.groupBy("term", *keys).agg(F.sum("size").alias("units"), F.sum(F.size("positions")).alias("positions"), F.count(F.lit(1)).alias("blocks"))
+    return held.groupBy("term", *keys).agg(F.sum("size").alias("units"), F.sum("n").alias("positions"), F.count(F.lit(1)).alias("blocks"))
 
 
 def laid_out(held: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -59,12 +57,10 @@ def laid_out(held: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _decoded(block: dict) -> dict[int, np.ndarray]:
-    units, counts = np.cumsum(block["units"]), np.asarray(block["counts"])
-    steps = np.asarray(block["positions"], np.int64)
-    total, begin = np.cumsum(steps), np.cumsum(counts) - counts
-    # each unit's first position is counted from 0
-    base = np.repeat(total[begin] - steps[begin], counts)
-    return dict(zip(units.tolist(), np.split(total - base, begin[1:]), strict=True))
+    """Positions by unit of the span."""
+    unit, pos = np.divmod(np.cumsum(np.asarray(block["places"], np.int64)), PLACES)
+    units, begin = np.unique(unit, return_index=True)
+    return dict(zip(units.tolist(), np.split(pos, begin[1:]), strict=True))
 
 
 def _met(blocks_: list[dict], offsets: dict[str, list[int]]) -> list[tuple[int, int]]:
@@ -100,7 +96,7 @@ def phrase(held: DataFrame, words: DataFrame, wanted: Sequence[str], keys: Seque
         few = [r.span for r in spans.select("span").distinct().limit(FEW_SPANS + 1).collect()]
         # pages of other spans are not read where there are few
         of_terms = of_terms.filter(F.col("span").isin(few)) if len(few) <= FEW_SPANS else of_terms.join(spans, [*keys, "span"], "left_semi")
-    met = of_terms.groupBy(*keys, "span").agg(F.collect_list(F.struct("term", "size", "units", "counts", "positions")).alias("b")).filter(F.size("b") == len(known))
+    met = of_terms.groupBy(*keys, "span").agg(F.collect_list(F.struct("term", "size", "places")).alias("b")).filter(F.size("b") == len(known))
 
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

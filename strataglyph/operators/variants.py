@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,8 +16,13 @@ from .spine import ids
 _KEY = ("ayah_id", "edition_id")
 #: Rounds that one job plans; what is still open then is written and read again.
 ROUNDS = 3
-#: Positions in a unit are below it.
-_PLACES = 1 << 20
+#: Positions in a unit are below it. Of units with so many pairs of tokens at most, tokens are looked up within the row.
+_PLACES, IN_ROW = 1 << 20, 1 << 20
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def blocks(pairs: DataFrame) -> DataFrame:
@@ -67,36 +73,78 @@ def _best_runs(at: DataFrame) -> DataFrame:
     return best.select(*stretch, "i", "j", back(first).alias("bi"), back(F.col("best")).alias("bj"), F.floor(first / _PLACES).cast("int").alias("bn"))
 
 
+_BLOCKS = "array<struct<i:int,j:int,n:int>>"
+
+
+def _chain(a: Column, b: Column) -> Column:
+    """The blocks of arrays without repeated tokens whose common ones have the same order in both, as an array; null for any others.
+
+    No block can then cut another off, so alignment finds them all, and they
+    are the runs of common tokens.
+    """
+    small_enough = F.size(a).cast("long") * F.size(b) <= IN_ROW
+    once = (F.size(F.array_distinct(a)) == F.size(a)) & (F.size(F.array_distinct(b)) == F.size(b))
+    at = F.filter(F.transform(a, lambda x, i: F.struct(i.alias("i"), (F.array_position(b, x) - 1).cast("int").alias("j"))), lambda p: p["j"] >= 0)
+    ordered = lambda x: F.array_sort(F.transform(x, lambda p: p["j"])) == F.transform(x, lambda p: p["j"])
+    follows = lambda x, p, k: (k > 0) & (F.get(x, k - 1)["i"] == p["i"] - 1) & (F.get(x, k - 1)["j"] == p["j"] - 1)
+    begins = lambda x: F.filter(F.transform(x, lambda p, k: F.struct(p["i"].alias("i"), p["j"].alias("j"), k.alias("k"), follows(x, p, k).alias("f"))), lambda p: ~p["f"])
+    sized = lambda x, of: F.transform(x, lambda p, q: F.struct(p["i"].alias("i"), p["j"].alias("j"), (F.coalesce(F.get(x, q + 1)["k"], F.size(of)) - p["k"]).alias("n")))
+    runs = lambda x: _with(begins(x), lambda y: F.when(ordered(x), sized(y, x)))
+    return F.when(small_enough & once, _with(at, runs)).cast(_BLOCKS)
+
+
+def _codes(found: Column, a: Column, b: Column) -> Column:
+    """block, op, i1, i2, j1, j2 from blocks in order, as an array: what lies between blocks (replace, delete or insert), and the blocks (equal)."""
+    end = F.struct(F.size(a).alias("i"), F.size(b).alias("j"), F.lit(0).alias("n"))
+    code = lambda block, op, i1, i2, j1, j2: F.struct(block.cast("int").alias("block"), op.alias("op"), i1.alias("i1"), i2.alias("i2"), j1.alias("j1"), j2.alias("j2"))
+
+    def around(every: Column, x: Column, k: Column) -> Column:
+        last = F.get(every, k - 1)
+        i, j = F.coalesce(last["i"] + last["n"], F.lit(0)), F.coalesce(last["j"] + last["n"], F.lit(0))
+        gone, new = i < x["i"], j < x["j"]
+        op = F.when(gone & new, "replace").when(gone, "delete").when(new, "insert")
+        return F.array(code(2 * k, op, i, x["i"], j, x["j"]), code(2 * k + 1, F.when(x["n"] > 0, "equal"), x["i"], x["i"] + x["n"], x["j"], x["j"] + x["n"]))
+
+    every = F.concat(found, F.array(end).cast(_BLOCKS))
+    return F.filter(F.flatten(_with(every, lambda e: F.transform(e, lambda x, k: around(e, x, k)))), lambda c: c["op"].isNotNull())
+
+
+def aligned(pairs: DataFrame) -> DataFrame:
+    """pairs (with arrays a and b) and codes: how a becomes b, block by block. Units that are chains are done where they are; the others take rounds."""
+    told = pairs.withColumn("blocks", _chain(F.col("a"), F.col("b")))
+    chains = told.filter("blocks is not null")
+    others = kept(told.filter("blocks is null").drop("blocks"), "units")
+    if others.isEmpty():
+        whole = chains
+    else:
+        found = blocks(others.select(*_KEY, "a", "b")).groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("i", "j", "n"))).cast(_BLOCKS).alias("blocks"))
+        whole = chains.unionByName(others.join(found, [*_KEY], "left").withColumn("blocks", F.coalesce("blocks", F.array().cast(_BLOCKS))))
+    return whole.withColumn("codes", _codes(F.col("blocks"), F.col("a"), F.col("b"))).drop("blocks")
+
+
 def opcodes(pairs: DataFrame) -> DataFrame:
-    """ayah_id, edition_id, block, op, i1, i2, j1, j2 of arrays a and b: what lies between blocks of equal tokens (replace, delete or insert), and the blocks (equal)."""
-    end = pairs.select(*_KEY, F.size("a").alias("i"), F.size("b").alias("j"), F.lit(0).alias("n"))
-    in_order = Window.partitionBy(*_KEY).orderBy("i", "j")
-    told = blocks(pairs).unionByName(end).withColumn("block", 2 * F.row_number().over(in_order))
-    for c in "ij":
-        told = told.withColumn(f"{c}1", F.coalesce(F.lag(F.col(c) + F.col("n")).over(in_order), F.lit(0)))
-    gone, new = F.col("i1") < F.col("i"), F.col("j1") < F.col("j")
-    op = F.when(gone & new, "replace").when(gone, "delete").when(new, "insert")
-    between = told.withColumn("op", op).filter("op is not null").select(*_KEY, (F.col("block") - 1).alias("block"), "op", "i1", F.col("i").alias("i2"), "j1", F.col("j").alias("j2"))
-    equal = told.filter("n > 0").select(*_KEY, "block", F.lit("equal").alias("op"), F.col("i").alias("i1"), (F.col("i") + F.col("n")).alias("i2"), F.col("j").alias("j1"), (F.col("j") + F.col("n")).alias("j2"))
-    return between.unionByName(equal)
+    """ayah_id, edition_id, block, op, i1, i2, j1, j2 of arrays a and b."""
+    return aligned(pairs.select(*_KEY, "a", "b")).select(*_KEY, F.explode("codes").alias("c")).select(*_KEY, "c.*")
 
 
 def _realigned(changed: DataFrame) -> DataFrame:
     """Rows of units whose rasm differs."""
     # a token without any rasm can't be aligned; the others keep their places
     spelled = lambda side: F.expr(f"filter(transform({side}_rasm, (r, k) -> struct({side}_plain[k] as p, r, k as at)), x -> x.r <> '')")
-    units = kept(changed.select(*[F.col(c).cast("long").alias(c) for c in _KEY], F.size("ref_plain").alias("size"), spelled("ref").alias("ref"), spelled("var").alias("var")), "units")
-    codes = opcodes(units.select(*_KEY, F.col("ref.r").alias("a"), F.col("var.r").alias("b"))).join(units, [*_KEY])
-    none = F.lit(None)
+    # written first: what makes the tokens is not planned again wherever alignment names them
+    units = kept(changed.select(*[F.col(c).cast("long").alias(c) for c in _KEY], F.size("ref_plain").alias("size"), spelled("ref").alias("ref"), spelled("var").alias("var")), "changed")
+    codes = aligned(units.withColumn("a", F.col("ref.r")).withColumn("b", F.col("var.r"))).select(*_KEY, "size", "ref", "var", F.explode("codes").alias("c")).select(*_KEY, "size", "ref", "var", "c.*")
     cut = lambda side, k: F.slice(side, F.col(f"{k}1") + 1, F.col(f"{k}2") - F.col(f"{k}1"))
     text = lambda cut_, c: F.array_join(F.transform(cut_, lambda x: x[c]), " ")
     a, b = cut("ref", "i"), cut("var", "j")
     place = F.coalesce(F.get("ref", F.col("i1"))["at"], F.col("size")) + 1
     archi = (letters_skeleton(text(a, "r")) == letters_skeleton(text(b, "r"))).cast("int")
-    whole = codes.filter("op <> 'equal'").select(*_KEY, "block", F.lit(0).alias("k"), "op", place.alias("ref_position"), text(a, "p").alias("ref_text"), text(b, "p").alias("var_text"), F.lit(0).alias("same_rasm"), archi.alias("same_archi"))
-    tokens = codes.filter("op = 'equal'").select(*_KEY, "block", F.posexplode(F.arrays_zip(a.alias("a"), b.alias("b"))).alias("k", "x"), none.alias("_")).filter("x.a.p <> x.b.p")
-    vocalic = tokens.select(*_KEY, "block", "k", F.lit("replace").alias("op"), (F.col("x.a.at") + 1).alias("ref_position"), F.col("x.a.p").alias("ref_text"), F.col("x.b.p").alias("var_text"), F.lit(1).alias("same_rasm"), F.lit(1).alias("same_archi"))
-    return whole.unionByName(vocalic)
+    number = lambda n: F.lit(n).cast("int")
+    row = lambda k, op, at, x, y, rasm, archi_: F.struct(k.cast("int").alias("k"), op.alias("op"), at.cast("int").alias("ref_position"), x.alias("ref_text"), y.alias("var_text"), rasm.alias("same_rasm"), archi_.alias("same_archi"))
+    whole = F.array(row(F.lit(0), F.col("op"), place, text(a, "p"), text(b, "p"), number(0), archi))
+    beside = F.filter(F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda x, k: F.struct(k.alias("k"), x["a"].alias("a"), x["b"].alias("b"))), lambda x: x["a"]["p"] != x["b"]["p"])
+    tokens = F.transform(beside, lambda x: row(x["k"], F.lit("replace"), x["a"]["at"] + 1, x["a"]["p"], x["b"]["p"], number(1), number(1)))
+    return codes.select(*_KEY, "block", F.explode(F.when(F.col("op") == "equal", tokens).otherwise(whole)).alias("x")).select(*_KEY, "block", "x.*")
 
 
 def differences(pairs: DataFrame) -> DataFrame:

@@ -11,10 +11,10 @@ from ..functions import features, ladder, refs
 from ..operators import align, checks, claims, digest, distance, lexicon, morphology, search, spine, variants
 from ..operators.sql import register
 from . import bindings as b
-from . import scanned, stored
+from . import checked, scanned, stored
 
-QUERIES: dict = stored.QUERIES | scanned.QUERIES
-ORACLES: dict[str, str] = stored.ORACLES | scanned.ORACLES
+QUERIES: dict = stored.QUERIES | scanned.QUERIES | checked.QUERIES
+ORACLES: dict[str, str] = stored.ORACLES | scanned.ORACLES | checked.ORACLES
 
 Q = tuple[SparkSession, str]
 

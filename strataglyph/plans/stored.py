@@ -12,7 +12,7 @@ from functools import lru_cache, reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import ladder, refs
+from ..functions import ladder, refs, tables
 from ..operators import checks, display, distance, export, lexicon, spine, variants
 from ..operators.api import Api
 from ..operators.sql import first_rows, read_only, register
@@ -405,3 +405,29 @@ def rung_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     compiled(spark, sf_dir)
     ladder.register(spark)
     return read_only(spark, "SELECT ayah_id, rung(raw, 'rasm') AS rasm FROM ayah_text WHERE edition_id = 2")
+
+
+_SPOKEN = "spoken AS (SELECT ayah_id, position, form, coalesce(sum(length(form) + 1) OVER (PARTITION BY ayah_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM word)"
+
+
+@query(f"{_STORE}, {_SPOKEN} SELECT ayah_id, position::INTEGER AS position, form AS token, start::BIGINT AS start, (start + length(form))::BIGINT AS stop FROM spoken")
+def tokens_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compiled(spark, sf_dir)
+    tables.register(spark)
+    return read_only(spark, "SELECT t.ayah_id, x.* FROM ayah_text t, LATERAL tokens_of(t.plain) x WHERE t.edition_id = 1")
+
+
+@query(f"{_STORE}, {_SPOKEN} SELECT w.id, s.start::BIGINT AS start, (s.start + length(s.form))::BIGINT AS stop FROM word w JOIN spoken s USING (ayah_id, position)")
+def offsets_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A partition's rows in order, one after the other."""
+    compiled(spark, sf_dir)
+    tables.register(spark)
+    return read_only(spark, "SELECT * FROM offsets_of(TABLE(SELECT id, length(form) AS length, ayah_id FROM word) PARTITION BY ayah_id ORDER BY id)")
+
+
+@query(f"{_STORE}, first AS (SELECT a.id, a.number, count(*) OVER (PARTITION BY a.surah) AS n, a.surah FROM ayah a) SELECT surah::INTEGER AS surah, id FROM first WHERE number BETWEEN 2 AND 9 AND n >= 9")
+def ranges_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second to ninth verse of every chapter that has as many, from ranges spelled out."""
+    compiled(spark, sf_dir)
+    tables.register(spark)
+    return read_only(spark, "SELECT s.number AS surah, m.id FROM surah s, LATERAL range_of(concat('Q', s.number, ':2-9')) r, LATERAL members_of(s.ayah_start + r.first_ayah - 1, s.ayah_start + r.last_ayah - 1) m WHERE s.ayah_count >= r.last_ayah")

@@ -44,14 +44,10 @@ def numbered(rows: DataFrame, as_one: bool = False) -> DataFrame:
     return rows.join(small(before), ["file", "block"], "left").withColumn("line", line).drop("at", "first", "before")
 
 
-def running(rows: DataFrame, value: Column, name: str) -> DataFrame:
-    """Adds name: the sum of value over the records of the file before this one. rows: numbered."""
-    valued = rows.withColumn("_value", value)
-    sums = valued.groupBy("file", "block").agg(F.sum("_value").alias("_sum"))
+def _before(sums: DataFrame, value: str, name: str) -> DataFrame:
+    """file, block and name: the sum of value over the file's splits before."""
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select("file", "block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    return valued.join(small(before), ["file", "block"]).withColumn(name, F.col("_before") + F.coalesce(F.sum("_value").over(inside), F.lit(0))).drop("_value", "_before")
+    return small(sums.select("file", "block", F.coalesce(F.sum(value).over(earlier), F.lit(0)).alias(name)))
 
 
 def lines(spark: SparkSession, paths: str | list[str], as_one: bool = False) -> DataFrame:
@@ -67,10 +63,19 @@ def elements(spark: SparkSession, paths: str | list[str], key: str) -> DataFrame
     """
     rows = numbered(records(spark, paths, OBJECTS))
     quotes = F.length(F.regexp_replace(F.regexp_replace("value", r"(?s)\\.", ""), '[^"]', "")) % 2
-    told = running(rows.withColumn("odd", quotes), F.col("odd"), "odd_before")
-    ends = (F.col("odd_before") + F.col("odd")) % 2 == 0
-    placed = running(told.withColumn("ends", ends), F.col("ends").cast("int"), "pos")
-    alone = F.col("ends") & (F.col("odd_before") % 2 == 0)
+    rows = rows.withColumn("odd", quotes.cast("int"))
+    inside = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    entered = _before(rows.groupBy("file", "block").agg(F.sum("odd").alias("n")), "n", "entered")
+
+    def told(of: DataFrame) -> DataFrame:
+        """With the quotes of the file before each record, and whether it ends an object."""
+        counted = of.join(entered, ["file", "block"]).withColumn("odd_before", F.col("entered") + F.coalesce(F.sum("odd").over(inside), F.lit(0)))
+        return counted.withColumn("ends", ((F.col("odd_before") + F.col("odd")) % 2 == 0).cast("int"))
+
+    # first over the counts alone, so that texts are moved once
+    ended = _before(told(rows.select("file", "block", "line", "odd")).groupBy("file", "block").agg(F.sum("ends").alias("n")), "n", "ended")
+    placed = told(rows).join(ended, ["file", "block"]).withColumn("pos", F.col("ended") + F.coalesce(F.sum("ends").over(inside), F.lit(0)))
+    alone = (F.col("ends") == 1) & (F.col("odd_before") % 2 == 0)
     whole = placed.filter(alone).select("file", "pos", "value")
     pieces = placed.filter(~alone).groupBy("file", "pos").agg(F.array_sort(F.collect_list(F.struct("line", "value"))).alias("p"))  # the records of one object
     text = whole.unionByName(pieces.select("file", "pos", F.array_join(F.transform("p", lambda x: x["value"]), OBJECTS).alias("value")))

@@ -53,7 +53,7 @@ SCHEMA = {
     "root": "text string, letters int, word_count long, lemma_count long, surah_count long, first_word_id long, archigraphemic string",
     "lemma": "text string, root string, word_count long",
     "variant": "id long, ayah_id long, edition_id long, op string, ref_position int, ref_text string, var_text string, same_rasm int, same_archi int",
-    "postings": "term string, level string, edition_id long, span long, size int, units array<int>, counts array<int>, positions array<int>",
+    "postings": "term string, level string, edition_id long, span long, size int, n int, places array<bigint>",
     "term": "term string, level string, edition_id long, units long, positions long, blocks long",
 } | EMPTY
 

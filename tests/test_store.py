@@ -326,3 +326,11 @@ def test_command_line(made, capsys):
     assert cli.main([*at, "tree"]) == 0
     out = capsys.readouterr().out
     assert "1 in all" in out and "uthmani-warsh" in out
+
+
+def test_checks_scan_each_table_once(made, monkeypatch):
+    """The rows of every table but the index are read by one scan."""
+    plans = []
+    monkeypatch.setattr(checks, "kept", lambda df, label: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), df)[1])
+    checks.facts({n: made[3][n] for n in checks.PRIMARY_KEYS}, [2, 2], [1], [1, 2])
+    assert len(plans) == 1 and plans[0].count("Relation [") == len(checks.PRIMARY_KEYS)
