@@ -32,7 +32,7 @@ def records(spark: SparkSession, paths: str | list[str], sep: str = LINES) -> Da
 
 
 def numbered(rows: DataFrame, as_one: bool = False) -> DataFrame:
-    """Adds line to records: its number in the file from 0, or, as_one, in all files in the order of their names.
+    """Adds line to records: its number in the file from 0, or, as_one, in all files of a folder in the order of their names, which then are one file, called like the folder.
 
     One scan counts, another numbers; splits of one DataFrame are the same in
     both, and a split that was not counted fails.
@@ -41,7 +41,8 @@ def numbered(rows: DataFrame, as_one: bool = False) -> DataFrame:
     earlier = (Window.orderBy("file", "block") if as_one else Window.partitionBy("file").orderBy("block")).rowsBetween(Window.unboundedPreceding, -1)
     before = kept(counts.select("file", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")), "splits")
     line = F.coalesce(F.col("before"), F.raise_error(F.lit("a split that was not counted")).cast("long")) + F.col("at") - F.col("first")
-    return rows.join(small(before), ["file", "block"], "left").withColumn("line", line).drop("at", "first", "before")
+    out = rows.join(small(before), ["file", "block"], "left").withColumn("line", line).drop("at", "first", "before")
+    return out.withColumn("file", F.regexp_replace("file", "/[^/]*$", "")) if as_one else out
 
 
 def _before(sums: DataFrame, value: str, name: str) -> DataFrame:

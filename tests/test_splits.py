@@ -50,6 +50,9 @@ def test_files_of_a_folder_as_one(spark, small_splits, tmp_path):
         (tmp_path / f"part-{k}.txt").write_text("\n".join(lines[k * 100 : k * 100 + 100]) + "\n", "utf-8")
     got = splits.lines(spark, str(tmp_path), as_one=True)
     assert [(r.line, r.value) for r in got.orderBy("line").collect()] == list(enumerate(lines[:300]))
+    # chunks go on over the ends of files
+    leaves = splits.chunks(splits.numbered(splits.records(spark, str(tmp_path)), as_one=True), 70)
+    assert [(r.chunk, r.digest) for r in leaves.orderBy("chunk").collect()] == list(enumerate(by_hand(lines[:300], 70, 9, 0)[0]))
 
 
 @pytest.mark.parametrize("indent", (None, 1))
