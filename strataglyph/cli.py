@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import serve
+from .functions import tables
 from .functions.ladder import LEVELS
 from .operators import checks, claims
 from .operators.api import Api
@@ -59,6 +60,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("ref"), p.add_argument("--all", action="store_true")
     p = sub.add_parser("sql")
     p.add_argument("query"), p.add_argument("--limit", type=int, default=50)
+    sub.add_parser("versions")
+    sub.add_parser("publish").add_argument("version")
+    sub.add_parser("expire").add_argument("--keep", type=int, default=2)
+    sub.add_parser("damaged").add_argument("--deep", action="store_true")
     p = sub.add_parser("export")
     p.add_argument("folder")
     return top
@@ -123,10 +128,23 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "variants":
         table(api.variants(a.ref, a.all))
     elif a.command == "sql":
-        rows, more = first_rows(read_only(spark, a.query), max(0, a.limit))
+        tables.register(spark)
+        found = read_only(spark, a.query)
+        rows, more = first_rows(found, max(0, a.limit))
         table([r.asDict() for r in rows])
         if more:
-            print("… more rows")
+            print(f"… {found.count() - len(rows)} more rows")
+    elif a.command == "versions":
+        now = store.current(spark, a.store).rsplit("/", 1)[-1]
+        table([{"version": n, "published": "yes" if n == now else ""} for n in store.versions(spark, a.store)])
+    elif a.command == "publish":
+        store.publish(spark, a.store, a.version)
+    elif a.command == "expire":
+        table([{"expired": n} for n in store.expire(spark, a.store, max(1, a.keep))])
+    elif a.command == "damaged":
+        wrong = store.damaged(spark, a.store, a.deep)
+        table([{"damaged": n} for n in wrong])
+        return int(bool(wrong))
     elif a.command == "export":
         total, largest = totals(export(t, a.folder))
         table([{"file": k, "bytes": v} for k, v in largest])

@@ -16,7 +16,7 @@ from ..functions import ladder, refs, tables
 from ..operators import checks, display, distance, export, lexicon, spine, variants
 from ..operators.api import Api
 from ..operators.sql import first_rows, read_only, register
-from ..sources import raw, store
+from ..sources import raw, shared, store
 from . import bindings as b
 
 QUERIES: dict = {}
@@ -372,10 +372,9 @@ def locked_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, c_name, c_nationkey FROM customer")
 def json_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is written as JSON, read again."""
+    """What is written as JSON lines, by the tasks that hold the rows, read again."""
     rows_ = b.read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
-    root = _files(spark, sf_dir, {"rows.json": "".join(store.json_rows(rows_))})
-    return spark.read.schema(rows_.schema).option("multiLine", "true").json(f"{root}/rows.json")
+    return spark.read.schema(rows_.schema).json(store.write_lines(rows_, shared.folder(spark, "json")))
 
 
 _READINGS = "readings AS (SELECT archigraphemic, count(DISTINCT rasm) AS readings, count(*) AS occurrences FROM word GROUP BY 1 HAVING count(DISTINCT rasm) > 1)"

@@ -148,7 +148,9 @@ def version(spark: SparkSession, folder: str) -> Iterator[str]:
 
 
 def publish(spark: SparkSession, folder: str, name: str) -> None:
-    """Points the store at a version, with one rename over the old pointer."""
+    """Points the store at a version, with one rename over the old pointer; a version without a manifest is none."""
+    if name not in versions(spark, folder):
+        raise StoreError(f"{folder} has no whole version {name}")
     _put(spark, (part := f"{folder}/{POINTER}.{uuid.uuid4().hex}"), name)
     jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
     rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
@@ -212,6 +214,12 @@ def write_text(parts: Iterator[str], path: str) -> int:
     return size
 
 
+def write_lines(df: DataFrame, folder: str) -> str:
+    """df as JSON, a line a row, in as many files as it has partitions; gives the folder."""
+    df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.text(folder)
+    return folder
+
+
 def json_rows(df: DataFrame) -> Iterator[str]:
     """A JSON list of df's rows, made on the executors; the driver holds one partition at a time."""
     yield "["

@@ -324,8 +324,12 @@ def test_command_line(made, capsys):
     assert cli.main([*at, "variants", "Q1"]) == 0
     assert cli.main([*at, "sql", "SELECT COUNT(*) FROM word"]) == 0
     assert cli.main([*at, "tree"]) == 0
+    assert cli.main([*at, "sql", "SELECT x.token FROM ayah_text t, LATERAL tokens_of(t.plain) x", "--limit", "3"]) == 0
+    assert cli.main([*at, "versions"]) == 0 and cli.main([*at, "expire"]) == 0 and cli.main([*at, "damaged", "--deep"]) == 0
+    with pytest.raises(store.StoreError, match="no whole version nothing"):
+        cli.main([*at, "publish", "nothing"])
     out = capsys.readouterr().out
-    assert "1 in all" in out and "uthmani-warsh" in out
+    assert "1 in all" in out and "uthmani-warsh" in out and "… 14 more rows" in out
 
 
 def test_checks_scan_each_table_once(made, monkeypatch):
