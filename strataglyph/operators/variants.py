@@ -130,7 +130,8 @@ def opcodes(pairs: DataFrame) -> DataFrame:
 def _realigned(changed: DataFrame) -> DataFrame:
     """Rows of units whose rasm differs."""
     # a token without any rasm can't be aligned; the others keep their places
-    spelled = lambda side: F.expr(f"filter(transform({side}_rasm, (r, k) -> struct({side}_plain[k] as p, r, k as at)), x -> x.r <> '')")
+    zipped = lambda side: F.arrays_zip(F.col(f"{side}_plain").alias("p"), F.col(f"{side}_rasm").alias("r"))
+    spelled = lambda side: F.filter(F.transform(zipped(side), lambda x, k: F.struct(x["p"].alias("p"), x["r"].alias("r"), k.alias("at"))), lambda x: x["r"] != "")
     # written first: what makes the tokens is not planned again wherever alignment names them
     units = kept(changed.select(*[F.col(c).cast("long").alias(c) for c in _KEY], F.size("ref_plain").alias("size"), spelled("ref").alias("ref"), spelled("var").alias("var")), "changed")
     codes = aligned(units.withColumn("a", F.col("ref.r")).withColumn("b", F.col("var.r"))).select(*_KEY, "size", "ref", "var", F.explode("codes").alias("c")).select(*_KEY, "size", "ref", "var", "c.*")
@@ -156,7 +157,8 @@ def differences(pairs: DataFrame) -> DataFrame:
     """
     changed = pairs.filter(F.col("ref_plain") != F.col("var_plain")).select("ayah_id", "edition_id", "ref_plain", "ref_rasm", "var_plain", "var_rasm")
     alike = F.col("ref_rasm") == F.col("var_rasm")
-    spelled = F.expr("filter(transform(ref_rasm, (r, i) -> struct(i + 1 as place, ref_plain[i] as a, var_plain[i] as b, r as r)), x -> x.r <> '')")
+    zipped = F.arrays_zip(F.col("ref_plain").alias("a"), F.col("var_plain").alias("b"), F.col("ref_rasm").alias("r"))
+    spelled = F.filter(F.transform(zipped, lambda x, i: F.struct((i + 1).alias("place"), x["a"].alias("a"), x["b"].alias("b"), x["r"].alias("r"))), lambda x: x["r"] != "")
     tokens = changed.filter(alike).select("ayah_id", "edition_id", F.posexplode(spelled).alias("k", "x")).filter("x.a <> x.b")
     vocalic = tokens.select(F.col("ayah_id").cast("long").alias("ayah_id"), F.col("edition_id").cast("long").alias("edition_id"), F.lit(0).alias("block"), "k", F.lit("replace").alias("op"), F.col("x.place").alias("ref_position"), F.col("x.a").alias("ref_text"), F.col("x.b").alias("var_text"), F.lit(1).alias("same_rasm"), F.lit(1).alias("same_archi"))
     return vocalic.unionByName(_realigned(changed.filter(~alike)))
