@@ -19,6 +19,7 @@ gathers more than two blocks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from pyspark.sql.window import Window
 from .workspace import Workspace, table
 
 LISTS = 2
-#: Vectors in a block of candidates, and of queries, about.
-BLOCK, QUERY_BLOCK = 4096, 1024
+#: Vectors in a block of candidates, and of queries, about; queries that are scored at a time.
+BLOCK, QUERY_BLOCK, TILE = 8192, 4096, 512
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -49,20 +50,71 @@ def _classes(rows: DataFrame, ids: int, salts: int = 16) -> DataFrame:
     return few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("cid", F.col("ids")[0])
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """The same integers in the narrowest type that holds them."""
+    least, most = (int(x.min()), int(x.max())) if x.size else (0, 0)
+    return x.astype(np.result_type(np.min_scalar_type(min(least, -1)), np.min_scalar_type(most if most < 0 else -most - 1)))
+
+
 def _blocks(rows: DataFrame, size: int, name: str, cuts: list[slice]) -> tuple[DataFrame, int]:
-    """Rows (cid, v, and others) as blocks of a list each: j, number, and its rows with the list's components; and how many blocks there are."""
+    """Rows (cid, v, and maybe floors and share) as blocks of a list each: j, number, and packed bytes of its rows with the list's components; and how many numbers there are. Rows are dealt by number and packed as they stream by."""
     count = max(1, -(-rows.count() // size))
-    others = [c for c in rows.columns if c not in ("cid", "v")]
-    slices = F.array(*[F.struct(F.lit(j).alias("j"), F.slice("v", cut.start + 1, cut.stop - cut.start).alias("x")) for j, cut in enumerate(cuts)])
-    each = rows.withColumn(f"{name}b", F.pmod(F.xxhash64("cid"), F.lit(count)).cast("int")).withColumn("s", F.explode(slices))
-    return each.groupBy("s.j", f"{name}b").agg(F.collect_list(F.struct("cid", "s.x", *others)).alias(name)), count
+    asking = "share" in rows.columns
+
+    def packed(number: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        told = pa.Table.from_batches(parts).combine_chunks()
+        ids = told["cid"].to_numpy()
+        x = told["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        shares = told["share"].to_numpy() if asking else np.empty(0, np.int64)
+        floors = told["floors"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), len(cuts)) if asking else np.empty((0, len(cuts)), np.int64)
+        cells = [{"ids": ids.tobytes(), "x": (own := _narrow(x[:, cut])).tobytes(), "kind": own.dtype.str, "share": shares.tobytes(), "floor": floors[:, j].tobytes()} for j, cut in enumerate(cuts)]
+        kind = pa.struct([("ids", pa.binary()), ("x", pa.binary()), ("kind", pa.string()), ("share", pa.binary()), ("floor", pa.binary())])
+        return pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), pa.array([number] * len(cuts), pa.int32()), pa.array(cells, kind)], names=["j", f"{name}b", name])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            numbers = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
+            for lo, hi in pairwise(edges) if len(numbers) else ():
+                # a number that many rows share is more than one block
+                if held and (numbers[lo] != at or sum(map(len, held)) >= 2 * size):
+                    yield packed(at, held)
+                    held = []
+                at = int(numbers[lo])
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield packed(at, held)
+
+    dealt = rows.withColumn("b", F.pmod(F.xxhash64("cid"), F.lit(count)).cast("int")).repartition(F.col("b")).sortWithinPartitions("b")
+    return dealt.select("b", *rows.columns).mapInArrow(pack, f"j int, {name}b int, {name} struct<ids:binary,x:binary,kind:string,share:binary,floor:binary>"), count
+
+
+def _ids(cell: dict) -> np.ndarray:
+    return np.frombuffer(cell["ids"], np.int64)
 
 
-def _matrix(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
-    cells = rows.values
-    ids = cells.field(0).to_numpy(zero_copy_only=False)
-    flat = cells.field(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return ids, flat.reshape(len(ids), len(flat) // max(1, len(ids)))
+def _scores(q: dict, c: dict) -> Iterator[tuple[slice, np.ndarray]]:
+    """Scores of a few rows of q at a time with all rows of c; single precision where that is exact."""
+    x, y = (np.frombuffer(cell["x"], cell["kind"]).reshape(len(cell["ids"]) // 8, -1) for cell in (q, c))
+    most = x.shape[1] * max(map(abs, (int(x.min()), int(x.max())))) * max(map(abs, (int(y.min()), int(y.max())))) if x.size else 0
+    kind = np.float32 if most < 1 << 24 else np.float64
+    x, y = x.astype(kind), y.astype(kind).T
+    for lo in range(0, len(x), TILE):
+        yield slice(lo, lo + TILE), x[lo : lo + TILE] @ y
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict, dict]]:
+    for batch in batches:
+        for j, q, c in zip(*batch.columns, strict=True):
+            yield j.as_py(), q.as_py(), c.as_py()
+
+
+def _paired(told: DataFrame, told_n: int, held: DataFrame, held_n: int) -> DataFrame:
+    """(j, q, c): every block of queries beside every block of candidates, list by list. Copies of blocks are many times what their table holds, so they are exchanged, whatever a plan takes their size to be: a broadcast would gather them in the driver."""
+    one = told.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(held_n - 1))))
+    two = held.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(told_n - 1))))
+    return one.hint("merge").join(two, ["j", "cb", "qb"]).select("j", "q", "c")
 
 
 def _slices(dim: int, lists: int) -> list[slice]:
@@ -111,22 +163,17 @@ def _search(space: Workspace, rows: DataFrame, asked: DataFrame, dim: int, k: in
     held = space.save(held, "held")
 
     def cells(asking: DataFrame) -> DataFrame:
-        """(q, c): every block of queries beside every block of candidates, list by list."""
-        told, told_n = _blocks(asking, QUERY_BLOCK, "q", cuts)
-        one = told.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(held_n - 1))))
-        two = held.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(told_n - 1))))
-        return one.join(two, ["j", "cb", "qb"]).select("j", "q", "c")
+        return _paired(*_blocks(asking, QUERY_BLOCK, "q", cuts), held, held_n)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Phase one: a list's best entries of a cell, and its least score there."""
-        for batch in batches:
-            for j, q_rows, c_rows in zip(*batch.columns, strict=True):
-                q_ids, q = _matrix(q_rows)
-                c_ids, c = _matrix(c_rows)
-                n, top = len(q_ids), min(want, len(c_ids))
-                s = q @ c.T
-                best = np.argpartition(-s, top - 1, axis=1)[:, :top]
-                entries = [np.repeat(q_ids, top), np.full(n * top, j.as_py(), np.int32), c_ids[best].ravel(), np.take_along_axis(s, best, 1).ravel().astype(np.int64), np.repeat(s.min(axis=1).astype(np.int64), top)]
+        for j, q, c in _cells(batches):
+            q_ids, c_ids = _ids(q), _ids(c)
+            top = min(want, len(c_ids))
+            for part, s in _scores(q, c):
+                best = np.argpartition(s, len(c_ids) - top, axis=1)[:, len(c_ids) - top :]
+                own = np.repeat(q_ids[part], top)
+                entries = [own, np.full(len(own), j, np.int32), c_ids[best].ravel(), np.take_along_axis(s, best, 1).ravel().astype(np.int64), np.repeat(s.min(axis=1).astype(np.int64), top)]
                 yield pa.RecordBatch.from_arrays([pa.array(e) for e in entries], names=["q", "j", "c", "s", "least"])
 
     first = space.save(cells(queries).mapInArrow(local, "q long, j int, c long, s long, least long"), "local")
@@ -144,15 +191,11 @@ def _search(space: Workspace, rows: DataFrame, asked: DataFrame, dim: int, k: in
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Phase two: a list's entries of a cell at or above the cutoff."""
-        for batch in batches:
-            for number, q_rows, c_rows in zip(*batch.columns, strict=True):
-                j = number.as_py()
-                q_ids, q = _matrix(q_rows)
-                c_ids, c = _matrix(c_rows)
-                floors_, shares = q_rows.values.field(2).flatten(), q_rows.values.field(3)
-                s = q @ c.T - floors_.to_numpy(zero_copy_only=False).reshape(len(q_ids), lists)[:, j : j + 1]
-                a, b = np.nonzero(s >= shares.to_numpy(zero_copy_only=False)[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[a]), pa.array(c_ids[b]), pa.array(s[a, b].astype(np.int64))], names=["q", "c", "s"])
+        for _, q, c in _cells(batches):
+            q_ids, c_ids, shares, floors = _ids(q), _ids(c), np.frombuffer(q["share"], np.int64), np.frombuffer(q["floor"], np.int64)
+            for part, s in _scores(q, c):
+                a, b = np.nonzero(s >= (shares[part] + floors[part])[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[part][a]), pa.array(c_ids[b]), pa.array(s[a, b].astype(np.int64) - floors[part][a])], names=["q", "c", "s"])
 
     asking = queries.join(cutoff, queries["cid"] == cutoff["q"]).select("cid", "v", "floors", "share")
     second = cells(asking).mapInArrow(collect, "q long, c long, s long")

@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from strataglyph.llm import topk
 from strataglyph.llm.topk import search
 
 
@@ -30,3 +31,24 @@ def test_few_and_none(spark):
     assert [tuple(r) for r in search(df, F.col("vec_id") == 0).collect()] == [(0, 1, 1, -65536)]
     assert search(df.limit(0), F.lit(True)).count() == 0
     assert search(df.filter("vec_id = 0"), F.lit(True)).count() == 0
+
+
+def test_blocks_are_packed_and_exchanged(spark, monkeypatch):
+    """Copies of blocks don't pass through the driver, and a component takes the bytes that it needs."""
+    plans, paired = [], topk._paired
+    monkeypatch.setattr(topk, "BLOCK", 32)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(topk, "TILE", 3)
+    monkeypatch.setattr(topk, "_paired", lambda *blocks: plans.append(paired(*blocks)) or plans[-1])
+    rows = [(i, [((i * 37 + k * 11) % 101) / 101 - 0.5 for k in range(6)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((x.query_id, x.rank, x.vec_id, x.score) for x in search(df, F.col("vec_id") % 10 == 0).collect())
+    v = {x.vec_id: x.v for x in topk.quantised(df).collect()}
+    score = lambda a, b: sum(x * y for x, y in zip(v[a], v[b], strict=True))
+    want = {a: sorted((-score(a, b), b) for b in v if b != a)[:5] for a in v if a % 10 == 0}
+    assert got == sorted((a, k + 1, b, -s) for a, best in want.items() for k, (s, b) in enumerate(best))
+    assert len(plans) == 2
+    for plan in plans:
+        assert "SortMergeJoin [j#" in plan._jdf.queryExecution().executedPlan().toString()
+    cell = plans[0].select("c.ids", "c.x").first()
+    assert len(cell.x) == len(cell.ids) // 8 * 3  # three components a list, a byte each
