@@ -72,3 +72,21 @@ def test_words_of_a_shape_are_sought_once(spark):
     asked = t.live()["word"].filter("ayah_id = 1").orderBy("id").first().rasm
     got = Api(t.live()).skeleton(asked)["readings"]
     assert got and all(1 <= len(r["examples"]) <= 4 for r in got) and "word" not in made()
+
+
+def test_what_alignment_is_asked_for_is_not_worked_out_again(spark):
+    """A filter or an explode on top of worked-out columns is not pushed into what they are made from."""
+    from strataglyph.operators import variants
+
+    rows = [(k, 2, [f"t{i}" for i in range(9)], [f"t{i}" for i in range(9) if i != k]) for k in range(5)]
+    pairs = spark.createDataFrame(rows, "ayah_id long, edition_id long, a array<string>, b array<string>")
+    chains = variants.aligned(pairs).filter("codes is not null")
+    assert chains._jdf.queryExecution().optimizedPlan().toString().count("array_position") == 1
+    assert variants.opcodes(pairs).filter("op = 'delete'").count() == 5
+
+
+def test_verses_are_dealt_and_cut_once(spark):
+    from strataglyph.plans import bindings
+
+    got = bindings.verses(spark, SMALL)
+    assert got.rdd.getNumPartitions() > 1 and got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
