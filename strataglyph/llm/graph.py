@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, known_few, light
 
 
 def components(space: Workspace, edges: DataFrame) -> DataFrame:
@@ -16,24 +16,28 @@ def components(space: Workspace, edges: DataFrame) -> DataFrame:
     what they lead to is one node in the next round. So paths shrink
     geometrically whatever their ids, and hubs are met by partial aggregation.
     Edges inside a contracted node go; when none is left, each is a component.
+    A round takes as many tasks as its edges need: late ones are small.
     """
-    left = space.save(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").distinct(), "edges0")
-    nodes = left.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    at = space.save(nodes.select("id", F.col("id").alias("at")), "at0")
-    turn = 0
-    while not left.isEmpty():
+    pairs = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
+    left = space.save(light(pairs.distinct(), pairs.count()), "edges0")
+    at = left.select(F.col("a").alias("id"), F.col("a").alias("at")).filter("false")
+    turn = nodes = 0
+    while size := left.count():
         turn += 1
         order = lambda c: F.xxhash64(F.col(c), F.lit(turn))  # noqa: E731, B023
         ends = left.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))).alias("e")).select("e.v", "e.w")
         least = ends.groupBy("v").agg(F.min_by("w", F.struct(order("w"), "w")).alias("w"))
-        joins = space.save(least.select("v", F.when(order("w") < order("v"), F.col("w")).otherwise(F.col("v")).alias("m")), f"joins{turn}")
+        joins = space.save(light(least.select("v", F.when(order("w") < order("v"), F.col("w")).otherwise(F.col("v")).alias("m")), 2 * size), f"joins{turn}")
         for _ in range(2):  # two steps, then four
-            step = joins.select(F.col("v").alias("_v"), F.col("m").alias("_m"))
-            joins = joins.join(step, joins["m"] == step["_v"], "left").select("v", F.coalesce("_m", "m").alias("m"))
+            step = known_few(joins.select(F.col("v").alias("_v"), F.col("m").alias("_m")), 2 * size)
+            joins = light(joins.join(step, joins["m"] == step["_v"], "left").select("v", F.coalesce("_m", "m").alias("m")), 2 * size)
         joins = space.save(joins, f"far{turn}")
-        one = left.join(joins.select(F.col("v").alias("a"), F.col("m").alias("ma")), "a").select("ma", "b")
-        two = one.join(joins.select(F.col("v").alias("b"), F.col("m").alias("mb")), "b").select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b"))
-        at = at.join(joins, at["at"] == joins["v"], "left").select("id", F.coalesce("m", "at").alias("at"))
-        left = space.save(two.filter("a <> b").distinct(), f"edges{turn}")
-    least = at.groupBy("at").agg(F.min("id").alias("component"))
-    return at.join(least, "at").select("id", "component")
+        side = lambda c: known_few(joins.select(F.col("v").alias(c), F.col("m").alias(f"m{c}")), 2 * size)  # noqa: E731, B023
+        two = light(left.join(side("a"), "a"), size).join(side("b"), "b").select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b"))
+        if turn == 1:  # every node has an edge
+            at, nodes = joins.select(F.col("v").alias("id"), F.col("m").alias("at")), joins.count()
+        else:
+            at = light(at.join(side("at"), "at", "left").select("id", F.coalesce("mat", "at").alias("at")), nodes)
+        left = space.save(light(two.filter("a <> b").distinct(), size), f"edges{turn}")
+    least = light(at.groupBy("at").agg(F.min("id").alias("component")), nodes)
+    return light(at.join(known_few(least, nodes), "at").select("id", "component"), nodes)

@@ -40,7 +40,7 @@ from pyspark.sql.window import Window
 
 from .graph import components
 from .memory import cache, turn_to
-from .workspace import Workspace, fresh, table
+from .workspace import Workspace, fresh, known_few, light, table
 
 WORDS = 5
 #: Linked: 100 * intersection >= SIMILAR * union.
@@ -55,8 +55,6 @@ WALK, MAYBE, BEST = 96, 0.55, 3
 SURE, LIKELY = 0.86, 0.8
 #: Pairs of a component that a round confirms, best first; the last round takes all that are left, and so does the first one if there are few.
 ROUNDS, FEW_PAIRS = (2, None), 50_000
-#: Rows of ids up to which a table is broadcast.
-BROADCAST_ROWS = 300_000
 #: Bits of a set's parities: least and most, powers of two.
 LEAST_BITS, MOST_BITS = 512, 16_384
 #: Rows of a region that one block holds; larger regions are compared block by block.
@@ -67,6 +65,8 @@ CROWDED, DEEPEST = 1 << 24, 3
 BATCH = 64
 #: Rows of the orders that one range holds.
 RANGE_ROWS = 400_000
+#: Borders of ranges that one task walks across.
+BORDERS = 16
 #: Pairs of rows that are compared at once.
 AT_ONCE = 50_000
 _FACTORS = np.random.default_rng(20240607).integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -256,34 +256,39 @@ def candidates(space: Workspace, reps: DataFrame) -> tuple[DataFrame, DataFrame]
         return pd.DataFrame({"a": a, "b": b, "w": w})
 
     # at most 2 x WALK rows at each border
-    borders = walked.filter("border is not null").groupBy("border").applyInPandas(across, "a long, b long, w long")
+    borders = walked.filter("border is not null").groupBy("border").applyInPandas(across, "a long, b long, w long").coalesce(max(1, parts // BORDERS))
     met = space.save(walked.filter("border is null").select("a", "b", "w").unionByName(borders), "walks")
+    size = met.count()
     pairs = met.filter("a <> b").groupBy("a", "b").agg(F.max("w").alias("w")).select("a", "b", "w", F.col("a").alias("ca"), F.col("b").alias("cb"))
     opened = met.filter("a = b").select(F.col("a").alias("id"), F.col("w").alias("key")).distinct()
-    return space.save(pairs, "pairs"), space.save(opened, "opened")
+    return space.save(light(pairs, size), "pairs"), space.save(light(opened, size), "opened")
 
 
-def best_of_each(pairs: DataFrame, most: int) -> DataFrame:
-    """Pairs (a, b, w, ca, cb) that are among the ``most`` most alike of either of their components. The best are found within parts of a component first, as one may have very many."""
+def best_of_each(pairs: DataFrame, most: int, size: int) -> DataFrame:
+    """Those of ``size`` pairs (a, b, w, ca, cb) that are among the ``most`` most alike of either of their components. The best are found within parts of a component first, as one may have very many."""
     ends = pairs.select("a", "b", "w", F.explode(F.array("ca", "cb")).alias("c"), F.pmod(F.xxhash64("a", "b"), F.lit(16)).alias("part"))
     order = [F.desc("w"), "a", "b"]
-    some = ends.withColumn("r", F.row_number().over(Window.partitionBy("c", "part").orderBy(*order))).filter(F.col("r") <= most)
-    return some.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy(*order))).filter(F.col("r") <= most).select("a", "b").distinct()
+    some = light(ends.withColumn("r", F.row_number().over(Window.partitionBy("c", "part").orderBy(*order))).filter(F.col("r") <= most), 2 * size)
+    best = light(some.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy(*order))).filter(F.col("r") <= most), 2 * size)
+    return light(best.select("a", "b").distinct(), size)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(space: Workspace, pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) that are linked, by the whole sets of both texts (id, text).
 
     The one with more pairs leads; its text goes once with every BATCH of them.
     """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    of = lambda c: ends.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"))
-    counted = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
+    size = pairs.count()
+    ends = light(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")), 2 * size)
+    of = lambda c: known_few(ends.select(F.col("id").alias(c), F.col("n").alias(f"n{c}")), 2 * size)
+    counted = light(light(pairs.select("a", "b").join(of("a"), "a"), size).join(of("b"), "b"), size)
     first = F.col("na") >= F.col("nb")
     led = counted.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("lead"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("other"), F.greatest("na", "nb").alias("n"))
     led = led.withColumn("part", F.pmod(F.xxhash64("other"), F.ceil(F.col("n") / BATCH)).cast("int"))
-    wanted = led.select("lead", "part", F.lit(0).alias("place"), F.col("lead").alias("id")).distinct().unionByName(led.select("lead", "part", F.lit(1).alias("place"), F.col("other").alias("id")))
-    dealt = wanted.join(texts, "id").select("lead", "part", "place", "id", "text").repartition("lead", "part").sortWithinPartitions("lead", "part", "place", "id")
+    led = space.save(led, f"led-{name}")
+    leads = light(led.select("lead", "part", F.lit(0).alias("place"), F.col("lead").alias("id")).distinct(), size)
+    wanted = leads.unionByName(led.select("lead", "part", F.lit(1).alias("place"), F.col("other").alias("id")))
+    dealt = texts.join(known_few(wanted, 2 * size), "id").select("lead", "part", "place", "id", "text").repartition("lead", "part").sortWithinPartitions("lead", "part", "place", "id")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = np.empty(0, np.uint64)
@@ -391,7 +396,7 @@ def _within_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def _few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return known_few(df, df.count())
 
 
 def unmet(space: Workspace, sets: DataFrame, opened: DataFrame, found: DataFrame) -> DataFrame:
@@ -402,13 +407,14 @@ def unmet(space: Workspace, sets: DataFrame, opened: DataFrame, found: DataFrame
     """
     component = F.coalesce("component", "id").alias("component")
     posts = opened.join(_few(found), "id", "left").select("id", component, "key", F.array("key").alias("path"))
-    posts = space.save(posts, "posts1")
+    posts = space.save(light(posts, opened.count()), "posts1")
     ready, base = [], None
     for depth in range(1, DEEPEST + 1):
         # the component that most rows of a region have: they need not be compared with each other, so that a family that is one component already costs its rows once
-        counted = posts.groupBy("key", "component").count().groupBy("key").agg(F.sum("count").alias("m"), F.max("count").alias("c"), F.max_by("component", F.struct("count", "component")).alias("chief")).filter("c < m")
-        counted = space.save(counted.withColumn("crowded", (F.col("m") - F.col("c")) * F.col("m") > F.lit(CROWDED)), f"regions{depth}")
-        live = posts.join(_few(counted), "key")
+        size = posts.count()
+        counted = light(posts.groupBy("key", "component").count(), size).groupBy("key").agg(F.sum("count").alias("m"), F.max("count").alias("c"), F.max_by("component", F.struct("count", "component")).alias("chief")).filter("c < m")
+        counted = space.save(light(counted.withColumn("crowded", (F.col("m") - F.col("c")) * F.col("m") > F.lit(CROWDED)), size), f"regions{depth}")
+        live = light(posts.join(_few(counted), "key"), size)
         ready.append(live if depth == DEEPEST else live.filter("not crowded"))
         crowd = counted.filter("crowded").select("key")
         if depth == DEEPEST or crowd.isEmpty():
@@ -421,7 +427,7 @@ def unmet(space: Workspace, sets: DataFrame, opened: DataFrame, found: DataFrame
         posts = space.save(deeper.select("id", "component", F.xxhash64(path).alias("key"), path.alias("path")), f"posts{depth + 1}")
     rows = space.save(reduce(DataFrame.unionByName, [r.select("key", "id", "component", "m", "chief") for r in ready]), "ready")
     # parities join the rows of live regions only
-    rows = rows.join(sets, "id")
+    rows = sets.join(_few(rows), "id")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     major = (F.col("component") == F.col("chief")).cast("int")
     home = F.pmod(F.xxhash64("id"), blocks).cast("int")
@@ -429,32 +435,50 @@ def unmet(space: Workspace, sets: DataFrame, opened: DataFrame, found: DataFrame
     dealt = rows.select("key", "block", (F.col("block") != F.col("home")).cast("int").alias("probe"), "major", "id", "component", "n", "parities")
     dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block", F.desc("probe"), "major", "id")
     pairs = space.save(dealt.mapInArrow(_within_partition, "a long, b long, w long, ca long, cb long"), "met")
-    return space.save(pairs.groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("w", "ca", "cb")]), "unmet")
-
-
-def linked_components(space: Workspace, docs: DataFrame, classes: DataFrame, pairs: DataFrame, proven: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """(the links (a, b) proven so far, the components they make), with those of pairs (a, b, w, ca, cb) that are linked and join two components."""
-    wanted = space.save(classes.join(_few(space.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"ids-{name}")), "id", "left_semi").select("id", "t1", "t2"), f"wanted-{name}")
+    return space.save(light(pairs.groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("w", "ca", "cb")]), pairs.count()), "unmet")
+
+
+def merged(space: Workspace, found: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """The components found so far (id, component), after links (a, b) between any ids."""
+    size, nodes = links.count(), found.count()
+    side = lambda c: known_few(found.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")), nodes)
+    # only components are contracted, so that no link is followed again
+    ends = light(light(links.join(side("a"), "a", "left"), size).join(side("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), size)
+    contraction = Workspace(space.spark, "neardup-turn")
+    moved = space.save(components(contraction, ends), f"moved-{name}")
+    contraction.close()
+    many = moved.count()
+    new = light(moved.select("id").join(known_few(found.select("id"), nodes), "id", "left_anti"), many).select("id", F.col("id").alias("component"))
+    to = known_few(moved.select(F.col("id").alias("component"), F.col("component").alias("to")), many)
+    return space.save(light(found.unionByName(new).join(to, "component", "left").select("id", F.coalesce("to", "component").alias("component")), nodes + many), f"found-{name}")
+
+
+def linked_components(space: Workspace, docs: DataFrame, classes: DataFrame, pairs: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """The components found so far (id, component), after those of pairs (a, b, w, ca, cb) that are linked and join two components."""
+    size = pairs.count()
+    ids = space.save(light(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), 2 * size), f"ids-{name}")
+    wanted = space.save(light(classes.select("id", "t1", "t2").join(_few(ids), "id", "left_semi"), classes.count()), f"wanted-{name}")
     texts = _keyed(docs).select("t1", "t2", "text").join(_few(wanted), ["t1", "t2"]).select("id", "text")
     texts = space.save(texts.dropDuplicates(["id"]), f"texts-{name}")
     left = pairs
-    for turn, most in enumerate(ROUNDS if pairs.count() > FEW_PAIRS else (None,)):
-        chosen = left if most is None else best_of_each(left, most)
+    for turn, most in enumerate(ROUNDS if size > FEW_PAIRS else (None,)):
+        chosen = left if most is None else best_of_each(left, most, size)
         chosen = space.save(chosen.select("a", "b"), f"chosen-{name}{turn}")
-        proven = proven.unionByName(space.save(confirmed(chosen, texts), f"proven-{name}{turn}"))
-        contraction = Workspace(docs.sparkSession, "neardup-turn")
-        found = space.save(components(contraction, proven), f"found-{name}{turn}")
-        contraction.close()
+        links = space.save(confirmed(space, chosen, texts, f"{name}{turn}"), f"proven-{name}{turn}")
+        found = merged(space, found, links, f"{name}{turn}")
         if most is None:
             break
-        side = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"n{c}"))  # noqa: E731, B023
-        still = left.select("a", "b", "w").join(chosen, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
+        nodes = found.count()
+        side = lambda c: known_few(found.select(F.col("id").alias(c), F.col("component").alias(f"n{c}")), nodes)  # noqa: E731, B023
+        still = light(left.select("a", "b", "w").join(_few(chosen), ["a", "b"], "left_anti"), size)
+        still = light(light(still.join(side("a"), "a", "left"), size).join(side("b"), "b", "left"), size)
         still = still.withColumn("ca", F.coalesce("na", "a")).withColumn("cb", F.coalesce("nb", "b")).filter("ca <> cb")
         left = space.save(still.select("a", "b", "w", "ca", "cb"), f"left-{name}{turn}")
-        if left.isEmpty():
+        size = left.count()
+        if not size:
             break
     space.drop(f"texts-{name}")
-    return proven, found
+    return found
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -462,24 +486,31 @@ def groups(docs: DataFrame) -> DataFrame:
     space = Workspace(docs.sparkSession, "neardup")
     known = space.save(signatures(docs), "signatures")
     worded = known.filter("f1 is not null")
+    size = known.count()
     key = ["f1", "f2", "n_shingles"]
     # equal sets are one class, with one text and, written down, one number
     one = F.min_by(F.struct("t1", "t2", "orders", "sketch", "parities"), F.struct("t1", "t2")).alias("x")
     classes = worded.groupBy(*key).agg(F.min("doc_id").alias("least"), one).select(*key, "least", "x.*", F.monotonically_increasing_id().alias("id"))
-    classes = space.save(classes, "classes")
+    classes = space.save(light(classes, 4 * size), "classes")  # with orders and parities a row takes as much as several of numbers
     names = classes.select(*key, "id")
     # rows that share a doc_id are one document, so their classes are linked
     several = worded.groupBy("doc_id").agg(*[f(c).alias(f"{f.__name__}{c}") for c in ("f1", "f2") for f in (F.min, F.max)]).filter("doc_id is not null and (minf1 <> maxf1 or minf2 <> maxf2)").select("doc_id")
+    several = light(several, size)
     several = space.save(worded.select("doc_id", *key).join(_few(space.save(several, "several")), "doc_id", "left_semi").join(names, key).select("doc_id", "id"), "members")
-    proven = space.save(several.join(several.groupBy("doc_id").agg(F.min("id").alias("first")), "doc_id").select(F.col("first").alias("a"), F.col("id").alias("b")).filter("a <> b").distinct(), "shared")
+    many = several.count()
+    firsts = known_few(light(several.groupBy("doc_id").agg(F.min("id").alias("first")), many), many)
+    shared = light(several.join(firsts, "doc_id"), many).select(F.col("first").alias("a"), F.col("id").alias("b")).filter("a <> b")
+    contraction = Workspace(docs.sparkSession, "neardup-turn")
+    found = space.save(components(contraction, space.save(shared, "shared")), "found")
+    contraction.close()
     pairs, opened = candidates(space, classes.select("id", "orders", "sketch"))
     space.drop("walked", "walks")
-    proven, found = linked_components(space, docs, classes, pairs, proven, "near")
+    found = linked_components(space, docs, classes, pairs, found, "near")
     rest = unmet(space, classes.select("id", F.col("n_shingles").alias("n"), "parities"), opened, found)
     if not rest.isEmpty():
-        proven, found = linked_components(space, docs, classes, rest, proven, "rest")
-    grouped = classes.select(*key, "least", "id").join(found, "id", "left").withColumn("group", F.coalesce("component", "id"))
-    least = grouped.filter("component is not null").groupBy("component").agg(F.min("least").alias("_least"))
+        found = linked_components(space, docs, classes, rest, found, "rest")
+    grouped = classes.select(*key, "least", "id").join(_few(found), "id", "left").withColumn("group", F.coalesce("component", "id"))
+    least = light(grouped.filter("component is not null").groupBy("component").agg(F.min("least").alias("_least")), size)
     final = space.save(grouped.join(_few(least), "component", "left").select(*key, "group", F.coalesce("_least", "least").alias("component_id")), "final")
     return known.select("doc_id", "t1", "t2", *key).join(final, key, "left").select("doc_id", "t1", "t2", "n_shingles", "group", F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from strataglyph.llm import neardup
 from strataglyph.llm.graph import components
-from strataglyph.llm.neardup import keep_first, link
+from strataglyph.llm.neardup import keep_first, link, merged
 from strataglyph.llm.workspace import Workspace
 
 DOCS = "doc_id long, text string, component_id string, id long, kept int"
@@ -92,6 +92,40 @@ def test_components(spark):
     assert {r.id: r.component for r in got.collect()} == {k: v for k, v in want.items() if any(k in e and e[0] != e[1] for e in edges)}
 
 
+def test_components_take_tasks_by_their_edges(spark):
+    """However many partitions a shuffle has, a round of few edges is a few tasks."""
+    r = random.Random(4)
+    edges = [(i, i + 1) for i in range(100)] + [(r.randint(0, 400), r.randint(0, 400)) for _ in range(100)]
+    want = closure({v for e in edges for v in e}, edges)
+    held = {"spark.sql.shuffle.partitions": "96", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("few edges", "")
+        got = components(Workspace(spark, "t"), spark.createDataFrame(edges, "a long, b long")).collect()
+        status = spark.sparkContext.statusTracker()
+        stages = [status.getStageInfo(s) for j in status.getJobIdsForGroup("few edges") for s in status.getJobInfo(j).stageIds]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert {r.id: r.component for r in got} == {k: v for k, v in want.items() if any(k in e and e[0] != e[1] for e in edges)}
+    assert sum(s.numCompletedTasks for s in stages if s) < 4 * 96
+
+
+def test_merged_adds_links_to_components(spark):
+    r = random.Random(6)
+    edges = [(r.randint(0, 150), r.randint(0, 150)) for _ in range(90)]
+    space = Workspace(spark, "t")
+    found = spark.createDataFrame([], "id long, component long")
+    for k in range(3):
+        found = merged(space, found, spark.createDataFrame(edges[30 * k : 30 * k + 30], "a long, b long"), str(k))
+        some = [e for e in edges[: 30 * k + 30] if e[0] != e[1]]
+        want = closure({v for e in some for v in e}, some)
+        assert sorted(found.collect()) == sorted(want.items())
+
+
 def crowd(r, size, words, edits):
     base = [f"b{i}" for i in range(words)]
     texts = []
