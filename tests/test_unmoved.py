@@ -22,3 +22,11 @@ def plan(df):
 def test_documents_are_aligned_with_their_words_without_a_join(spark):
     got = registry.QUERIES["align_words"](spark, SMALL)
     assert "Join" not in plan(got) and "Aggregate" not in plan(got)
+
+
+def test_exceptions_do_not_pass_through_the_driver(spark):
+    t, _ = bound(spark)
+    got = Api(t.live()).exceptional()
+    assert got.count() == len(Api(t.live()).exceptions()["exceptions"]) > 0
+    own = registry.QUERIES["payload_exceptions"](spark, SMALL)
+    assert "LogicalRDD" not in plan(own) and "LocalRelation" not in plan(own)
