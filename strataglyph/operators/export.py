@@ -16,11 +16,13 @@ CLUSTERS, ROOTS, EXAMPLES = 60, 60, 3
 
 
 def word_rows(t: dict[str, DataFrame]) -> DataFrame:
-    """Every word as it is exported: in the reference's spelling where it has one."""
+    """Every word as it is exported: in the reference's spelling where it has one. A store that has spelled_word, words beside that spelling, needs no join for it."""
+    shown = lambda words: words.select("surah", "ayah", "position", F.coalesce(F.nullif("text_form", F.lit("")), "form").alias("form"), "root", "lemma", "pos")
+    if "spelled_word" in t:
+        return shown(t["spelled_word"])
     reference = t["edition"].filter("is_reference = 1").select(F.col("id").alias("edition_id"))
     spelled = t["word_text"].join(F.broadcast(reference), "edition_id", "left_semi").select("word_id", F.col("form").alias("text_form"))
-    joined = t["v_word"].join(spelled, F.col("id") == F.col("word_id"), "left")
-    return joined.select("surah", "ayah", "position", F.coalesce(F.nullif("text_form", F.lit("")), "form").alias("form"), "root", "lemma", "pos")
+    return shown(t["v_word"].join(spelled, F.col("id") == F.col("word_id"), "left"))
 
 
 def export(t: dict[str, DataFrame], folder: str) -> dict[str, int]:

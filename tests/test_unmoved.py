@@ -30,3 +30,11 @@ def test_exceptions_do_not_pass_through_the_driver(spark):
     assert got.count() == len(Api(t.live()).exceptions()["exceptions"]) > 0
     own = registry.QUERIES["payload_exceptions"](spark, SMALL)
     assert "LogicalRDD" not in plan(own) and "LocalRelation" not in plan(own)
+
+
+def test_words_are_exported_from_their_verses(spark):
+    t, made = bound(spark)
+    got = export.word_rows(t.live())
+    assert plan(got).count("Join") == plan(t.live()["word"]).count("Join") and not made() & {"word", "word_text", "ayah_text"}
+    own = export.word_rows(t)
+    assert got.count() == own.count() > 0 and got.selectExpr(*[f"cast({c} as string)" for c in own.columns]).exceptAll(own.selectExpr(*[f"cast({c} as string)" for c in own.columns])).isEmpty()
