@@ -38,3 +38,14 @@ def test_words_are_exported_from_their_verses(spark):
     assert plan(got).count("Join") == plan(t.live()["word"]).count("Join") and not made() & {"word", "word_text", "ayah_text"}
     own = export.word_rows(t)
     assert got.count() == own.count() > 0 and got.selectExpr(*[f"cast({c} as string)" for c in own.columns]).exceptAll(own.selectExpr(*[f"cast({c} as string)" for c in own.columns])).isEmpty()
+
+
+def test_variants_are_made_from_their_verses(spark):
+    t, made = bound(spark)
+    api, ids = Api(t.live()), ("block", "k", "id")
+    got = api.counters(), api.apparatus(2), api.varied("Q1", True)
+    assert not made() & {"variant", "ayah_text", "text_kept"}
+    bare = lambda found: [{c: v for c, v in r.items() if c not in ids} for r in found]
+    own = Api(t)
+    assert got[0] == own.counters() and bare(got[1]["vocalic"]) == bare(own.apparatus(2)["vocalic"])
+    assert bare(api.variants("Q1", True)) == bare(own.variants("Q1", True)) != []
