@@ -1,7 +1,7 @@
 """Table functions for SQL over a store: tokens with their offsets, ranges, and running offsets by partition.
 
 They are called beside a table with LATERAL, or over one with TABLE(...)
-PARTITION BY. Python sees a row, or the rows of a partition one after the
+PARTITION BY. Python sees a row, or the rows of a partition a batch after the
 other; no call holds more.
 """
 
@@ -10,8 +10,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import Row, SparkSession
-from pyspark.sql.functions import udtf
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import SparkSession
+from pyspark.sql.functions import arrow_udtf, udtf
 
 from .refs import RefError, RefRange
 
@@ -39,16 +41,21 @@ class Range:
         yield r.start.surah, r.start.ayah, r.end.surah, r.end.ayah, r.start.level
 
 
-@udtf(returnType="id long, start long, stop long")
+@arrow_udtf(returnType="id long, start long, stop long")
 class Offsets:
-    """offsets_of(TABLE(id, length) PARTITION BY ... ORDER BY ...): where each row's text stands when those of its partition are joined by single characters."""
+    """offsets_of(TABLE(id, length) PARTITION BY ... ORDER BY ...): where each row's text stands when those of its partition are joined by single characters. It takes the rows of a partition a batch at a time."""
 
     def __init__(self) -> None:
         self.at = 0
 
-    def eval(self, row: Row) -> Iterator[tuple[int, int, int]]:
-        yield row["id"], self.at, self.at + row["length"]
-        self.at += row["length"] + 1
+    def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+        if rows.column("length").null_count:
+            raise TypeError("a length is null")
+        length = rows.column("length").to_numpy(zero_copy_only=False).astype(np.int64)
+        begins = self.at + np.cumsum(length + 1) - (length + 1)
+        if len(length):
+            self.at = int(begins[-1] + length[-1] + 1)
+        yield pa.table({"id": rows.column("id").cast(pa.int64()), "start": pa.array(begins, pa.int64()), "stop": pa.array(begins + length, pa.int64())})
 
 
 def register(spark: SparkSession) -> None:

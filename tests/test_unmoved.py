@@ -49,3 +49,23 @@ def test_variants_are_made_from_their_verses(spark):
     own = Api(t)
     assert got[0] == own.counters() and bare(got[1]["vocalic"]) == bare(own.apparatus(2)["vocalic"])
     assert bare(api.variants("Q1", True)) == bare(own.variants("Q1", True)) != []
+
+
+def test_offsets_follow_each_other_over_batches_of_a_partition(spark):
+    from pyspark.util import PythonEvalType
+
+    from strataglyph.functions import tables
+
+    tables.register(spark)
+    spark.range(70).selectExpr("id", "cast(id % 5 as int) length", "id % 3 part").createOrReplaceTempView("_lengths")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        found = spark.sql("SELECT * FROM offsets_of(TABLE(SELECT id, length, part FROM _lengths) PARTITION BY part ORDER BY id)").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    at, wanted = [0, 0, 0], []
+    for k in range(70):
+        wanted.append((k, at[k % 3], at[k % 3] + k % 5))
+        at[k % 3] += k % 5 + 1
+    assert sorted(map(tuple, found)) == wanted
+    assert tables.Offsets.evalType == PythonEvalType.SQL_ARROW_UDTF  # a batch at a time
