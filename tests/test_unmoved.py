@@ -69,3 +69,12 @@ def test_offsets_follow_each_other_over_batches_of_a_partition(spark):
         at[k % 3] += k % 5 + 1
     assert sorted(map(tuple, found)) == wanted
     assert tables.Offsets.evalType == PythonEvalType.SQL_ARROW_UDTF  # a batch at a time
+
+
+def test_checks_write_no_words_segments_or_full_index(spark):
+    from strataglyph.operators import checks
+
+    t, made = bound(spark)
+    whole = checks.all_checks(t.checked(), {"words": 1}, None, None).collect()
+    assert {r.name for r in whole} >= {"search responds", "roots of words are listed"} and made() >= {"ayah_text", "word_text", "variant"}
+    assert not made() & {"word", "segment", "segment_feature", "spine_exception", "root", "lemma", "postings", "term"}
